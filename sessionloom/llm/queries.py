@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from sessionloom.llm import exact_dedup, secrets
+from sessionloom.llm import exact_dedup, langid, secrets, token_store
 
 QUERIES = {
     "op5_secret_scan": secrets.op5_secret_scan,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_language_id": langid.op9_language_id,
+    "op10_token_files": token_store.op10_token_files,
 }
 
 ORACLE_SQL = {
