@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from sessionloom.llm import exact_dedup, langid, secrets, token_store
+from sessionloom.llm import bpe, exact_dedup, langid, secrets, substring_dedup, token_store
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op5_secret_scan": secrets.op5_secret_scan,
+    "op6_byte_bpe": bpe.op6_byte_bpe,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_language_id": langid.op9_language_id,
     "op10_token_files": token_store.op10_token_files,
