@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sessionloom.llm import bpe, exact_dedup, langid, secrets, substring_dedup, token_store
+from sessionloom.llm import bpe, exact_dedup, jaccard_join, langid, secrets, substring_dedup, token_store
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
