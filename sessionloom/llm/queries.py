@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from sessionloom.llm import bpe, exact_dedup, jaccard_join, langid, secrets, substring_dedup, token_store
+from sessionloom.llm import bpe, decontaminate, exact_dedup, jaccard_join, langid, secrets, substring_dedup, token_store, toxicity, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_warc": warc.op2_warc,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_language_id": langid.op9_language_id,
     "op10_token_files": token_store.op10_token_files,
 }
 
 ORACLE_SQL = {
+    "op7_decontaminate": decontaminate.OP7_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
