@@ -10,10 +10,11 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import chunked, n_chunks, text_bytes
+from sessionloom.llm.common import chunked, n_chunks, parts, text_bytes
 
 #: Raw text bytes for each chunk, whose distinct words are sent once, and for each bucket of words.
 CHUNK_TEXT, BUCKET_TEXT = 8 << 20, 8 << 20
@@ -22,6 +23,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Characters outside the range where both engines' classes are known to agree, or on which they differ.
 _ODD = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe]|[^\x00-ɏ‐-‧‰-⁞]")
+_ODD_ASCII = re.compile("[\x1c-\x1f]")
 _KEPT: dict = {}
 
 
@@ -33,7 +35,7 @@ def splitter(pattern: str):
     whole = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
     if pattern != PATTERN:
         return lambda text: [m.group() for m in whole.finditer(text)]
-    return lambda text: _FAST.findall(text) if not _ODD.search(text) else whole.findall(text)
+    return lambda text: _FAST.findall(text) if not (_ODD_ASCII if text.isascii() else _ODD).search(text) else whole.findall(text)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -143,11 +145,25 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     """
 
     def run(batches):
-        table = {i: b for b, i in read_ranks(ranks_path).items()}
+        pairs = sorted((i, b) for b, i in read_ranks(ranks_path).items())
+        size = np.full((pairs[-1][0] if pairs else 0) + 1, -1)
+        size[[i for i, _ in pairs]] = [len(b) for _, b in pairs]
+        start, table = np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0), np.frombuffer(b"".join(b for _, b in pairs), np.uint8)
         for batch in batches:
             col = batch.column(batch.schema.get_field_index(ids_col))
-            out = [None if x is None else b"".join(map(table.__getitem__, x)) for x in (col[i].as_py() for i in range(len(col)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
+            n = np.array(pc.fill_null(pc.list_value_length(col), 0), np.int64)
+            ends, values, out = np.cumsum(n), np.asarray(col.flatten()), []
+            for i, j in parts(n.tolist()):
+                own = values[ends[i] - n[i] : ends[j - 1]]
+                k = size[own]
+                if len(k) and k.min() < 0:
+                    raise ValueError("an id is not in the table")
+                to = np.cumsum(k)
+                data = table[np.repeat(start[own] - to + k, k) + np.arange(to[-1] if len(to) else 0)].tobytes()
+                edges = np.concatenate(([0], to))[np.concatenate(([0], np.cumsum(n[i:j])))].tolist()
+                out += [data[x:y] for x, y in zip(edges[:-1], edges[1:], strict=True)]
+            done = pa.array(out, pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pc.if_else(col.is_null(), pa.scalar(None, pa.binary()), done)], names=[*batch.schema.names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInArrow(run, f"{fields}, decoded binary")
