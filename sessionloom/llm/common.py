@@ -166,38 +166,29 @@ def blobs(chunk: int, bucket: np.ndarray, key: np.ndarray) -> pd.DataFrame:
 
 
 BLOBS = "bucket int, chunk int, keys binary"
-FLAGS = "chunk int, bucket int, flags binary"
+COUNTS = "chunk int, bucket int, counts binary"
 
 
 def shared_keys(rows: DataFrame, dtype: str) -> DataFrame:
-    """For each blob a bitmap over its keys: set where another chunk has the key too.
+    """For each blob, in how many chunks each of its keys occurs (a byte a key, 255 stands for more too).
 
     A chunk sends each key once, however often it has it, so no key can fill a bucket.
     """
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = [np.frombuffer(x, dtype) for x in pdf["keys"]]
-        every = np.sort(np.concatenate(keys))
-        same = every[1:] == every[:-1]
-        repeated = np.unique(every[1:][same])
-        flags = []
-        for k in keys:
-            at = np.searchsorted(repeated, k)
-            at[at == len(repeated)] = 0
-            flags.append(np.packbits(repeated[at] == k if len(repeated) else np.zeros(len(k), bool)).tobytes())
-        return pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "flags": flags})
+        every, n = np.unique(np.concatenate(keys), return_counts=True)
+        n = np.minimum(n, 255).astype(np.uint8)
+        return pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "counts": [n[np.searchsorted(every, k)].tobytes() for k in keys]})
 
-    return rows.groupBy("bucket").applyInPandas(count, FLAGS)
+    return rows.groupBy("bucket").applyInPandas(count, COUNTS)
 
 
-def key_flags(bucket: np.ndarray, key: np.ndarray, flags: pd.DataFrame) -> np.ndarray:
-    """For each of a chunk's keys, whether it occurs twice or more, here or in other chunks."""
+def key_counts(bucket: np.ndarray, key: np.ndarray, counts: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """For each of a chunk's keys, in how many chunks it occurs, and whether it occurs twice or more, here or there."""
     order, first, number = packed(bucket, key)
     if not len(number):
-        return np.zeros(0, bool)
-    b = bucket[order][first]
-    by = dict(zip(flags["bucket"], flags["flags"], strict=True))
-    have, counts = np.unique(b, return_counts=True)
-    across = np.concatenate([np.unpackbits(np.frombuffer(by[int(x)], np.uint8), count=int(n)).astype(bool) for x, n in zip(have, counts, strict=True)])
-    here = np.bincount(number) > 1
-    return (across | here)[number]
+        return np.zeros(0, np.uint8), np.zeros(0, bool)
+    by = dict(zip(counts["bucket"], counts["counts"], strict=True))
+    across = np.concatenate([np.frombuffer(by[int(x)], np.uint8) for x in np.unique(bucket[order][first])])
+    return across[number], ((across > 1) | (np.bincount(number) > 1))[number]

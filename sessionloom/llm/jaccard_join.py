@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import BLOBS, blobs, chunked, key_flags, mix, n_buckets, n_chunks, pinned, parts, shared_keys, text_bytes, window_hashes, word_hashes, written
+from sessionloom.llm.common import BLOBS, blobs, chunked, key_counts, mix, n_buckets, n_chunks, pinned, parts, shared_keys, text_bytes, window_hashes, word_hashes, written
 from sessionloom.llm.components import connected_components
 
 #: Words of a shingle; similarity in percent from which two sets link.
@@ -58,9 +58,9 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, words: int, percent:
         _, bucket, key = _shingles(list(pdf["text"]), words, buckets)
         return blobs(int(pdf["chunk"].iloc[0]), bucket, short(key))
 
-    def keep(pdf: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
+    def keep(pdf: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         doc, bucket, key = _shingles(list(pdf["text"]), words, buckets)
-        shared = key_flags(bucket, short(key), flags)
+        chunks_with, shared = key_counts(bucket, short(key), counts)
         n = np.bincount(doc, minlength=len(pdf))
         m = np.bincount(doc, weights=shared, minlength=len(pdf)).astype(int)
         ends = np.cumsum(n)
@@ -70,11 +70,13 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, words: int, percent:
         for i in np.flatnonzero(can):
             s = slice(ends[i] - n[i], ends[i])
             keys[i] = hashlib.blake2b(key[s].tobytes(), digest_size=16).digest()
-            sets[i] = key[s][shared[s]].tobytes()
+            own = shared[s]
+            # rarest first, by a count that all documents see alike
+            sets[i] = key[s][own][np.lexsort((key[s][own], chunks_with[s][own]))].tobytes()
         return pd.DataFrame({"id": pdf["id"], "n": n.astype(np.int32), "set_key": keys, "shared": sets})
 
-    flags = shared_keys(rows.groupBy("chunk").applyInPandas(send, BLOBS), "<u4")
-    return rows.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInPandas(keep, f"id {kind}, n int, set_key binary, shared binary")
+    counts = shared_keys(rows.groupBy("chunk").applyInPandas(send, BLOBS), "<u4")
+    return rows.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInPandas(keep, f"id {kind}, n int, set_key binary, shared binary")
 
 
 def least_overlap(a, b, percent: int):
@@ -85,7 +87,7 @@ def least_overlap(a, b, percent: int):
 def _prefix(sets: DataFrame, percent: int) -> DataFrame:
     """(token, node, n, own): the inverted lists over each set's prefix.
 
-    Order a set's unshared shingles first, then the shared by hash. Two sets that link have a shingle in common
+    Order a set's unshared shingles first, then the shared from the rarest. Two sets that link have a shingle in common
     among the first n - ceil(percent % of n) + 1 of each; the unshared ones match nothing, so they need no list.
     """
 
@@ -166,7 +168,8 @@ def _heavy_links(lists: DataFrame, sets: DataFrame, boundary: int, links: DataFr
     Scans the inverted lists. First each list links its members with one hub, that with the fewest shingles of its
     own (an original has fewer than its edited copies), then with the best member outside the hub's component. Only
     lists whose members are still in several components are scanned in full, and there only pairs across components:
-    each member outside the list's main component against all members. No pair inside a component is made.
+    each member outside the list's main component against all members. No pair inside a component is made, and only
+    pairs that share enough of their prefixes are verified.
     """
     rank = F.struct("own", "node", "n", "comp")
     for step in ("hub", "second", "full"):
@@ -178,7 +181,7 @@ def _heavy_links(lists: DataFrame, sets: DataFrame, boundary: int, links: DataFr
             main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").drop("comps")
             rest = at.join(main, "token")
             out = rest.filter("comp != main").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            pairs = out.join(rest.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")), "token").filter("ca != cb")
+            pairs = out.join(rest.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "main"), "token").filter("ca != cb and (cb = main or a < b)")
         else:
             stats = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(rank).alias("hub")).filter("lo != hi")
             if step == "second":
@@ -187,7 +190,14 @@ def _heavy_links(lists: DataFrame, sets: DataFrame, boundary: int, links: DataFr
             pairs = at.join(stats.select("token", F.col("hub.node").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.comp").alias("cb")), "token")
             pairs = pairs.filter("comp != cb").select(F.col("node").alias("a"), F.col("n").alias("na"), "b", "nb")
         pairs = pairs.filter(_fits("na", "nb", percent) & (F.greatest("na", "nb") > boundary))
-        pairs = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+        pairs = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"), "na", "nb")
+        if step == "full":
+            # All common tokens up to the end of one of the prefixes have been met. What follows that prefix adds
+            # ceil(percent % of n) - 1 at most, so a pair that has met too few cannot reach the overlap it needs.
+            met = pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("met"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+            need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent)) - F.ceil(F.greatest("na", "nb") * percent / 100) + 1
+            pairs = met.filter(F.col("met") >= need)
+        pairs = pairs.select("u", "v").distinct()
         links = pinned(links.unionByName(_verified(pairs, sets, percent)))
     return links
 
