@@ -98,7 +98,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col: str =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([press.compress((t or "").encode()) for t in batch.column(2).to_pylist()], pa.binary())], names=["id", "chunk", "data"])
 
-    rows = chunked(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", chunks).select("id", "chunk", "text")
+    rows = chunked(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), chunks, "id", "text").select("id", "chunk", "text")
     rows = rows.mapInArrow(squeeze, f"id {kind}, chunk int, data binary").repartition("chunk")
 
     def texts_of(pdf: pd.DataFrame) -> list[str]:
@@ -155,8 +155,8 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
             ends, values, out = np.cumsum(n), np.asarray(col.flatten()), []
             for i, j in parts(n.tolist()):
                 own = values[ends[i] - n[i] : ends[j - 1]]
-                k = size[own]
-                if len(k) and k.min() < 0:
+                k = size[np.clip(own, 0, len(size) - 1)]
+                if len(k) and (k.min() < 0 or own.min() < 0 or own.max() >= len(size)):
                     raise ValueError("an id is not in the table")
                 to = np.cumsum(k)
                 data = table[np.repeat(start[own] - to + k, k) + np.arange(to[-1] if len(to) else 0)].tobytes()

@@ -60,12 +60,12 @@ def n_chunks(spark: SparkSession, n_bytes: int) -> int:
     return max(spark.sparkContext.defaultParallelism, math.ceil(n_bytes / CHUNK_BYTES))
 
 
-def chunked(df: DataFrame, key: str, chunks: int) -> DataFrame:
-    """Adds `chunk`, a number from the key alone: a recomputed task makes the same chunk.
+def chunked(df: DataFrame, chunks: int, *keys: str) -> DataFrame:
+    """Adds `chunk`, a number from the row's keys alone: a recomputed task makes the same chunk.
 
-    Rows that share a key share a chunk, so keys should be close to unique (document ids are).
+    Keys are the id and the text, so that neither copies of one text nor rows without an id share a chunk.
     """
-    return df.withColumn("chunk", F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("chunk")), F.lit(chunks)).cast("int"))
+    return df.withColumn("chunk", F.pmod(F.xxhash64(F.lit("chunk"), *keys), F.lit(chunks)).cast("int"))
 
 
 # --- hashes of words and word windows, by numpy over whole batches ---------------------------------------------

@@ -51,7 +51,7 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, words: int, percent:
     spark, kind = df.sparkSession, df.schema[id_col].dataType.simpleString()
     _, size = text_bytes(df, text_col)
     chunks, buckets = n_chunks(spark, size), n_buckets(size // 6)
-    rows = chunked(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")), "id", chunks).repartition("chunk")
+    rows = chunked(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")), chunks, "id", "text").repartition("chunk")
     short = lambda h: (h >> np.uint64(32)).astype(np.uint32)
 
     def send(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -48,7 +48,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     n, size = text_bytes(df, text_col)
     chunks, buckets = n_chunks(spark, size), n_buckets(size // 6)
-    rows = chunked(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")), "id", chunks)
+    rows = chunked(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")), chunks, "id", "text")
     rows = rows.repartition("chunk")
 
     def send(pdf: pd.DataFrame) -> pd.DataFrame:

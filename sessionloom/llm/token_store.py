@@ -85,21 +85,25 @@ class EliasFano:
         return cls(n, bits, data[at : at + a], data[at + a : at + a + b], data[at + a + b : at + a + b + c], width), at + a + b + c
 
 
-def dump_shard(doc_ids: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> bytes:
-    """One file: magic, id width, smallest document id, both sequences (document ids less the smallest; ends), the ids."""
+_HEAD = "<BqQQ"
+
+
+def dump_shard(doc_ids: np.ndarray, nulls: int, ends: np.ndarray, ids: np.ndarray) -> bytes:
+    """One file: magic, id width, smallest document id, number of documents without an id (they come first), number of
+    token ids, both sequences (document ids less the smallest; ends), the token ids."""
     base = int(doc_ids[0]) if len(doc_ids) else 0
-    head = struct.pack("<BqQ", ids.dtype.itemsize, base, len(ids))
+    head = struct.pack(_HEAD, ids.dtype.itemsize, base, nulls, len(ids))
     return MAGIC + head + EliasFano.of((doc_ids - base).astype(np.uint64)).dump() + EliasFano.of(ends).dump() + ids.astype(ids.dtype.newbyteorder("<")).tobytes()
 
 
-def load_shard(data: bytes) -> tuple[np.ndarray, EliasFano, np.ndarray]:
-    """Document ids, the boundaries, and the concatenated ids of one file."""
+def load_shard(data: bytes) -> tuple[np.ndarray, int, EliasFano, np.ndarray]:
+    """Document ids, the number of documents before them without one, the boundaries, and the concatenated ids of one file."""
     if data[:8] != MAGIC:
         raise ValueError("not a token file")
-    width, base, n = struct.unpack_from("<BqQ", data, 8)
-    docs, at = EliasFano.load(data, 8 + struct.calcsize("<BqQ"))
+    width, base, nulls, n = struct.unpack_from(_HEAD, data, 8)
+    docs, at = EliasFano.load(data, 8 + struct.calcsize(_HEAD))
     ends, at = EliasFano.load(data, at)
-    return docs.values().astype(np.int64) + base, ends, np.frombuffer(data, f"<u{width}", n, at)
+    return docs.values().astype(np.int64) + base, nulls, ends, np.frombuffer(data, f"<u{width}", n, at)
 
 
 #: The tokenizer's pattern as it reads lower-case ASCII (fixed value), and the Latin-1 pieces whose forms it keeps.
@@ -184,19 +188,20 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, end_id: int, id_
 
     Returns the manifest, one row per file: shard, file, n_docs, n_tokens. It is written last and lists the files
     of the task attempts that succeeded; others under path are left-overs of lost tasks. Null texts count as empty
-    (only the end id). Equal ids are ordered by text. A null document id is an error, as the format orders by it.
+    (only the end id). Equal ids are ordered by text; documents without an id come first.
     """
     spark = df.sparkSession
     _, size = text_bytes(df, text_col)
     shards = max(1, -(-size // SHARD_BYTES))
-    rows = df.select(F.when(F.col(id_col).isNull(), F.raise_error(F.lit("a document id is null"))).otherwise(F.col(id_col)).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     rows = rows.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
 
     def write(batches):
-        encoder, docs, sizes, ids = None, [], [], []
+        encoder, nulls, docs, sizes, ids = None, 0, [], [], []
         for batch in batches:
             encoder = encoder or _Encoder(tokenizer_path, end_id)
-            docs.append(batch.column(0).to_numpy(zero_copy_only=False))
+            nulls += batch.column(0).null_count
+            docs.append(batch.column(0).drop_null().to_numpy(zero_copy_only=False))
             texts = batch.column(1).to_pylist()
             for i, j in parts([len(t) for t in texts]):
                 x, n = encoder(texts[i:j])
@@ -210,7 +215,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, end_id: int, id_
         store, at = fs.FileSystem.from_uri(path)
         store.create_dir(at, recursive=True)
         with store.open_output_stream(f"{at}/{name.rpartition('/')[2]}") as f:
-            f.write(dump_shard(np.concatenate(docs), ends, every))
+            f.write(dump_shard(np.concatenate(docs), nulls, ends, every))
         yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [name], "n_docs": [len(ends)], "n_tokens": [int(ends[-1])]})
 
     return written(rows.mapInArrow(write, "shard long, file string, n_docs long, n_tokens long"), "manifest")
@@ -229,11 +234,12 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
             for file, base in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 store, at = fs.FileSystem.from_uri(file)
                 with store.open_input_stream(at) as f:
-                    docs, boundaries, ids = load_shard(f.read())
+                    docs, nulls, boundaries, ids = load_shard(f.read())
                 ends = boundaries.values().astype(np.int64)
                 starts = np.concatenate(([0], ends[:-1]))
                 crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts, ends, strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": docs, "start": starts + base, "n_tokens": ends - starts, "ids_crc32": np.array(crc, np.int64)})
+                named = pa.concat_arrays([pa.nulls(nulls, pa.int64()), pa.array(docs, pa.int64())])
+                yield pa.RecordBatch.from_pydict({"doc_id": named, "start": starts + base, "n_tokens": ends - starts, "ids_crc32": np.array(crc, np.int64)})
 
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
