@@ -18,7 +18,7 @@ def in_scope(entries: DataFrame, path: str) -> DataFrame:
     """Entries without a scope or with a pattern that matches the path. Patterns become regexes in Spark."""
     quoted = lambda g: F.regexp_replace(g, r"([.^$+{}()|\\])", r"\\$1")
     regex = lambda g: F.concat(F.lit("(?s)^"), F.regexp_replace(F.regexp_replace(quoted(g), r"\*", ".*"), r"\?", "."), F.lit("$"))
-    return entries.filter((F.size("scope") == 0) | F.exists("scope", lambda g: F.lit(path).rlike(regex(g))))
+    return entries.filter((F.size("scope") == 0) | F.exists("scope", lambda g: F.rlike(F.lit(path), regex(g))))
 
 
 def matches(column: Column, glob: str) -> Column:

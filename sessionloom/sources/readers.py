@@ -78,6 +78,8 @@ def entries(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame
 
     fields = "id string, type string, title string, status string, spec_version string, scope array<string>, tags array<string>, confidence string, session_id string, excerpt_sha256 string, artifacts array<string>, created string, updated string, proposed_amendment_of string, proposed_supersession_of string"
 
+    columns = ["file", *_names(fields), "body"]
+
     def parse(batches):
         import yaml
 
@@ -95,7 +97,7 @@ def entries(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame
                 except Exception as e:
                     if not tolerant:
                         raise ValueError(f"invalid entry {file}: {e}") from None
-            yield pd.DataFrame(out, columns=["file", *_names(fields), "body"])
+            yield pd.DataFrame(out, columns=columns)
 
     rows = whole_files(spark, path).mapInPandas(parse, f"file string, {fields}, body string")
     return rows.withColumn("file_name", F.substring_index("file", "/", -1)).withColumn("type_ord", F.array_position(F.array(*map(F.lit, TYPES)), F.col("type")))
