@@ -156,39 +156,40 @@ def packed(bucket: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def blobs(chunk: int, bucket: np.ndarray, key: np.ndarray) -> pd.DataFrame:
-    """A row for each bucket with the chunk's distinct keys, sorted, as bytes."""
-    order, first, _ = packed(bucket, key)
+    """A row for each bucket with the chunk's distinct keys, sorted, and how often it has each (255: or more), as bytes."""
+    order, first, number = packed(bucket, key)
     b, k = bucket[order][first], key[order][first]
+    n = np.minimum(np.bincount(number, minlength=len(b)), 255).astype(np.uint8)
     edges = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1], [True]))) if len(b) else np.zeros(1, int)
-    return pd.DataFrame(
-        {"bucket": b[edges[:-1]].astype(np.int32), "chunk": np.full(len(edges) - 1, chunk, np.int32), "keys": [k[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)]}
-    )
+    cut = list(zip(edges[:-1], edges[1:], strict=True))
+    return pd.DataFrame({"bucket": b[edges[:-1]].astype(np.int32), "chunk": np.full(len(cut), chunk, np.int32), "keys": [k[i:j].tobytes() for i, j in cut], "counts": [n[i:j].tobytes() for i, j in cut]})
 
 
-BLOBS = "bucket int, chunk int, keys binary"
-COUNTS = "chunk int, bucket int, counts binary"
+BLOBS = "bucket int, chunk int, keys binary, counts binary"
+LEVELS = "chunk int, bucket int, levels binary"
 
 
 def shared_keys(rows: DataFrame, dtype: str) -> DataFrame:
-    """For each blob, in how many chunks each of its keys occurs (a byte a key, 255 stands for more too).
+    """For each blob, how often each of its keys occurs in all: a byte a key, 0 for once, then by the count's logarithm.
 
     A chunk sends each key once, however often it has it, so no key can fill a bucket.
     """
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = [np.frombuffer(x, dtype) for x in pdf["keys"]]
-        every, n = np.unique(np.concatenate(keys), return_counts=True)
-        n = np.minimum(n, 255).astype(np.uint8)
-        return pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "counts": [n[np.searchsorted(every, k)].tobytes() for k in keys]})
+        every, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(at, weights=np.frombuffer(b"".join(pdf["counts"]), np.uint8))
+        level = np.where(n > 1, np.minimum(np.floor(8 * np.log2(n)), 255), 0).astype(np.uint8)[at]
+        ends = np.cumsum([len(k) for k in keys])
+        return pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "levels": [level[e - len(k) : e].tobytes() for k, e in zip(keys, ends, strict=True)]})
 
-    return rows.groupBy("bucket").applyInPandas(count, COUNTS)
+    return rows.groupBy("bucket").applyInPandas(count, LEVELS)
 
 
-def key_counts(bucket: np.ndarray, key: np.ndarray, counts: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """For each of a chunk's keys, in how many chunks it occurs, and whether it occurs twice or more, here or there."""
+def key_levels(bucket: np.ndarray, key: np.ndarray, levels: pd.DataFrame) -> np.ndarray:
+    """The level of each of a chunk's keys: 0 if it occurs once in all, larger the oftener it does."""
     order, first, number = packed(bucket, key)
     if not len(number):
-        return np.zeros(0, np.uint8), np.zeros(0, bool)
-    by = dict(zip(counts["bucket"], counts["counts"], strict=True))
-    across = np.concatenate([np.frombuffer(by[int(x)], np.uint8) for x in np.unique(bucket[order][first])])
-    return across[number], ((across > 1) | (np.bincount(number) > 1))[number]
+        return np.zeros(0, np.uint8)
+    by = dict(zip(levels["bucket"], levels["levels"], strict=True))
+    return np.concatenate([np.frombuffer(by[int(x)], np.uint8) for x in np.unique(bucket[order][first])])[number]

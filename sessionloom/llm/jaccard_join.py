@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import BLOBS, blobs, chunked, key_counts, mix, n_buckets, n_chunks, pinned, parts, shared_keys, text_bytes, window_hashes, word_hashes, written
+from sessionloom.llm.common import BLOBS, blobs, chunked, key_levels, mix, n_buckets, n_chunks, pinned, parts, shared_keys, text_bytes, window_hashes, word_hashes, written
 from sessionloom.llm.components import connected_components
 
 #: Words of a shingle; similarity in percent from which two sets link.
@@ -58,9 +58,10 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, words: int, percent:
         _, bucket, key = _shingles(list(pdf["text"]), words, buckets)
         return blobs(int(pdf["chunk"].iloc[0]), bucket, short(key))
 
-    def keep(pdf: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+    def keep(pdf: pd.DataFrame, levels: pd.DataFrame) -> pd.DataFrame:
         doc, bucket, key = _shingles(list(pdf["text"]), words, buckets)
-        chunks_with, shared = key_counts(bucket, short(key), counts)
+        level = key_levels(bucket, short(key), levels)
+        shared = level > 0
         n = np.bincount(doc, minlength=len(pdf))
         m = np.bincount(doc, weights=shared, minlength=len(pdf)).astype(int)
         ends = np.cumsum(n)
@@ -72,11 +73,11 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, words: int, percent:
             keys[i] = hashlib.blake2b(key[s].tobytes(), digest_size=16).digest()
             own = shared[s]
             # rarest first, by a count that all documents see alike
-            sets[i] = key[s][own][np.lexsort((key[s][own], chunks_with[s][own]))].tobytes()
+            sets[i] = key[s][own][np.lexsort((key[s][own], level[s][own]))].tobytes()
         return pd.DataFrame({"id": pdf["id"], "n": n.astype(np.int32), "set_key": keys, "shared": sets})
 
-    counts = shared_keys(rows.groupBy("chunk").applyInPandas(send, BLOBS), "<u4")
-    return rows.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInPandas(keep, f"id {kind}, n int, set_key binary, shared binary")
+    levels = shared_keys(rows.groupBy("chunk").applyInPandas(send, BLOBS), "<u4")
+    return rows.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInPandas(keep, f"id {kind}, n int, set_key binary, shared binary")
 
 
 def least_overlap(a, b, percent: int):
@@ -85,7 +86,7 @@ def least_overlap(a, b, percent: int):
 
 
 def _prefix(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, node, n, own): the inverted lists over each set's prefix.
+    """(token, node, n, own, pos): the inverted lists over each set's prefix; pos is the token's place in the set's order.
 
     Order a set's unshared shingles first, then the shared from the rarest. Two sets that link have a shingle in common
     among the first n - ceil(percent % of n) + 1 of each; the unshared ones match nothing, so they need no list.
@@ -100,9 +101,9 @@ def _prefix(sets: DataFrame, percent: int) -> DataFrame:
                 tokens.append(h[: max(0, len(h) - -(-percent * size // 100) + 1)].view(np.int64))
             count = [len(t) for t in tokens]
             own = [size - len(blob) // 8 for size, blob in zip(n, shared, strict=True)]
-            yield pa.RecordBatch.from_pydict({"token": np.concatenate(tokens) if tokens else np.zeros(0, np.int64), "node": np.repeat(np.array(nodes, np.int64), count), "n": np.repeat(np.array(n, np.int32), count), "own": np.repeat(np.array(own, np.int32), count)})
+            yield pa.RecordBatch.from_pydict({"token": np.concatenate(tokens) if tokens else np.zeros(0, np.int64), "node": np.repeat(np.array(nodes, np.int64), count), "n": np.repeat(np.array(n, np.int32), count), "own": np.repeat(np.array(own, np.int32), count), "pos": np.concatenate([np.arange(o, o + k, dtype=np.int32) for o, k in zip(own, count, strict=True)]) if own else np.zeros(0, np.int32)})
 
-    return sets.select("node", "n", "shared").mapInArrow(run, "token long, node long, n int, own int")
+    return sets.select("node", "n", "shared").mapInArrow(run, "token long, node long, n int, own int, pos int")
 
 
 def _subsets(n: int, percent: int, most: int) -> list[tuple[int, int]]:
@@ -174,14 +175,18 @@ def _heavy_links(lists: DataFrame, sets: DataFrame, boundary: int, links: DataFr
     rank = F.struct("own", "node", "n", "comp")
     for step in ("hub", "second", "full"):
         labels = connected_components(links)
-        at = lists.join(labels, "node", "left").select("token", "node", "n", "own", F.coalesce("comp", "node").alias("comp"))
+        at = lists.join(labels, "node", "left").select("token", "node", "n", "own", "pos", F.coalesce("comp", "node").alias("comp"))
         at = pinned(at)
         if step == "full":
             sizes = at.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
             main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").drop("comps")
             rest = at.join(main, "token")
-            out = rest.filter("comp != main").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            pairs = out.join(rest.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "main"), "token").filter("ca != cb and (cb = main or a < b)")
+            out = rest.filter("comp != main").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("pos").alias("pa"))
+            both = rest.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("pos").alias("pb"), "main")
+            # the first common token of a pair that links leaves room in both sets for the overlap it needs
+            least = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
+            room = (F.col("na") - F.col("pa") >= least) & (F.col("nb") - F.col("pb") >= least)
+            pairs = out.join(both, "token").filter("ca != cb and (cb = main or a < b)").filter(room)
         else:
             stats = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(rank).alias("hub")).filter("lo != hi")
             if step == "second":
@@ -190,14 +195,8 @@ def _heavy_links(lists: DataFrame, sets: DataFrame, boundary: int, links: DataFr
             pairs = at.join(stats.select("token", F.col("hub.node").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.comp").alias("cb")), "token")
             pairs = pairs.filter("comp != cb").select(F.col("node").alias("a"), F.col("n").alias("na"), "b", "nb")
         pairs = pairs.filter(_fits("na", "nb", percent) & (F.greatest("na", "nb") > boundary))
-        pairs = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"), "na", "nb")
-        if step == "full":
-            # All common tokens up to the end of one of the prefixes have been met. What follows that prefix adds
-            # ceil(percent % of n) - 1 at most, so a pair that has met too few cannot reach the overlap it needs.
-            met = pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("met"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-            need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent)) - F.ceil(F.greatest("na", "nb") * percent / 100) + 1
-            pairs = met.filter(F.col("met") >= need)
-        pairs = pairs.select("u", "v").distinct()
+        pairs = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        pairs = pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("met")).select("u", "v")
         links = pinned(links.unionByName(_verified(pairs, sets, percent)))
     return links
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import BLOBS, blobs, chunked, key_counts, n_buckets, n_chunks, parts, shared_keys, text_bytes, window_hashes, word_hashes
+from sessionloom.llm.common import BLOBS, blobs, chunked, key_levels, n_buckets, n_chunks, parts, shared_keys, text_bytes, window_hashes, word_hashes
 
 #: Words of a window.
 WINDOW = 35
@@ -41,8 +41,8 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     one space. A repeated row repeats all its windows, so such texts of `window` words or more go whole.
 
     Every window gets a Rabin-Karp hash. Documents are dealt to chunks by id; a chunk sends each distinct hash
-    once, packed by hash bucket (8 bytes each), and each bucket tells every chunk how many chunks hold each of its
-    hashes. The bucket comes from a second, independent hash, so that 64 bits tell apart only the
+    once, packed by hash bucket (8 bytes each), and each bucket tells every chunk which of its hashes occur
+    more than once. The bucket comes from a second, independent hash, so that 64 bits tell apart only the
     windows of one bucket, about a million: for a given window to be mistaken has a chance near 5e-14.
     """
     spark = df.sparkSession
@@ -55,11 +55,11 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         bucket, key, _ = _windows(list(_in_order(pdf)["text"]), window, buckets)
         return blobs(int(pdf["chunk"].iloc[0]), bucket, key)
 
-    def keep(pdf: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+    def keep(pdf: pd.DataFrame, levels: pd.DataFrame) -> pd.DataFrame:
         pdf = _in_order(pdf)
         texts = list(pdf["text"])
         bucket, key, n_words = _windows(texts, window, buckets)
-        _, repeated = key_counts(bucket, key, counts)
+        repeated = key_levels(bucket, key, levels) > 0
         n_windows = np.maximum(n_words - window + 1, 0)
         out, at = [], 0
         for text, n, c in zip(texts, n_words, n_windows, strict=True):
@@ -79,9 +79,9 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             out.append((int(n), sum(y - x for x, y in spans), [{"start": x, "end": y} for x, y in spans], b" ".join(words).decode()))
         return pd.DataFrame({"id": pdf["id"], **{k: [o[i] for o in out] for i, k in enumerate(("n_words", "n_removed", "spans", "kept_text"))}})
 
-    counts = shared_keys(rows.groupBy("chunk").applyInPandas(send, BLOBS), "<u8")
+    levels = shared_keys(rows.groupBy("chunk").applyInPandas(send, BLOBS), "<u8")
     kind = df.schema[id_col].dataType.simpleString()
-    done = rows.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInPandas(keep, f"id {kind}, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string")
+    done = rows.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInPandas(keep, f"id {kind}, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string")
     return done.withColumnRenamed("id", id_col)
 
 
