@@ -109,8 +109,7 @@ def array_records(files: DataFrame) -> DataFrame:
     """
     v = F.try_parse_json("value")
     checked = files.withColumn("v", F.when(F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False)), v).otherwise(F.raise_error(F.concat(F.lit("not a JSON array: "), F.col("file")))))
-    checked.createOrReplaceTempView("_array_files")
-    rows = files.sparkSession.sql("select f.file, e.pos as ord, e.value as r from _array_files f, lateral variant_explode(f.v) e")
+    rows = checked.select("file", F.posexplode(F.expr("try_variant_get(v, '$', 'array<variant>')")).alias("ord", "r"))
     rows = rows.filter(F.expr("schema_of_variant(r) like 'OBJECT%' and schema_of_variant(try_variant_get(r, '$.info', 'variant')) like 'OBJECT%' and schema_of_variant(try_variant_get(r, '$.parts', 'variant')) like 'ARRAY%'"))
     stem = F.regexp_replace(F.regexp_replace(F.substring_index("file", "/", -1), r"\.[^.]*$", ""), r"\.transcript$", "")
     sid = _string("r", "$.info.sessionID")

@@ -249,24 +249,24 @@ def _curation(spark, d):
     """The distinct part names as a batch of candidates against approved, staged and rejected ones."""
     parts = views.part_entries(spark, d)
     by = parts.groupBy("title").agg(F.min("id").alias("id"), F.min("seq").alias("seq"), F.min_by("type", "seq").alias("type"), F.min_by("tags", "seq").alias("tags"), F.min_by("body", "seq").alias("body"), F.min_by("size", "seq").alias("size"))
-    by = by.withColumn("scope", F.array(F.when(F.col("size") < 25, "src/**").otherwise("lib/**")))
+    by = by.withColumn("scope", F.array(F.when(F.col("size") % 2 == 0, "src/**").otherwise("lib/**")))
     by = by.withColumn("file_name", F.concat(text.slug(F.col("title")), F.lit("-"), F.col("id"))).withColumn("type_ord", F.length("type")).withColumn("excerpt_sha256", F.sha2("title", 256))
-    approved, staged = by.filter("size % 4 = 0"), by.filter("size % 4 = 1")
-    stones = by.filter("size % 4 = 2 and size > 30").select("id", "title", F.lit("old").alias("reason"), "excerpt_sha256")
-    return by.filter("size % 4 = 3 or (size % 4 = 2 and size <= 30)"), approved, staged, stones
+    approved, staged = by.filter("size > 35"), by.filter("size between 21 and 35")
+    stones = by.filter("size <= 4 or size between 18 and 20").select("id", "title", F.lit("old").alias("reason"), "excerpt_sha256")
+    return by.filter("size between 5 and 20"), approved, staged, stones
 
 
 _CUR = f"""{_NAMES}, {_RATIO}, by0 AS (SELECT p_name AS title, printf('part-%06d', min(p_partkey)) AS id, min(p_partkey) AS seq, arg_min(p_type, p_partkey) AS type, arg_min(p_brand, p_partkey) AS brand, arg_min(p_size, p_partkey) AS size FROM part GROUP BY p_name),
 by1 AS (SELECT *, array_to_string(string_split(title, ' '), '-') || '-' || id AS file_name, length(type) AS type_ord FROM by0),
-cand AS (SELECT * FROM by1 WHERE size % 4 = 3 OR (size % 4 = 2 AND size <= 30)),
-stone AS (SELECT * FROM by1 WHERE size % 4 = 2 AND size > 30),
+cand AS (SELECT * FROM by1 WHERE size BETWEEN 5 AND 20),
+stone AS (SELECT * FROM by1 WHERE size <= 4 OR size BETWEEN 18 AND 20),
 ov AS (SELECT a, b FROM (SELECT x.title AS a, y.title AS b FROM cand x, stone y) WHERE {_OVER} >= 0.6),
 dead AS (SELECT DISTINCT id FROM cand WHERE title IN (SELECT a FROM ov)),
 rest AS (SELECT * FROM cand WHERE id NOT IN (SELECT id FROM dead)),
-pool AS (SELECT id, title, size, 0 AS peer, type_ord, file_name, -1 AS before FROM by1 WHERE size % 4 = 0 UNION ALL SELECT id, title, size, 1, 0, file_name, -1 FROM by1 WHERE size % 4 = 1 UNION ALL SELECT id, title, size, 1, 0, file_name, seq FROM rest),
+pool AS (SELECT id, title, size, 0 AS peer, type_ord, file_name, -1 AS before FROM by1 WHERE size > 35 UNION ALL SELECT id, title, size, 1, 0, file_name, -1 FROM by1 WHERE size BETWEEN 21 AND 35 UNION ALL SELECT id, title, size, 1, 0, file_name, seq FROM rest),
 dup AS (SELECT r.id, arg_min(p.id, (p.peer, p.type_ord, p.file_name)) AS match FROM rest r JOIN pool p ON p.id <> r.id AND p.before < r.seq JOIN ratios ON ratios.a = r.title AND ratios.b = p.title
   JOIN bodies ON bodies.a = r.title AND bodies.b = p.title WHERE ratios.ratio >= 88 OR (ratios.ratio >= 72 AND bodies.ratio >= 75) GROUP BY r.id),
-contra AS (SELECT r.id, arg_min(p.id, (p.type_ord, p.file_name)) AS match FROM rest r JOIN by1 p ON p.size % 4 = 0 AND p.type = r.type AND (p.size < 25) = (r.size < 25) JOIN ratios ON ratios.a = r.title AND ratios.b = p.title
+contra AS (SELECT r.id, arg_min(p.id, (p.type_ord, p.file_name)) AS match FROM rest r JOIN by1 p ON p.size > 35 AND p.type = r.type AND p.size % 2 = r.size % 2 JOIN ratios ON ratios.a = r.title AND ratios.b = p.title
   WHERE ratios.ratio < 88 AND len(list_intersect(string_split(r.title, ' '), string_split(p.title, ' '))) >= 0.5 * least(len(string_split(r.title, ' ')), len(string_split(p.title, ' '))) GROUP BY r.id)"""
 _BODIES = f"""bodies AS (SELECT a, b, 200.0 * ({_LCS.format(a='sa', b='sb')}) / (length(sa) + length(sb)) AS ratio FROM
   (SELECT x.title AS a, y.title AS b, {_SORTED.format("(x.title || ' ' || x.size)")} AS sa, {_SORTED.format("(y.title || ' ' || y.size)")} AS sb FROM by1 x, by1 y))"""
@@ -304,21 +304,21 @@ def reflect_summary(spark, d):
     return stats.outcome_counts(curate.outcomes(*_curation(spark, d)))
 
 
-@query(f"WITH {_NAMES}, c AS (SELECT DISTINCT p_name AS a FROM part WHERE p_size > 40), k AS (SELECT DISTINCT p_name AS b FROM part WHERE p_size = 1) SELECT a AS title FROM c WHERE NOT EXISTS (SELECT 1 FROM k WHERE {_OVER} >= 0.6)")
+@query(f"WITH {_NAMES}, c AS (SELECT DISTINCT p_name AS a FROM part WHERE p_size > 25), k AS (SELECT DISTINCT p_name AS b FROM part WHERE p_size = 1) SELECT a AS title FROM c WHERE NOT EXISTS (SELECT 1 FROM k WHERE {_OVER} >= 0.6)")
 def non_redundant(spark, d):
     parts = views.table(spark, d, "part")
     pick = lambda q: parts.filter(q).select(F.col("p_name").alias("title")).distinct()
-    return evaluate.non_redundant(pick("p_size > 40"), pick("p_size = 1"))
+    return evaluate.non_redundant(pick("p_size > 25"), pick("p_size = 1"))
 
 
 def _fixtures(spark, d):
     rows = views.part_entries(spark, d).select(F.col("scope")[0].alias("fixture"), "title", F.col("seq").alias("pos"), "size")
     by = rows.groupBy("fixture", "title").agg(F.min("pos").alias("pos"), F.min_by("size", "pos").alias("size"))
-    return by.filter("size % 5 = 0").select("fixture", "pos", "title"), by.filter("size % 5 = 1").select("fixture", "pos", "title")
+    return by.filter("size <= 25").select("fixture", "pos", "title"), by.filter("size > 25").select("fixture", "pos", "title")
 
 
 _FIX = f"""f AS (SELECT p_brand AS fixture, p_name AS title, min(p_partkey) AS pos, arg_min(p_size, p_partkey) AS size FROM part GROUP BY ALL),
-pairs AS (SELECT fixture, cand, gold, {_OVER} AS score FROM (SELECT x.fixture, x.pos AS cand, x.title AS a, y.pos AS gold, y.title AS b FROM f x JOIN f y ON x.fixture = y.fixture AND x.size % 5 = 0 AND y.size % 5 = 1)),
+pairs AS (SELECT fixture, cand, gold, {_OVER} AS score FROM (SELECT x.fixture, x.pos AS cand, x.title AS a, y.pos AS gold, y.title AS b FROM f x JOIN f y ON x.fixture = y.fixture AND x.size <= 25 AND y.size > 25)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY fixture ORDER BY score DESC, cand, gold) AS rn FROM pairs WHERE score >= 0.6),
 walk AS (SELECT fixture, 0 AS rn, []::BIGINT[] AS cs, []::BIGINT[] AS gs, false AS took FROM (SELECT DISTINCT fixture FROM ranked)
   UNION ALL SELECT r.fixture, r.rn, CASE WHEN list_contains(cs, r.cand) OR list_contains(gs, r.gold) THEN cs ELSE list_append(cs, r.cand) END, CASE WHEN list_contains(cs, r.cand) OR list_contains(gs, r.gold) THEN gs ELSE list_append(gs, r.gold) END, NOT (list_contains(cs, r.cand) OR list_contains(gs, r.gold))
@@ -333,8 +333,8 @@ def gold_matches(spark, d):
 
 
 @query(f"""WITH RECURSIVE {_FIX}, c AS (SELECT x.fixture, x.pos, x.title, m.cand IS NOT NULL AS matched, x.size % 2 = 0 AS passed,
-  EXISTS (SELECT 1 FROM (SELECT x.title AS a, y.title AS b FROM f y WHERE y.fixture = x.fixture AND y.size % 5 = 0 AND y.pos < x.pos) WHERE {_OVER} >= 0.6) AS duplicate FROM f x LEFT JOIN m ON m.fixture = x.fixture AND m.cand = x.pos WHERE x.size % 5 = 0)
-SELECT count(*) AS candidates, (SELECT count(*) FROM f WHERE size % 5 = 1) AS gold, 0::BIGINT AS judge_errors, 1.0::DOUBLE AS schema_validity, round(count(*) FILTER (matched AND passed) / count(*), 6) AS precision, round(count(*) FILTER (matched) / (SELECT count(*) FROM f WHERE size % 5 = 1), 6) AS recall, round(count(*) FILTER (duplicate) / count(*), 6) AS duplicate_rate, round(count(*) FILTER (passed) / count(*), 6) AS pass_rate FROM c""")
+  EXISTS (SELECT 1 FROM (SELECT x.title AS a, y.title AS b FROM f y WHERE y.fixture = x.fixture AND y.size <= 25 AND y.pos < x.pos) WHERE {_OVER} >= 0.6) AS duplicate FROM f x LEFT JOIN m ON m.fixture = x.fixture AND m.cand = x.pos WHERE x.size <= 25)
+SELECT count(*) AS candidates, (SELECT count(*) FROM f WHERE size > 25) AS gold, 0::BIGINT AS judge_errors, 1.0::DOUBLE AS schema_validity, round(count(*) FILTER (matched AND passed) / count(*), 6) AS precision, round(count(*) FILTER (matched) / (SELECT count(*) FROM f WHERE size > 25), 6) AS recall, round(count(*) FILTER (duplicate) / count(*), 6) AS duplicate_rate, round(count(*) FILTER (passed) / count(*), 6) AS pass_rate FROM c""")
 def eval_summary(spark, d):
     cand, gold = _fixtures(spark, d)
     sizes = views.table(spark, d, "part").select(F.col("p_partkey").alias("pos"), (F.col("p_size") % 2 == 0).alias("passed"))
@@ -459,15 +459,15 @@ def capture_window(spark, d):
 
 def _review(spark, d):
     docs = views.table(spark, d, "documents").join(views.table(spark, d, "labels"), "doc_id", "left")
-    rows = docs.select(F.concat(F.lit("fact-"), F.col("doc_id").cast("string")).alias("id"), F.lit("fact").alias("type"), F.col("lang").alias("title"), F.col("source").alias("body"), F.when(F.col("n_chars") % 3 == 0, F.concat(F.lit("old-"), (F.col("n_chars") % 50).cast("string"))).alias("proposed_amendment_of"), F.sha2("text", 256).alias("excerpt_sha256"), "quality", "toxic")
+    rows = docs.select(F.concat(F.lit("fact-"), F.col("doc_id").cast("string")).alias("id"), F.lit("fact").alias("type"), F.col("lang").alias("title"), F.col("source").alias("body"), F.concat(F.lit("old-"), F.col("n_chars").cast("string")).alias("proposed_amendment_of"), F.sha2("text", 256).alias("excerpt_sha256"), "quality", "toxic")
     action = F.when(F.col("toxic") == 1, "reject").when(F.col("quality") == 1, "approve").when(F.col("quality") == 0, "skip")
     decisions = rows.filter("quality is not null").select("id", action.alias("action"), F.when(F.col("toxic") == 1, "toxic").alias("reason"), F.lit(None).cast("string").alias("merge_into"))
-    approved = views.table(spark, d, "part").filter("p_partkey < 40").select(F.concat(F.lit("old-"), F.col("p_partkey").cast("string")).alias("id"), F.lit("fact").alias("type"), F.col("p_name").alias("title"), F.col("p_type").alias("body"), F.lit("a").alias("approved_by"), F.lit("2024-01-01").cast("timestamp").alias("updated"))
+    approved = views.table(spark, d, "part").select(F.concat(F.lit("old-"), F.col("p_partkey").cast("string")).alias("id"), F.lit("fact").alias("type"), F.col("p_name").alias("title"), F.col("p_type").alias("body"), F.lit("a").alias("approved_by"), F.lit("2024-01-01").cast("timestamp").alias("updated"))
     return review.decided(rows.drop("quality", "toxic"), decisions, approved), approved
 
 
 _REV = """r AS (SELECT 'fact-' || doc_id AS id, lang AS title, source AS body, CASE WHEN toxic = 1 THEN 'reject' WHEN quality = 1 THEN 'approve' ELSE 'skip' END AS action,
-  CASE WHEN toxic = 0 AND quality = 1 AND n_chars % 3 = 0 AND n_chars % 50 < 40 AND n_chars % 50 IN (SELECT p_partkey FROM part) THEN 'old-' || n_chars % 50 END AS target FROM documents LEFT JOIN labels USING (doc_id))"""
+  CASE WHEN toxic = 0 AND quality = 1 AND n_chars IN (SELECT p_partkey FROM part) THEN 'old-' || n_chars END AS target FROM documents LEFT JOIN labels USING (doc_id))"""
 
 
 @query(f"WITH {_REV} SELECT id, action, target FROM r")
@@ -477,7 +477,7 @@ def decisions_applied(spark, d):
 
 
 @query(f"""WITH {_REV}, notes AS (SELECT target AS id, string_agg(chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Amendment (2024-02-03, approved by me)' || chr(10) || chr(10) || body || chr(10), '' ORDER BY id) AS notes FROM r WHERE target IS NOT NULL GROUP BY target)
-SELECT id, title, sha256(body) AS body_sha256 FROM (SELECT 'old-' || p_partkey AS id, p_name AS title, p_type || coalesce(notes, '') AS body FROM part LEFT JOIN notes ON notes.id = 'old-' || p_partkey WHERE p_partkey < 40
+SELECT id, title, sha256(body) AS body_sha256 FROM (SELECT 'old-' || p_partkey AS id, p_name AS title, p_type || coalesce(notes, '') AS body FROM part LEFT JOIN notes ON notes.id = 'old-' || p_partkey
 UNION ALL SELECT id, title, body FROM r WHERE action = 'approve' AND target IS NULL)""")
 def amendments(spark, d):
     rows, approved = _review(spark, d)
