@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import chunked, n_chunks, parts, text_bytes
+from sessionloom.llm.common import chunked, parts, text_bytes
 
 #: Raw text bytes for each chunk, whose distinct words are sent once, and for each bucket of words.
 CHUNK_TEXT, BUCKET_TEXT = 8 << 20, 8 << 20
@@ -89,7 +89,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col: str =
     """
     spark, kind = df.sparkSession, df.schema[id_col].dataType.simpleString()
     _, size = text_bytes(df, text_col)
-    chunks, buckets = max(1, n_chunks(spark, size) * (4 << 20) // CHUNK_TEXT, spark.sparkContext.defaultParallelism), max(spark.sparkContext.defaultParallelism, -(-size // BUCKET_TEXT))
+    chunks, buckets = max(spark.sparkContext.defaultParallelism, -(-size // CHUNK_TEXT)), max(spark.sparkContext.defaultParallelism, -(-size // BUCKET_TEXT))
 
     def squeeze(batches):
         import zstandard

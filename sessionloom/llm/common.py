@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Raw text bytes of one chunk: what one task holds of the documents at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Keys that one bucket of a packed count receives on average.
 BUCKET_KEYS = 1 << 20
 

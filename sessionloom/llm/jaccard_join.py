@@ -169,8 +169,8 @@ def _heavy_links(lists: DataFrame, sets: DataFrame, boundary: int, links: DataFr
     Scans the inverted lists. First each list links its members with one hub, that with the fewest shingles of its
     own (an original has fewer than its edited copies), then with the best member outside the hub's component. Only
     lists whose members are still in several components are scanned in full, and there only pairs across components:
-    each member outside the list's main component against all members. No pair inside a component is made, and only
-    pairs that share enough of their prefixes are verified.
+    each member outside the list's main component against all members. No pair inside a component is made, nor one
+    whose places in the list leave too little room in either set for the overlap it needs.
     """
     rank = F.struct("own", "node", "n", "comp")
     for step in ("hub", "second", "full"):
@@ -196,7 +196,7 @@ def _heavy_links(lists: DataFrame, sets: DataFrame, boundary: int, links: DataFr
             pairs = pairs.filter("comp != cb").select(F.col("node").alias("a"), F.col("n").alias("na"), "b", "nb")
         pairs = pairs.filter(_fits("na", "nb", percent) & (F.greatest("na", "nb") > boundary))
         pairs = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        pairs = pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("met")).select("u", "v")
+        pairs = pairs.distinct()
         links = pinned(links.unionByName(_verified(pairs, sets, percent)))
     return links
 
