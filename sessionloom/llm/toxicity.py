@@ -13,18 +13,22 @@ from sessionloom.llm.common import pinned
 
 #: Labelled rows that the chain is fitted on, about, at most; words that one category may bring as features.
 FIT_ROWS, FEATURES = 20_000, 200
-#: A word is a feature if its rates in both classes differ by so many standard deviations and so many rows have it.
-LEAST_Z, LEAST_ROWS = 5.0, 10
-FOLDS, RIDGE = 5, 1.0
+#: A word is a feature if so many rows have it and their rate of the category is off by so many standard deviations, and so much.
+LEAST_ROWS, LEAST_Z, LEAST_GAP = 10, 5.0, 0.4
+FOLDS, RIDGE = 5, 0.1
 _WORD = re.compile(r"[^\W\d_]+")
+#: Letters of the word beginnings that are features too: one of them stands for its inflected forms.
+BEGINNINGS = (5, 7)
 #: Features beside words: many symbols, few words, lines that repeat.
 SHAPES = ("\x00symbols", "\x00short", "\x00repeats")
 
 
 def tokens(text: str) -> set[str]:
-    """The distinct lower-case words of a whole text and its shapes."""
+    """The distinct lower-case words of a whole text, the beginnings of longer ones, and the text's shapes."""
     words = _WORD.findall(text.lower())
     out = set(words)
+    for n in BEGINNINGS:
+        out |= {w[:n] + "*" for w in out if len(w) > n and w[-1] != "*"}
     symbols = sum(text.count(c) for c in "#$%&*@^~|<>{}=")
     if symbols * 40 > max(1, len(text)):
         out.add(SHAPES[0])
@@ -50,6 +54,16 @@ def _solve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def _threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The probability from which calling a row positive has the best F1, midway to the next lower one."""
+    order = np.argsort(-p, kind="stable")
+    hits = np.cumsum(y[order])
+    f1 = np.where(np.append(np.diff(p[order]), -1.0) < 0, 2 * hits / (np.arange(1, len(p) + 1) + y.sum()), 0)
+    k = int(f1.argmax())
+    low = p[order][k + 1] if k + 1 < len(p) else 0.0
+    return float((p[order][k] + low) / 2)
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -61,7 +75,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id
     counts words by category; the driver gets at most FEATURES words for each, and the sample's hits of them.
     Each model sees the words and the earlier categories' probabilities. In training these come from models that
     did not see the row (FOLDS folds by id hash); in prediction from the model fitted on all rows.
-    A category without both classes gets a constant.
+    A category without both classes gets a constant. `limits` has the probability from which each category is
+    called, by the best F1 of the unseen-row probabilities.
     """
     n = labels.count()
     share = min(1.0, fit_rows / n) if n else 1.0
@@ -85,7 +100,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id
             continue
         rate = pos / total
         z = (F.col(y) - F.col("k") * rate) / F.sqrt(F.col("k") * rate * (1 - rate))
-        words += [r[0] for r in by.select("word", F.abs(z).alias("z")).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(FEATURES).collect()]
+        words += [r[0] for r in by.select("word", F.abs(z).alias("z"), F.abs(F.col(y) / F.col("k") - rate).alias("gap")).filter((F.col("z") >= LEAST_Z) & (F.col("gap") >= LEAST_GAP)).orderBy(F.desc("z"), "word").limit(FEATURES).collect()]
     words = sorted(set(words))
     number = {w: i for i, w in enumerate(words)}
 
@@ -98,7 +113,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id
     x = np.zeros((len(data), len(words)))
     for i, h in enumerate(data["hits"]):
         x[i, list(h)] = 1
-    fold, weights = data["fold"].to_numpy(int), []
+    fold, weights, limits = data["fold"].to_numpy(int), [], []
     for y in names:
         t = data[y].to_numpy(float)
         if len(t) == 0 or t.min() == t.max():
@@ -112,8 +127,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id
                 if own.any():
                     out[own] = _sigmoid(np.column_stack((x[own], np.ones(own.sum()))) @ _solve(x[~own], t[~own])) if (~own).any() else t.mean()
         weights.append(w)
+        limits.append(_threshold(out, t) if len(t) and 0 < t.mean() < 1 else 0.5)
         x = np.column_stack((x, out))
-    return {"words": words, "weights": weights, "categories": list(categories)}
+    return {"words": words, "weights": weights, "categories": list(categories), "limits": limits}
 
 
 def predict_chain(docs: DataFrame, chain: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,4 +157,4 @@ CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     chain = fit_chain(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), CATEGORIES)
-    return predict_chain(docs, chain).withColumn("toxic", F.col("p_toxic") >= 0.5)
+    return predict_chain(docs, chain).withColumn("toxic", F.col("p_toxic") >= chain["limits"][1])
