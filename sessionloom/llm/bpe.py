@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sessionloom.llm.common import chunked, parts, text_bytes
 
 #: Raw text bytes for each chunk, whose distinct words are sent once, and for each bucket of words.
-CHUNK_TEXT, BUCKET_TEXT = 8 << 20, 8 << 20
+CHUNK_TEXT, BUCKET_TEXT = 4 << 20, 4 << 20
 #: The pattern that the fast path below is written for (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -96,7 +96,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col: str =
 
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([press.compress((t or "").encode()) for t in batch.column(2).to_pylist()], pa.binary())], names=["id", "chunk", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([press.compress((t.as_py() or "").encode()) for t in batch.column(2)], pa.binary())], names=["id", "chunk", "data"])
 
     rows = chunked(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), chunks, "id", "text").select("id", "chunk", "text")
     rows = rows.mapInArrow(squeeze, f"id {kind}, chunk int, data binary").repartition("chunk")
@@ -153,7 +153,7 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
             col = batch.column(batch.schema.get_field_index(ids_col))
             n = np.array(pc.fill_null(pc.list_value_length(col), 0), np.int64)
             ends, values, out = np.cumsum(n), np.asarray(col.flatten()), []
-            for i, j in parts(n.tolist()):
+            for i, j in parts(n.tolist(), 1 << 18):
                 own = values[ends[i] - n[i] : ends[j - 1]]
                 k = size[np.clip(own, 0, len(size) - 1)]
                 if len(k) and (k.min() < 0 or own.min() < 0 or own.max() >= len(size)):
