@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import gzip
+import hashlib
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,11 +22,12 @@ _ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
-_TOKEN = re.compile(r"[^\s<>\"']+")
-_PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
-_UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})(?:[^\s\\]|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})*")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_HEXRUN = re.compile(r"[0-9A-Fa-f]{32,}")
+_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+_UNICODE = re.compile(r"(?<!\\)\\++(?:u[dD][89abAB][0-9A-Fa-f]{2}\\++u[dD][c-fC-F][0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})")
+#: For base64 and hex: a run, a run of any length, and the next line's run after a line break, raw or escaped.
+_BREAK = r"[ \t]*(?:\\?\r?\n|\r|(?:\\r)?\\n)[ \t]*"
+_RUNS = tuple((re.compile(f"{x}{{{least},}}"), re.compile(f"{x}+"), re.compile(f"{_BREAK}({x}+)")) for x, least in ((r"[A-Za-z0-9+/_-]", 16), (r"[0-9A-Fa-f]", 32)))
+_PAD = re.compile("={0,2}")
 #: Bytes that one compressed layer may unfold to for each byte of the document, and at least: bombs stop there.
 RATIO, LEAST = 64, 1 << 20
 
@@ -65,85 +67,167 @@ def _inflate(data: bytes, most: int) -> bytes | None:
     return None
 
 
-def _layers(text: str, most: int) -> Iterator[tuple[int, int, str | list[tuple[str, int, int]]]]:
-    """(start, end, decoded pieces) of every encoded run; a piece is (decoded text, start, end in this layer)."""
-    if "%" in text:
-        for m in _TOKEN.finditer(text):
-            if not _PERCENT.search(m[0]):
+class _Layer(NamedTuple):
+    """A layer's text and where each character comes from in the document: arrays, one place for all, or None for the document."""
+
+    text: str
+    starts: np.ndarray | int | None = None
+    ends: np.ndarray | int | None = None
+
+    def place(self, a: int, b: int) -> tuple[int, int]:
+        if self.starts is None:
+            return a, b
+        return (self.starts, self.ends) if isinstance(self.starts, int) else (int(self.starts[a]), int(self.ends[b - 1]))
+
+
+def _key(start: int, end: int, data: bytes) -> tuple[int, int, bytes]:
+    return start, end, hashlib.blake2b(data, digest_size=16).digest()
+
+
+def _percent(text: str) -> Iterator[tuple[str, int, int]]:
+    """(character, start, end) of every URL escape; a byte outside UTF-8 gives U+FFFD."""
+    for m in _PERCENT.finditer(text):
+        at = m.start()
+        for c in bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape"):
+            bad = "\udc80" <= c <= "\udcff"
+            to = at + 3 * (1 if bad else len(c.encode()))
+            yield "�" if bad else c, at, to
+            at = to
+
+
+def _unicode(text: str) -> Iterator[tuple[str, int, int]]:
+    """(character, start, end) of every Unicode escape; doubled backslashes are those of an escaped escape."""
+    for m in _UNICODE.finditer(text):
+        s = m[0].replace("\\", "")
+        c = int(s[1:5], 16) if len(s) < 10 else 0x10000 + ((int(s[1:5], 16) & 0x3FF) << 10) + (int(s[6:], 16) & 0x3FF)
+        yield "�" if 0xD800 <= c < 0xE000 else chr(c), m.start(), m.end()
+
+
+def _splices(layer: _Layer) -> Iterator[_Layer]:
+    """The layer with its URL escapes decoded, and with its Unicode escapes decoded, each in its surrounding text."""
+    text = layer.text
+    for mark, decoded in (("%", _percent), ("\\", _unicode)):
+        if mark not in text:
+            continue
+        out, sizes, froms, tos, plain, last = [], [], [], [], [], 0
+        for c, a, b in decoded(text):
+            if last < a:
+                out.append(text[last:a])
+                sizes.append(a - last), froms.append(last), tos.append(a), plain.append(True)
+            out.append(c)
+            sizes.append(1), froms.append(a), tos.append(b), plain.append(False)
+            last = b
+        if not out:
+            continue
+        if last < len(text):
+            out.append(text[last:])
+            sizes.append(len(text) - last), froms.append(last), tos.append(len(text)), plain.append(True)
+        starts, ends = layer.starts, layer.ends
+        if not isinstance(starts, int):
+            n = np.array(sizes)
+            own = np.repeat(plain, n)
+            at = np.repeat(froms, n) + np.where(own, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), 0)
+            to = np.where(own, at + 1, np.repeat(tos, n))
+            starts, ends = (at, to) if starts is None else (starts[at], ends[to - 1])
+        yield _Layer("".join(out), starts, ends)
+
+
+def _line_before(text: str, at: int, any_run: re.Pattern) -> tuple[int, int] | None:
+    """The run, shorter than a run of its own, that ends the line before the one that a run begins."""
+    while at and text[at - 1] in " \t":
+        at -= 1
+    if at and text[at - 1] in "\r\n":
+        at -= 2 if text[at - 2 : at] == "\r\n" else 1
+    elif text[max(at - 2, 0) : at] == "\\n":
+        at -= 4 if text[max(at - 4, 0) : at] == "\\r\\n" else 2
+    else:
+        return None
+    while at and text[at - 1] in " \t\\":
+        at -= 1
+    start = at
+    while start and any_run.match(text[start - 1]):
+        start -= 1
+    return (start, at) if start < at else None
+
+
+def _encoded(text: str) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, bytes) of every base64 and hex run.
+
+    Runs that only line breaks separate are also read joined: all of them, and each block of lines of one length with
+    the line after it (the last of a wrapped body is shorter) and the line before it (the first may follow a name).
+    """
+    for is_hex, (run, any_run, more) in enumerate(_RUNS):
+        done = 0
+        for m in run.finditer(text):
+            if m.start() < done:
                 continue
-            pieces = []
-            for x in re.finditer(r"((?:%[0-9A-Fa-f]{2})+)|[^%]+|%", m[0]):
-                a, b = m.start() + x.start(), m.start() + x.end()
-                if x[1]:
-                    s = bytes.fromhex(x[1].replace("%", "")).decode("utf-8", "replace")
-                    pieces.append((s, a, b)) if len(s) != len(x[1]) // 3 else pieces.extend((c, a + 3 * i, a + 3 * i + 3) for i, c in enumerate(s))
-                else:
-                    pieces.extend((c, a + i, a + i + 1) for i, c in enumerate(x[0]))
-            yield m.start(), m.end(), pieces
-    if "\\" in text:
-        for m in _UNICODE.finditer(text):
-            pieces = []
-            for x in re.finditer(r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|.", m[0], re.S):
-                s = x[0]
-                if len(s) == 12:
-                    s = chr(0x10000 + ((int(s[2:6], 16) & 0x3FF) << 10) + (int(s[8:12], 16) & 0x3FF))
-                elif len(s) > 1:
-                    s = chr(c) if not 0xD800 <= (c := int(s[2:], 16)) < 0xE000 else "�"
-                pieces.append((s, m.start() + x.start(), m.start() + x.end()))
-            yield m.start(), m.end(), pieces
-    for pattern in (_BASE64, _HEXRUN):
-        for m in pattern.finditer(text):
-            run = m[0]
-            if pattern is _HEXRUN:
-                data = bytes.fromhex(run[: len(run) // 2 * 2])
-            elif run.rstrip("=").isalpha() and (run.islower() or run.isupper() or run.istitle()):
-                continue  # a long word
-            else:
-                body = run.rstrip("=").replace("-", "+").replace("_", "/")
-                try:
-                    data = base64.b64decode(body[: len(body) - (len(body) % 4 == 1)] + "=" * (-(len(body) - (len(body) % 4 == 1)) % 4))
-                except (binascii.Error, ValueError):
-                    continue
-            data = x if (x := _inflate(data, most)) is not None else data
-            while (x := _inflate(data, most)) is not None and x != data:
-                data = x
-            if (s := _readable(data)) is not None:
-                yield m.start(), m.end(), [(s, m.start(), m.end())]
+            lines = [m.span()]
+            while not text.startswith("=", lines[-1][1]) and (x := more.match(text, lines[-1][1])):
+                lines.append(x.span(1))
+            done = lines[-1][1]
+            if (x := _line_before(text, m.start(), any_run)) is not None:
+                lines.insert(0, x)
+            sizes = [b - a for a, b in lines]
+            last = len(lines)
+            picks = [(i, i + 1) for i in range(last) if sizes[i] >= (32 if is_hex else 16)]
+            if last > 1:
+                picks += [(0, last), (1, last)]
+                edges = [0, *(i for i in range(1, last) if sizes[i] != sizes[i - 1]), last]
+                for i, j in zip(edges[:-1], edges[1:], strict=True):
+                    picks += [(i, j), (i, min(j + 1, last)), (max(i - 1, 0), j), (max(i - 1, 0), min(j + 1, last))]
+            for i, j in dict.fromkeys(picks):
+                body = "".join(text[a:b] for a, b in lines[i:j])
+                start, end = lines[i][0], lines[j - 1][1]
+                if is_hex:
+                    if len(body) >= 32:
+                        yield start, end, bytes.fromhex(body[: len(body) // 2 * 2])
+                elif len(body) >= 16 and not (body.isalpha() and (body.islower() or body.isupper() or body.istitle())):  # not a long word
+                    body = body[: len(body) - (len(body) % 4 == 1)].replace("-", "+").replace("_", "/")
+                    yield start, _PAD.match(text, end).end(), base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _opened(layer: _Layer, most: int, seen: set) -> Iterator[_Layer]:
+    """The layers under the encoded runs of one layer."""
+    for a, b, data in _encoded(layer.text):
+        start, end = layer.place(a, b)
+        if (key := _key(start, end, data)) in seen:
+            continue
+        seen.add(key)
+        data = x if (x := _inflate(data, most)) is not None else data
+        while (x := _inflate(data, most)) is not None and x != data:
+            data = x
+        if (s := _readable(data)) is not None:
+            yield _Layer(s, start, end)
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], int]:
     """Base spans, all spans and the number of decoded layers.
 
-    Every decoded run joins the worklist as a layer of its own, so nesting of any depth and order is unwrapped;
-    a layer whose text was seen at the same place before is not opened again, so cycles end. A secret in a
-    layer has the span of the original characters that it comes from: exact under URL and Unicode escapes,
-    the whole encoded run under base64, hex and compression.
+    Every decoded layer is opened in turn, so nesting of any depth and order is unwrapped; a layer whose text was
+    seen at the same place before is not opened again, so cycles end. URL and Unicode escapes are decoded in the
+    text around them. A secret in a layer has the span of the original characters that it comes from: exact under
+    URL and Unicode escapes, the whole encoded run under base64, hex and compression.
     """
     base = base_spans(text)
-    spans, seen, layers = set(base), {(0, len(text), text)}, 0
-    work: deque[tuple[str, list[int], list[int]]] = deque()
+    spans, seen, layers = set(base), set(), 0
     most = max(LEAST, RATIO * len(text))
-
-    def add(layer: str, starts: list[int] | None, ends: list[int] | None) -> None:
-        for a, b, pieces in _layers(layer, most):
-            s0, e0 = (a, b) if starts is None else (starts[a], ends[b - 1])
-            inner = "".join(p[0] for p in pieces)
-            if inner == layer[a:b] or (s0, e0, inner) in seen:
-                continue
-            seen.add((s0, e0, inner))
-            at, to = [], []
-            for s, x, y in pieces:
-                x, y = (x, y) if starts is None else (starts[x], ends[y - 1])
-                at.extend([x] * len(s))
-                to.extend([y] * len(s))
-            work.append((inner, at, to))
-
-    add(text, None, None)
+    work: list[_Layer | Iterator[_Layer]] = [_Layer(text)]
     while work:
-        layer, starts, ends = work.popleft()
-        layers += 1
-        spans.update((starts[a], ends[b - 1], k) for a, b, k in base_spans(layer))
-        add(layer, starts, ends)
+        layer = work[-1]
+        if not isinstance(layer, _Layer):
+            if (layer := next(layer, None)) is None:
+                work.pop()
+                continue
+        else:
+            work.pop()
+        if (key := (*layer.place(0, len(layer.text)), "text", _key(0, 0, layer.text.encode("utf-8", "surrogatepass")))) in seen:
+            continue
+        seen.add(key)
+        if layer.starts is not None:
+            layers += 1
+            spans.update((*layer.place(a, b), k) for a, b, k in base_spans(layer.text))
+        work.extend(_splices(layer))
+        work.append(_opened(layer, most, seen))
     return base, sorted(spans, key=_order), layers
 
 

@@ -135,6 +135,34 @@ def test_nested_layers(wrap):
     assert {"assign", "access"} <= kinds and layers >= 1 and set(base) <= set(spans)
 
 
+def wrapped(data, width):
+    s = base64.b64encode(data).decode()
+    return "\n".join(s[i : i + width] for i in range(0, len(s), width))
+
+
+@pytest.mark.parametrize("text,kind,secret", [
+    (r"p\u0061ssword=hunter22", "assign", None), (r"AKI\u0041BCDEFGHIJKLMNOPQ", "access", None), (r"é AKI\x41BCDEFGHIJKLMNOPQ", "access", r"AKI\x41BCDEFGHIJKLMNOPQ"),
+    ('"password": "%68unter22x"', "assign", 'password": "%68unter22x'), (r"x api_key = \u0061bcdefgh", "assign", r"api_key = \u0061bcdefgh"), (r"p\\u0061ssword=hunter22", "assign", None),
+    (r"p%61ssw\u006frd = 'hunt%C3%A9' pass%77ord=hunter22", "assign", "pass%77ord=hunter22"),
+])
+def test_escapes_are_read_in_their_text(text, kind, secret):
+    base, spans, _ = secrets.scan(text)
+    at = text.index(secret or text)
+    assert base == [] and (at, at + len(secret or text), kind) in spans
+
+
+@pytest.mark.parametrize("before,after,line", [("see\n", "\nthe end", "\n"), ("body: ", " x", "\r\n  "), ("long\n", "\nthe", "\n"), ('{"b": "', '"}', "\\n"), ("verylongwordbeforeit\n", "\n\nend", "\n")])
+def test_wrapped_runs_are_joined(before, after, line):
+    plain = ("x" * 50 + " " + SECRET + " y" * 60).encode()
+    for data in (plain, gzip.compress(plain, mtime=0)):
+        body = wrapped(data, 76).replace("\n", line)
+        text = before + body + after
+        assert {"assign", "access"} <= {k for a, b, k in secrets.scan(text)[1] if a <= len(before) + 80 and b >= len(before) + 80}
+    key = " " * 40 + "password: hunter2hunter"
+    text = before + wrapped(key.encode(), 64).replace("\n", line) + after
+    assert "assign" in {k for _, _, k in secrets.scan(text)[1]}
+
+
 def test_base_rules():
     run = lambda t: secrets.scan(t)[0]
     assert run("Token=abc") == [] and run("x API_KEY = 'abcdef'") == [(2, 19, "assign")] and run("token=abc:token=abcdef") == [(10, 22, "assign")]
