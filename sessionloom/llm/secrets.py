@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import base64
 import bz2
-import gzip
+import codecs
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
-from typing import NamedTuple
+from collections.abc import Callable, Iterator
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,13 @@ _UNICODE = re.compile(r"(?<!\\)\\++(?:u[dD][89abAB][0-9A-Fa-f]{2}\\++u[dD][c-fC-
 _BREAK = r"[ \t]*(?:\\?\r?\n|\r|(?:\\r)?\\n)[ \t]*"
 _RUNS = tuple((re.compile(f"{x}{{{least},}}"), re.compile(f"{x}+"), re.compile(f"{_BREAK}({x}+)")) for x, least in ((r"[A-Za-z0-9+/_-]", 16), (r"[0-9A-Fa-f]", 32)))
 _PAD = re.compile("={0,2}")
-#: Bytes that one compressed layer may unfold to for each byte of the document, and at least: bombs stop there.
-RATIO, LEAST = 64, 1 << 20
+_UNCLEAN = re.compile("[\x00-\x08\x0e-\x1f\x7f�]")
+#: Characters of unfolded data that are scanned together; more only where nothing in them ends every secret and run.
+PIECE = 4 << 20
+_RUN_AFTER, _RUN_BEFORE = re.compile(r"[ \t]*[A-Za-z0-9+/_-]{16}"), re.compile(r"[A-Za-z0-9+/_-]{16}={0,2}\Z")
+_OTHER = r"""[^A-Za-z0-9+/_.=:%\\"'\s-]"""
+#: What ends every secret and run in a text with \x escapes, with other escapes, with none.
+_ENDS_BYTES, _ENDS_TOKEN, _ENDS = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f�]"), re.compile(rf"{_OTHER}\s|\s{_OTHER}"), re.compile(_OTHER)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -44,27 +49,97 @@ def _order(x: tuple[int, int, str]) -> tuple[int, int, int]:
     return x[0], KINDS.index(x[2]), x[1]
 
 
-def _readable(data: bytes) -> str | None:
-    """Bytes as text, if they are UTF-8 without control characters."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else None
+def _codec(head: bytes) -> Callable[[], Any] | None:
+    """What unfolds data that begins so: gzip, bzip2, zlib, or nothing."""
+    if head[:2] == b"\x1f\x8b":
+        return lambda: zlib.decompressobj(wbits=31)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor
+    return zlib.decompressobj if len(head) > 2 and head[0] & 15 == 8 and (head[0] * 256 + head[1]) % 31 == 0 else None
+
+
+def _members(blocks: Iterator[bytes], state: dict) -> Iterator[bytes]:
+    """What compressed data unfolds to: all members one after another, then the bytes after the last as they are.
+
+    state["bad"] tells whether the data ended early or was broken; what came before that is given.
+    """
+    state["bad"], members, d, data = False, 0, None, b""
+    while True:
+        if d is None:
+            data = data.lstrip(b"\0") if members else data
+            while len(data) < 4 and (block := next(blocks, None)) is not None:
+                data = (data + block).lstrip(b"\0") if members else data + block
+            if not data:
+                return
+            if (new := _codec(data)) is None:
+                yield b"\n" + data
+                yield from blocks
+                return
+            d, members = new(), members + 1
+        try:
+            out = d.decompress(data, PIECE)
+        except (zlib.error, OSError, ValueError, EOFError):
+            state["bad"] = True
+            return
+        if out:
+            yield out
+        if d.eof:
+            d, data = None, d.unused_data
+            continue
+        data = getattr(d, "unconsumed_tail", b"")
+        if not data and (d.needs_input if hasattr(d, "needs_input") else len(out) < PIECE):
+            if (data := next(blocks, None)) is None:
+                state["bad"] = True
+                return
+
+
+def _cut(text: str, at: int) -> int:
+    """Where text may be cut, from at on, so that no secret and no encoded run is cut, wrapped ones neither; else 0."""
+    i = text.rfind("\n", at, len(text) - 64)
+    while i >= 0:
+        if not _RUN_AFTER.match(text, i + 1) and not _RUN_BEFORE.search(text[max(i - 256, 0) : i].rstrip(" \t\r\\")):
+            return i + 1
+        i = text.rfind("\n", at, i)
+    ends = _ENDS_BYTES if "\\x" in text else _ENDS_TOKEN if "%" in text or "\\" in text else _ENDS
+    m = ends.search(text, max(at, len(text) // 2))
+    return m.end() if m else 0
+
+
+def _pieces(blocks: Iterator[bytes]) -> Iterator[str]:
+    """Bytes as text in pieces; bytes outside UTF-8 give U+FFFD."""
+    decoder, text, at = codecs.getincrementaldecoder("utf-8")("replace"), "", 0
+    for block in blocks:
+        text += decoder.decode(block)
+        if len(text) < PIECE:
+            continue
+        if cut := _cut(text, at):
+            yield text[:cut]
+            text, at = text[cut:], 0
+        else:
+            at = max(len(text) - 64, 0)
+    if text := text + decoder.decode(b"", True):
+        yield text
 
 
-def _inflate(data: bytes, most: int) -> bytes | None:
-    """Unfolds gzip, zlib or bzip2 data up to a bound."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(wbits=31).decompress(data, most)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, max_length=most)
-        if len(data) > 2 and data[0] & 15 == 8 and (data[0] * 256 + data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, most)
-    except (zlib.error, OSError, ValueError, EOFError, gzip.BadGzipFile):
-        pass
-    return None
+def _texts(source: Callable[[], Iterator[bytes]], above: tuple[tuple[bytes, dict], ...] = ()) -> Iterator[tuple[str, bool, bool]]:
+    """(piece of text, whether it begins a layer, whether it is sure to be one) of data, unfolded as often as it is compressed.
+
+    Data that only looks compressed, or is broken, is also read as it is. Data that unfolds to itself ends the unfolding.
+    """
+    head = b""
+    for block in source():
+        head += block
+        if len(head) >= 4096:
+            break
+    head = head[:4096]
+    if _codec(head) is not None and all(head != x for x, _ in above):
+        state: dict = {}
+        yield from _texts(lambda: _members(source(), state), (*above, (head, state)))
+        if not state["bad"]:
+            return
+        above = ()
+    for i, text in enumerate(_pieces(source())):
+        yield text, not i, (bool(above) and not any(x["bad"] for _, x in above)) or not _UNCLEAN.search(text)
 
 
 class _Layer(NamedTuple):
@@ -73,6 +148,8 @@ class _Layer(NamedTuple):
     text: str
     starts: np.ndarray | int | None = None
     ends: np.ndarray | int | None = None
+    begins: bool = True  # not a later piece of a layer
+    sure: bool = True  # text or unfolded data; other bytes are a layer only if something is found in them
 
     def place(self, a: int, b: int) -> tuple[int, int]:
         if self.starts is None:
@@ -186,18 +263,16 @@ def _encoded(text: str) -> Iterator[tuple[int, int, bytes]]:
                     yield start, _PAD.match(text, end).end(), base64.b64decode(body + "=" * (-len(body) % 4))
 
 
-def _opened(layer: _Layer, most: int, seen: set) -> Iterator[_Layer]:
+def _opened(layer: _Layer, seen: set) -> Iterator[_Layer]:
     """The layers under the encoded runs of one layer."""
     for a, b, data in _encoded(layer.text):
         start, end = layer.place(a, b)
         if (key := _key(start, end, data)) in seen:
             continue
         seen.add(key)
-        data = x if (x := _inflate(data, most)) is not None else data
-        while (x := _inflate(data, most)) is not None and x != data:
-            data = x
-        if (s := _readable(data)) is not None:
-            yield _Layer(s, start, end)
+        blocks = lambda data=data: (data[i : i + (1 << 16)] for i in range(0, len(data), 1 << 16))
+        for text, begins, sure in _texts(blocks):
+            yield _Layer(text, start, end, begins, sure)
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], int]:
@@ -206,11 +281,11 @@ def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, st
     Every decoded layer is opened in turn, so nesting of any depth and order is unwrapped; a layer whose text was
     seen at the same place before is not opened again, so cycles end. URL and Unicode escapes are decoded in the
     text around them. A secret in a layer has the span of the original characters that it comes from: exact under
-    URL and Unicode escapes, the whole encoded run under base64, hex and compression.
+    URL and Unicode escapes, the whole encoded run under base64, hex and compression. Compressed data is unfolded to
+    its end, whatever its size, and scanned piece by piece.
     """
     base = base_spans(text)
     spans, seen, layers = set(base), set(), 0
-    most = max(LEAST, RATIO * len(text))
     work: list[_Layer | Iterator[_Layer]] = [_Layer(text)]
     while work:
         layer = work[-1]
@@ -224,10 +299,11 @@ def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, st
             continue
         seen.add(key)
         if layer.starts is not None:
-            layers += 1
-            spans.update((*layer.place(a, b), k) for a, b, k in base_spans(layer.text))
+            found = {(*layer.place(a, b), k) for a, b, k in base_spans(layer.text)}
+            layers += layer.begins and (layer.sure or bool(found))
+            spans |= found
         work.extend(_splices(layer))
-        work.append(_opened(layer, most, seen))
+        work.append(_opened(layer, seen))
     return base, sorted(spans, key=_order), layers
 
 

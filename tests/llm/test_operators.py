@@ -163,6 +163,23 @@ def test_wrapped_runs_are_joined(before, after, line):
     assert "assign" in {k for _, _, k in secrets.scan(text)[1]}
 
 
+@pytest.mark.parametrize("data", [
+    gzip.compress(b"GET /index 200\n" * 400_000 + SECRET.encode() + b"\n" + b"GET /index 200\n" * 400_000), bz2.compress(("é" * 3_000_000 + SECRET).encode()),
+    gzip.compress(b"one\n") + gzip.compress(b"two\n") + b"\0" * 8 + gzip.compress(SECRET.encode()), bz2.compress(b"one\n") + bz2.compress(SECRET.encode()), zlib.compress(b"one ") + b" " + SECRET.encode(),
+    zlib.compress(b"\0\xff " + SECRET.encode() + b"\x01"), b"\x01" + SECRET.encode() + b" \xff", gzip.compress(gzip.compress(b"a, " * 3_000_000 + SECRET.encode())), gzip.compress(SECRET.encode() + bytes(range(256)) * 40)[:-8],
+    gzip.compress(b"word " * 1_000_000 + wrapped(gzip.compress(SECRET.encode() * 3), 20).encode() + b"\n" + b"word " * 1_000_000),
+    gzip.compress(b"x y z\n" * 699_045 + b"u\n" + wrapped(SECRET.encode() * 10, 76).encode()),
+])
+def test_compressed_layers_are_read_to_their_end(data):
+    hidden = base64.b64encode(data).decode()
+    spans = secrets.scan(f"see {hidden} ok")[1]
+    assert {(4, 4 + len(hidden), "assign"), (4, 4 + len(hidden), "access")} <= set(spans)
+
+
+def test_bytes_that_are_no_text_are_no_layer():
+    assert secrets.scan("commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff, /usr/lib/Python3/distPackages")[2] == 0
+
+
 def test_base_rules():
     run = lambda t: secrets.scan(t)[0]
     assert run("Token=abc") == [] and run("x API_KEY = 'abcdef'") == [(2, 19, "assign")] and run("token=abc:token=abcdef") == [(10, 22, "assign")]
