@@ -9,6 +9,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import Any, NamedTuple
 
 import numpy as np
@@ -28,6 +29,10 @@ _UNICODE = re.compile(r"(?<!\\)\\++(?:u[dD][89abAB][0-9A-Fa-f]{2}\\++u[dD][c-fC-
 _BREAK = r"[ \t]*(?:\\?\r?\n|\r|(?:\\r)?\\n)[ \t]*"
 _RUNS = tuple((re.compile(f"{x}{{{least},}}"), re.compile(f"{x}+"), re.compile(f"{_BREAK}({x}+)")) for x, least in ((r"[A-Za-z0-9+/_-]", 16), (r"[0-9A-Fa-f]", 32)))
 _PAD = re.compile("={0,2}")
+#: Where escaped bytes may stand, the escapes that one byte string uses, and how compressed data begins.
+_BYTES = (("%", re.compile(r"[^\s<>\"']+"), re.compile(rb"%([0-9A-Fa-f]{2})")), ("\\x", re.compile(r"[^\r\n]+"), re.compile(rb"\\(?:x([0-9A-Fa-f]{2})|([abfnrtv0\\'\"]))")))
+_SIMPLE_ESCAPES = dict(zip(b"abfnrtv0\\'\"", b"\a\b\f\n\r\t\v\0\\'\"", strict=True))
+_MAGIC = re.compile(rb"(?=(\x1f\x8b\x08|BZh[1-9][1\x17])|[\x08\x18(8HXhx][\x00-\xff])", re.S)
 _UNCLEAN = re.compile("[\x00-\x08\x0e-\x1f\x7f�]")
 #: Characters of unfolded data that are scanned together; more only where nothing in them ends every secret and run.
 PIECE = 4 << 20
@@ -61,9 +66,10 @@ def _codec(head: bytes) -> Callable[[], Any] | None:
 def _members(blocks: Iterator[bytes], state: dict) -> Iterator[bytes]:
     """What compressed data unfolds to: all members one after another, then the bytes after the last as they are.
 
-    state["bad"] tells whether the data ended early or was broken; what came before that is given.
+    state["bad"] tells whether the data ended early or was broken; what came before that is given. state["rest"] is
+    how many bytes were at hand after the last member.
     """
-    state["bad"], members, d, data = False, 0, None, b""
+    state["bad"], state["rest"], members, d, data = "", 0, 0, None, b""
     while True:
         if d is None:
             data = data.lstrip(b"\0") if members else data
@@ -72,6 +78,7 @@ def _members(blocks: Iterator[bytes], state: dict) -> Iterator[bytes]:
             if not data:
                 return
             if (new := _codec(data)) is None:
+                state["rest"] = len(data)
                 yield b"\n" + data
                 yield from blocks
                 return
@@ -79,7 +86,7 @@ def _members(blocks: Iterator[bytes], state: dict) -> Iterator[bytes]:
         try:
             out = d.decompress(data, PIECE)
         except (zlib.error, OSError, ValueError, EOFError):
-            state["bad"] = True
+            state["bad"] = "broken"
             return
         if out:
             yield out
@@ -89,7 +96,7 @@ def _members(blocks: Iterator[bytes], state: dict) -> Iterator[bytes]:
         data = getattr(d, "unconsumed_tail", b"")
         if not data and (d.needs_input if hasattr(d, "needs_input") else len(out) < PIECE):
             if (data := next(blocks, None)) is None:
-                state["bad"] = True
+                state["bad"] = "short"
                 return
 
 
@@ -263,9 +270,42 @@ def _encoded(text: str) -> Iterator[tuple[int, int, bytes]]:
                     yield start, _PAD.match(text, end).end(), base64.b64decode(body + "=" * (-len(body) % 4))
 
 
+def _compressed(text: str) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, bytes) of compressed data whose bytes are written as URL or hexadecimal escapes, in part or all."""
+    for mark, region, escape in _BYTES:
+        if mark not in text:
+            continue
+        for m in region.finditer(text):
+            if mark not in m[0]:
+                continue
+            source = m[0].encode("utf-8", "surrogatepass")
+            data = escape.sub(lambda x: bytes.fromhex(x[1].decode()) if x[1] else bytes([_SIMPLE_ESCAPES[x[2][0]]]), source)
+            done, at = 0, None
+            for x in _MAGIC.finditer(data):
+                i = x.start()
+                if i < done or _codec(data[i : i + 4]) is None:
+                    continue
+                state, size = {}, 0
+                for out in _members(iter([data[i:]]), state):
+                    if state["rest"]:
+                        break
+                    size += len(out)
+                if not size or (state["bad"] == "broken" and not x[1] and size < 32):
+                    continue  # two bytes that only look like the head of zlib data
+                end = len(data) - state["rest"]
+                done = 0 if state["bad"] else end
+                if at is None:
+                    kept = np.ones(len(source) + 1, bool)
+                    for y in escape.finditer(source):
+                        kept[y.start() + 1 : y.end()] = False
+                    chars = np.cumsum((np.frombuffer(source + b" ", np.uint8) & 0xC0) != 0x80) - 1
+                    at = m.start() + chars[np.flatnonzero(kept)]
+                yield int(at[i]), int(at[end]), data[i:end]
+
+
 def _opened(layer: _Layer, seen: set) -> Iterator[_Layer]:
     """The layers under the encoded runs of one layer."""
-    for a, b, data in _encoded(layer.text):
+    for a, b, data in chain(_encoded(layer.text), _compressed(layer.text)):
         start, end = layer.place(a, b)
         if (key := _key(start, end, data)) in seen:
             continue

@@ -176,6 +176,19 @@ def test_compressed_layers_are_read_to_their_end(data):
     assert {(4, 4 + len(hidden), "assign"), (4, 4 + len(hidden), "access")} <= set(spans)
 
 
+@pytest.mark.parametrize("wrap", [
+    urllib.parse.quote_from_bytes, lambda b: "".join(f"%{c:02X}" for c in b), lambda b: "".join(f"\\x{c:02x}" for c in b), lambda b: repr(b)[2:-1],
+    lambda b: urllib.parse.quote("".join(f"\\x{c:02x}" for c in b)), lambda b: base64.b64encode(urllib.parse.quote_from_bytes(b).encode()).decode(), lambda b: urllib.parse.quote(urllib.parse.quote_from_bytes(b)),
+])
+@pytest.mark.parametrize("press", [lambda b: gzip.compress(b, mtime=0), zlib.compress, bz2.compress, lambda b: zlib.compress(b, 2), lambda b: gzip.compress(bz2.compress(b), mtime=0)])
+def test_compressed_bytes_under_escapes(wrap, press):
+    hidden = wrap(press(b"one, " * 9 + SECRET.encode()))
+    text = f"é x%41 data={hidden}"
+    at = len(text) - len(hidden)
+    spans = secrets.scan(text + " y\\x41 tail")[1]
+    assert {"assign", "access"} <= {k for a, b, k in spans if at <= a < b <= len(text)}
+
+
 def test_bytes_that_are_no_text_are_no_layer():
     assert secrets.scan("commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff, /usr/lib/Python3/distPackages")[2] == 0
 
