@@ -11,6 +11,8 @@ from sessionloom.llm.common import mix, parts
 
 #: Labelled rows that the model is fitted on, about, at most.
 FIT_ROWS = 20_000
+#: Rows that each language has in the sample, about, if it has as many, however many languages there are.
+LANG_ROWS = 100
 #: Log-probability that a change of language between two words costs.
 SWITCH = 8.0
 #: Text bytes whose words are decoded together.
@@ -73,17 +75,30 @@ def _features(texts: list[str]):
     return alpha, grams, letters, _script(codes).astype(np.int64) + GRAMS + LETTERS, starts, ends, offsets
 
 
+def _even(sizes: list[int], total: int) -> float:
+    """The most that each may have so that all have total together; those with less have all of theirs."""
+    for i, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - i) > total:
+            return total / (len(sizes) - i)
+        total -= n
+    return max(sizes)
+
+
 def fit(train: DataFrame, text_col: str, lang_col: str, key_col: str, fit_rows: int = FIT_ROWS) -> dict | None:
     """Feature counts by language over a sample of at most about fit_rows labelled rows, chosen by a hash of the key.
 
-    The counts are summed in Spark; the driver gets at most table size x languages of them. None without rows.
+    Languages share the sample evenly; one with fewer rows than its part is taken whole and leaves the rest to the
+    others, so a rare language is learned at any size. The counts are summed in Spark; the driver gets at most table size x languages of them. None without rows.
     """
     labelled = train.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    n = labelled.count()
-    if not n:
+    name = F.col(lang_col).cast("string")
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy(name.alias("lang")).count().collect()}
+    if not sizes:
         return None
-    share = min(1.0, fit_rows / n)
-    rows = labelled.filter(F.pmod(F.xxhash64(F.lit("fit"), F.col(key_col).cast("string")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    most = max(_even(list(sizes.values()), fit_rows), LANG_ROWS)
+    cut = [F.lit(x) for lang, n in sorted(sizes.items()) if n > most for x in (lang, int(most / n * (1 << 30)))]
+    below = F.coalesce(F.create_map(*cut)[name], F.lit(1 << 30)) if cut else F.lit(1 << 30)
+    rows = labelled.filter(F.pmod(F.xxhash64(F.lit("fit"), F.col(key_col).cast("string")), F.lit(1 << 30)) < below)
     size = GRAMS + LETTERS + len(SCRIPTS) + 1
 
     def count(batches):

@@ -295,6 +295,14 @@ def test_languages_of_held_out_and_mixed_texts(spark):
     assert by[1].spans.split(",")[1].startswith("de:63:")
 
 
+def test_rare_languages_are_learned(spark):
+    data = [(i, "the thing with which", "en") for i in range(3000)] + [(i, "und über nicht schön", "de") for i in range(3000, 3200)] + [(i, "привет мир", "ru") for i in range(3200, 3203)]
+    model = langid.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"), "text", "lang", "doc_id", fit_rows=60)
+    assert model["langs"] == ["de", "en", "ru"]
+    assert [r.lang_pred for r in langid.identify(frame(spark, [(1, "привет"), (2, "über")]), model).orderBy("doc_id").collect()] == ["ru", "de"]
+    assert langid._even([3, 200, 3000], 60) == 28.5 and langid._even([3, 20], 60) == 20 and langid._even([5, 5], 10) == 5
+
+
 def test_no_labels_and_no_rows(spark):
     assert langid.learned(empty(spark)) is None
     assert {r.lang_pred for r in langid.identify(frame(spark), None).collect()} == {"und"}
