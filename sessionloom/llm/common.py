@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import hashlib
 import math
+import os
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,59 +76,115 @@ def chunked(df: DataFrame, chunks: int, *keys: str) -> DataFrame:
 
 # --- hashes of words and word windows, by numpy over whole batches ---------------------------------------------
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
-_POWERS: dict[int, np.ndarray] = {}
-#: Odd multipliers: one for bytes, two for words. Their inverses modulo 2^64 undo a window's offset.
-BYTE_BASE, WORD_BASE, WORD_BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: The prime of the Rabin-Karp hashes; words read at a time; text bytes cut at a time; windows hashed at a time.
+PRIME = (1 << 61) - 1
+BLOCK_WORDS, BLOCK_BYTES, BLOCK_WINDOWS = 1 << 17, 1 << 20, 1 << 17
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 20)
-        x = np.full(size, base & (2**64 - 1), np.uint64)
-        x[0] = 1
-        _POWERS[base] = have = np.cumprod(x, dtype=np.uint64)
-    return have[:n]
+def run_key() -> bytes:
+    """A random key. Each run hashes words and windows under its own, so that no input can be made to collide."""
+    return os.urandom(16)
+
+
+def _u(x: int) -> np.uint64:
+    return np.uint64(x)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Rabin-Karp hash of values[start:end] for each pair, from prefix sums modulo 2^64."""
-    n = len(values)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * _powers(base, n), dtype=np.uint64, out=prefix[1:])
-    inverse = pow(base, -1, 2**64)
-    return mix((prefix[ends] - prefix[starts]) * _powers(inverse, n + 1)[starts] + (ends - starts).astype(np.uint64))
-
-
-def word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word `[^\\x20\\x09-\\x0D]+` of the texts, and where each text's words begin (one more at the end)."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    if lower:
-        data = _LOWER[data]
-    gap = np.concatenate(([True], _SPACE[data]))
-    change = np.flatnonzero(gap[1:] != gap[:-1])
-    starts, ends = change[0::2], change[1::2]
-    ids = _rolling(data.astype(np.uint64) + np.uint64(1), starts, ends, BYTE_BASE)
-    offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return ids, np.searchsorted(starts, offsets)
-
-
-def window_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each window of words; the second has its own base and word values."""
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return _rolling(words, starts, ends, WORD_BASE), _rolling(mix(words ^ np.uint64(BYTE_BASE)), starts, ends, WORD_BASE_2)
+    x = (x ^ (x >> _u(30))) * _u(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _u(27))) * _u(0x94D049BB133111EB)
+    return x ^ (x >> _u(31))
+
+
+def times_plus(a: np.ndarray, b: int, c: np.ndarray) -> np.ndarray:
+    """a * b + c modulo PRIME, for values up to PRIME: the product in halves of 31 and 30 bits, as 2^61 is 1."""
+    b0, b1 = b & (1 << 31) - 1, b >> 31
+    a0, a1 = a & _u((1 << 31) - 1), a >> _u(31)
+    mid = a1 * _u(b0) + a0 * _u(b1)
+    out = a1 * _u(2 * b1) + (mid >> _u(30)) + ((mid & _u((1 << 30) - 1)) << _u(31))
+    out = (out & _u(PRIME)) + (out >> _u(61)) + a0 * _u(b0)
+    out = (out & _u(PRIME)) + (out >> _u(61)) + c
+    out = (out & _u(PRIME)) + (out >> _u(61))
+    return np.where(out >= _u(PRIME), out - _u(PRIME), out)
+
+
+def _bases(key: bytes) -> tuple[int, int]:
+    d = hashlib.blake2b(b"bases", digest_size=32, key=key).digest()
+    return tuple(int.from_bytes(d[i : i + 16], "little") % (PRIME - 2) + 2 for i in (0, 16))
+
+
+def word_blocks(text: bytes, lower: bool):
+    """The words of a text in lists, cut from about BLOCK_BYTES of it at a time; no word is cut."""
+    at = 0
+    while at < len(text):
+        end = at + BLOCK_BYTES
+        if end < len(text) and (m := _GAP.search(text, end)):
+            end = m.start()
+        elif end < len(text):
+            end = len(text)
+        block = text[at:end]
+        yield (block.translate(_LOWER) if lower else block).split()
+        at = end
+
+
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _word_values(words: list[bytes], key: bytes) -> np.ndarray:
+    own = list(set(words))
+    number = dict(zip(own, range(len(own)), strict=True))
+    table = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16, key=key).digest() for w in own), np.uint64).reshape(-1, 2)
+    return (table & _u(PRIME))[np.fromiter(map(number.__getitem__, words), np.int64, len(words))]
+
+
+def word_values(texts: list[bytes], lower: bool, key: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent values below 2^61 of every word `[^\\x20\\x09-\\x0D]+`, and where each text's words begin (one more at the end).
+
+    Values are halves of a keyed 128-bit digest, taken once for each distinct word of a block.
+    """
+    out, words, counts = [], [], []
+    for t in texts:
+        n = 0
+        for block in word_blocks(t, lower):
+            n += len(block)
+            words += block
+            if len(words) >= BLOCK_WORDS:
+                out.append(_word_values(words, key))
+                words = []
+        counts.append(n)
+    if words:
+        out.append(_word_values(words, key))
+    return np.concatenate(out) if out else np.zeros((0, 2), np.uint64), np.cumsum([0, *counts])
+
+
+def _rolled(v: np.ndarray, width: int, base: int) -> np.ndarray:
+    """The Rabin-Karp hash of every window of v: neighbouring windows are put together until they have the width."""
+    h, w = v, 1
+    for bit in bin(width)[3:]:
+        n = len(v) - 2 * w + 1
+        h, w = times_plus(h[:n], pow(base, w, PRIME), h[w : w + n]), 2 * w
+        if bit == "1":
+            h, w = times_plus(h[:-1], base, v[w:]), w + 1
+    return h
+
+
+def window_hashes(values: np.ndarray, width: int, key: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the windows that start at each word: polynomials over the field of PRIME elements at random points,
+    over independent word values. They are independent, and two given windows share one with a chance below width / 2^60."""
+    out: list[list[np.ndarray]] = [[], []]
+    for i in range(0, max(len(values) - width + 1, 0), BLOCK_WINDOWS):
+        for k, base in enumerate(_bases(key)):
+            out[k].append(mix(_rolled(np.ascontiguousarray(values[i : i + BLOCK_WINDOWS + width - 1, k]), width, base)))
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out)
+
+
+def release() -> None:
+    """Gives memory that a worker has freed back to the system; workers live on after their task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def parts(sizes: list[int], most: int = 1 << 20):

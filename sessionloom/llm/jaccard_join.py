@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import BLOBS, blobs, chunked, key_levels, mix, n_buckets, n_chunks, pinned, parts, shared_keys, text_bytes, window_hashes, word_hashes, written
+from sessionloom.llm.common import BLOBS, blobs, chunked, key_levels, mix, n_buckets, n_chunks, pinned, parts, release, run_key, shared_keys, text_bytes, window_hashes, word_values, written
 from sessionloom.llm.components import connected_components
 
 #: Words of a shingle; similarity in percent from which two sets link.
@@ -23,16 +23,22 @@ MOST_LIGHT = 24
 SUBSET_COST = 2.0
 
 
-def _shingles(texts: list[bytes], words: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _shingles(texts: list[bytes], words: int, buckets: int, run: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For the texts' distinct shingles, by text and hash: which text, bucket, hash. A short text is one shingle."""
     docs, bucket, key = [], [], []
     for i, j in parts([len(t) for t in texts]):
-        ids, first = word_hashes(texts[i:j], lower=True)
+        values, first = word_values(texts[i:j], True, run)
         n = np.diff(first)
-        count = np.where(n >= words, n - words + 1, np.minimum(n, 1))
+        count = np.maximum(n - words + 1, 0)
         doc = np.repeat(np.arange(j - i), count)
         starts = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[:-1][doc]
-        h, g = window_hashes(ids, starts, starts + np.minimum(n, words)[doc])
+        h, g = (x[starts] for x in window_hashes(values, words, run))
+        for k in range(1, words):  # texts of k words; their hashes are set apart from those of longer shingles
+            short = np.flatnonzero(n == k)
+            if len(short):
+                own = values[(first[:-1][short][:, None] + np.arange(k)).ravel()]
+                x, y = (x[::k] ^ np.uint64(k * 0x9E3779B97F4A7C15 & 2**64 - 1) for x in window_hashes(own, k, run))
+                doc, h, g = np.concatenate((doc, short)), np.concatenate((h, x)), np.concatenate((g, y))
         order = np.lexsort((h, doc))
         doc, h, g = doc[order], h[order], g[order]
         new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))) if len(h) else np.zeros(0, bool)
@@ -47,19 +53,22 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, words: int, percent:
 
     A set links only if at least percent % of its shingles occur in other documents. The occurrences are counted
     over all documents, on 32 bits of hash beside the bucket: a shingle that is wrongly taken as shared only costs time.
+    Hashes are keyed and drawn anew by each run, so no input can be built to collide; that two given shingles share one
+    of 61 bits has a chance below words / 2^60, and sets are equal and intersected by these hashes.
     """
-    spark, kind = df.sparkSession, df.schema[id_col].dataType.simpleString()
+    spark, kind, run = df.sparkSession, df.schema[id_col].dataType.simpleString(), run_key()
     _, size = text_bytes(df, text_col)
     chunks, buckets = n_chunks(spark, size), n_buckets(size // 6)
     rows = chunked(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")), chunks, "id", "text").repartition("chunk")
     short = lambda h: (h >> np.uint64(32)).astype(np.uint32)
 
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, bucket, key = _shingles(list(pdf["text"]), words, buckets)
+        _, bucket, key = _shingles(list(pdf["text"]), words, buckets, run)
+        release()
         return blobs(int(pdf["chunk"].iloc[0]), bucket, short(key))
 
     def keep(pdf: pd.DataFrame, levels: pd.DataFrame) -> pd.DataFrame:
-        doc, bucket, key = _shingles(list(pdf["text"]), words, buckets)
+        doc, bucket, key = _shingles(list(pdf["text"]), words, buckets, run)
         level = key_levels(bucket, short(key), levels)
         shared = level > 0
         n = np.bincount(doc, minlength=len(pdf))
@@ -74,6 +83,8 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, words: int, percent:
             own = shared[s]
             # rarest first, by a count that all documents see alike
             sets[i] = key[s][own][np.lexsort((key[s][own], level[s][own]))].tobytes()
+        del doc, bucket, key, level, shared
+        release()
         return pd.DataFrame({"id": pdf["id"], "n": n.astype(np.int32), "set_key": keys, "shared": sets})
 
     levels = shared_keys(rows.groupBy("chunk").applyInPandas(send, BLOBS), "<u4")

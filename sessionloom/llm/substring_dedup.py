@@ -7,25 +7,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import BLOBS, blobs, chunked, key_levels, n_buckets, n_chunks, parts, shared_keys, text_bytes, window_hashes, word_hashes
+from sessionloom.llm.common import BLOBS, blobs, chunked, key_levels, n_buckets, n_chunks, parts, release, run_key, shared_keys, text_bytes, window_hashes, word_values
 
 #: Words of a window.
 WINDOW = 35
 
 
-def _windows(texts: list[bytes], window: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _windows(texts: list[bytes], window: int, buckets: int, key: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket and key of every window of the texts in order, and how many words each text has."""
-    bucket, key, n_words = [], [], []
+    bucket, keys, n_words = [], [], []
     for i, j in parts([len(t) for t in texts]):
-        words, first = word_hashes(texts[i:j], lower=False)
+        words, first = word_values(texts[i:j], False, key)
         n = np.diff(first)
         count = np.maximum(n - window + 1, 0)
         starts = np.repeat(first[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        h, g = window_hashes(words, starts, starts + window)
-        bucket.append((g & np.uint64(buckets - 1)).astype(np.int32))
-        key.append(h)
+        h, g = window_hashes(words, window, key)
+        bucket.append((g[starts] & np.uint64(buckets - 1)).astype(np.int32))
+        keys.append(h[starts])
         n_words.append(n)
-    return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in ((bucket, np.int32), (key, np.uint64), (n_words, np.int64)))
+    return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in ((bucket, np.int32), (keys, np.uint64), (n_words, np.int64)))
 
 
 def _in_order(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -42,24 +42,29 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Every window gets a Rabin-Karp hash. Documents are dealt to chunks by id; a chunk sends each distinct hash
     once, packed by hash bucket (8 bytes each), and each bucket tells every chunk which of its hashes occur
-    more than once. The bucket comes from a second, independent hash, so that 64 bits tell apart only the
-    windows of one bucket, about a million: for a given window to be mistaken has a chance near 5e-14.
+    more than once. Hashes are polynomials modulo 2^61 - 1 at points that each run draws, over keyed digests of the
+    words, so no input can be built to collide; the bucket comes from a second, independent hash. A window meets the
+    about 2^20 others of its bucket, so the chance that it is mistaken is below window * 2^-40, and near 2^-41 as a
+    rule: 1 word in some 10^12. Windows are not compared word by word.
     """
     spark = df.sparkSession
-    n, size = text_bytes(df, text_col)
+    _, size = text_bytes(df, text_col)
+    key = run_key()
     chunks, buckets = n_chunks(spark, size), n_buckets(size // 6)
     rows = chunked(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")), chunks, "id", "text")
     rows = rows.repartition("chunk")
 
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
-        bucket, key, _ = _windows(list(_in_order(pdf)["text"]), window, buckets)
-        return blobs(int(pdf["chunk"].iloc[0]), bucket, key)
+        bucket, keys, _ = _windows(list(_in_order(pdf)["text"]), window, buckets, key)
+        release()
+        return blobs(int(pdf["chunk"].iloc[0]), bucket, keys)
 
     def keep(pdf: pd.DataFrame, levels: pd.DataFrame) -> pd.DataFrame:
         pdf = _in_order(pdf)
         texts = list(pdf["text"])
-        bucket, key, n_words = _windows(texts, window, buckets)
-        repeated = key_levels(bucket, key, levels) > 0
+        bucket, keys, n_words = _windows(texts, window, buckets, key)
+        repeated = key_levels(bucket, keys, levels) > 0
+        del bucket, keys
         n_windows = np.maximum(n_words - window + 1, 0)
         out, at = [], 0
         for text, n, c in zip(texts, n_words, n_windows, strict=True):
@@ -77,6 +82,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     pos = y
                 words = left + words[pos:]
             out.append((int(n), sum(y - x for x, y in spans), [{"start": x, "end": y} for x, y in spans], b" ".join(words).decode()))
+        release()
         return pd.DataFrame({"id": pdf["id"], **{k: [o[i] for o in out] for i, k in enumerate(("n_words", "n_removed", "spans", "kept_text"))}})
 
     levels = shared_keys(rows.groupBy("chunk").applyInPandas(send, BLOBS), "<u8")

@@ -11,7 +11,7 @@ import pytest
 from cases import brute_components, brute_substrings, frame, lower, multiset, rows, shingles
 from pyspark.sql import functions as F
 
-from sessionloom.llm import bpe, components, decontaminate, exact_dedup, jaccard_join, langid, secrets, substring_dedup, token_store, toxicity, warc
+from sessionloom.llm import bpe, common, components, decontaminate, exact_dedup, jaccard_join, langid, secrets, substring_dedup, token_store, toxicity, warc
 
 
 def empty(spark):
@@ -32,6 +32,49 @@ def test_substring_spans_are_maximal_and_empty_tables_pass(spark):
     assert substring_dedup.substring_dedup(empty(spark)).count() == 0
 
 
+def thue_morse(k):
+    """A word of 2^k letters and its complement: they share every polynomial hash modulo 2^64 of an odd base from k = 11 on."""
+    w = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << k))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("k", [10, 14])
+def test_words_built_to_collide_do_not(spark, k):
+    w, v = thue_morse(k)
+    rest = " ".join(map(str, range(34)))
+    docs = spark.createDataFrame([(1, f"{w} {rest}"), (2, f"{v} {rest}")], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.substring_dedup(docs).collect()] == [0, 0]
+    short = spark.createDataFrame([(1, f"{w} a b c d e"), (2, f"{v} a b c d e"), (3, w), (4, v)], "doc_id long, text string")
+    assert {r.component_id for r in jaccard_join.jaccard_components(short).collect()} == {1, 2, 3, 4}
+
+
+def test_sequences_built_to_collide_do_not(spark):
+    w, v = (" ".join(x) for x in thue_morse(11))
+    docs = spark.createDataFrame([(1, w), (2, v)], "doc_id long, text string")
+    got = substring_dedup.substring_dedup(docs, window=2048).collect()
+    assert [r.n_removed for r in got] == [0, 0]
+    n = max(map(int, common.window_hashes(common.word_values([w.encode()], False, b"k")[0], 64, b"k")[0]))
+    assert n > 1 << 60  # spread over 64 bits
+
+
+def test_window_hashes_are_polynomials():
+    key, rng = b"key", np.random.default_rng(0)
+    a, c = (rng.integers(0, common.PRIME + 1, 500).astype(np.uint64) for _ in range(2))
+    for b in (0, 2, common.PRIME - 1, 123456789123456789):
+        assert [int(x) for x in common.times_plus(a, b, c)] == [(int(x) * b + int(y)) % common.PRIME for x, y in zip(a, c, strict=True)]
+    values, first = common.word_values([b"a b c d e f g\n" * 9, b"", b"x"], False, key)
+    assert first.tolist() == [0, 63, 63, 64]
+    for width in (1, 2, 5, 35, 64, 65):
+        for k, h in enumerate(common.window_hashes(values, width, key)):
+            want = []
+            for i in range(64 - width + 1):
+                x = 0
+                for y in values[i : i + width, k]:
+                    x = (x * common._bases(key)[k] + int(y)) % common.PRIME
+                want.append(x)
+            assert h.tolist() == common.mix(np.array(want, np.uint64)).tolist()
+
+
 # 2
 
 def pages():
