@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import mix, parts
+from sessionloom.llm.common import mix, parts, release
 
 #: Labelled rows that the model is fitted on, about, at most.
 FIT_ROWS = 20_000
@@ -15,8 +16,9 @@ FIT_ROWS = 20_000
 LANG_ROWS = 100
 #: Log-probability that a change of language between two words costs.
 SWITCH = 8.0
-#: Text bytes whose words are decoded together.
-GROUP_BYTES = 8 << 20
+#: Letters times languages whose words are decoded together; characters that are scored together; a longer text than
+#: LONG characters goes through in segments, so memory follows neither its length nor the number of languages.
+GROUP_CELLS, PIECE, LONG = 16 << 20, 1 << 18, 1 << 21
 #: First and last code point of each script's main blocks (fixed values).
 SCRIPTS = (
     ("Latin", ((0x41, 0x24F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xFF21, 0xFF5A))),
@@ -103,9 +105,9 @@ def fit(train: DataFrame, text_col: str, lang_col: str, key_col: str, fit_rows:
 
     def count(batches):
         for batch in batches:
-            texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts, langs = zip(*((x, lang) for t, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in pieces(t)), strict=True) if batch.num_rows else ((), ())
             by: dict[str, np.ndarray] = {}
-            for i, j in parts([len(t) for t in texts]):
+            for i, j in parts([len(t) for t in texts], PIECE):
                 alpha, grams, letters, script, _, _, offsets = _features(texts[i:j])
                 for k, lang in enumerate(langs[i:j]):
                     s = slice(offsets[k], offsets[k + 1])
@@ -117,6 +119,7 @@ def fit(train: DataFrame, text_col: str, lang_col: str, key_col: str, fit_rows:
             for lang, c in by.items():
                 at = np.flatnonzero(c)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["lang", "feature", "n"])
+        release()
 
     counts = rows.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(count, "lang string, feature int, n long")
     got = counts.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
@@ -133,45 +136,64 @@ def fit(train: DataFrame, text_col: str, lang_col: str, key_col: str, fit_rows:
     return {"langs": langs, "logs": logs.astype(np.float32), "fits": fits}
 
 
+def pieces(text: str, size: int = PIECE):
+    """The text in pieces of about `size` characters, cut between a letter and what is none; one word is never cut."""
+    at = 0
+    while at < len(text):
+        end = at + size
+        while end < len(text) and text[end].isalpha():
+            end += 1
+        yield text[at:end]
+        at = end
+
+
 def word_scores(model: dict, texts: list[str]):
     """Scores [word, language] of all texts' words, their starts and ends in their text, and each text's first word."""
     alpha, grams, letters, script, starts, ends, offsets = _features(texts)
     logs = model["logs"]
-    each = np.where(alpha[:, None], logs[grams] + 0.5 * logs[letters], 0)
-    sums = np.concatenate((np.zeros((1, each.shape[1])), np.cumsum(each, axis=0, dtype=np.float64)))
+    each = logs[grams]
+    each += 0.5 * logs[letters]
+    each[~alpha] = 0
+    sums = np.zeros((len(each) + 1, each.shape[1]))
+    np.cumsum(each, axis=0, dtype=np.float64, out=sums[1:])
     scores = (sums[ends] - sums[starts]).astype(np.float32)
     scores[~model["fits"][script[starts] - GRAMS - LETTERS]] = -1e3
     first = np.searchsorted(starts, offsets)
     shift = np.repeat(offsets[:-1], np.diff(first))
-    return scores, starts - shift, ends - shift, first
+    return scores, (starts - shift).astype(np.int32), (ends - shift).astype(np.int32), first
+
+
+def _step(best: np.ndarray, scores: np.ndarray, switch: float):
+    """The best sums after one more word, and from which language each came: its own, else the best one."""
+    top = best.argmax(1)
+    move = best[np.arange(len(best)), top] - switch
+    stay = best >= move[:, None]
+    came = np.where(stay, np.arange(best.shape[1], dtype=np.int16), top[:, None].astype(np.int16))
+    best = np.where(stay, best, move[:, None]) + scores
+    best -= best.max(1, keepdims=True)
+    return best, came
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
     """The best language of each word, all texts at once: step t decodes the t-th word of every text that has one."""
-    n, k = np.diff(first), scores.shape[1] if scores.ndim > 1 else 1
+    n = np.diff(first)
     order = np.argsort(-n, kind="stable")
     at, length = first[:-1][order], n[order]
-    came = np.zeros(scores.shape, np.int8)
-    path = np.zeros(len(scores), np.int8)
+    came = np.zeros(scores.shape, np.int16)
+    path = np.zeros(len(scores), np.int16)
     if not len(scores):
         return path
     steps = int(length[0])
     active = np.searchsorted(-length, -np.arange(steps), side="left")  # texts with more than t words
     best = scores[at[: active[0]]].astype(np.float64)
-    last = np.zeros(len(at), np.int8)
-    own = np.arange(k, dtype=np.int8)
+    last = np.zeros(len(at), np.int16)
     for t in range(1, steps):
         m, was = active[t], active[t - 1]
         if m < was:
             last[m:was] = best[m:].argmax(1)
             best = best[:m]
-        top = best.argmax(1)
-        move = best[np.arange(m), top] - switch
-        stay = best >= move[:, None]
         rows = at[:m] + t
-        came[rows] = np.where(stay, own, top[:, None].astype(np.int8))
-        best = np.where(stay, best, move[:, None]) + scores[rows]
-        best -= best.max(1, keepdims=True)
+        best, came[rows] = _step(best, scores[rows], switch)
     last[: len(best)] = best.argmax(1)
     state = last.copy()
     for t in range(steps - 1, -1, -1):
@@ -183,35 +205,94 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
     return path
 
 
-def _label(model: dict, texts: list[str | None], switch: float):
-    langs = model["langs"] if model else []
+def _long_path(model: dict, text: str, switch: float):
+    """(scores, starts, ends, path) of a long text's segments, the last first: the sums at the segments' starts are kept,
+    and each segment is scored and decoded again on the way back."""
+    cut, at = [], 0
+    for piece in pieces(text):
+        cut.append((at, at + len(piece)))
+        at += len(piece)
+    best, before, live = None, [], []
+    for a, b in cut:
+        scores = word_scores(model, [text[a:b]])[0]
+        if not len(scores):
+            continue
+        live.append((a, b))
+        before.append(best)
+        for t in range(len(scores)):
+            best = scores[:1].astype(np.float64) if best is None else _step(best, scores[t : t + 1], switch)[0]
+    state = None if best is None else int(best.argmax(1)[0])
+    for (a, b), best in zip(reversed(live), reversed(before), strict=True):
+        scores, starts, ends, _ = word_scores(model, [text[a:b]])
+        came, path = np.full(scores.shape, -1, np.int16), np.zeros(len(scores), np.int16)
+        for t in range(len(scores)):
+            if best is None:
+                best = scores[:1].astype(np.float64)
+            else:
+                best, came[t : t + 1] = _step(best, scores[t : t + 1], switch)
+        for t in range(len(scores) - 1, -1, -1):
+            path[t] = state
+            if came[t, state] >= 0:
+                state = int(came[t, state])
+        yield scores, starts.astype(np.int64) + a, ends.astype(np.int64) + a, path
+
+
+def _answer(langs: list[str], letters: np.ndarray, sums: np.ndarray, runs: list[tuple[int, int, int]]):
+    """Language, score and spans from each language's letters, its words' score sums, and the runs (language, start, end)."""
+    top = int(letters.argmax())
+    rest = np.delete(sums[top], top)
+    margin = sums[top][top] - rest.max() if len(rest) else 50.0
+    score = letters[top] / letters.sum() / (1 + np.exp(-np.clip(margin, -50, 50)))
+    return langs[top], float(score), ",".join(f"{langs[x]}:{a}:{b}" for x, a, b in runs)
+
+
+def _runs(path: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int]]:
+    cut = np.flatnonzero(np.diff(path, prepend=-1, append=-1))
+    return [(int(path[a]), int(starts[a]), int(ends[b - 1])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def _label_long(model: dict, text: str, switch: float):
+    k = len(model["langs"])
+    letters, sums, runs = np.zeros(k), np.zeros((k, k)), []
+    for scores, starts, ends, path in _long_path(model, text, switch):
+        letters += np.bincount(path, weights=ends - starts, minlength=k)
+        for x in np.unique(path):
+            sums[x] += scores[path == x].sum(0, dtype=np.float64)
+        own = _runs(path, starts, ends)
+        if runs and own[-1][0] == runs[0][0]:
+            own[-1] = (own[-1][0], own[-1][1], runs.pop(0)[2])
+        runs = own + runs
+    return _answer(model["langs"], letters, sums, runs) if runs else ("und", 0.0, "")
+
+
+def _label(model: dict | None, texts: list[str | None], switch: float):
+    """(language, score, spans) of each text."""
     out = [("und", 0.0, "")] * len(texts)
-    live = [i for i, t in enumerate(texts) if t] if langs else []
+    live = [i for i, t in enumerate(texts) if t] if model and model["langs"] else []
+    for i in live:
+        if len(texts[i]) > LONG:
+            out[i] = _label_long(model, texts[i], switch)
+    live = [i for i in live if len(texts[i]) <= LONG]
     if not live:
         return out
-    own = [texts[i] for i in live]
+    own, k = [texts[i] for i in live], len(model["langs"])
     blocks, base = [], 0
-    for i, j in parts([len(t) for t in own]):
+    for i, j in parts([len(t) for t in own], PIECE):
         s, a, b, f = word_scores(model, own[i:j])
         blocks.append((s, a, b, f[:-1] + base))
         base += len(s)
-    scores, starts, ends = (np.concatenate([x[k] for x in blocks]) for k in range(3))
+    scores, starts, ends = (np.concatenate([x[c] for x in blocks]) for c in range(3))
     first = np.concatenate([*(x[3] for x in blocks), [base]])
     path = viterbi(scores, first, switch)
-    changes = np.flatnonzero(np.diff(path, prepend=-1))
-    for k, i in enumerate(live):
-        p, q = int(first[k]), int(first[k + 1])
+    for n, i in enumerate(live):
+        p, q = int(first[n]), int(first[n + 1])
         if p == q:
             continue
-        letters = np.bincount(path[p:q], weights=ends[p:q] - starts[p:q], minlength=len(langs))
+        letters = np.bincount(path[p:q], weights=ends[p:q] - starts[p:q], minlength=k)
+        sums = np.zeros((k, k))
         top = int(letters.argmax())
-        total = scores[p:q][path[p:q] == top].sum(0, dtype=np.float64)
-        rest = np.delete(total, top)
-        margin = total[top] - rest.max() if len(rest) else 50.0
-        score = letters[top] / letters.sum() / (1 + np.exp(-np.clip(margin, -50, 50)))
-        cuts = [p, *changes[np.searchsorted(changes, p + 1) : np.searchsorted(changes, q)], q]
-        spans = ",".join(f"{langs[path[a]]}:{starts[a]}:{ends[b - 1]}" for a, b in zip(cuts[:-1], cuts[1:], strict=True))
-        out[i] = (langs[top], float(score), spans)
+        sums[top] = scores[p:q][path[p:q] == top].sum(0, dtype=np.float64)
+        out[i] = _answer(model["langs"], letters, sums, _runs(path[p:q], starts[p:q], ends[p:q]))
     return out
 
 
@@ -219,19 +300,20 @@ def identify(df: DataFrame, model: dict | None, id_col: str = "doc_id", text_col
     """One row per row of df: id, the columns named in keep, lang_pred, score and spans (lang:start:end, comma-joined).
 
     The predicted language is the one whose spans hold most letters; score is its share of the letters times its
-    certainty against the next language over those spans. A null text, one without a letter, or a missing model
-    gives `und`, 0 and no spans. Whole texts of any length; repeated rows give repeated results. No shuffle; the
-    model, of fixed size for each language, is sent to the tasks.
+    certainty against the next language over those spans. Of languages that tie, the first by name. A null text, one
+    without a letter, or a missing model gives `und`, 0 and no spans. Whole texts of any length; repeated rows give
+    repeated results. No shuffle; the model, of fixed size for each language, is sent to the tasks.
     """
 
+    group = GROUP_CELLS // max(4, len(model["langs"]) if model else 1)
+
     def run(batches):
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            out = []
-            for i, j in parts([4 if t is None else len(t) for t in texts], GROUP_BYTES):
-                out += _label(model, texts[i:j], switch)
-            cols = list(zip(*out, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.string()), strict=True))], names=schema_names)
+            sizes = pc.fill_null(pc.binary_length(batch.column(0)), 4).to_pylist()
+            for i, j in parts(sizes, group):
+                cols = list(zip(*_label(model, batch.column(0).slice(i, j - i).to_pylist(), switch), strict=True))
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[1:]), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.string()), strict=True))], names=schema_names)
+            release()
 
     rows = df.select(F.col(text_col).alias("_text"), id_col, *keep)
     schema_names = [id_col, *keep, "lang_pred", "score", "spans"]

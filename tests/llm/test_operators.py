@@ -2,6 +2,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import re
 import urllib.parse
 import zlib
 
@@ -346,6 +347,71 @@ def test_rare_languages_are_learned(spark):
     assert langid._even([3, 200, 3000], 60) == 28.5 and langid._even([3, 20], 60) == 20 and langid._even([5, 5], 10) == 5
 
 
+def model_of(k, seed=0):
+    rng = np.random.default_rng(seed)
+    logs = rng.normal(size=(langid.GRAMS + langid.LETTERS, k)).astype(np.float32)
+    return {"langs": [f"l{i:03d}" for i in range(k)], "logs": logs, "fits": np.ones((len(langid.SCRIPTS) + 1, k), bool)}
+
+
+def brute_label(model, text, switch):
+    """A plain Viterbi over the words of a text, letter by letter, and what follows from its path."""
+    k, words, at = len(model["langs"]), [], 0
+    for m in re.finditer(r"[^\W\d_]+", text):
+        low = ["\x01", *m[0].lower(), "\x01"]
+        score = np.zeros(k)
+        for a, b, c in zip(low, low[1:], low[2:], strict=False):
+            gram = common.mix(np.array([(ord(a) << 42) | (ord(b) << 21) | ord(c)], np.uint64))[0] & np.uint64(langid.GRAMS - 1)
+            letter = common.mix(np.array([ord(b)], np.uint64))[0] & np.uint64(langid.LETTERS - 1)
+            score += model["logs"][int(gram)].astype(float) + 0.5 * model["logs"][langid.GRAMS + int(letter)]
+        words.append((m.start(), m.end(), score))
+    if not words:
+        return "und", 0.0, ""
+    best, back = [words[0][2]], []
+    for _, _, score in words[1:]:
+        prev = best[-1]
+        top = int(prev.argmax())
+        came = [x if prev[x] >= prev[top] - switch else top for x in range(k)]
+        back.append(came)
+        best.append(np.array([max(prev[x], prev[top] - switch) for x in range(k)]) + score)
+    path = [int(best[-1].argmax())]
+    for came in reversed(back):
+        path.insert(0, came[path[0]])
+    letters = [sum(b - a for (a, b, _), x in zip(words, path, strict=True) if x == lang) for lang in range(k)]
+    top = int(np.argmax(letters))
+    own = sum(s for (_, _, s), x in zip(words, path, strict=True) if x == top)
+    margin = own[top] - max(np.delete(own, top), default=own[top] - 50)
+    runs = []
+    for (a, b, _), x in zip(words, path, strict=True):
+        if runs and runs[-1][0] == x:
+            runs[-1][2] = b
+        else:
+            runs.append([x, a, b])
+    return model["langs"][top], letters[top] / sum(letters) / (1 + np.exp(-np.clip(margin, -50, 50))), ",".join(f"{model['langs'][x]}:{a}:{b}" for x, a, b in runs)
+
+
+@pytest.mark.parametrize("long", [False, True])
+@pytest.mark.parametrize("k", [1, 3, 150])
+def test_labels_equal_brute_force(k, long, monkeypatch):
+    if long:
+        monkeypatch.setattr(langid, "LONG", 0)
+        monkeypatch.setattr(langid.pieces, "__defaults__", (7,))
+    model, rng = model_of(k), np.random.default_rng(k)
+    texts = ["".join(rng.choice(list("abcdéжя 1-"), n)) for n in rng.integers(0, 80, 25)] + [None, "", "123 - 4", "averyveryverylongword"]
+    for t, got in zip(texts, langid._label(model, texts, 4.0), strict=True):
+        want = brute_label(model, t or "", 4.0)
+        assert got[0] == want[0] and got[1] == pytest.approx(want[1], abs=1e-3) and got[2] == want[2]
+
+
+def test_many_languages_and_a_long_text(spark):
+    data = [(i, "".join(chr(0x561 + (i % 150) // 12) + chr(0x430 + (i % 150) % 12) for _ in range(4)), f"x{i % 150:03d}") for i in range(1500)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = langid.identify(df, langid.learned(df), keep=["lang"]).collect()
+    assert sum(r.lang_pred == r.lang for r in got) == 1500
+    model = model_of(3)
+    text = "word another thing " * 150_000
+    assert langid._label(model, [text], 8.0)[0][2] == langid._label_long(model, text, 8.0)[2]
+
+
 def test_no_labels_and_no_rows(spark):
     assert langid.learned(empty(spark)) is None
     assert {r.lang_pred for r in langid.identify(frame(spark), None).collect()} == {"und"}
