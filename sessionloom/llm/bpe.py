@@ -1,4 +1,4 @@
-"""Byte-level BPE by a global shuffle of distinct words, and decoding by the token-byte table."""
+"""Byte-level BPE by a global shuffle of distinct words, and decoding by a join with the token-byte table."""
 
 from __future__ import annotations
 
@@ -6,36 +6,45 @@ import base64
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import chunked, parts, text_bytes
+from sessionloom.llm.common import hot_cold_join, parts, pinned, release, text_bytes, written
 
-#: Raw text bytes for each chunk, whose distinct words are sent once, and for each bucket of words.
-CHUNK_TEXT, BUCKET_TEXT = 4 << 20, 4 << 20
+#: Text bytes of a chunk, whose distinct words are sent once; text bytes for each bucket of words; characters from which
+#: a text's words are numbered one by one instead of listed.
+CHUNK_TEXT, BUCKET_TEXT, LONG_TEXT = 4 << 20, 32 << 20, 1 << 20
+#: A token-byte table of so many bytes is broadcast to the tasks; a larger one is joined by a shuffle.
+TABLE_BYTES = 64 << 20
 #: The pattern that the fast path below is written for (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Characters outside the range where both engines' classes are known to agree, or on which they differ.
 _ODD = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe]|[^\x00-ɏ‐-‧‰-⁞]")
 _ODD_ASCII = re.compile("[\x1c-\x1f]")
-_KEPT: dict = {}
 
 
 def splitter(pattern: str):
-    """A function from a text to its pre-tokens, as the rank file's library cuts them."""
+    """A function from a text to an iterable of its pre-tokens, as the rank file's library cuts them."""
     import regex
 
     # that library's \s is the Unicode property, without the four separators U+001C to U+001F
     whole = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-    if pattern != PATTERN:
-        return lambda text: [m.group() for m in whole.finditer(text)]
-    return lambda text: _FAST.findall(text) if not (_ODD_ASCII if text.isascii() else _ODD).search(text) else whole.findall(text)
+
+    def cut(text: str):
+        fast = pattern == PATTERN and not (_ODD_ASCII if text.isascii() else _ODD).search(text)
+        if len(text) > LONG_TEXT or not fast:
+            return (m.group() for m in (_FAST if fast else whole).finditer(text))
+        return _FAST.findall(text)
+
+    return cut
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,132 +52,178 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def _encoding(path: str, pattern: str):
-    if (path, pattern) not in _KEPT:
-        import tiktoken
-
-        _KEPT[path, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
-    return _KEPT[path, pattern]
-
-
-def _pack(items: list[bytes]) -> bytes:
+def _pack(sizes: np.ndarray, body: bytes) -> bytes:
+    """Items as their sizes and their bytes one after another, compressed."""
     import zstandard
 
-    sizes = np.fromiter(map(len, items), np.uint32, len(items)).tobytes()
-    return struct.pack("<I", len(items)) + zstandard.ZstdCompressor(level=3).compress(sizes + b"".join(items))
+    return struct.pack("<I", len(sizes)) + zstandard.ZstdCompressor(level=3).compress(sizes.astype(np.uint32).tobytes() + body)
 
 
-def _unpack(blob: bytes) -> list[bytes]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, memoryview]:
     import zstandard
 
     n, data = struct.unpack_from("<I", blob)[0], zstandard.ZstdDecompressor().decompress(blob[4:])
-    ends = np.cumsum(np.frombuffer(data, np.uint32, n, 0)).tolist() if n else []
-    body = data[4 * n :]
-    return [body[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    return np.frombuffer(data, np.uint32, n), memoryview(data)[4 * n :]
 
 
-def _split_words(texts: list[str], cut, buckets: int) -> dict[int, list[str]]:
-    """The distinct words of the texts, sorted, by bucket."""
-    words: set[str] = set()
+def _number(texts: list[str], cut) -> tuple[dict[str, int], list[np.ndarray]]:
+    """The distinct pre-tokens of the texts, numbered as they come, and the numbers at every text's positions."""
+    number: dict[str, int] = {}
+    out = []
     for t in texts:
-        words.update(cut(t))
-    by: dict[int, list[str]] = {}
-    for w in sorted(words):
-        by.setdefault(zlib.crc32(w.encode()) % buckets, []).append(w)
-    return by
+        words = cut(t)
+        if isinstance(words, list):
+            for w in dict.fromkeys(words):
+                number.setdefault(w, len(number))
+            out.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
+        else:
+            out.append(np.frombuffer(array("I", (number.setdefault(w, len(number)) for w in words)), np.uint32))
+    return number, out
+
+
+def gathered(at: np.ndarray, sizes: np.ndarray, starts: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The items `at`, one after another, of a table of items of several sizes."""
+    n = sizes[at]
+    to = np.cumsum(n)
+    return flat[np.repeat(starts[at] - to + n, n) + np.arange(to[-1] if len(to) else 0)]
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: id, ids (array of token ids, in text order). Null and empty texts give no ids.
 
-    Documents are dealt to chunks by id, compressed. A chunk explodes its texts into words and sends each distinct
-    word once, packed by word bucket; a bucket merges the words of all chunks, encodes each distinct word once and
-    returns the ids in the order in which each chunk sent them; the chunk sets them at the words' positions. So a
-    word that fills a third of the corpus is sent once a chunk, and nothing grows with its count. Whole texts of
-    any length; repeated rows give repeated results.
+    Each task cuts its texts into chunks of about CHUNK_TEXT bytes and explodes them into pre-tokens with positions,
+    in packed form: the chunk's distinct pre-tokens go once to the bucket of their hash, and the positions are kept as
+    an array of pre-token numbers in text order. A bucket encodes each distinct pre-token of all chunks once; the ids
+    are joined back to the chunk's positions by pre-token number, and the texts reassembled by position. A pre-token
+    that fills a third of the corpus is sent once a chunk, and nothing grows with its count. The exploded table is
+    written to the shared folder, so that chunk numbers stay as they are whatever executors are lost. Whole texts of
+    any length (a text longer than CHUNK_TEXT is a chunk of its own); repeated rows give repeated results.
     """
     spark, kind = df.sparkSession, df.schema[id_col].dataType.simpleString()
     _, size = text_bytes(df, text_col)
-    chunks, buckets = max(spark.sparkContext.defaultParallelism, -(-size // CHUNK_TEXT)), max(spark.sparkContext.defaultParallelism, -(-size // BUCKET_TEXT))
+    buckets = max(spark.sparkContext.defaultParallelism, -(-size // BUCKET_TEXT))
+    cells = pa.int8() if buckets <= 127 else pa.int16() if buckets < 1 << 15 else pa.int32()
 
-    def squeeze(batches):
+    def explode(batches):
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=3)
+        cut, press = splitter(pattern), zstandard.ZstdCompressor(level=3)
+        task, n = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([press.compress((t.as_py() or "").encode()) for t in batch.column(2)], pa.binary())], names=["id", "chunk", "data"])
-
-    rows = chunked(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), chunks, "id", "text").select("id", "chunk", "text")
-    rows = rows.mapInArrow(squeeze, f"id {kind}, chunk int, data binary").repartition("chunk")
-
-    def texts_of(pdf: pd.DataFrame) -> list[str]:
-        import zstandard
-
-        wide = zstandard.ZstdDecompressor()
-        return [wide.decompress(x).decode() for x in pdf["data"]]
-
-    def send(pdf: pd.DataFrame) -> pd.DataFrame:
-        by = _split_words(texts_of(pdf), splitter(pattern), buckets)
-        return pd.DataFrame({"bucket": list(by), "chunk": [int(pdf["chunk"].iloc[0])] * len(by), "words": [_pack([w.encode() for w in x]) for x in by.values()]})
+            lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            for i, j in parts(lengths, CHUNK_TEXT):
+                number, at = _number([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()], cut)
+                words = [w.encode() for w in number]
+                of = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+                cells_of = of.astype(cells.to_pandas_dtype())
+                narrow = np.uint16 if len(words) <= 1 << 16 else np.uint32
+                texts = _pack(np.array([len(x) for x in at]), np.concatenate(at).astype(narrow).tobytes())
+                rows = [(batch.column(0).slice(i, j - i).to_pylist(), -1, press.compress(cells_of.tobytes()), texts, None)]
+                by = np.argsort(of, kind="stable")
+                edges = np.flatnonzero(np.diff(of[by], prepend=-1, append=-1))
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    own = [words[k] for k in by[a:b]]
+                    rows.append((None, int(of[by[a]]), None, None, _pack(np.array([len(w) for w in own]), b"".join(own))))
+                cols = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([task + n] * len(rows), pa.int64()), pa.array(cols[0], pa.list_(batch.schema.field(0).type)), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["chunk", "ids", "bucket", "cells", "texts", "words"])
+                n += 1
+        release()
 
     def encode_words(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = _encoding(ranks_path, pattern)
+        import tiktoken
+
+        own = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
         known: dict[bytes, bytes] = {}
         out = []
         for blob in pdf["words"]:
-            words = _unpack(blob)
+            sizes, body = _unpack(blob)
+            ends = np.cumsum(sizes).tolist()
+            words = [bytes(body[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
             for w in words:
                 if w not in known:
                     known[w] = np.array(own.encode_ordinary(w.decode()), np.uint32).tobytes()
-            out.append(_pack([known[w] for w in words]))
-        return pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "ids": out})
-
-    def assemble(pdf: pd.DataFrame, coded: pd.DataFrame) -> pd.DataFrame:
-        cut = splitter(pattern)
-        texts = texts_of(pdf)
-        by = _split_words(texts, cut, buckets)
-        ids = {int(b): x for b, x in zip(coded["bucket"], coded["ids"], strict=True)}
-        of: dict[str, bytes] = {}
-        for b, words in by.items():
-            of.update(zip(words, _unpack(ids[b]), strict=True))
-        return pd.DataFrame({"id": pdf["id"], "ids": [np.frombuffer(b"".join(map(of.__getitem__, cut(t))), np.uint32).astype(np.int32) for t in texts]})
+            got = [known[w] for w in words]
+            out.append(_pack(np.array([len(x) for x in got]), b"".join(got)))
+        del known, own
+        release()
+        return pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "coded": out})
 
-    words = rows.groupBy("chunk").applyInPandas(send, "bucket int, chunk int, words binary")
-    coded = words.groupBy("bucket").applyInPandas(encode_words, "chunk int, bucket int, ids binary")
-    return rows.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInPandas(assemble, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
-
-
-def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
-    """df with `decoded`, the bytes of its ids. The token-byte table has the vocabulary's size, so each task holds it.
+    def assemble(chunks: pd.DataFrame, coded: pd.DataFrame) -> pd.DataFrame:
+        import zstandard
 
-    Null ids give null; an id that the table lacks is an error.
+        got = [_unpack(x) for x in coded.sort_values("bucket")["coded"]]
+        sizes = np.concatenate([s for s, _ in got]).astype(np.int64) // 4 if got else np.zeros(0, np.int64)
+        flat = np.concatenate([np.frombuffer(x, np.uint32) for _, x in got]).astype(np.int32) if got else np.zeros(0, np.int32)
+        starts = np.cumsum(sizes) - sizes
+        names, out = [], []
+        for ids, cells_of, texts in zip(chunks["ids"], chunks["cells"], chunks["texts"], strict=True):
+            place = np.argsort(np.frombuffer(zstandard.ZstdDecompressor().decompress(cells_of), cells.to_pandas_dtype()), kind="stable")
+            where = np.empty(len(place), np.int64)
+            where[place] = np.arange(len(place))
+            lengths, body = _unpack(texts)
+            at = np.frombuffer(body, np.uint16 if len(place) <= 1 << 16 else np.uint32)
+            ends = np.cumsum(lengths, dtype=np.int64)
+            for a, b in zip(ends - lengths, ends, strict=True):
+                out.append(gathered(where[at[a:b]], sizes, starts, flat))
+            names += list(ids)
+        release()
+        return pd.DataFrame({"id": pd.Series(names, dtype=object), "ids": out})
+
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(explode, f"chunk long, ids array<{kind}>, bucket int, cells binary, texts binary, words binary")
+    rows = written(rows, "pre-tokens", block_bytes=8 << 20)
+    words = rows.filter("bucket >= 0").select("chunk", "bucket", "words")
+    coded = words.groupBy("bucket").applyInPandas(encode_words, "chunk long, bucket int, coded binary")
+    texts = rows.filter("bucket < 0").select("chunk", "ids", "cells", "texts")
+    return texts.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInPandas(assemble, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+
+
+def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", table_bytes: int = TABLE_BYTES) -> DataFrame:
+    """df with `decoded`, the bytes of its ids, by a join with the token-byte table.
+
+    The table is measured: up to table_bytes it is broadcast and each task joins its rows' positions with it at once;
+    a larger one is joined with the exploded positions by a shuffle, hot tokens apart, and the bytes are put together
+    by position. Null ids give null; an id that the table lacks is an error.
     """
+    spark = df.sparkSession
+    table = sorted((i, b) for b, i in read_ranks(ranks_path).items())
+    if sum(len(b) + 8 for _, b in table) > table_bytes:
+        return _decode_shuffled(df, spark.createDataFrame(table, "token int, bytes binary"), ids_col)
+    size = np.full((table[-1][0] if table else 0) + 1, -1)
+    size[[i for i, _ in table]] = [len(b) for _, b in table]
+    shared = spark.sparkContext.broadcast((size, np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0), np.frombuffer(b"".join(b for _, b in table), np.uint8)))
 
     def run(batches):
-        pairs = sorted((i, b) for b, i in read_ranks(ranks_path).items())
-        size = np.full((pairs[-1][0] if pairs else 0) + 1, -1)
-        size[[i for i, _ in pairs]] = [len(b) for _, b in pairs]
-        start, table = np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0), np.frombuffer(b"".join(b for _, b in pairs), np.uint8)
+        size, start, flat = shared.value
         for batch in batches:
             col = batch.column(batch.schema.get_field_index(ids_col))
             n = np.array(pc.fill_null(pc.list_value_length(col), 0), np.int64)
             ends, values, out = np.cumsum(n), np.asarray(col.flatten()), []
-            for i, j in parts(n.tolist(), 1 << 18):
+            for i, j in parts(n.tolist(), 1 << 17):
                 own = values[ends[i] - n[i] : ends[j - 1]]
-                k = size[np.clip(own, 0, len(size) - 1)]
-                if len(k) and (k.min() < 0 or own.min() < 0 or own.max() >= len(size)):
+                if len(own) and (own.min() < 0 or own.max() >= len(size) or size[own].min() < 0):
                     raise ValueError("an id is not in the table")
-                to = np.cumsum(k)
-                data = table[np.repeat(start[own] - to + k, k) + np.arange(to[-1] if len(to) else 0)].tobytes()
-                edges = np.concatenate(([0], to))[np.concatenate(([0], np.cumsum(n[i:j])))].tolist()
+                data = gathered(own, size, start, flat).tobytes()
+                edges = np.concatenate(([0], np.cumsum(size[own])))[np.concatenate(([0], np.cumsum(n[i:j])))].tolist()
                 out += [data[x:y] for x, y in zip(edges[:-1], edges[1:], strict=True)]
             done = pa.array(out, pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, pc.if_else(col.is_null(), pa.scalar(None, pa.binary()), done)], names=[*batch.schema.names, "decoded"])
+        release()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInArrow(run, f"{fields}, decoded binary")
 
 
+def _decode_shuffled(df: DataFrame, table: DataFrame, ids_col: str) -> DataFrame:
+    rows = pinned(df.withColumn("_row", F.monotonically_increasing_id()))
+    at = rows.select("_row", F.posexplode(ids_col).alias("pos", "token"))
+    used = at.groupBy("token").agg(F.count(F.lit(1)).alias("weight")).join(table, "token", "left")
+    used = used.withColumn("bytes", F.when(F.col("bytes").isNotNull(), F.hex("bytes")).otherwise(F.raise_error(F.lit("an id is not in the table"))))
+    back = hot_cold_join(at, pinned(used), ["token"], "weight").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("pos", "bytes"))).alias("p"))
+    text = F.unhex(F.array_join(F.transform("p", lambda x: x["bytes"]), ""))
+    out = rows.join(back.select("_row", text.alias("decoded")), "_row", "left")
+    return out.withColumn("decoded", F.when(F.col(ids_col).isNotNull(), F.coalesce("decoded", F.lit(b"")))).drop("_row")
+
+
 def op6_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

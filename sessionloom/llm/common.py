@@ -48,13 +48,30 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again; columns can then be pruned."""
+def written(df: DataFrame, name: str, block_bytes: int = 32 << 20) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again; columns can then be pruned. block_bytes is what a task's
+    writer holds of it."""
     spark = df.sparkSession
-    df.write.parquet(path := work_path(spark, name))
+    df.write.option("parquet.block.size", str(block_bytes)).parquet(path := work_path(spark, name))
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if it has more than one row in so many.
+HOT_SHARE = 1000
+
+
+def hot_cold_join(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """rows joined with lookup on keys, where lookup has each key once, and how many of the rows have it.
+
+    Fewer than HOT_SHARE keys have more than one row in HOT_SHARE, whatever the data: these are broadcast, so that no
+    task gets a hot key's rows; the others are joined as usual. Both tables are read twice: pin what is costly.
+    """
+    total = lookup.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    is_hot = F.col(weight) * HOT_SHARE > F.lit(total)
+    hot, cold = F.broadcast(lookup.filter(is_hot).drop(weight)), lookup.filter(~is_hot).drop(weight)
+    return rows.join(hot, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+
+
 def text_bytes(df: DataFrame, col: str) -> tuple[int, int]:
     """Rows and UTF-8 bytes of a text column, by one aggregation."""
     n, b = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(col)), F.lit(0))).first()

@@ -267,6 +267,31 @@ def test_bpe_equals_the_library_and_round_trips(spark):
     assert bpe.PATTERN == public_tokenizers.PATTERN
 
 
+@pytest.mark.parametrize("sizes", [{"LONG_TEXT": 50}, {"CHUNK_TEXT": 500, "BUCKET_TEXT": 1000}, {"PATTERN": ""}])
+def test_bpe_in_other_chunks(spark, monkeypatch, sizes):
+    import tiktoken
+
+    for k, v in sizes.items():
+        monkeypatch.setattr(bpe, k, v)
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    own = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    data = [x for x in rows(5) if x[1] is None or len(x[1]) < 9000] + [(300, "a  b \n\n c's 漢字 ½ x" * 9)]
+    got = bpe.encode(frame(spark, data), path, public_tokenizers.PATTERN).collect()
+    multiset([(r.doc_id, tuple(r.ids)) for r in got], [(i, tuple(own.encode_ordinary(t or ""))) for i, t in data])
+
+
+def test_decoding_by_a_shuffled_table(spark, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    monkeypatch.setattr(common, "HOT_SHARE", 20)
+    coded = common.pinned(bpe.encode(frame(spark, rows()[:70]), path))
+    key = lambda df: sorted((str(r.doc_id), tuple(r.ids), bytes(r.decoded)) for r in df.collect())
+    assert key(bpe.decode(coded, path, table_bytes=0)) == key(bpe.decode(coded, path))
+    odd = bpe.decode(spark.createDataFrame([(1, None), (2, []), (3, [5, 5])], "doc_id long, ids array<int>"), path, table_bytes=0).orderBy("doc_id").collect()
+    assert odd[0].decoded is None and bytes(odd[1].decoded) == b"" and odd[2].decoded
+    with pytest.raises(Exception, match="not in the table"):
+        bpe.decode(spark.createDataFrame([(1, [10**6])], "doc_id long, ids array<int>"), path, table_bytes=0).collect()
+
+
 def test_decoding_nulls_and_unknown_ids(spark):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     got = bpe.decode(spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>"), path).orderBy("doc_id").collect()
