@@ -200,6 +200,7 @@ def window_hashes(values: np.ndarray, width: int, key: bytes) -> tuple[np.ndarra
 def release() -> None:
     """Gives memory that a worker has freed back to the system; workers live on after their task."""
     pa.default_memory_pool().release_unused()
+    pa.set_memory_pool(pa.system_memory_pool())  # other pools keep what they have freed
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
