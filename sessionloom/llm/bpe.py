@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import hot_cold_join, parts, pinned, release, text_bytes, written
+from sessionloom.llm.common import gathered, hot_cold_join, parts, pinned, release, text_bytes, written
 
 #: Text bytes of a chunk, whose distinct words are sent once; text bytes for each bucket of words; characters from which
 #: a text's words are numbered one by one instead of listed.
@@ -81,13 +81,6 @@ def _number(texts: list[str], cut) -> tuple[dict[str, int], list[np.ndarray]]:
     return number, out
 
 
-def gathered(at: np.ndarray, sizes: np.ndarray, starts: np.ndarray, flat: np.ndarray) -> np.ndarray:
-    """The items `at`, one after another, of a table of items of several sizes."""
-    n = sizes[at]
-    to = np.cumsum(n)
-    return flat[np.repeat(starts[at] - to + n, n) + np.arange(to[-1] if len(to) else 0)]
-
-
 def encode(df: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: id, ids (array of token ids, in text order). Null and empty texts give no ids.
 

@@ -205,6 +205,13 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def gathered(at: np.ndarray, sizes: np.ndarray, starts: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The items `at`, one after another, of a table of items of several sizes."""
+    n = sizes[at]
+    to = np.cumsum(n)
+    return flat[np.repeat(starts[at] - to + n, n) + np.arange(to[-1] if len(to) else 0)]
+
+
 def parts(sizes: list[int], most: int = 1 << 20):
     """Runs of neighbours with at most so many bytes together; a longer one stands alone."""
     at = total = 0

@@ -8,19 +8,23 @@ import re
 import struct
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sessionloom.llm.common import parts, text_bytes, work_path, written
+from sessionloom.llm.common import gathered, parts, release, text_bytes, work_path, written
 
-#: Raw text bytes that one file holds, about.
-SHARD_BYTES = 16 << 20
+#: Raw text bytes of a task's range of ids, about; ids after which it begins another file.
+SHARD_BYTES, SHARD_IDS = 16 << 20, 16 << 20
+#: Shards whose sums are added up together; documents of a file that are read at a time.
+BLOCK_SHARDS, READ_DOCS = 1024, 4096
 #: Distinct pieces of text whose ids a worker remembers; it starts anew beyond that.
 CACHE_PIECES = 400_000
 MAGIC = b"EFTOKEN1"
@@ -66,6 +70,25 @@ class EliasFano:
         window = int.from_bytes(self.low[a // 8 : (a + self.low_bits + 7) // 8], "little") >> a % 8
         return high << self.low_bits | window & (1 << self.low_bits) - 1
 
+    def select_range(self, a: int, b: int) -> np.ndarray:
+        """The values from the a-th to before the b-th: one sample, then the bits that they span."""
+        if not 0 <= a <= b <= self.n:
+            raise IndexError((a, b))
+        if a == b:
+            return np.zeros(0, np.uint64)
+        samples = np.frombuffer(self.samples, f"<u{self.width}")
+        start, stop = int(samples[a // SAMPLE]), -(-b // SAMPLE)
+        end = int(samples[stop]) // 8 + 1 if stop < len(samples) else len(self.high)
+        bits = np.unpackbits(np.frombuffer(self.high[start // 8 : end], np.uint8), bitorder="little")
+        bits[: start % 8] = 0
+        ones = np.flatnonzero(bits)[a % SAMPLE : a % SAMPLE + b - a] + start // 8 * 8
+        v = (ones - np.arange(a, b)).astype(np.uint64) << np.uint64(self.low_bits)
+        if self.low_bits:
+            at = a * self.low_bits
+            low = np.unpackbits(np.frombuffer(self.low[at // 8 : -(-b * self.low_bits // 8)], np.uint8), bitorder="little")[at % 8 :][: (b - a) * self.low_bits]
+            v |= (low.reshape(b - a, self.low_bits).astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
+        return v
+
     def values(self) -> np.ndarray:
         """All values."""
         at = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
@@ -96,32 +119,35 @@ def dump_shard(doc_ids: np.ndarray, nulls: int, ends: np.ndarray, ids: np.ndarra
     return MAGIC + head + EliasFano.of((doc_ids - base).astype(np.uint64)).dump() + EliasFano.of(ends).dump() + ids.astype(ids.dtype.newbyteorder("<")).tobytes()
 
 
-def load_shard(data: bytes) -> tuple[np.ndarray, int, EliasFano, np.ndarray]:
-    """Document ids, the number of documents before them without one, the boundaries, and the concatenated ids of one file."""
+def load_shard(data: bytes) -> tuple[EliasFano, int, int, EliasFano, np.ndarray]:
+    """Document ids less the smallest, that one, the number of documents before them without one, the boundaries, and the
+    concatenated ids of one file."""
     if data[:8] != MAGIC:
         raise ValueError("not a token file")
     width, base, nulls, n = struct.unpack_from(_HEAD, data, 8)
     docs, at = EliasFano.load(data, 8 + struct.calcsize(_HEAD))
     ends, at = EliasFano.load(data, at)
-    return docs.values().astype(np.int64) + base, nulls, ends, np.frombuffer(data, f"<u{width}", n, at)
+    return docs, base, nulls, ends, np.frombuffer(data, f"<u{width}", n, at)
 
 
-#: The tokenizer's pattern as it reads lower-case ASCII (fixed value), and the Latin-1 pieces whose forms it keeps.
-_ASCII_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
-_SIMPLE = re.compile(r"[\x21-\x7e\xa1-\xff]+")
+#: Letters and numbers of lower-case Latin-1 as the tokenizer's pattern knows them, and the pattern over Latin-1 text
+#: without white space beyond ASCII's and without control characters (fixed values).
+_LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_CUTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\t-\r {_LETTERS}{_NUMBERS}]+")
+_SIMPLE = re.compile(r"[\t-\r\x20-\x7e\xa1-\xff]*")
 
 
 class _Encoder:
-    """Encodes texts by their pieces between ASCII white space, each distinct piece once.
+    """Encodes texts by their cuts, each distinct cut once.
 
-    The tokenizer's normalizer and pattern never join across white space, so the pieces' ids are the text's.
-    Latin-1 pieces are cut by the pattern here and each distinct cut goes through the library's BPE model once; all
-    others, and pieces that may hold a special token, go through the whole tokenizer. A tokenizer with another pattern or normalizer takes that way only.
+    The tokenizer's normalizer and pattern never join across white space. Latin-1 text, where lower-casing and the
+    pattern are known, is cut here and each distinct cut goes through the library's BPE model; pieces of other text,
+    and those that may hold a special token, go through the whole tokenizer. A tokenizer with another pattern or
+    normalizer takes that way only.
     """
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -132,116 +158,139 @@ class _Encoder:
         steps = [x["type"] for x in (kind.get("normalizer") or {}).get("normalizers", [])]
         split = ((kind.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
         same = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-        self.pattern = regex.compile(same)
         self.model = self.tokenizer.model if steps == ["NFC", "Replace", "Lowercase"] and split == same else None
         self.reset()
 
     def reset(self) -> None:
-        self.number, self.flat, self.sizes, self.cuts = {b" ": 0}, [np.array([self.end_id], self.dtype)], [1], {}
-
-    def _ids(self, piece: str) -> list[int]:
-        out: list[int] = []
-        ascii_only = piece.isascii()
-        for cut in (_ASCII_PATTERN if ascii_only else self.pattern).findall(piece.lower()):
-            if (got := self.cuts.get(cut)) is None:
-                got = self.cuts[cut] = [x.id for x in self.model.tokenize(cut if ascii_only else self.bytes.pre_tokenize_str(cut)[0][0])]
-            out += got
+        self.number, self.flat, self.sizes = {None: 0}, np.array([self.end_id], self.dtype), np.ones(1, np.int64)
+
+    def _items(self, text: str) -> list:
+        """What the text's ids are looked up by: cuts as strings, pieces for the whole tokenizer as bytes."""
+        if self.model and _SIMPLE.fullmatch(text) and "<|" not in text:
+            return _CUTS.findall(text.lower())
+        out: list = []
+        for w in re.findall(r"[^\x20\x09-\x0D]+", text):
+            out += _CUTS.findall(w.lower()) if self.model and _SIMPLE.fullmatch(w) and "<|" not in w else [w.encode()]
         return out
 
-    def _encode(self, new: list[bytes]) -> list[list[int]]:
-        pieces = [w.decode() for w in new]
-        got: list[list[int] | None] = [self._ids(w) if self.model and _SIMPLE.fullmatch(w) and "<|" not in w else None for w in pieces]
-        rest = [i for i, x in enumerate(got) if x is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
-            got[i] = e.ids
-        return got
-
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, new: list) -> None:
+        whole = [x.decode() for x in new if isinstance(x, bytes)]
+        rest = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False))
+        model, wide = self.model, self.bytes.pre_tokenize_str
+        got = [next(rest).ids if isinstance(x, bytes) else [t.id for t in model.tokenize(x if x.isascii() else wide(x)[0][0])] for x in new]
+        at = len(self.number)
+        self.number.update(zip(new, range(at, at + len(new)), strict=True))
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(got), self.dtype)))
+        self.sizes = np.concatenate((self.sizes, np.fromiter(map(len, got), np.int64, len(got))))
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, and the number of ids of each."""
-        words, counts = [], []
+        items, counts = [], []
         for t in texts:
-            w = t.split()
-            words += w
-            words.append(b" ")
-            counts.append(len(w) + 1)
+            items += self._items(t)
+            items.append(None)
+            counts.append(len(items))
         if len(self.number) > CACHE_PIECES:
             self.reset()
-        if new := list(set(words).difference(self.number)):
-            at = len(self.number)
-            got = self._encode(new)
-            self.number.update(zip(new, range(at, at + len(new)), strict=True))
-            self.flat.append(np.fromiter((i for x in got for i in x), self.dtype))
-            self.sizes += map(len, got)
-            self.flat = [np.concatenate(self.flat)]
-        sizes = np.array(self.sizes)
-        starts = np.cumsum(sizes) - sizes
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        n = sizes[at]
-        total = np.cumsum(n)
-        ids = self.flat[0][np.repeat(starts[at] - total + n, n) + np.arange(total[-1] if len(n) else 0)]
-        edges = np.concatenate(([0], total))[np.cumsum([0, *counts])]
-        return ids, np.diff(edges)
+        own = list(dict.fromkeys(items))
+        if new := [x for x in own if x not in self.number]:
+            self._learn(new)
+        local = dict(zip(own, range(len(own)), strict=True))
+        at = np.fromiter(map(self.number.__getitem__, own), np.int64, len(own))[np.fromiter(map(local.__getitem__, items), np.int64, len(items))]
+        ids = gathered(at, self.sizes, np.cumsum(self.sizes) - self.sizes, self.flat)
+        return ids, np.diff(np.concatenate(([0], np.cumsum(self.sizes[at])))[[0, *counts]])
 
 
 def write_tokens(df: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the ids of every text, and the end id after each, to files under path in ascending id order.
 
-    Returns the manifest, one row per file: shard, file, n_docs, n_tokens. It is written last and lists the files
-    of the task attempts that succeeded; others under path are left-overs of lost tasks. Null texts count as empty
-    (only the end id). Equal ids are ordered by text; documents without an id come first.
+    Returns the manifest, one row per file: shard, part, file, n_docs, n_tokens; files are in the order of shard and
+    part. It is written last and lists the files of the task attempts that succeeded; others under path are left-overs
+    of lost tasks. Null texts count as empty (only the end id). Equal ids are ordered by text; documents without an id
+    come first. Ranges are cut by id and the beginning of the text, so rows of one id, or of none, are spread, and a
+    task begins another file after SHARD_IDS ids.
     """
     spark = df.sparkSession
     _, size = text_bytes(df, text_col)
     shards = max(1, -(-size // SHARD_BYTES))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    rows = rows.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("string").alias("text"))
+    rows = rows.withColumn("head", F.substring("text", 1, 16)).repartitionByRange(shards, "id", "head").drop("head").sortWithinPartitions("id", "text")
 
     def write(batches):
-        encoder, nulls, docs, sizes, ids = None, 0, [], [], []
+        shard, part = TaskContext.get().partitionId(), 0
+        store, at = fs.FileSystem.from_uri(path)
+        encoder, nulls, docs, sizes, ids, held = None, 0, [], [], [], 0
+
+        def flush():
+            nonlocal nulls, docs, sizes, ids, held, part
+            ends, name = np.cumsum(np.concatenate(sizes)), f"{shard:08d}-{part:04d}-{uuid.uuid4().hex}.tok"
+            store.create_dir(at, recursive=True)
+            with store.open_output_stream(f"{at}/{name}") as f:
+                f.write(dump_shard(np.concatenate(docs), nulls, ends, np.concatenate(ids)))
+            row = pa.RecordBatch.from_pydict({"shard": [shard], "part": [part], "file": [f"{path}/{name}"], "n_docs": [len(ends)], "n_tokens": [int(ends[-1])]})
+            nulls, docs, sizes, ids, held, part = 0, [], [], [], 0, part + 1
+            return row
+
         for batch in batches:
             encoder = encoder or _Encoder(tokenizer_path, end_id)
-            nulls += batch.column(0).null_count
-            docs.append(batch.column(0).drop_null().to_numpy(zero_copy_only=False))
-            texts = batch.column(1).to_pylist()
-            for i, j in parts([len(t) for t in texts]):
-                x, n = encoder(texts[i:j])
+            lengths = pc.binary_length(batch.column(1)).to_pylist()
+            for i, j in parts(lengths):
+                own = batch.column(0).slice(i, j - i)
+                nulls += own.null_count
+                docs.append(own.drop_null().to_numpy(zero_copy_only=False))
+                x, n = encoder(batch.column(1).slice(i, j - i).to_pylist())
                 ids.append(x)
                 sizes.append(n)
-        if not docs:
-            return
-        ends, every = np.cumsum(np.concatenate(sizes)), np.concatenate(ids)
-        shard = TaskContext.get().partitionId()
-        name = f"{path}/{shard:08d}-{uuid.uuid4().hex}.tok"
-        store, at = fs.FileSystem.from_uri(path)
-        store.create_dir(at, recursive=True)
-        with store.open_output_stream(f"{at}/{name.rpartition('/')[2]}") as f:
-            f.write(dump_shard(np.concatenate(docs), nulls, ends, every))
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [name], "n_docs": [len(ends)], "n_tokens": [int(ends[-1])]})
+                held += len(x)
+                if held >= SHARD_IDS:
+                    yield flush()
+        if sizes:
+            yield flush()
+        release()
+
+    return written(rows.mapInArrow(write, "shard long, part long, file string, n_docs long, n_tokens long"), "manifest")
+
 
-    return written(rows.mapInArrow(write, "shard long, file string, n_docs long, n_tokens long"), "manifest")
+def with_starts(manifest: DataFrame) -> DataFrame:
+    """The manifest with `before`, the ids of all files before each: sums within blocks of shards, and over the blocks.
+
+    Only the blocks' sums, one row for each BLOCK_SHARDS shards, go through one task.
+    """
+    block = F.floor(F.col("shard") / BLOCK_SHARDS).alias("block")
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = manifest.groupBy(block).agg(F.sum("n_tokens").alias("n_tokens")).select("block", before(Window.orderBy("block")).alias("above"))
+    inner = manifest.withColumn("block", block).withColumn("inner", before(Window.partitionBy("block").orderBy("shard", "part")))
+    return inner.join(sums, "block").withColumn("before", F.col("inner") + F.col("above")).drop("block", "inner", "above")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """One row per document of the files: doc_id, start (ids before it in all files), n_tokens, ids_crc32.
 
-    A file is read whole by one task; files are of bounded size. The running sum over the manifest has one row a file.
+    A file is of bounded size and read by one task; offsets come from its select structure, for READ_DOCS documents at a
+    time.
     """
-    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = manifest.select("shard", "file", before.alias("before")).repartition("shard")
+    files = manifest.count()
+    rows = with_starts(manifest).select("shard", "file", "before").repartition(max(1, min(files, 1 << 16)), "file")
 
     def read(batches):
         for batch in batches:
             for file, base in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 store, at = fs.FileSystem.from_uri(file)
                 with store.open_input_stream(at) as f:
-                    docs, nulls, boundaries, ids = load_shard(f.read())
-                ends = boundaries.values().astype(np.int64)
-                starts = np.concatenate(([0], ends[:-1]))
-                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts, ends, strict=True)]
-                named = pa.concat_arrays([pa.nulls(nulls, pa.int64()), pa.array(docs, pa.int64())])
-                yield pa.RecordBatch.from_pydict({"doc_id": named, "start": starts + base, "n_tokens": ends - starts, "ids_crc32": np.array(crc, np.int64)})
-
-    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                    docs, least, nulls, boundaries, ids = load_shard(f.read())
+                for i in range(0, boundaries.n, READ_DOCS):
+                    j = min(i + READ_DOCS, boundaries.n)
+                    edges = boundaries.select_range(max(i - 1, 0), j).astype(np.int64)
+                    edges = edges if i else np.concatenate(([0], edges))
+                    named = docs.select_range(max(i - nulls, 0), max(j - nulls, 0)).astype(np.int64) + least
+                    names = pa.concat_arrays([pa.nulls(j - i - len(named), pa.int64()), pa.array(named, pa.int64())])
+                    own = memoryview(ids[edges[0] : edges[-1]].astype("<u4")).cast("B")
+                    cuts = ((edges - edges[0]) * 4).tolist()
+                    crc = [zlib.crc32(own[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                    yield pa.RecordBatch.from_pydict({"doc_id": names, "start": edges[:-1] + base, "n_tokens": np.diff(edges), "ids_crc32": np.array(crc, np.int64)})
+        release()
+
+    return rows.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_token_files(spark, sf_dir: str) -> DataFrame:

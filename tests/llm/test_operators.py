@@ -458,10 +458,12 @@ def test_viterbi_equals_brute_force():
 
 # 10
 
-def test_token_files_round_trip(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("sizes", [{"SHARD_BYTES": 20_000}, {"SHARD_IDS": 300, "READ_DOCS": 3, "BLOCK_SHARDS": 2, "SHARD_BYTES": 9_000}, {"CACHE_PIECES": 5}])
+def test_token_files_round_trip(spark, tmp_path, monkeypatch, sizes):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(token_store, "SHARD_BYTES", 20_000)
+    for k, v in sizes.items():
+        monkeypatch.setattr(token_store, k, v)
     path = public_tokenizers.path("word_bpe_49k.json")
     own = Tokenizer.from_file(path)
     data = rows() + [(300, "It's <|endoftext|> ÀÉß ſt İ 漢字 \x1c á ½ don't"), (-5, "neg")]
@@ -482,5 +484,7 @@ def test_elias_fano(n):
         v = np.sort(rng.integers(0, most, n))
         e, end = token_store.EliasFano.load(b"??" + token_store.EliasFano.of(v).dump(), 2)
         assert (e.values() == v.astype(np.uint64)).all() and all(e.select(i) == v[i] for i in range(0, n, 13))
+        for a, b in ((0, n), (n // 3, n // 2), (n // 2, n), (n, n), (max(n - 1, 0), n)):
+            assert e.select_range(a, b).tolist() == v[a:b].tolist()
     if n == 5000:
         assert len(token_store.EliasFano.of(v).dump()) < n * 3.5  # 64-bit offsets take 8
