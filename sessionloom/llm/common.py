@@ -60,8 +60,8 @@ def written(df: DataFrame, name: str, block_bytes: int = 32 << 20) -> DataFrame:
 HOT_SHARE = 1000
 
 
-def hot_cold_join(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """rows joined with lookup on keys, where lookup has each key once, and how many of the rows have it.
+def hot_cold_join(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """rows joined with lookup on keys (inner or left), where lookup has each key once, and how many of the rows have it.
 
     Fewer than HOT_SHARE keys have more than one row in HOT_SHARE, whatever the data: these are broadcast, so that no
     task gets a hot key's rows; the others are joined as usual. Both tables are read twice: pin what is costly.
@@ -69,7 +69,7 @@ def hot_cold_join(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: s
     total = lookup.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
     is_hot = F.col(weight) * HOT_SHARE > F.lit(total)
     hot, cold = F.broadcast(lookup.filter(is_hot).drop(weight)), lookup.filter(~is_hot).drop(weight)
-    return rows.join(hot, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+    return rows.join(hot, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how))
 
 
 def text_bytes(df: DataFrame, col: str) -> tuple[int, int]:

@@ -12,13 +12,15 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import work_path, written
+from sessionloom.llm.common import hot_cold_join, release, work_path, written
 
 #: Payloads shorter than this are always written in full.
 MIN_BYTES = 0
 #: Bytes after which a task begins another archive; the longest range read at once; the longest gap read along.
 ARCHIVE_BYTES, RANGE_BYTES, GAP_BYTES = 256 << 20, 8 << 20, 64 << 10
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Compressed bytes of one archive that a reading task gets together.
+READ_BYTES = 32 << 20
 INDEX = "id long, url string, type string, digest string, refers_to long, file string, offset long, length long"
 
 
@@ -66,12 +68,12 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     Of rows with equal payloads of min_bytes or more, that with the smallest id is a response and the others are
     revisits of it; rows that tie on the smallest id, rows with a null id and shorter payloads are all responses.
     A null payload is empty, a null url `urn:none`. The index is written last; archives of lost task attempts are
-    not in it. Equality is by SHA-256 and length; a payload that fills a third of the rows is split by skew joins.
+    not in it. Equality is by SHA-256 and length; a payload that fills a third of the rows stays where it is read.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("same", F.concat(F.sha2("payload", 256), F.lit(":"), F.octet_length("payload")))
-    first = rows.filter(F.octet_length("payload") >= min_bytes).groupBy("same").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
-    rows = rows.join(first, "same", "left").select("id", "url", "payload", F.when(F.col("first") < F.col("id"), F.col("first")).alias("refers_to"))
+    first = rows.filter(F.octet_length("payload") >= min_bytes).groupBy("same").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    rows = hot_cold_join(rows, written(first, "repeated"), ["same"], "k", "left").select("id", "url", "payload", F.when(F.col("first") < F.col("id"), F.col("first")).alias("refers_to"))
 
     def write(batches):
         store, root = fs.FileSystem.from_uri(path)
@@ -94,6 +96,7 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
         finally:
             if out is not None:
                 out.close()
+        release()
 
     return written(rows.mapInArrow(write, INDEX), "index")
 
@@ -112,7 +115,8 @@ def ranges(records: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
 def read_warc(index: DataFrame) -> DataFrame:
     """The records that the index rows point to: id, type, refers_to, digest, payload_bytes, payload (null for revisits).
 
-    Index rows are grouped by archive and sorted by offset; each run of neighbours is one read. A response's payload
+    Index rows are dealt out by archive and stretch of READ_BYTES, as many tasks as the archives' size asks for, and
+    sorted by offset; each run of neighbours is one read. A response's payload
     must have the digest of its header. payload_bytes of a revisit is that of the payload it stands for.
     """
 
@@ -141,7 +145,9 @@ def read_warc(index: DataFrame) -> DataFrame:
                 i = j
             yield _batch(out)
 
-    rows = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-int(size) // READ_BYTES))
+    rows = index.select("file", "offset", "length").repartition(tasks, "file", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("file", "offset")
     return rows.mapInArrow(read, "id long, type string, refers_to long, digest string, payload_bytes long, payload binary")
 
 
