@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import pinned
+from sessionloom.llm.common import release, written
 
-#: Labelled rows that the chain is fitted on, about, at most; words that one category may bring as features.
+#: Labelled rows that the chain is fitted on, about, at most; words that a model takes for a category, at most.
 FIT_ROWS, FEATURES = 20_000, 200
 #: A word is a feature if so many rows have it and their rate of the category is off by so many standard deviations, and so much.
 LEAST_ROWS, LEAST_Z, LEAST_GAP = 10, 5.0, 0.4
@@ -68,68 +70,102 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> dict:
+def _weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The linear model; a constant if a class has no row."""
+    if len(y) and 0 < y.mean() < 1:
+        return _solve(x, y)
+    w = np.zeros(x.shape[1] + 1)
+    w[-1] = 30.0 if len(y) and y[0] else -30.0
+    return w
+
+
+def _predict(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return _sigmoid(np.column_stack((x, np.ones(len(x)))) @ w)
+
+
+def _chosen(counts: np.ndarray, hits: np.ndarray, rows: float, positives: np.ndarray, most: int) -> np.ndarray:
+    """Which words tell a category apart: of counts rows with each word, hits[category] are positive."""
+    out = np.zeros(len(counts), bool)
+    for h, pos in zip(hits, positives, strict=True):
+        if not 0 < pos < rows:
+            continue
+        rate, n = pos / rows, np.maximum(counts, 1)
+        z = (h - n * rate) / np.sqrt(n * rate * (1 - rate))
+        good = np.flatnonzero((counts >= LEAST_ROWS) & (z >= LEAST_Z) & (np.abs(h / n - rate) >= LEAST_GAP))
+        out[good[np.argsort(-z[good], kind="stable")[:most]]] = True
+    return out
+
+
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, features: int = FEATURES) -> dict:
     """The chain for the categories in order; each value is SQL for a 0/1 label over `labels`.
 
-    Fitted on at most about fit_rows labelled documents, chosen by a hash of their id, equal texts once. Spark
-    counts words by category; the driver gets at most FEATURES words for each, and the sample's hits of them.
+    Fitted on at most about fit_rows labelled documents, chosen by a hash of their id. Equal texts count once, with
+    the larger label of each category, so neither repeated label rows nor their order matter. Spark counts words by
+    category and fold; the driver gets the words that tell a category apart, and the sample's hits of them. A model
+    takes at most `features` words for each category, the most telling first; ties go by word.
     Each model sees the words and the earlier categories' probabilities. In training these come from models that
-    did not see the row (FOLDS folds by id hash); in prediction from the model fitted on all rows.
-    A category without both classes gets a constant. `limits` has the probability from which each category is
-    called, by the best F1 of the unseen-row probabilities.
+    did not see the row (FOLDS folds by text hash): their words, too, are chosen without the fold. In prediction they
+    come from the model fitted on all rows. A category without both classes gets a constant. `limits` has the
+    probability from which each category is called, by the best F1 of the unseen-row probabilities.
     """
     n = labels.count()
     share = min(1.0, fit_rows / n) if n else 1.0
     marks = labels.filter(F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    marks = marks.select(id_col, *(F.expr(sql).cast("double").alias(f"y{i}") for i, sql in enumerate(categories.values()))).dropna()
-    rows = docs.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(text_col).alias("text")).join(marks, id_col)
-    rows = rows.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(FOLDS)).cast("int")).dropDuplicates(["text"]).drop(id_col)
     names = [f"y{i}" for i in range(len(categories))]
+    marks = marks.select(id_col, *(F.expr(sql).cast("double").alias(y) for y, sql in zip(names, categories.values(), strict=True))).dropna()
+    marks = marks.groupBy(id_col).agg(*(F.max(y).alias(y) for y in names))
+    rows = docs.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(text_col).alias("text")).join(marks, id_col)
+    rows = rows.groupBy("text").agg(*(F.max(y).alias(y) for y in names)).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(FOLDS)).cast("int"))
+    row = F.sha2("text", 256).alias("row")
 
     def cut(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(tokens(t)) for t in batch.column(0).to_pylist()], pa.list_(pa.string())), *batch.columns[1:]], names=["words", "fold", *names])
-
-    sample = pinned(rows.select("text", "fold", *names).mapInArrow(cut, "words array<string>, fold int, " + ", ".join(f"{y} double" for y in names)))
-    sums = sample.agg(F.count(F.lit(1)), *(F.sum(y) for y in names)).first()
-    total = sums[0] or 0
-    by = sample.select(F.explode("words").alias("word"), *names).groupBy("word").agg(F.count(F.lit(1)).alias("k"), *(F.sum(y).alias(y) for y in names)).filter(F.col("k") >= LEAST_ROWS)
-    words: list[str] = []
-    for y, pos in zip(names, sums[1:], strict=True):
-        if not pos or pos == total:
-            continue
-        rate = pos / total
-        z = (F.col(y) - F.col("k") * rate) / F.sqrt(F.col("k") * rate * (1 - rate))
-        words += [r[0] for r in by.select("word", F.abs(z).alias("z"), F.abs(F.col(y) / F.col("k") - rate).alias("gap")).filter((F.col("z") >= LEAST_Z) & (F.col("gap") >= LEAST_GAP)).orderBy(F.desc("z"), "word").limit(FEATURES).collect()]
-    words = sorted(set(words))
+            for i in range(0, batch.num_rows, 64):
+                own = batch.slice(i, 64)
+                yield pa.RecordBatch.from_arrays([pa.array([sorted(tokens(t)) for t in own.column(0).to_pylist()], pa.list_(pa.string())), *own.columns[1:]], names=["words", "row", "fold", *names])
+        release()
+
+    doubles = ", ".join(f"{y} double" for y in names)
+    sample = written(rows.select("text", row, "fold", *names).mapInArrow(cut, f"words array<string>, row string, fold int, {doubles}"), "sample")
+    by_fold = {r["fold"]: r for r in sample.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *(F.sum(y).alias(y) for y in names)).collect()}
+    size = np.array([by_fold[k]["n"] if k in by_fold else 0 for k in range(FOLDS)], float)
+    positives = np.array([[by_fold[k][y] if k in by_fold else 0 for k in range(FOLDS)] for y in names], float)
+    own = [F.sum(F.when(F.col("fold") == k, v).otherwise(0)).alias(f"{c}_{k}") for c, v in (("n", F.lit(1)), *((y, F.col(y)) for y in names)) for k in range(FOLDS)]
+    by = sample.select(F.explode("words").alias("word"), "fold", *names).groupBy("word").agg(*own).filter(" + ".join(f"n_{k}" for k in range(FOLDS)) + f" >= {LEAST_ROWS}")
+    # only words whose rate is off by enough in some training rows come to the driver, which then chooses exactly
+    rate = lambda y: F.lit(float(min((positives[names.index(y)].sum() - np.append(positives[names.index(y)], 0)) / np.maximum(size.sum() - np.append(size, 0), 1))))
+    total = lambda c: F.expr(" + ".join(f"{c}_{k}" for k in range(FOLDS)))
+    near = [F.greatest(*(((total(y) - F.col(f"{y}_{k}")) / F.greatest(total("n") - F.col(f"n_{k}"), F.lit(1))) for k in range(FOLDS)), total(y) / total("n")) >= rate(y) + LEAST_GAP - 1e-9 for y in names]
+    got = by.filter(functools.reduce(lambda a, b: a | b, near)).orderBy("word").toPandas() if size.sum() else pd.DataFrame({"word": []})
+    count = np.array([got.get(f"n_{k}", []) for k in range(FOLDS)], float).reshape(FOLDS, len(got))
+    hit = np.array([[got.get(f"{y}_{k}", []) for k in range(FOLDS)] for y in names], float).reshape(len(names), FOLDS, len(got))
+    picks = [_chosen(count.sum(0) - count[k], hit.sum(1) - hit[:, k], size.sum() - size[k], positives.sum(1) - positives[:, k], features) for k in range(FOLDS)]
+    picks.append(_chosen(count.sum(0), hit.sum(1), size.sum(), positives.sum(1), features))
+    used = np.flatnonzero(np.any(picks, axis=0))
+    words = [str(w) for w in got["word"].to_numpy()[used]]
+    columns = [np.flatnonzero(p[used]) for p in picks]
     number = {w: i for i, w in enumerate(words)}
 
     def hits(batches):
         for batch in batches:
-            got = [[number[w] for w in x if w in number] for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int32())), *batch.columns[1:]], names=["hits", "fold", *names])
+            at = [[number[w] for w in x if w in number] for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), *batch.columns[1:]], names=["hits", "row", "fold", *names])
 
-    data = sample.mapInArrow(hits, "hits array<int>, fold int, " + ", ".join(f"{y} double" for y in names)).toPandas()
+    data = sample.mapInArrow(hits, f"hits array<int>, row string, fold int, {doubles}").orderBy("row").toPandas()
     x = np.zeros((len(data), len(words)))
     for i, h in enumerate(data["hits"]):
         x[i, list(h)] = 1
-    fold, weights, limits = data["fold"].to_numpy(int), [], []
+    fold, weights, limits, earlier = data["fold"].to_numpy(int), [], [], np.zeros((len(data), 0))
     for y in names:
-        t = data[y].to_numpy(float)
-        if len(t) == 0 or t.min() == t.max():
-            w = np.zeros(x.shape[1] + 1)
-            w[-1] = 30.0 if len(t) and t[0] else -30.0
-            out = np.full(len(t), float(len(t) > 0 and t[0] > 0))
-        else:
-            w, out = _solve(x, t), np.zeros(len(t))
-            for k in range(FOLDS):
-                own = fold == k
-                if own.any():
-                    out[own] = _sigmoid(np.column_stack((x[own], np.ones(own.sum()))) @ _solve(x[~own], t[~own])) if (~own).any() else t.mean()
-        weights.append(w)
+        t, out = data[y].to_numpy(float), np.zeros(len(data))
+        for k in range(FOLDS):
+            seen = np.column_stack((x[:, columns[k]], earlier))
+            mine = fold == k
+            out[mine] = _predict(seen[mine], _weights(seen[~mine], t[~mine]))
+        weights.append(_weights(np.column_stack((x[:, columns[-1]], earlier)), t))
         limits.append(_threshold(out, t) if len(t) and 0 < t.mean() < 1 else 0.5)
-        x = np.column_stack((x, out))
-    return {"words": words, "weights": weights, "categories": list(categories), "limits": limits}
+        earlier = np.column_stack((earlier, out))
+    return {"words": [words[i] for i in columns[-1]], "weights": weights, "categories": list(categories), "limits": limits}
 
 
 def predict_chain(docs: DataFrame, chain: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,11 +176,12 @@ def predict_chain(docs: DataFrame, chain: dict, id_col: str = "doc_id", text_col
     def run(batches):
         for batch in batches:
             x = np.zeros((batch.num_rows, len(number)))
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                x[i, [number[w] for w in tokens(t or "") if w in number]] = 1
+            for i, t in enumerate(batch.column(1)):
+                x[i, [number[w] for w in tokens(t.as_py() or "") if w in number]] = 1
             for w in weights:
                 x = np.column_stack((x, _sigmoid(np.column_stack((x, np.ones(len(x)))) @ w)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, len(number) + i]) for i in range(len(weights)))], names=["id", *cols])
+        release()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"`{c}` double" for c in cols)).withColumnRenamed("id", id_col)

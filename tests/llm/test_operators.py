@@ -153,6 +153,21 @@ def test_chain_on_held_out_rows(spark):
     assert len(chain["weights"][1]) == len(chain["words"]) + 2  # the second model also sees the first probability
 
 
+def test_chain_does_not_depend_on_the_order_of_rows(spark):
+    docs, marks = toxic_table(spark, 200)
+    docs = docs.union(docs.select((F.col("doc_id") + 1000).alias("doc_id"), "text"))  # equal texts
+    marks = marks.union(marks.select((F.col("doc_id") + 1000).alias("doc_id"), "quality", (1 - F.col("toxic")).alias("toxic")).filter("doc_id % 10 = 0")).union(marks.limit(50))
+    one, two = (toxicity.fit_chain(docs.repartition(n), marks.repartition(n), toxicity.CATEGORIES) for n in (1, 7))
+    assert one["words"] == two["words"] and one["limits"] == pytest.approx(two["limits"]) and all(a == pytest.approx(b) for a, b in zip(one["weights"], two["weights"], strict=True))
+
+
+def test_words_of_a_fold_are_chosen_without_it():
+    counts, hits = np.array([12.0, 12.0, 400.0]), np.array([[12.0, 8.0, 40.0]])
+    assert toxicity._chosen(counts, hits, 1000.0, np.array([100.0]), 5).tolist() == [True, True, False]
+    assert toxicity._chosen(counts, hits, 1000.0, np.array([100.0]), 1).tolist() == [True, False, False]
+    assert not toxicity._chosen(counts, hits, 1000.0, np.array([0.0]), 5).any()
+
+
 def test_chain_without_labels_or_rows(spark):
     docs, marks = toxic_table(spark, 10)
     chain = toxicity.fit_chain(docs, marks.limit(0), toxicity.CATEGORIES)
