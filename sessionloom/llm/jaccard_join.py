@@ -9,7 +9,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm.common import BLOBS, blobs, chunked, key_levels, mix, n_buckets, n_chunks, pinned, parts, release, run_key, shared_keys, text_bytes, window_hashes, word_values, written
@@ -17,10 +17,13 @@ from sessionloom.llm.components import connected_components
 
 #: Words of a shingle; similarity in percent from which two sets link.
 WORDS, PERCENT = 5, 80
-#: The largest set size that the boundary between light and heavy may take.
+#: Sizes that the boundary is chosen among. A set of this size would send more than 15,000 subsets, which no scan costs.
 MOST_LIGHT = 24
-#: Cost of one enumerated subset against one entry of a scanned list: it is hashed in Python.
-SUBSET_COST = 2.0
+#: Prices for the boundary, as measured: a subset that is sent and joined, a list entry that goes through the three scans,
+#: and a candidate pair whose two sets are fetched and intersected.
+SUBSET_COST, ENTRY_COST, PAIR_COST = 1.0, 3.0, 4.0
+#: Entries of one list and size class that are paired in one block; size classes grow by this factor.
+BLOCK, CLASS_RATIO = 4096, 1.1
 
 
 def _shingles(texts: list[bytes], words: int, buckets: int, run: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,7 +52,7 @@ def _shingles(texts: list[bytes], words: int, buckets: int, run: bytes) -> tuple
 
 
 def shingle_sets(df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """One row per row of df: id, n (set size), and for sets that can link at all: set_key, shared (hashes, 8 bytes each).
+    """One row per row of df: id, n (set size), and for sets that can link at all: set_key, shared (hashes, rarest first).
 
     A set links only if at least percent % of its shingles occur in other documents. The occurrences are counted
     over all documents, on 32 bits of hash beside the bucket: a shingle that is wrongly taken as shared only costs time.
@@ -76,19 +79,19 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, words: int, percent:
         ends = np.cumsum(n)
         can = (n > 0) & (100 * m >= percent * n)
         keys: list[bytes | None] = [None] * len(pdf)
-        sets: list[bytes | None] = [None] * len(pdf)
+        sets: list[np.ndarray | None] = [None] * len(pdf)
         for i in np.flatnonzero(can):
             s = slice(ends[i] - n[i], ends[i])
             keys[i] = hashlib.blake2b(key[s].tobytes(), digest_size=16).digest()
             own = shared[s]
             # rarest first, by a count that all documents see alike
-            sets[i] = key[s][own][np.lexsort((key[s][own], level[s][own]))].tobytes()
+            sets[i] = key[s][own][np.lexsort((key[s][own], level[s][own]))].view(np.int64)
         del doc, bucket, key, level, shared
         release()
         return pd.DataFrame({"id": pdf["id"], "n": n.astype(np.int32), "set_key": keys, "shared": sets})
 
     levels = shared_keys(rows.groupBy("chunk").applyInPandas(send, BLOBS), "<u4")
-    return rows.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInPandas(keep, f"id {kind}, n int, set_key binary, shared binary")
+    return rows.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInPandas(keep, f"id {kind}, n int, set_key binary, shared array<bigint>")
 
 
 def least_overlap(a, b, percent: int):
@@ -96,77 +99,72 @@ def least_overlap(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def _ceil_share(n: str, percent: int) -> Column:
+    return F.ceil(F.col(n) * percent / 100).cast("int")
+
+
 def _prefix(sets: DataFrame, percent: int) -> DataFrame:
     """(token, node, n, own, pos): the inverted lists over each set's prefix; pos is the token's place in the set's order.
 
     Order a set's unshared shingles first, then the shared from the rarest. Two sets that link have a shingle in common
     among the first n - ceil(percent % of n) + 1 of each; the unshared ones match nothing, so they need no list.
     """
-
-    def run(batches):
-        for batch in batches:
-            nodes, n, shared = (batch.column(i).to_pylist() for i in range(3))
-            tokens = []
-            for size, blob in zip(n, shared, strict=True):
-                h = np.frombuffer(blob, np.uint64)
-                tokens.append(h[: max(0, len(h) - -(-percent * size // 100) + 1)].view(np.int64))
-            count = [len(t) for t in tokens]
-            own = [size - len(blob) // 8 for size, blob in zip(n, shared, strict=True)]
-            yield pa.RecordBatch.from_pydict({"token": np.concatenate(tokens) if tokens else np.zeros(0, np.int64), "node": np.repeat(np.array(nodes, np.int64), count), "n": np.repeat(np.array(n, np.int32), count), "own": np.repeat(np.array(own, np.int32), count), "pos": np.concatenate([np.arange(o, o + k, dtype=np.int32) for o, k in zip(own, count, strict=True)]) if own else np.zeros(0, np.int32)})
-
-    return sets.select("node", "n", "shared").mapInArrow(run, "token long, node long, n int, own int, pos int")
+    own = F.col("n") - F.size("shared")
+    head = F.slice("shared", F.lit(1), F.greatest(F.size("shared") - _ceil_share("n", percent) + 1, F.lit(0)))
+    rows = sets.select("node", "n", own.alias("own"), F.posexplode(head).alias("at", "token"))
+    return rows.select("token", "node", "n", "own", (F.col("own") + F.col("at")).alias("pos"))
 
 
 def _subsets(n: int, percent: int, most: int) -> list[tuple[int, int]]:
-    """(partner size, subset size) for each size up to `most` that a set of size n can link with."""
-    return [(s, least_overlap(n, s, percent)) for s in range(-(-percent * n // 100), min(most, 100 * n // percent) + 1) if s]
+    """(partner size, subset size) for each size up to `most` that another set can have that a set of size n links with."""
+    sizes = range(-(-percent * n // 100), min(most, 100 * n // percent) + 1)
+    return [(s, c) for s in sizes if s and ((c := least_overlap(n, s, percent)) < n or s != n)]  # the whole set only equals itself
 
 
-def enumerated(n: int, percent: int) -> int:
-    """How many subsets a set of size n sends, at most."""
-    return sum(comb(n, c) for _, c in _subsets(n, percent, 10**9) if c <= n)
+def enumerated(n: int, percent: int, most: int = 10**9) -> int:
+    """How many subsets a set of size n sends, at most, for partners of sizes up to `most`."""
+    return sum(comb(n, c) for _, c in _subsets(n, percent, most) if c <= n)
 
 
 def _light_links(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
     """Links (u, v) among sets up to the boundary that connect all that link: sets meet at a subset of the needed size.
 
     A subset is sent for each pair of sizes (low, high) that its size is enough for. All sets at one key link with
-    any of them that has the low size, so a star around the smallest such node stands for all their pairs.
+    any of them that has the low size, so a star around the smallest such node stands for all their pairs. The links
+    are verified, as keys are hashes.
     """
+    names = ["low", "high", "key", "node", "n"]
 
     def run(batches):
         for batch in batches:
-            out = []
-            for node, n, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                h = np.frombuffer(blob, np.uint64)
+            out, held = [], 0
+            for node, n, shared in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                h = np.asarray(shared.values).view(np.uint64)
                 for s, c in _subsets(n, percent, boundary):
                     if c <= len(h):
                         at = np.array(list(combinations(range(len(h)), c)), np.int64)
                         key = mix((mix(h[at]) * (2 * np.arange(c, dtype=np.uint64) + np.uint64(1))).sum(1, dtype=np.uint64))
                         out.append((np.full(len(at), min(n, s), np.int32), np.full(len(at), max(n, s), np.int32), key.view(np.int64), np.full(len(at), node, np.int64), np.full(len(at), n, np.int32)))
-            cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, t) for t in (np.int32, np.int32, np.int64, np.int64, np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["low", "high", "key", "node", "n"])
+                        held += len(at)
+                if held > 1 << 17:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=names)
+                    out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=names)
 
     light = sets.filter(F.col("n") <= boundary).select("node", "n", "shared")
     rows = light.mapInArrow(run, "low int, high int, key long, node long, n int")
     hubs = rows.filter("n = low").groupBy("low", "high", "key").agg(F.min("node").alias("hub"))
-    return rows.join(hubs, ["low", "high", "key"]).filter("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+    pairs = rows.join(hubs, ["low", "high", "key"]).filter("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+    return _verified(pairs, light, percent)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose sets link, by their exact intersection."""
     one = sets.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("shared").alias("su"))
     two = sets.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("shared").alias("sv"))
-
-    def run(batches):
-        for batch in batches:
-            u, v, nu, nv = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            both = [len(np.intersect1d(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), assume_unique=True)) for a, b in zip(batch.column(4), batch.column(5), strict=True)]
-            both = np.array(both, np.int64)
-            ok = 100 * both >= percent * (nu.astype(np.int64) + nv - both)
-            yield pa.RecordBatch.from_pydict({"u": u[ok], "v": v[ok]})
-
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u long, v long")
+    both = F.size(F.array_intersect("su", "sv"))
+    return pairs.join(one, "u").join(two, "v").filter(both * 100 >= (F.col("nu") + F.col("nv") - both) * percent).select("u", "v")
 
 
 def _fits(a: str, b: str, percent: int):
@@ -174,14 +172,41 @@ def _fits(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(CLASS_RATIO))).cast("int")
+
+
+def _cross_pairs(at: DataFrame, boundary: int, percent: int) -> DataFrame:
+    """(a, na, b, nb): the pairs of list entries (token, node, n, own, pos, comp) that may link and are in different components.
+
+    Only lists whose members are in several components are scanned; there each member outside the list's main component
+    meets all members. The first common token of two sets that link leaves room in both for the overlap they need,
+    which bounds the size of an entry's partner: n and pos allow least_overlap(n, m) <= n - pos only up to some m. So
+    entries meet by token and class of size, and those without room for any partner make no pair at all. A class
+    of more than BLOCK entries is cut into blocks, so that no task pairs a long list alone.
+    """
+    sizes = at.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
+    main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").drop("comps")
+    room = F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent).cast("int") - F.col("n")
+    rows = at.join(main, "token").withColumn("low", _ceil_share("n", percent)).withColumn("top", F.least(F.floor(F.col("n") * 100 / percent).cast("int"), room))
+    rows = pinned(rows.filter("top >= low"))
+    out = rows.filter("comp != main").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("top").alias("ta"), F.col("low").alias("la"), F.explode(F.sequence(_size_class(F.col("low")), _size_class(F.col("top")))).alias("size"))
+    both = rows.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("top").alias("tb"), "main", _size_class(F.col("n")).alias("size"))
+    long = both.groupBy("token", "size").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > BLOCK).select("token", "size", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    cut = lambda df: df.join(long, ["token", "size"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    out = cut(out).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    both = cut(both).withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).drop("blocks")
+    pairs = out.join(both, ["token", "size", "block"]).filter("ca != cb and (cb = main or a < b) and nb between la and ta and na <= tb")
+    return pairs.filter(_fits("na", "nb", percent) & (F.greatest("na", "nb") > boundary)).select("a", "na", "b", "nb")
+
+
 def _heavy_links(lists: DataFrame, sets: DataFrame, boundary: int, links: DataFrame, percent: int) -> DataFrame:
     """More links, so that all sets of which one is above the boundary are connected with what they link with.
 
     Scans the inverted lists. First each list links its members with one hub, that with the fewest shingles of its
-    own (an original has fewer than its edited copies), then with the best member outside the hub's component. Only
-    lists whose members are still in several components are scanned in full, and there only pairs across components:
-    each member outside the list's main component against all members. No pair inside a component is made, nor one
-    whose places in the list leave too little room in either set for the overlap it needs.
+    own (an original has fewer than its edited copies), then with the best member outside the hub's component. Then
+    lists whose members are still in several components are scanned in full, across components. No pair inside a
+    component is made there.
     """
     rank = F.struct("own", "node", "n", "comp")
     for step in ("hub", "second", "full"):
@@ -189,15 +214,7 @@ def _heavy_links(lists: DataFrame, sets: DataFrame, boundary: int, links: DataFr
         at = lists.join(labels, "node", "left").select("token", "node", "n", "own", "pos", F.coalesce("comp", "node").alias("comp"))
         at = pinned(at)
         if step == "full":
-            sizes = at.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
-            main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").drop("comps")
-            rest = at.join(main, "token")
-            out = rest.filter("comp != main").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("pos").alias("pa"))
-            both = rest.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("pos").alias("pb"), "main")
-            # the first common token of a pair that links leaves room in both sets for the overlap it needs
-            least = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
-            room = (F.col("na") - F.col("pa") >= least) & (F.col("nb") - F.col("pb") >= least)
-            pairs = out.join(both, "token").filter("ca != cb and (cb = main or a < b)").filter(room)
+            pairs = _cross_pairs(at, boundary, percent)
         else:
             stats = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(rank).alias("hub")).filter("lo != hi")
             if step == "second":
@@ -212,13 +229,28 @@ def _heavy_links(lists: DataFrame, sets: DataFrame, boundary: int, links: DataFr
     return links
 
 
-def _boundary(lists: DataFrame, sets: DataFrame, percent: int) -> int:
-    """The set size up to which enumerating subsets costs less than scanning lists, over all sets together."""
-    long = lists.groupBy("token").agg(F.count(F.lit(1)).alias("k"))
-    scan = {r[0]: r[1] for r in lists.filter(F.col("n") <= MOST_LIGHT).join(long, "token").groupBy("n").agg(F.sum("k")).collect()}
-    count = {r[0]: r[1] for r in sets.filter(F.col("n") <= MOST_LIGHT).groupBy("n").count().collect()}
-    costs = [sum(SUBSET_COST * count.get(s, 0) * enumerated(s, percent) for s in range(1, x + 1)) + sum(scan.get(s, 0) for s in range(x + 1, MOST_LIGHT + 1)) for x in range(MOST_LIGHT + 1)]
-    return costs.index(min(costs))
+def _cheapest(counts: dict[int, int], entries: dict[int, int], pairs: dict[int, int], percent: int) -> int:
+    """The size up to which enumerating subsets costs less than scanning lists, by the number of sets of each size, their
+    list entries, and the candidate pairs that these bring to the first two scans.
+
+    With boundary x the sets up to x send subsets for partners up to x; lists keep the sets that may link with one
+    above x.
+    """
+    def cost(x: int) -> float:
+        light = sum(SUBSET_COST * k * enumerated(n, percent, x) for n, k in counts.items() if n <= x)
+        return light + sum(ENTRY_COST * entries.get(n, 0) + PAIR_COST * pairs.get(n, 0) for n in counts if n * 100 >= (x + 1) * percent)
+
+    return min(range(MOST_LIGHT + 1), key=lambda x: (cost(x), x))
+
+
+def _boundary(sets: DataFrame, percent: int) -> int:
+    """The boundary, by counts over all sets of up to MOST_LIGHT shingles; larger ones are in the lists whatever it is."""
+    lists = _prefix(sets, percent)
+    small = lists.filter(F.col("n") <= MOST_LIGHT)
+    long = lists.join(small.select("token").distinct(), "token", "left_semi").groupBy("token").agg((F.least(F.count(F.lit(1)), F.lit(3)) - 1).alias("k"))
+    by = small.join(long, "token").groupBy("n").agg(F.count(F.lit(1)).alias("entries"), F.sum("k").alias("pairs")).collect()
+    counts = {r["n"]: r["count"] for r in sets.filter(F.col("n") <= MOST_LIGHT).groupBy("n").count().collect()}
+    return _cheapest(counts, {r["n"]: r["entries"] for r in by}, {r["n"]: r["pairs"] for r in by}, percent)
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -228,16 +260,18 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     is one shingle; null or blank texts have none and link with nothing. Sets link when
     100 * intersection >= percent * union. Equal sets are one node from the start. Rows that repeat an id keep
     their own set each; null ids count only where a component has no other.
+
+    Sets up to a boundary meet at enumerated subsets, pairs with a larger one by scanning inverted lists. The boundary
+    is the size, of 0 to MOST_LIGHT, at which both together are cheapest.
     """
     spark: SparkSession = df.sparkSession
     rows = written(shingle_sets(df, id_col, text_col, words, percent), "sets")
     able = rows.filter(F.col("set_key").isNotNull())
     classes = able.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("shared").alias("shared"))
     sets = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    lists = _prefix(sets, percent)
-    lists = written(lists, "lists")
-    boundary = _boundary(lists, sets, percent)
+    boundary = _boundary(sets, percent)
     links = pinned(_light_links(sets, boundary, percent))
+    lists = written(_prefix(sets.filter(F.col("n") * 100 >= (boundary + 1) * percent), percent), "lists")
     links = _heavy_links(lists, sets, boundary, links, percent)
     labels = connected_components(links)
     light = sets.select("set_key", "node", "rep").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))

@@ -2,6 +2,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import random
 import re
 import urllib.parse
 import zlib
@@ -124,6 +125,47 @@ def test_both_ways_find_all_links(spark, boundary, monkeypatch):
     multiset(map(tuple, got), brute_components(data))
 
 
+def short_copies(n, words=9):
+    """Groups of short near copies: one word changed at an end, which keeps 4 of 5 shingles or more."""
+    r = random.Random(n)
+    data = []
+    for i in range(0, n, 3):
+        w = [f"w{i}x{k}" for k in range(words + r.randrange(4))]
+        data += [(i, " ".join(w)), (i + 1, " ".join([*w, "tail"])), (i + 2, " ".join(["head", *w]))]
+    return data
+
+
+def test_short_sets_are_enumerated(spark, monkeypatch):
+    data, seen, true = short_copies(900), [], jaccard_join._boundary
+    monkeypatch.setattr(jaccard_join, "_boundary", lambda *a: seen.append(true(*a)) or seen[-1])
+    got = jaccard_join.jaccard_components(frame(spark, data)).select("doc_id", "n_shingles", "component_id").collect()
+    multiset(map(tuple, got), brute_components(data))
+    assert seen[0] >= 6
+
+
+def test_boundary_by_cost():
+    assert jaccard_join._cheapest({8: 100}, {8: 200}, {8: 400}, 80) >= 9  # 10 subsets or fewer against 2 entries and 4 pairs each
+    assert jaccard_join._cheapest({20: 100}, {20: 500}, {20: 1000}, 80) == 0  # thousands of subsets each
+    assert jaccard_join._cheapest({}, {}, {}, 80) == 0
+
+
+def test_boilerplate_makes_no_pairs(spark):
+    """Documents that share a long passage but do not link: no entry has room for a partner, so none is paired."""
+    passage = " ".join(f"p{i}" for i in range(100))
+    data = [(i, passage + " " + " ".join(f"own{i}x{k}" for k in range(16))) for i in range(400)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    sets = jaccard_join.shingle_sets(df, "doc_id", "text", 5, 80).select(F.col("id").alias("node"), "n", "shared")
+    at = jaccard_join._prefix(sets, 80).withColumn("comp", F.col("node"))
+    assert at.count() >= 400 * 5 and jaccard_join._cross_pairs(at, 0, 80).count() == 0
+
+
+def test_long_lists_are_paired_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    data = [(i, t) for i, t in rows(4) if i is not None and (t is None or len(t) < 9000)]
+    got = jaccard_join.jaccard_components(frame(spark, data)).select("doc_id", "n_shingles", "component_id").collect()
+    multiset(map(tuple, got), brute_components(data))
+
+
 def test_star_contraction_on_a_path_and_a_ring(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (102, 100)] + [(200, 200)]
     got = {r.node: r.comp for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
