@@ -94,9 +94,9 @@ def chunked(df: DataFrame, chunks: int, *keys: str) -> DataFrame:
 # --- hashes of words and word windows, by numpy over whole batches ---------------------------------------------
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: The prime of the Rabin-Karp hashes; words read at a time; text bytes cut at a time; windows hashed at a time.
+#: The prime of the Rabin-Karp hashes; text bytes whose words are hashed at a time; windows hashed at a time.
 PRIME = (1 << 61) - 1
-BLOCK_WORDS, BLOCK_BYTES, BLOCK_WINDOWS = 1 << 17, 1 << 20, 1 << 17
+BLOCK_BYTES, BLOCK_WINDOWS = 1 << 19, 1 << 17
 
 
 def run_key() -> bytes:
@@ -127,53 +127,82 @@ def times_plus(a: np.ndarray, b: int, c: np.ndarray) -> np.ndarray:
     return np.where(out >= _u(PRIME), out - _u(PRIME), out)
 
 
-def _bases(key: bytes) -> tuple[int, int]:
-    d = hashlib.blake2b(b"bases", digest_size=32, key=key).digest()
+def _bases(key: bytes, what: bytes) -> tuple[int, int]:
+    d = hashlib.blake2b(what, digest_size=32, key=key).digest()
     return tuple(int.from_bytes(d[i : i + 16], "little") % (PRIME - 2) + 2 for i in (0, 16))
 
 
-def word_blocks(text: bytes, lower: bool):
-    """The words of a text in lists, cut from about BLOCK_BYTES of it at a time; no word is cut."""
+def _blocks(text: bytes):
+    """A text in blocks of about BLOCK_BYTES; no word is cut."""
     at = 0
     while at < len(text):
         end = at + BLOCK_BYTES
-        if end < len(text) and (m := _GAP.search(text, end)):
-            end = m.start()
-        elif end < len(text):
-            end = len(text)
-        block = text[at:end]
-        yield (block.translate(_LOWER) if lower else block).split()
+        if end < len(text):
+            end = m.start() if (m := _GAP.search(text, end)) else len(text)
+        yield text[at:end]
         at = end
 
 
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
-
-
-def _word_values(words: list[bytes], key: bytes) -> np.ndarray:
-    own = list(set(words))
-    number = dict(zip(own, range(len(own)), strict=True))
-    table = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16, key=key).digest() for w in own), np.uint64).reshape(-1, 2)
-    return (table & _u(PRIME))[np.fromiter(map(number.__getitem__, words), np.int64, len(words))]
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes of a limb, which is below PRIME, and limbs from which a word is digested instead; the masks of shorter limbs.
+LIMB, LIMBS = 7, 8
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(LIMB + 1)], np.uint64)
+
+
+def _values(data: bytes, key: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of data begin, and two values of each: polynomials over its length and its limbs of LIMB bytes."""
+    d = np.frombuffer(data, np.uint8)
+    edge = np.diff(np.concatenate(([True], _SPACE[d], [True])).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    size = ends - starts
+    lanes = np.ndarray((len(data) + 1,), "<u8", buffer=data + b"\0" * 8, strides=(1,))
+    out = np.empty((2, len(size)), np.uint64)
+    out[:] = size
+    live = np.arange(len(size))
+    for r in range(LIMBS):
+        own = size[live] - LIMB * r
+        limb = lanes[starts[live] + LIMB * r] & _MASKS[np.minimum(own, LIMB)]
+        for k, base in enumerate(_bases(key, b"words")):
+            out[k, live] = times_plus(out[k, live], base, limb)
+        live = live[own > LIMB]
+        if not len(live):
+            break
+    for i in np.flatnonzero(size > LIMB * LIMBS):
+        out[:, i] = np.frombuffer(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=16, key=key).digest(), np.uint64) & _u(PRIME)
+    return starts, out.T
 
 
 def word_values(texts: list[bytes], lower: bool, key: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent values below 2^61 of every word `[^\\x20\\x09-\\x0D]+`, and where each text's words begin (one more at the end).
+    """Two independent values up to PRIME of every word `[^\\x20\\x09-\\x0D]+`, and where each text's words begin (one more at the end).
 
-    Values are halves of a keyed 128-bit digest, taken once for each distinct word of a block.
+    Two given words share a value with a chance below LIMBS / 2^60 (or that of a keyed digest, for long ones).
     """
-    out, words, counts = [], [], []
-    for t in texts:
-        n = 0
-        for block in word_blocks(t, lower):
-            n += len(block)
-            words += block
-            if len(words) >= BLOCK_WORDS:
-                out.append(_word_values(words, key))
-                words = []
-        counts.append(n)
-    if words:
-        out.append(_word_values(words, key))
-    return np.concatenate(out) if out else np.zeros((0, 2), np.uint64), np.cumsum([0, *counts])
+    out, counts = [], np.zeros(len(texts) + 1, np.int64)
+    held: list[bytes] = []
+    owner: list[int] = []
+
+    def flush() -> None:
+        data = b"\n".join(held)
+        starts, values = _values(data.translate(_LOWER) if lower else data, key)
+        out.append(values)
+        np.add.at(counts, np.array(owner) + 1, np.diff(np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in held)]))))
+        held.clear()
+        owner.clear()
+
+    size = 0
+    for i, t in enumerate(texts):
+        for block in _blocks(t):
+            held.append(block)
+            owner.append(i)
+            size += len(block)
+            if size >= BLOCK_BYTES:
+                flush()
+                size = 0
+    if held:
+        flush()
+    return np.concatenate(out) if out else np.zeros((0, 2), np.uint64), np.cumsum(counts)
 
 
 def _rolled(v: np.ndarray, width: int, base: int) -> np.ndarray:
@@ -192,7 +221,7 @@ def window_hashes(values: np.ndarray, width: int, key: bytes) -> tuple[np.ndarra
     over independent word values. They are independent, and two given windows share one with a chance below width / 2^60."""
     out: list[list[np.ndarray]] = [[], []]
     for i in range(0, max(len(values) - width + 1, 0), BLOCK_WINDOWS):
-        for k, base in enumerate(_bases(key)):
+        for k, base in enumerate(_bases(key, b"windows")):
             out[k].append(mix(_rolled(np.ascontiguousarray(values[i : i + BLOCK_WINDOWS + width - 1, k]), width, base)))
     return tuple(np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out)
 
@@ -232,9 +261,16 @@ def n_buckets(keys: int) -> int:
     return 1 << max(0, math.ceil(math.log2(max(1, keys) / BUCKET_KEYS)), 4)
 
 
+def by_group(group: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The order by group, then key: sorted by key first, then stably by group, which is fast for small numbers."""
+    order = np.argsort(key)
+    small = group.astype(np.uint16) if len(group) == 0 or group.max() < 1 << 16 else group
+    return order[np.argsort(small[order], kind="stable")]
+
+
 def packed(bucket: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (bucket, key) in order: how the keys order them, the first of each, and each row's distinct number."""
-    order = np.lexsort((key, bucket))
+    order = by_group(bucket, key)
     b, k = bucket[order], key[order]
     first = np.concatenate(([True], (b[1:] != b[:-1]) | (k[1:] != k[:-1]))) if len(b) else np.zeros(0, bool)
     number = np.empty(len(b), np.int64)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import BLOBS, blobs, chunked, key_levels, mix, n_buckets, n_chunks, pinned, parts, release, run_key, shared_keys, text_bytes, window_hashes, word_values, written
+from sessionloom.llm.common import BLOBS, blobs, by_group, chunked, key_levels, mix, n_buckets, n_chunks, pinned, parts, release, run_key, shared_keys, text_bytes, window_hashes, word_values, written
 from sessionloom.llm.components import connected_components
 
 #: Words of a shingle; similarity in percent from which two sets link.
@@ -42,7 +42,7 @@ def _shingles(texts: list[bytes], words: int, buckets: int, run: bytes) -> tuple
                 own = values[(first[:-1][short][:, None] + np.arange(k)).ravel()]
                 x, y = (x[::k] ^ np.uint64(k * 0x9E3779B97F4A7C15 & 2**64 - 1) for x in window_hashes(own, k, run))
                 doc, h, g = np.concatenate((doc, short)), np.concatenate((h, x)), np.concatenate((g, y))
-        order = np.lexsort((h, doc))
+        order = by_group(doc, h)
         doc, h, g = doc[order], h[order], g[order]
         new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))) if len(h) else np.zeros(0, bool)
         docs.append(doc[new] + i)

@@ -42,8 +42,8 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Every window gets a Rabin-Karp hash. Documents are dealt to chunks by id; a chunk sends each distinct hash
     once, packed by hash bucket (8 bytes each), and each bucket tells every chunk which of its hashes occur
-    more than once. Hashes are polynomials modulo 2^61 - 1 at points that each run draws, over keyed digests of the
-    words, so no input can be built to collide; the bucket comes from a second, independent hash. A window meets the
+    more than once. Hashes are polynomials modulo 2^61 - 1 at points that each run draws, over keyed values of
+    the words, so no input can be built to collide; the bucket comes from a second, independent hash. A window meets the
     about 2^20 others of its bucket, so the chance that it is mistaken is below window * 2^-40, and near 2^-41 as a
     rule: 1 word in some 10^12. Windows are not compared word by word.
     """

@@ -59,6 +59,19 @@ def test_sequences_built_to_collide_do_not(spark):
     assert n > 1 << 60  # spread over 64 bits
 
 
+def test_word_values_tell_words_apart(monkeypatch):
+    monkeypatch.setattr(common, "BLOCK_BYTES", 50)
+    r = random.Random(0)
+    words = [bytes(r.choice(b"ab\x00\xc3\xa9Z") for _ in range(n)) for n in [*range(1, 70)] * 3] + [b"a", b"a\0", b"a\0\0", b"\0"]
+    texts = [b" \n".join(words[:100]), b"", b"\t", b"\x0b".join(words[100:]) + b" "]
+    for lower in (False, True):
+        values, first = common.word_values(texts, lower, b"key")
+        cut = [x for t in texts for x in (t.lower() if lower else t).split()]
+        assert first.tolist() == np.cumsum([0, *(len(t.split()) for t in texts)]).tolist() and len(values) == len(cut)
+        for k in range(2):
+            assert len({(w, int(v)) for w, v in zip(cut, values[:, k], strict=True)}) == len(set(cut)) == len(set(values[:, k].tolist()))
+
+
 def test_window_hashes_are_polynomials():
     key, rng = b"key", np.random.default_rng(0)
     a, c = (rng.integers(0, common.PRIME + 1, 500).astype(np.uint64) for _ in range(2))
@@ -72,7 +85,7 @@ def test_window_hashes_are_polynomials():
             for i in range(64 - width + 1):
                 x = 0
                 for y in values[i : i + width, k]:
-                    x = (x * common._bases(key)[k] + int(y)) % common.PRIME
+                    x = (x * common._bases(key, b"windows")[k] + int(y)) % common.PRIME
                 want.append(x)
             assert h.tolist() == common.mix(np.array(want, np.uint64)).tolist()
 
