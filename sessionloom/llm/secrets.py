@@ -23,11 +23,13 @@ _ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+#: URL escapes: one nested many times over, whose rounds are taken at once, or a run of plain ones.
+_PERCENT = re.compile(r"(%(?:25){9,}[0-9A-Fa-f]{2})|(?:%[0-9A-Fa-f]{2}(?!(?<=25)(?:25){8}))+")
 _UNICODE = re.compile(r"(?<!\\)\\++(?:u[dD][89abAB][0-9A-Fa-f]{2}\\++u[dD][c-fC-F][0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})")
-#: For base64 and hex: a run, a run of any length, and the next line's run after a line break, raw or escaped.
+#: For base64 and hex: a run, a run of any length, and the next line's run after a line break, raw or escaped. The
+#: shortest secret has 12 bytes (token=abcdef), which make 16 and 24 characters.
 _BREAK = r"[ \t]*(?:\\?\r?\n|\r|(?:\\r)?\\n)[ \t]*"
-_RUNS = tuple((re.compile(f"{x}{{{least},}}"), re.compile(f"{x}+"), re.compile(f"{_BREAK}({x}+)")) for x, least in ((r"[A-Za-z0-9+/_-]", 16), (r"[0-9A-Fa-f]", 32)))
+_RUNS = tuple((re.compile(f"{x}{{{least},}}"), re.compile(f"{x}+"), re.compile(f"{_BREAK}({x}+)")) for x, least in ((r"[A-Za-z0-9+/_-]", 16), (r"[0-9A-Fa-f]", 24)))
 _PAD = re.compile("={0,2}")
 #: Where escaped bytes may stand, the escapes that one byte string uses, and how compressed data begins.
 _BYTES = (("%", re.compile(r"[^\s<>\"']+"), re.compile(rb"%([0-9A-Fa-f]{2})")), ("\\x", re.compile(r"[^\r\n]+"), re.compile(rb"\\(?:x([0-9A-Fa-f]{2})|([abfnrtv0\\'\"]))")))
@@ -169,9 +171,16 @@ def _key(start: int, end: int, data: bytes) -> tuple[int, int, bytes]:
 
 
 def _percent(text: str) -> Iterator[tuple[str, int, int]]:
-    """(character, start, end) of every URL escape; a byte outside UTF-8 gives U+FFFD."""
+    """(character, start, end) of every URL escape; a byte outside UTF-8 gives U+FFFD.
+
+    A byte that is escaped ten times or more is read in one round, so that deep nesting takes linear time.
+    """
     for m in _PERCENT.finditer(text):
         at = m.start()
+        if m[1]:
+            c = int(m[0][-2:], 16)
+            yield chr(c) if c < 128 else "�", at, m.end()
+            continue
         for c in bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape"):
             bad = "\udc80" <= c <= "\udcff"
             to = at + 3 * (1 if bad else len(c.encode()))
@@ -253,7 +262,7 @@ def _encoded(text: str) -> Iterator[tuple[int, int, bytes]]:
                 lines.insert(0, x)
             sizes = [b - a for a, b in lines]
             last = len(lines)
-            picks = [(i, i + 1) for i in range(last) if sizes[i] >= (32 if is_hex else 16)]
+            picks = [(i, i + 1) for i in range(last) if sizes[i] >= (24 if is_hex else 16)]
             if last > 1:
                 picks += [(0, last), (1, last)]
                 edges = [0, *(i for i in range(1, last) if sizes[i] != sizes[i - 1]), last]
@@ -263,9 +272,9 @@ def _encoded(text: str) -> Iterator[tuple[int, int, bytes]]:
                 body = "".join(text[a:b] for a, b in lines[i:j])
                 start, end = lines[i][0], lines[j - 1][1]
                 if is_hex:
-                    if len(body) >= 32:
+                    if len(body) >= 24:
                         yield start, end, bytes.fromhex(body[: len(body) // 2 * 2])
-                elif len(body) >= 16 and not (body.isalpha() and (body.islower() or body.isupper() or body.istitle())):  # not a long word
+                elif len(body) >= 16 and not (body.isalpha() and (body.islower() or body.istitle())):  # a long word: no keyword, key id or number has such base64
                     body = body[: len(body) - (len(body) % 4 == 1)].replace("-", "+").replace("_", "/")
                     yield start, _PAD.match(text, end).end(), base64.b64decode(body + "=" * (-len(body) % 4))
 
