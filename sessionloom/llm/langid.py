@@ -105,7 +105,8 @@ def fit(train: DataFrame, text_col: str, lang_col: str, key_col: str, fit_rows:
 
     def count(batches):
         for batch in batches:
-            texts, langs = zip(*((x, lang) for t, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in pieces(t)), strict=True) if batch.num_rows else ((), ())
+            pairs = [(x, lang) for t, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in pieces(t)]
+            texts, langs = [x for x, _ in pairs], [lang for _, lang in pairs]
             by: dict[str, np.ndarray] = {}
             for i, j in parts([len(t) for t in texts], PIECE):
                 alpha, grams, letters, script, _, _, offsets = _features(texts[i:j])
