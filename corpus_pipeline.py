@@ -1,7 +1,8 @@
 """A corpus pipeline: language id, exact dedup, near-duplicate join, decontamination, byte-level BPE.
 
-Document ids are taken to be unique. Each filtering stage drops by id what its operator rejects, so rows with a
-null id always stay. A stage sees what its predecessor kept, read again from Parquet.
+Each filtering stage but the first drops by id what its operator rejects: rows that share an id fall together if one of
+them is rejected, and rows with a null id stay. Without documents, or with none that a stage keeps, the result is
+empty. A stage sees what its predecessor kept, read again from Parquet; other columns, whatever their names, go along.
 """
 
 from __future__ import annotations
