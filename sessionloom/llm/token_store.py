@@ -137,6 +137,18 @@ _CUTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\t-\r
 _SIMPLE = re.compile(r"[\t-\r\x20-\x7e\xa1-\xff]*")
 
 
+class _Numbers(dict):
+    """Numbers keys as they come; `new` has those since it was last emptied."""
+
+    def __init__(self):
+        self.new: list = []
+
+    def __missing__(self, x):
+        self.new.append(x)
+        n = self[x] = len(self)
+        return n
+
+
 class _Encoder:
     """Encodes texts by their cuts, each distinct cut once.
 
@@ -150,7 +162,9 @@ class _Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        wide = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        #: what the model sees in place of the bytes of Latin-1 characters
+        self.wide = {ord(c): wide(c)[0][0] for c in map(chr, range(0x80, 0x100))}
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         self.dtype = np.uint16 if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
         with open(path, encoding="utf-8") as f:
@@ -162,7 +176,8 @@ class _Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.number, self.flat, self.sizes = {None: 0}, np.array([self.end_id], self.dtype), np.ones(1, np.int64)
+        self.number, self.flat, self.sizes = _Numbers(), np.array([self.end_id], self.dtype), np.ones(1, np.int64)
+        self.number[None] = 0
 
     def _items(self, text: str) -> list:
         """What the text's ids are looked up by: cuts as strings, pieces for the whole tokenizer as bytes."""
@@ -175,11 +190,9 @@ class _Encoder:
 
     def _learn(self, new: list) -> None:
         whole = [x.decode() for x in new if isinstance(x, bytes)]
-        rest = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False))
-        model, wide = self.model, self.bytes.pre_tokenize_str
-        got = [next(rest).ids if isinstance(x, bytes) else [t.id for t in model.tokenize(x if x.isascii() else wide(x)[0][0])] for x in new]
-        at = len(self.number)
-        self.number.update(zip(new, range(at, at + len(new)), strict=True))
+        rest = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)) if whole else None
+        cut, wide = self.model and self.model.tokenize, self.wide
+        got = [next(rest).ids if isinstance(x, bytes) else [t.id for t in cut(x if x.isascii() else x.translate(wide))] for x in new]
         self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(got), self.dtype)))
         self.sizes = np.concatenate((self.sizes, np.fromiter(map(len, got), np.int64, len(got))))
 
@@ -192,11 +205,10 @@ class _Encoder:
             counts.append(len(items))
         if len(self.number) > CACHE_PIECES:
             self.reset()
-        own = list(dict.fromkeys(items))
-        if new := [x for x in own if x not in self.number]:
-            self._learn(new)
-        local = dict(zip(own, range(len(own)), strict=True))
-        at = np.fromiter(map(self.number.__getitem__, own), np.int64, len(own))[np.fromiter(map(local.__getitem__, items), np.int64, len(items))]
+        at = np.fromiter(map(self.number.__getitem__, items), np.int64, len(items))
+        if self.number.new:
+            self._learn(self.number.new)
+            self.number.new = []
         ids = gathered(at, self.sizes, np.cumsum(self.sizes) - self.sizes, self.flat)
         return ids, np.diff(np.concatenate(([0], np.cumsum(self.sizes[at])))[[0, *counts]])
 
