@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import struct
 import zlib
 from array import array
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import gathered, hot_cold_join, parts, pinned, release, text_bytes, written
+from sessionloom.llm.common import gathered, hot_cold_join, parts, pinned, release, text_bytes
 
 #: Text bytes of a chunk, whose distinct words are sent once; text bytes for each bucket of words; characters from which
 #: a text's words are numbered one by one instead of listed.
@@ -52,18 +53,27 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers with their lowest bytes first, then the next ones: small numbers compress well."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _pack(sizes: np.ndarray, body: bytes) -> bytes:
     """Items as their sizes and their bytes one after another, compressed."""
     import zstandard
 
-    return struct.pack("<I", len(sizes)) + zstandard.ZstdCompressor(level=3).compress(sizes.astype(np.uint32).tobytes() + body)
+    return struct.pack("<I", len(sizes)) + zstandard.ZstdCompressor(level=3).compress(_planes(sizes) + body)
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, memoryview]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, bytes]:
     import zstandard
 
     n, data = struct.unpack_from("<I", blob)[0], zstandard.ZstdDecompressor().decompress(blob[4:])
-    return np.frombuffer(data, np.uint32, n), memoryview(data)[4 * n :]
+    return _from_planes(data[: 4 * n]), data[4 * n :]
 
 
 def _number(texts: list[str], cut) -> tuple[dict[str, int], list[np.ndarray]]:
@@ -86,88 +96,89 @@ def encode(df: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col: str =
 
     Each task cuts its texts into chunks of about CHUNK_TEXT bytes and explodes them into pre-tokens with positions,
     in packed form: the chunk's distinct pre-tokens go once to the bucket of their hash, and the positions are kept as
-    an array of pre-token numbers in text order. A bucket encodes each distinct pre-token of all chunks once; the ids
-    are joined back to the chunk's positions by pre-token number, and the texts reassembled by position. A pre-token
-    that fills a third of the corpus is sent once a chunk, and nothing grows with its count. The exploded table is
-    written to the shared folder, so that chunk numbers stay as they are whatever executors are lost. Whole texts of
-    any length (a text longer than CHUNK_TEXT is a chunk of its own); repeated rows give repeated results.
+    an array of pre-token numbers in text order, the most frequent ones the smallest. A bucket encodes each distinct
+    pre-token of all chunks once; the ids are joined back to the chunk's positions by pre-token number, and the texts
+    reassembled by position. A pre-token that fills a third of the corpus is sent once a chunk, and nothing grows with
+    its count. A chunk is named by a digest of its pre-tokens, so a chunk that a lost executor made and that comes out
+    in another way finds no ids and is an error, never another's. Whole texts of any length (a text longer than
+    CHUNK_TEXT is a chunk of its own); repeated rows give repeated results.
     """
     spark, kind = df.sparkSession, df.schema[id_col].dataType.simpleString()
     _, size = text_bytes(df, text_col)
     buckets = max(spark.sparkContext.defaultParallelism, -(-size // BUCKET_TEXT))
-    cells = pa.int8() if buckets <= 127 else pa.int16() if buckets < 1 << 15 else pa.int32()
 
     def explode(batches):
-        import zstandard
-
-        cut, press = splitter(pattern), zstandard.ZstdCompressor(level=3)
-        task, n = TaskContext.get().partitionId() << 32, 0
+        cut = splitter(pattern)
         for batch in batches:
             lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
             for i, j in parts(lengths, CHUNK_TEXT):
                 number, at = _number([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()], cut)
-                words = [w.encode() for w in number]
-                of = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-                cells_of = of.astype(cells.to_pandas_dtype())
-                narrow = np.uint16 if len(words) <= 1 << 16 else np.uint32
-                texts = _pack(np.array([len(x) for x in at]), np.concatenate(at).astype(narrow).tobytes())
-                rows = [(batch.column(0).slice(i, j - i).to_pylist(), -1, press.compress(cells_of.tobytes()), texts, None)]
-                by = np.argsort(of, kind="stable")
-                edges = np.flatnonzero(np.diff(of[by], prepend=-1, append=-1))
-                for a, b in zip(edges[:-1], edges[1:], strict=True):
-                    own = [words[k] for k in by[a:b]]
-                    rows.append((None, int(of[by[a]]), None, None, _pack(np.array([len(w) for w in own]), b"".join(own))))
+                words, count, every = [w.encode() for w in number], np.array([len(x) for x in at]), np.concatenate(at)
+                frequent = np.argsort(-np.bincount(every, minlength=len(words)), kind="stable")
+                rank = np.empty(len(words), np.int64)
+                rank[frequent] = np.arange(len(words))
+                texts = _pack(count, _planes(rank[every]))
+                of = [zlib.crc32(w) % buckets for w in words]
+                order = sorted(range(len(words)), key=lambda k: (of[k], words[k]))
+                name = hashlib.blake2b(digest_size=8)
+                rows, at = [], 0
+                for b, group in groupby(order, key=of.__getitem__):
+                    own = [words[k] for k in group]
+                    rows.append((None, b, None, None, _pack(np.array([len(w) for w in own]), b"".join(own))))
+                    name.update(rows[-1][4])
+                place = np.empty(len(words), np.int64)  # where each number's word is in the order in which they are sent
+                place[rank[order]] = np.arange(len(words))
+                rows.append((batch.column(0).slice(i, j - i).to_pylist(), -1, place.astype("<u4" if len(words) > 1 << 16 else "<u2").tobytes(), texts, None))
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array([task + n] * len(rows), pa.int64()), pa.array(cols[0], pa.list_(batch.schema.field(0).type)), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["chunk", "ids", "bucket", "cells", "texts", "words"])
-                n += 1
+                chunk = int.from_bytes(name.digest(), "little", signed=True)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(rows), pa.int64()), pa.array(cols[0], pa.list_(batch.schema.field(0).type)), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["chunk", "ids", "bucket", "place", "texts", "words"])
         release()
 
+    def send(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.loc[pdf["bucket"] >= 0, ["bucket", "chunk", "words"]].drop_duplicates("bucket")
+
     def encode_words(pdf: pd.DataFrame) -> pd.DataFrame:
         import tiktoken
 
         own = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
-        known: dict[bytes, bytes] = {}
+        known: dict[bytes, list[int]] = {}
         out = []
         for blob in pdf["words"]:
             sizes, body = _unpack(blob)
             ends = np.cumsum(sizes).tolist()
-            words = [bytes(body[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+            words = [body[a:b] for a, b in zip([0, *ends], ends, strict=False)]
             for w in words:
                 if w not in known:
-                    known[w] = np.array(own.encode_ordinary(w.decode()), np.uint32).tobytes()
+                    known[w] = own.encode_ordinary(w.decode())
             got = [known[w] for w in words]
-            out.append(_pack(np.array([len(x) for x in got]), b"".join(got)))
+            out.append(_pack(np.array([len(x) for x in got]), _planes(np.fromiter(chain.from_iterable(got), np.uint32))))
         del known, own
         release()
         return pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "coded": out})
 
-    def assemble(chunks: pd.DataFrame, coded: pd.DataFrame) -> pd.DataFrame:
-        import zstandard
-
-        got = [_unpack(x) for x in coded.sort_values("bucket")["coded"]]
-        sizes = np.concatenate([s for s, _ in got]).astype(np.int64) // 4 if got else np.zeros(0, np.int64)
-        flat = np.concatenate([np.frombuffer(x, np.uint32) for _, x in got]).astype(np.int32) if got else np.zeros(0, np.int32)
+    def assemble(rows: pd.DataFrame, coded: pd.DataFrame) -> pd.DataFrame:
+        got = [(s, _from_planes(x)) for s, x in map(_unpack, coded.sort_values("bucket")["coded"])]
+        sizes = np.concatenate([s for s, _ in got]).astype(np.int64) if got else np.zeros(0, np.int64)
+        flat = np.concatenate([x for _, x in got]).astype(np.int32) if got else np.zeros(0, np.int32)
         starts = np.cumsum(sizes) - sizes
         names, out = [], []
-        for ids, cells_of, texts in zip(chunks["ids"], chunks["cells"], chunks["texts"], strict=True):
-            place = np.argsort(np.frombuffer(zstandard.ZstdDecompressor().decompress(cells_of), cells.to_pandas_dtype()), kind="stable")
-            where = np.empty(len(place), np.int64)
-            where[place] = np.arange(len(place))
-            lengths, body = _unpack(texts)
-            at = np.frombuffer(body, np.uint16 if len(place) <= 1 << 16 else np.uint32)
-            ends = np.cumsum(lengths, dtype=np.int64)
-            for a, b in zip(ends - lengths, ends, strict=True):
+        texts = rows[rows["bucket"] < 0]
+        for ids, place, text in zip(texts["ids"], texts["place"], texts["texts"], strict=True):
+            where = np.frombuffer(place, "<u4" if len(sizes) > 1 << 16 else "<u2")
+            if len(where) != len(sizes):
+                raise ValueError("a chunk was made anew in another way: pin the input")
+            count, body = _unpack(text)
+            at, ends = _from_planes(body), np.cumsum(count, dtype=np.int64)
+            for a, b in zip(ends - count, ends, strict=True):
                 out.append(gathered(where[at[a:b]], sizes, starts, flat))
             names += list(ids)
         release()
         return pd.DataFrame({"id": pd.Series(names, dtype=object), "ids": out})
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(explode, f"chunk long, ids array<{kind}>, bucket int, cells binary, texts binary, words binary")
-    rows = written(rows, "pre-tokens", block_bytes=8 << 20)
-    words = rows.filter("bucket >= 0").select("chunk", "bucket", "words")
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(explode, f"chunk long, ids array<{kind}>, bucket int, place binary, texts binary, words binary").repartition("chunk")
+    words = rows.groupBy("chunk").applyInPandas(send, "bucket int, chunk long, words binary")
     coded = words.groupBy("bucket").applyInPandas(encode_words, "chunk long, bucket int, coded binary")
-    texts = rows.filter("bucket < 0").select("chunk", "ids", "cells", "texts")
-    return texts.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInPandas(assemble, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return rows.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInPandas(assemble, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", table_bytes: int = TABLE_BYTES) -> DataFrame:
