@@ -21,7 +21,7 @@ from sessionloom.llm.common import gathered, hot_cold_join, parts, pinned, relea
 
 #: Text bytes of a chunk, whose distinct words are sent once; text bytes for each bucket of words; characters from which
 #: a text's words are numbered one by one instead of listed.
-CHUNK_TEXT, BUCKET_TEXT, LONG_TEXT = 4 << 20, 32 << 20, 1 << 20
+CHUNK_TEXT, BUCKET_TEXT, LONG_TEXT = 4 << 20, 8 << 20, 1 << 20
 #: A token-byte table of so many bytes is broadcast to the tasks; a larger one is joined by a shuffle.
 TABLE_BYTES = 64 << 20
 #: The pattern that the fast path below is written for (fixed value).
@@ -66,7 +66,7 @@ def _pack(sizes: np.ndarray, body: bytes) -> bytes:
     """Items as their sizes and their bytes one after another, compressed."""
     import zstandard
 
-    return struct.pack("<I", len(sizes)) + zstandard.ZstdCompressor(level=3).compress(_planes(sizes) + body)
+    return struct.pack("<I", len(sizes)) + zstandard.ZstdCompressor(level=6).compress(_planes(sizes) + body)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, bytes]:
