@@ -75,11 +75,11 @@ def looks_like_secret(token: Column) -> Column:
 
 
 def pattern_name(pattern: str, taken: set[str]) -> str:
-    """A user pattern's name: its literal start, numbered if another pattern has it."""
-    base = (m[0].rstrip("-_.") if (m := re.match(r"[A-Za-z0-9_.-]+", pattern)) else "") or "custom"
+    """A user pattern's name: its literal start (without one, the pattern), numbered if another pattern has it."""
+    base = ((m[0] if (m := re.match(r"[A-Za-z0-9_.-]+", pattern)) else pattern).rstrip("-_.")) or "pattern"
     name, k = base, 2
     while name in taken:
-        name, k = f"{base}-{k}", k + 1
+        name, k = f"{base}{k}", k + 1
     return name
 
 
@@ -138,7 +138,7 @@ def redactor(extra: list[str] = (), least_entropy: float = ENTROPY):
     A text that no pattern's regex nor a run of MIN_LENGTH characters can match keeps to the JVM.
     """
     patterns = list(PATTERNS)
-    for p in dict.fromkeys(extra):
+    for p in dict.fromkeys(x for x in extra if x not in {y for _, y in PATTERNS}):
         patterns.append((pattern_name(p, {n for n, _ in patterns}), p))
     kept: list[_Matcher] = []
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionloom.functions.text import collapse, title_words
+from sessionloom.functions.text import collapse, strip, title_words
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -63,8 +63,9 @@ def ratio_buckets(length: Column, least: float) -> Column:
     return F.floor(F.log(length + 1.0) / F.log(F.lit((200 - least) / least))).cast("int")
 
 
-def title_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(a, b, score): distinct titles of both sides whose overlap is `least` or more, by equal keys rather than all pairs.
+def title_pairs(left: DataFrame, right: DataFrame, least: float, on: list[str] = ()) -> DataFrame:
+    """(*on, a, b, score): distinct titles of both sides, with equal `on` columns, whose overlap is `least` or more, by
+    equal keys rather than all pairs.
 
     A title that another contains starts with a trigram (or, if shorter, a character) that the other has. Otherwise the
     smaller word set has one of its first n - ceil(least * n) + 1 words, longest first, among the other's words.
@@ -80,8 +81,8 @@ def title_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     start = F.when(F.char_length(low) >= 3, F.concat(F.lit("3:"), F.substring(low, 1, 3))).otherwise(F.concat(F.lit("1:"), F.substring(low, 1, 1)))
     needle = F.array_distinct(F.concat(F.array(start), F.when(F.size(words) > 0, head).otherwise(F.array().cast("array<string>"))))
     hay = F.array_distinct(F.concat(F.when(F.char_length(low) >= 3, grams).otherwise(F.array().cast("array<string>")), singles, F.transform(words, named)))
-    sides = [df.select(F.col("title").alias("t")).filter(F.trim("t") != "").distinct() for df in (left, right)]
-    as_needle = [s.select(F.col("t").alias(n), F.explode(needle).alias("key")) for s, n in zip(sides, "ab", strict=True)]
-    as_hay = [s.select(F.col("t").alias(n), F.explode(hay).alias("key")) for s, n in zip(sides, "ab", strict=True)]
-    pairs = as_needle[0].join(as_hay[1], "key").select("a", "b").unionByName(as_hay[0].join(as_needle[1], "key").select("a", "b")).distinct()
+    sides = [df.select(*on, F.col("title").alias("t")).filter(strip(F.col("t")) != "").distinct() for df in (left, right)]
+    as_needle = [s.select(*on, F.col("t").alias(n), F.explode(needle).alias("key")) for s, n in zip(sides, "ab", strict=True)]
+    as_hay = [s.select(*on, F.col("t").alias(n), F.explode(hay).alias("key")) for s, n in zip(sides, "ab", strict=True)]
+    pairs = as_needle[0].join(as_hay[1], [*on, "key"]).select(*on, "a", "b").unionByName(as_hay[0].join(as_needle[1], [*on, "key"]).select(*on, "a", "b")).distinct()
     return pairs.withColumn("score", title_overlap(F.col("a"), F.col("b"))).filter(F.col("score") >= least)

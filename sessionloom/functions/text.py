@@ -99,6 +99,6 @@ def text_of_blocks(blocks: Column) -> Column:
 
 
 def diff_of_edit(name: Column, file: Column, old: Column, new: Column, content: Column, limit: int = 2000) -> Column:
-    """The preview of an edit or a write, cut to `limit` characters; null without a file."""
-    edit = F.concat(F.lit("- "), F.coalesce(old, F.lit("")), F.lit("\n+ "), F.coalesce(new, F.lit("")))
-    return F.when(file.isNotNull(), F.when(name == "Edit", F.substring(edit, 1, limit)).when(name == "Write", F.concat(F.lit("+ "), F.substring(F.coalesce(content, F.lit("")), 1, limit - 2))))
+    """The preview of an edit, cut to `limit` characters, or of a write, whose content is; null if a part is missing."""
+    edit = F.concat(F.lit("- "), old, F.lit("\n+ "), new)
+    return F.when(file.isNotNull(), F.when(name == "Edit", F.substring(edit, 1, limit)).when(name == "Write", F.concat(F.lit("+ "), F.substring(content, 1, limit))))

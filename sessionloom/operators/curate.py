@@ -56,9 +56,11 @@ def near_duplicates(candidates: DataFrame, entries: DataFrame, on: list[str] = (
 
 def contradictions(candidates: DataFrame, approved: DataFrame) -> DataFrame:
     """(id, match): the first approved entry of the same type that shares a scope pattern and half of the tags under another title."""
-    left = candidates.select("id", "type", F.col("title").alias("a"), F.col("tags").alias("ta"), F.explode("scope").alias("pattern"))
-    right = approved.select(F.col("id").alias("match"), "type", F.col("title").alias("b"), F.col("tags").alias("tb"), "order_key", F.explode("scope").alias("pattern"))
-    pairs = left.join(right, ["type", "pattern"]).filter(tag_overlap(F.col("ta"), F.col("tb")) >= TAG_OVERLAP).drop("pattern", "ta", "tb").distinct()
+    # half of the smaller tag set is one tag at least, so entries meet by a tag too, and a common pattern is no hot key alone
+    tagged = lambda df: df.withColumn("pattern", F.explode("scope")).withColumn("tag", F.explode(F.array_distinct(F.transform("tags", F.lower))))
+    left = tagged(candidates).select("id", "type", F.col("title").alias("a"), F.col("tags").alias("ta"), "pattern", "tag")
+    right = tagged(approved).select(F.col("id").alias("match"), "type", F.col("title").alias("b"), F.col("tags").alias("tb"), "order_key", "pattern", "tag")
+    pairs = left.join(right, ["type", "pattern", "tag"]).filter(tag_overlap(F.col("ta"), F.col("tb")) >= TAG_OVERLAP).drop("pattern", "tag", "ta", "tb").distinct()
     pairs = pairs.withColumn("sa", sorted_tokens(F.col("a"))).withColumn("sb", sorted_tokens(F.col("b")))
     close = may_reach(F.col("sa"), F.col("sb"), TITLE_RATIO)
     ratio = indel_ratio(F.when(close, F.col("sa")), F.when(close, F.col("sb")))
@@ -66,6 +68,20 @@ def contradictions(candidates: DataFrame, approved: DataFrame) -> DataFrame:
     return apart.groupBy("id").agg(F.min_by("match", "order_key").alias("match"))
 
 
+def staged_entries(entries: DataFrame, done: DataFrame, model: str | None, at) -> tuple[DataFrame, DataFrame]:
+    """What a batch stages and what it logs, of entries (store columns and body) and their outcomes.
+
+    Entries carry the proposal of their outcome; those that a tombstone stops are not staged, and logged as dropped
+    by that gate. Every candidate gives one log row, with the model that made it.
+    """
+    rows = entries.join(done, "id")
+    proposal = {"proposed_amendment_of": "amendment", "proposed_supersession_of": "supersession"}
+    staged = rows.filter("outcome != 'dropped'").withColumns({c: F.when(F.col("outcome") == o, F.col("match")) for c, o in proposal.items()}).drop("outcome", "match")
+    dropped = F.col("outcome") == "dropped"
+    log = rows.select(at.alias("ts"), F.col("id").alias("candidate_id"), "type", "title", F.when(dropped, "gate_drop").otherwise("staged").alias("action"), F.when(dropped, "tombstone").alias("reason"), F.col("evidence.session_id").alias("session_id"), F.col("evidence.harness").alias("harness"), F.lit(model).cast("string").alias("model"), F.array().cast("array<string>").alias("edited_fields"))
+    return staged, log
+
+
 def outcomes(candidates: DataFrame, approved: DataFrame, staged: DataFrame, stones: DataFrame, on: list[str] = ()) -> DataFrame:
     """(id, outcome, match) of a batch: dropped, amendment, supersession or new, in this order of tests.
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sessionloom.functions.similarity import title_overlap, title_pairs
-from sessionloom.functions.text import claim_headings
+from sessionloom.functions.similarity import title_pairs
+from sessionloom.functions.text import claim_headings, strip
+from sessionloom.operators.extract import CRITERIA
 from sessionloom.operators.stats import rate
 
 #: Overlap from which a candidate matches a gold title or repeats a known one (fixed value).
@@ -20,9 +21,10 @@ def gold_matches(candidates: DataFrame, gold: DataFrame, least: float = OVERLAP)
     Pairs are (fixture, pos, title) on both sides. The fold over a fixture's sorted pairs carries what is taken; a
     fixture is one session, so its pairs are few.
     """
-    left = candidates.filter(F.trim("title") != "").select("fixture", F.col("pos").alias("cand"), F.col("title").alias("a"))
-    right = gold.filter(F.trim("title") != "").select("fixture", F.col("pos").alias("gold"), F.col("title").alias("b"))
-    pairs = left.join(right, "fixture").withColumn("score", title_overlap(F.col("a"), F.col("b")).cast("double")).filter(F.col("score") >= least)
+    left = candidates.filter(strip(F.col("title")) != "").select("fixture", F.col("pos").alias("cand"), F.col("title").alias("a"))
+    right = gold.filter(strip(F.col("title")) != "").select("fixture", F.col("pos").alias("gold"), F.col("title").alias("b"))
+    titles = title_pairs(candidates, gold, least, ["fixture"])
+    pairs = left.join(titles, ["fixture", "a"]).join(right, ["fixture", "b"]).withColumn("score", F.col("score").cast("double"))
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), F.col("cand").cast("long").alias("cand"), F.col("gold").cast("long").alias("gold"))))
     kind = "array<struct<cand:bigint,gold:bigint,score:double>>"
 
@@ -35,7 +37,7 @@ def gold_matches(candidates: DataFrame, gold: DataFrame, least: float = OVERLAP)
 
 
 def evidence_backed(session: Column, artifacts: Column, excerpt_hash: Column) -> Column:
-    return (F.coalesce(session, F.lit("")) != "") & (F.exists(artifacts, lambda a: F.trim(a) != "") | (F.coalesce(excerpt_hash, F.lit("")) != ""))
+    return (F.coalesce(session, F.lit("")) != "") & (F.exists(artifacts, lambda a: strip(a) != "") | (F.coalesce(excerpt_hash, F.lit("")) != ""))
 
 
 def atomic(body: Column) -> Column:
@@ -49,10 +51,44 @@ def non_redundant(candidates: DataFrame, known: DataFrame, least: float = OVERLA
 
 
 def repeats_earlier(candidates: DataFrame, least: float = OVERLAP) -> DataFrame:
-    """(fixture, pos) of candidates that overlap an earlier one of their fixture."""
-    a = candidates.select("fixture", "pos", F.col("title").alias("ta"))
-    b = candidates.select("fixture", F.col("pos").alias("before"), F.col("title").alias("tb"))
-    return a.join(b, (a["fixture"] == b["fixture"]) & (F.col("before") < F.col("pos")) & (title_overlap(F.col("ta"), F.col("tb")) >= least), "left_semi").select("fixture", "pos")
+    """(fixture, pos) of candidates that overlap an earlier one of their fixture. Blank titles are not compared."""
+    first = candidates.groupBy("fixture", F.col("title").alias("b")).agg(F.min("pos").alias("before"))
+    earliest = title_pairs(candidates, candidates, least, ["fixture"]).join(first, ["fixture", "b"]).groupBy("fixture", F.col("a").alias("title")).agg(F.min("before").alias("before"))
+    return candidates.select("fixture", "pos", "title").join(earliest, ["fixture", "title"]).filter("before < pos").select("fixture", "pos")
+
+
+def fixture_records(candidates: DataFrame, gold: DataFrame, known: DataFrame | None = None, least: float = OVERLAP) -> DataFrame:
+    """A scoring record for each candidate of each fixture: seven criteria, the gold title it matched, and what counts.
+
+    Candidates are (fixture, pos, id, type, title, body, valid, session_id, artifacts, excerpt_sha256, the judge's
+    criteria as booleans, judge_error); gold is (fixture, pos, title), known (title). Two criteria are checked by
+    rule, one by title overlap with known and earlier candidates, four by the judge. A candidate whose judge failed
+    passes none of its four and not all, and keeps the other checks.
+    """
+    matched = gold_matches(candidates, gold, least).join(gold.select("fixture", F.col("pos").alias("gold"), F.col("title").alias("matched_gold_title")), ["fixture", "gold"]).select("fixture", F.col("cand").alias("pos"), "matched_gold_title")
+    twice = repeats_earlier(candidates, least)
+    if known is not None:
+        hits = title_pairs(candidates, known, least).select(F.col("a").alias("title")).distinct()
+        twice = twice.unionByName(candidates.join(hits, "title", "left_semi").select("fixture", "pos")).distinct()
+    rows = candidates.join(matched, ["fixture", "pos"], "left").join(twice.withColumn("duplicate", F.lit(True)), ["fixture", "pos"], "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
+    judged = F.lit(True)
+    for c in CRITERIA:
+        judged = judged & F.coalesce(F.col(c), F.lit(False))
+    rows = rows.withColumn("evidence_backed", evidence_backed(F.col("session_id"), F.col("artifacts"), F.col("excerpt_sha256"))).withColumn("atomic", atomic(F.col("body")))
+    rows = rows.withColumn("passed", F.col("evidence_backed") & F.col("atomic") & ~F.col("duplicate") & judged & F.col("judge_error").isNull()).withColumn("matched", F.col("matched_gold_title").isNotNull())
+    return rows.withColumn("counts", F.col("matched") & F.col("passed"))
+
+
+def metrics(row) -> dict:
+    """Of one row of metric_counts: each metric as rate (None without a denominator), numerator and denominator."""
+    pairs = {"schema_validity": (row.valid, row.candidates), "precision": (row.good, row.candidates), "recall": (row.matched, row.gold), "duplicate_rate": (row.duplicates, row.candidates), "all_criteria_pass_rate": (row.passed, row.candidates)}
+    return {k: {"rate": n / d if d else None, "numerator": n, "denominator": d} for k, (n, d) in pairs.items()} | {"judge_errors": row.judge_errors}
+
+
+def metric_counts(records: DataFrame, gold: DataFrame) -> DataFrame:
+    """One row: what the metrics count over all fixtures' records."""
+    n = gold.agg(F.count(F.lit(1)).alias("gold"))
+    return records.agg(F.count(F.lit(1)).alias("candidates"), *(F.count_if(c).alias(a) for c, a in (("valid", "valid"), ("counts", "good"), ("matched", "matched"), ("duplicate", "duplicates"), ("passed", "passed"))), F.count_if(F.col("judge_error").isNotNull()).alias("judge_errors")).join(F.broadcast(n))
 
 
 def summary(records: DataFrame, gold: DataFrame) -> DataFrame:

@@ -77,9 +77,15 @@ def merge_spans(spans: DataFrame) -> DataFrame:
     return merged.select("session_id", "start", "end", "first.reason", "first.signal", "first.ord")
 
 
+def turn_text(results: str = "results") -> Column:
+    """A turn's content and every tool result's output that is not null, joined by line ends."""
+    return F.concat_ws("\n", "content", F.transform(results, lambda r: r["output"]))
+
+
 def salient_spans(turns: DataFrame, events: DataFrame | None = None, longest: int = MAX_TRANSITION, retry=RETRY_PHRASES, reversal=REVERSAL_PHRASES) -> DataFrame:
-    """All spans worth reading, merged."""
-    events = test_events(turns) if events is None else events
+    """All spans worth reading, merged. Tests are looked for in content and tool results, phrases in content alone."""
+    if events is None:
+        events = test_events(turns.withColumn("all_text", turn_text()), "all_text") if "results" in turns.columns else test_events(turns)
     raw = error_spans(turns).unionByName(phrase_spans(turns, retry, reversal)).unionByName(transition_spans(events, longest))
     return merge_spans(raw)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionloom.functions.text import strip
+
 HUMAN, EXTRACTION, APPROVALS = ("approve", "approve_with_edit", "merge", "reject", "skip"), ("staged", "gate_drop"), ("approve", "approve_with_edit", "merge")
 
 
@@ -21,7 +23,7 @@ def review_stats(log: DataFrame) -> DataFrame:
 
 def histogram(rows: DataFrame, column: str, label: str) -> DataFrame:
     """(label, n) by falling count, then label; nulls have the given label."""
-    return rows.groupBy(F.coalesce(F.nullif(F.trim(column), F.lit("")), F.lit(label)).alias("label")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label")
+    return rows.groupBy(F.coalesce(F.nullif(strip(F.col(column)), F.lit("")), F.lit(label)).alias("label")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label")
 
 
 def model_attribution(log: DataFrame) -> DataFrame:

@@ -574,4 +574,4 @@ def model_extract_stub(spark, d):
 def judge_stub(spark, d):
     """Rule candidates judged by a fixed judge."""
     rows = extract.rule_candidates(_errors(spark, d), extract.touched_files(_diffs(spark, d)))
-    return extract.judged(rows.select("id", "body"), lambda p: {"grounded": True, "actionable": "click" in p, "general": False, "correct": True})
+    return extract.judged(rows.select("id", "body"), lambda p: {"actionable": "click" in p, "project_specific": True, "stable": False, "future_useful": True} | {f"{n}_reason": "fixed" for n in extract.CRITERIA})

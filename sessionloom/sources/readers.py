@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sessionloom.functions.schema import TYPES
+from sessionloom.functions.text import strip
 from sessionloom.operators import normalize
 
 TRACE = "session_id string, harness string, started_at string, ended_at string, outcome string, commit string, turns array<struct<role:string,content:string,tool_calls:array<struct<name:string,input:variant>>,tool_results:array<struct<name:string,output:variant,is_error:boolean>>>>, errors array<string>, diffs array<struct<file:string,patch:string>>"
@@ -17,9 +19,6 @@ JOB = "session_id string, transcript_path string, harness string, enqueued_at st
 TOMBSTONE = "id string, title string, reason string, excerpt_sha256 string"
 GOLD = "title string, type string, scope array<string>, tags array<string>, confidence string, body string"
 CANDIDATE = "id string, type string, title string, artifacts array<string>, scope array<string>, tags array<string>, confidence string, body string"
-#: Domains of the enumerated columns (fixed values; the order of types is the scan order).
-TYPES, STATUSES, CONFIDENCES = ("strategy", "gotcha", "fact"), ("staged", "approved", "rejected", "superseded", "archived"), ("low", "medium", "high")
-ACTIONS = ("approve", "approve_with_edit", "merge", "reject", "skip", "staged", "gate_drop")
 
 
 def _names(schema: str) -> list[str]:
@@ -32,7 +31,7 @@ def closed(raw: Column, schema: str) -> Column:
     return keys.isNotNull() & (F.size(F.array_except(keys, F.array(*map(F.lit, _names(schema))))) == 0)
 
 
-def whole_files(spark: SparkSession, path: str) -> DataFrame:
+def whole_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, value): each file as one row."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
 
@@ -57,49 +56,46 @@ def array_transcripts(spark: SparkSession, path: str) -> DataFrame:
 TRANSCRIPTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"jsonl": jsonl_transcripts, "array": array_transcripts}
 
 
-def transcripts(spark: SparkSession, path: str, kind: str) -> DataFrame:
+def transcripts(spark: SparkSession, path: str | list[str], kind: str) -> DataFrame:
     if kind not in TRANSCRIPTS:
         raise ValueError(f"unknown kind of transcript: {kind}")
     return TRANSCRIPTS[kind](spark, path)
 
 
 def traces(spark: SparkSession, path: str) -> DataFrame:
-    """Canonical session traces; a file with unknown keys or without the required ones is an error."""
-    files = whole_files(spark, path)
-    row = F.from_json("value", TRACE)
-    required = F.array(*(F.lit(k) for k in ("session_id", "harness", "started_at", "ended_at", "outcome")))
-    good = closed(F.col("value"), TRACE) & (F.size(F.array_except(required, F.json_object_keys("value"))) == 0)
-    return files.select(F.when(F.coalesce(good, F.lit(False)), row).otherwise(F.raise_error(F.concat(F.lit("not a session trace: "), F.col("file")))).alias("t")).select("t.*")
+    """Canonical session traces. A file that lacks a required field, or has an unknown or mistyped one at any depth, is an error."""
+    import json
 
-
-def entries(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
-    """Markdown entries with a YAML head, one per file; invalid ones are an error, or go if tolerant."""
     import pandas as pd
 
-    fields = "id string, type string, title string, status string, spec_version string, scope array<string>, tags array<string>, confidence string, session_id string, excerpt_sha256 string, artifacts array<string>, created string, updated string, proposed_amendment_of string, proposed_supersession_of string"
-
-    columns = ["file", *_names(fields), "body"]
-
-    def parse(batches):
-        import yaml
+    from sessionloom.functions import schema
 
+    def check(batches):
         for pdf in batches:
-            out = []
             for file, text in zip(pdf["file"], pdf["value"], strict=True):
                 try:
-                    _, head, body = text.split("---\n", 2)
-                    m = yaml.safe_load(head)
-                    ev = m.get("evidence") or {}
-                    missing = [k for k in ("id", "type", "title", "status", "spec_version", "confidence", "evidence", "created", "updated") if m.get(k) is None]
-                    if missing or m["type"] not in TYPES or m["status"] not in STATUSES or m["confidence"] not in CONFIDENCES:
-                        raise ValueError(f"missing or out of domain: {missing}")
-                    out.append((file, m["id"], m["type"], m["title"], m["status"], m["spec_version"], m.get("scope") or [], m.get("tags") or [], m["confidence"], ev.get("session_id"), ev.get("excerpt_sha256"), ev.get("artifacts") or [], str(m["created"]), str(m["updated"]), m.get("proposed_amendment_of"), m.get("proposed_supersession_of"), body.lstrip("\n")))
-                except Exception as e:
-                    if not tolerant:
-                        raise ValueError(f"invalid entry {file}: {e}") from None
-            yield pd.DataFrame(out, columns=columns)
-
-    rows = whole_files(spark, path).mapInPandas(parse, f"file string, {fields}, body string")
+                    wrong = schema.problems(json.loads(text), schema.TRACE)
+                except ValueError as e:
+                    wrong = [str(e)]
+                if wrong:
+                    raise ValueError(f"not a session trace: {file}: {'; '.join(wrong)}")
+            yield pd.DataFrame({"value": pdf["value"]})
+
+    return whole_files(spark, path).mapInPandas(check, "value string").select(F.from_json("value", TRACE).alias("t")).select("t.*")
+
+
+def entries(spark: SparkSession, path: str, tolerant: bool = False, status: str | None = None) -> DataFrame:
+    """Markdown entries with a YAML head, one per file, all their fields and the body; invalid ones are an error, or go if
+    tolerant. With `status` only entries of it. file_name, type_ord and the evidence's main fields stand beside."""
+    from sessionloom.sources import store
+
+    rows = store.validated(whole_files(spark, path))
+    if not tolerant:
+        wrong = F.raise_error(F.concat(F.lit("invalid entry "), "file", F.lit(": "), F.array_join("errors", "; ")))
+        rows = rows.withColumn("entry", F.when(F.size("errors") == 0, F.col("entry")).otherwise(wrong))
+    rows = rows.filter("entry is not null").select("file", "entry.*", "body")
+    rows = rows.withColumns({c: F.col(f"evidence.{c}") for c in ("session_id", "excerpt_sha256", "artifacts")})
+    rows = rows if status is None else rows.filter(F.col("status") == status)
     return rows.withColumn("file_name", F.substring_index("file", "/", -1)).withColumn("type_ord", F.array_position(F.array(*map(F.lit, TYPES)), F.col("type")))
 
 
@@ -122,9 +118,12 @@ def tombstones(spark: SparkSession, path: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, path: str) -> DataFrame:
-    """Gold entries: files with a list of objects, each with a title."""
-    rows = whole_files(spark, path).select("file", F.posexplode(F.from_json("value", f"array<struct<{', '.join(f'{a}:{b}' for a, b in (x.split(' ') for x in GOLD.split(', ')))}>>")).alias("pos", "g")).select("file", "pos", "g.*")
-    return rows.withColumn("title", F.when(F.trim(F.coalesce("title", F.lit(""))) != "", F.col("title")).otherwise(F.raise_error(F.lit("a gold entry has no title"))))
+    """Gold entries: files with a list of objects, each with a title; any other file is an error."""
+    v = F.try_parse_json("value")
+    is_list = F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
+    items = F.when(is_list, F.from_json("value", f"array<struct<{', '.join(f'{a}:{b}' for a, b in (x.split(' ') for x in GOLD.split(', ')))}>>")).otherwise(F.raise_error(F.concat(F.lit("not a list of gold entries: "), F.col("file"))))
+    rows = whole_files(spark, path).select("file", F.posexplode(items).alias("pos", "g")).select("file", "pos", "g.*")
+    return rows.withColumn("title", F.when(strip(F.coalesce("title", F.lit(""))) != "", F.col("title")).otherwise(F.raise_error(F.lit("a gold entry has no title"))))
 
 
 def response_candidates(df: DataFrame, text: str) -> DataFrame:
@@ -135,6 +134,15 @@ def response_candidates(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("candidates", F.coalesce(F.from_json(chosen, shape)["candidates"], F.from_json(F.lit('{"candidates":[]}'), shape)["candidates"]))
 
 
+def response_raw(df: DataFrame, text: str) -> DataFrame:
+    """df with `raw`: the JSON of each candidate in a model's response, tried once more without a code fence; empty if there is no list."""
+    bare = F.regexp_replace(F.regexp_replace(strip(F.col(text)), r"^```(?:json)?[ \t]*\n?", ""), r"\n?```$", "")
+    items = lambda t: F.expr(f"try_variant_get(try_parse_json({t}), '$.candidates', 'array<variant>')")
+    rows = df.withColumn("_bare", bare)
+    found = F.when(F.try_parse_json(F.col(text)).isNotNull(), items(f"`{text}`")).otherwise(items("_bare"))
+    return rows.withColumn("raw", F.coalesce(F.transform(found, lambda x: F.to_json(x)), F.array().cast("array<string>"))).drop("_bare")
+
+
 def fixture_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs (suffix, file) tables on the suffix, numbers first in order; a left row without a partner is an error."""
     joined = left.join(right.withColumnsRenamed({"file": "other"}), "suffix", "left")

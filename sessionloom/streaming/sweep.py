@@ -22,11 +22,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def sweep(spark: SparkSession, queue: str, state: str, handle: Callable[[DataFrame, int], None], dead: str, glob: str = "*.json") -> int:
+def sweep(spark: SparkSession, queue: str, state: str, handle: Callable[[DataFrame, int], None], dead: str, glob: str = "*.json", whole: bool = True) -> int:
     """Drains the job files of `queue` that no earlier sweep with this `state` has seen; returns how many were handled.
 
     `handle` gets good jobs, the latest of each session; it must be idempotent per batch id. Jobs that are not JSON
-    or lack a session, a plain-name session id, or a transcript path are appended to `dead` with the reason.
+    or lack a session, a plain-name session id, or a transcript path are appended to `dead` with the reason. A file
+    is one job, or one in each line if not `whole`.
     """
     handled = 0
 
@@ -44,12 +45,47 @@ def sweep(spark: SparkSession, queue: str, state: str, handle: Callable[[DataFra
         finally:
             rows.unpersist()
 
-    source = spark.readStream.option("pathGlobFilter", glob).text(queue).filter("not endswith(input_file_name(), '.transcript.json') and value != ''")
+    source = spark.readStream.option("pathGlobFilter", glob).text(queue, wholetext=whole).filter("not endswith(input_file_name(), '.transcript.json') and value != ''")
     stream = source.writeStream.foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start()
     stream.awaitTermination()
     return handled
 
 
+def reflected(spark: SparkSession, extract: Callable, write: Callable[[DataFrame, int], None], dead: str, now=None) -> Callable[[DataFrame, int], None]:
+    """A handler for sweep: reads the jobs' transcripts, extracts from their traces, and writes what comes of it.
+
+    `extract` is given a Trace and returns entries. The batch's paths come to the driver, which lists the files of a
+    read anyway. A job whose transcript is missing or of an unknown kind goes to `dead`; it does not stop the others.
+    The commit that was recorded at capture becomes the session's.
+    """
+    from sessionloom.operators import trace
+    from sessionloom.sources.readers import TRANSCRIPTS, transcripts
+
+    made = {"jsonl": trace.of_jsonl, "array": trace.of_array}
+
+    def handle(jobs: DataFrame, k: int) -> None:
+        files = spark._jvm.org.apache.hadoop.fs.Path
+        rows = [r.asDict() for r in jobs.collect()]
+        for r in rows:
+            path = files(r["transcript_path"])
+            kind = r["harness"] or "jsonl"
+            r["why"] = f"unknown kind of transcript: {kind}" if kind not in TRANSCRIPTS else None if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else "no such transcript"
+        if bad := [(r["session_id"], r["why"]) for r in rows if r["why"]]:
+            spark.createDataFrame(bad, "value string, why string").withColumn("batch", F.lit(k)).write.mode("append").json(dead)
+        out = None
+        for kind in made:
+            own = [r for r in rows if not r["why"] and (r["harness"] or "jsonl") == kind]
+            if own:
+                t = made[kind](transcripts(spark, [r["transcript_path"] for r in own], kind), kind, now)
+                commits = spark.createDataFrame([(r["session_id"], r["commit"]) for r in own], "session_id string, commit string")
+                t = trace.replace(t, sessions=t.sessions.drop("commit").join(commits, "session_id", "left"))
+                out = extract(t) if out is None else out.unionByName(extract(t))
+        if out is not None:
+            write(out, k)
+
+    return handle
+
+
 def drain_table(spark: SparkSession, jobs: DataFrame) -> DataFrame:
     """Writes jobs to a queue, sweeps it, and returns (session_id, transcript_path, outcome) of every job."""
     queue, state, dead, done = (shared_folder(spark, n) for n in ("queue", "state", "dead", "done"))
@@ -58,7 +94,7 @@ def drain_table(spark: SparkSession, jobs: DataFrame) -> DataFrame:
     def keep(df: DataFrame, k: int) -> None:
         df.select("session_id", "transcript_path").write.mode("overwrite").parquet(f"{done}/batch={k}")
 
-    sweep(spark, queue, state, keep, dead, "*.txt")
+    sweep(spark, queue, state, keep, dead, "*.txt", whole=False)
     good = spark.read.schema("session_id string, transcript_path string, batch int").parquet(done).select("session_id", "transcript_path", F.lit("handled").alias("outcome"))
     bad = spark.read.schema("value string, why string, batch int").json(dead)
     return good.unionByName(bad.select(F.get_json_object("value", "$.session_id").alias("session_id"), F.lit(None).cast("string").alias("transcript_path"), F.col("why").alias("outcome")))
