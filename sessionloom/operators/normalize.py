@@ -54,18 +54,23 @@ def assigned_turns(records: DataFrame) -> DataFrame:
     return rows.select("session", "ord", "ts", idx.cast("int").alias("idx"), "joins", "role", text.alias("content"), "blocks")
 
 
+def asof_name(is_use: Column, name: Column, keys: list, order: list) -> Column:
+    """The name of the latest use before a row among those with its keys, else `tool`."""
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.last(F.when(is_use, name), ignorenulls=True).over(before), F.lit("tool"))
+
+
 def tool_results(assigned: DataFrame) -> DataFrame:
     """(session, idx, ord, pos, name, is_error, output): results with the latest earlier name of their call id, else `tool`."""
     uses = assigned.select("session", "ord", F.posexplode("blocks").alias("pos", "b")).filter("b.type in ('tool_use', 'tool_result')")
     ident = F.coalesce("b.id", "b.tool_use_id")
-    order = Window.partitionBy("session", "ident").orderBy("ord", "pos").rowsBetween(Window.unboundedPreceding, -1)
-    named = uses.withColumn("ident", ident).withColumn("name", F.last(F.when(F.col("b.type") == "tool_use", F.col("b.name")), ignorenulls=True).over(order))
+    named = uses.withColumn("ident", ident).withColumn("name", asof_name(F.col("b.type") == "tool_use", F.col("b.name"), ["session", "ident"], ["ord", "pos"]))
     turn = assigned.filter("joins").select("session", "ord", "idx")
     text = F.expr("case when schema_of_variant(b.content) = 'STRING' then try_variant_get(b.content, '$', 'string') end")
     inner = F.expr("try_variant_get(b.content, '$', 'array<struct<type:string,text:string>>')")
     output = F.coalesce(text, F.nullif(text_of_blocks(inner), F.lit("")), F.to_json("b.content"))
     rows = named.filter("b.type = 'tool_result'").join(turn, ["session", "ord"])
-    return rows.select("session", "idx", "ord", "pos", F.coalesce("name", F.lit("tool")).alias("name"), F.coalesce("b.is_error", F.lit(False)).alias("is_error"), output.alias("output"))
+    return rows.select("session", "idx", "ord", "pos", "name", F.coalesce("b.is_error", F.lit(False)).alias("is_error"), output.alias("output"))
 
 
 def turns(assigned: DataFrame, results: DataFrame) -> DataFrame:

@@ -6,11 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sessionloom.functions import redaction, similarity, text
 from sessionloom.functions.globs import denied
-from sessionloom.operators import context, curate, evaluate, extract, normalize, review, salience, stats
+from sessionloom.operators import context, curate, evaluate, extract, normalize, review, salience, stats, trace
 from sessionloom.plans import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,10 +117,9 @@ def session_bounds(spark, d):
 @query(f"""WITH {_B} SELECT r.event_id, coalesce('click ' || max(u.event_id), 'tool') AS name FROM b r LEFT JOIN b u ON u.session_id = r.session_id AND u.k % 10 = r.k % 10 AND u.event_type = 'click' AND u.idx < r.idx
 WHERE r.event_type = 'purchase' GROUP BY r.event_id""".replace("'click ' || max(u.event_id)", "'click ' || arg_max(u.event_id, u.idx)"))
 def asof_tool_lookup(spark, d):
-    order = Window.partitionBy("session_id", "test").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     rows = views.event_turns(spark, d).filter("event_type in ('click', 'purchase')")
-    name = F.last(F.when(F.col("event_type") == "click", F.concat(F.lit("click "), F.col("event_id").cast("string"))), ignorenulls=True).over(order)
-    return rows.withColumn("name", F.coalesce(name, F.lit("tool"))).filter("event_type = 'purchase'").select("event_id", "name")
+    name = normalize.asof_name(F.col("event_type") == "click", F.concat(F.lit("click "), F.col("event_id").cast("string")), ["session_id", "test"], ["idx"])
+    return rows.withColumn("name", name).filter("event_type = 'purchase'").select("event_id", "name")
 
 
 def _errors(spark, d) -> DataFrame:
@@ -575,3 +573,96 @@ def judge_stub(spark, d):
     """Rule candidates judged by a fixed judge."""
     rows = extract.rule_candidates(_errors(spark, d), extract.touched_files(_diffs(spark, d)))
     return extract.judged(rows.select("id", "body"), lambda p: {"actionable": "click" in p, "project_specific": True, "stable": False, "future_useful": True} | {f"{n}_reason": "fixed" for n in extract.CRITERIA})
+
+
+@query("""SELECT p_partkey FROM part WHERE p_size % 3 <> 0 AND (starts_with(p_brand, 'Brand#1') OR p_size % 5 = 0)""")
+def entries_in_scope(spark, d):
+    """Parts whose scope patterns match a path; some have none, some a set of characters, some an unclosed one."""
+    brand = F.concat(F.substring("p_brand", 1, 7), F.lit("*"))
+    scope = F.when(F.col("p_size") % 3 == 0, F.array().cast("array<string>")).when(F.col("p_size") % 5 == 0, F.array(F.lit("x"), F.lit("[!a-z]rand#[0-3]?/*"))).otherwise(F.array(brand, F.lit("Brand[")))
+    return context.in_scope(views.table(spark, d, "part").withColumn("scope", scope), "Brand#13/a").select("p_partkey")
+
+
+@query("""SELECT doc_id, concat_ws('; ', CASE WHEN doc_id % 5 = 0 THEN 'more: unknown field' END, CASE WHEN doc_id % 2 = 0 THEN 'id: missing' END, 'type: not one of strategy, gotcha, fact',
+  CASE WHEN doc_id % 3 = 0 THEN 'tags.0: not of kind str' END, CASE WHEN doc_id % 7 <> 0 THEN 'confidence: not one of low, medium, high' END) AS errors FROM documents""")
+def candidate_errors(spark, d):
+    """Candidates with wrong fields, and what is wrong with each."""
+    from sessionloom.sources.store import checked_candidates
+
+    when = lambda q, c: F.when(F.expr(q), c)
+    raw = F.to_json(F.struct(when("doc_id % 5 = 0", F.lit(1)).alias("more"), when("doc_id % 2 = 1", F.col("source")).alias("id"), F.col("lang").alias("type"), F.col("source").alias("title"), when("doc_id % 3 = 0", F.array(F.lit(3))).alias("tags"), F.when(F.expr("doc_id % 7 = 0"), "low").otherwise("some").alias("confidence"), F.lit("b").alias("body")))
+    rows = checked_candidates(views.table(spark, d, "documents").select("doc_id", raw.alias("raw")))
+    return rows.select("doc_id", F.array_join("errors", "; ").alias("errors"))
+
+
+@query(f"WITH {_REV} SELECT count(*) FILTER (action = 'approve') AS approved, count(*) FILTER (action = 'reject') AS rejected, count(*) FILTER (action = 'skip') AS skipped, count(*) FILTER (action = 'skip') AS remaining FROM r")
+def review_summary(spark, d):
+    return review.summary(_review(spark, d)[0])
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'merged into old-' || doc_id % 50 + 1 END AS reason, CASE WHEN doc_id % 4 = 1 THEN 'title,body' ELSE '' END AS edited, CASE WHEN doc_id % 4 = 1 THEN 'new ' || lang ELSE lang END AS title
+FROM documents WHERE doc_id % 4 <= 1""")
+def merges_and_edits(spark, d):
+    """Documents as staged entries, a quarter of them merged into parts, a quarter edited and approved."""
+    docs = views.table(spark, d, "documents")
+    staged = docs.select(F.col("doc_id").cast("string").alias("id"), F.lit("fact").alias("type"), F.col("lang").alias("title"), F.col("source").alias("body"), F.lit(None).cast("string").alias("proposed_amendment_of"))
+    action = F.when(F.col("doc_id") % 4 == 0, "merge").otherwise("approve_with_edit")
+    edit = F.struct(F.concat(F.lit("new "), "lang").alias("title"), F.concat("source", F.lit(" more")).alias("body"))
+    decisions = docs.filter("doc_id % 4 <= 1").select(F.col("doc_id").cast("string").alias("id"), action.alias("action"), F.lit(None).cast("string").alias("reason"), F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("old-"), (F.col("doc_id") % 50 + 1).cast("string"))).alias("merge_into"), F.when(F.col("doc_id") % 4 == 1, edit).alias("edited"))
+    approved = views.table(spark, d, "part").select(F.concat(F.lit("old-"), F.col("p_partkey").cast("string")).alias("id"), F.lit("fact").alias("type"))
+    log = review.log_rows(review.decided(staged, decisions, approved).filter("action != 'skip'"), F.lit("2024-02-03").cast("timestamp"))
+    return log.select(F.col("candidate_id").cast("long").alias("doc_id"), "reason", F.array_join("edited_fields", ",").alias("edited"), "title")
+
+
+@query(f"""WITH {_CUR} SELECT c.id AS candidate_id, CASE WHEN d.id IS NULL THEN 'staged' ELSE 'gate_drop' END AS action, CASE WHEN d.id IS NOT NULL THEN 'tombstone' END AS reason FROM cand c LEFT JOIN dead d USING (id)""")
+def staging_log(spark, d):
+    cand, approved, staged, stones = _curation(spark, d)
+    entries = cand.withColumn("evidence", F.struct(F.lit("s").alias("session_id"), F.lit("h").alias("harness")))
+    _, log = curate.staged_entries(entries, curate.outcomes(cand, approved, staged, stones), "rules", F.lit("2024-02-03").cast("timestamp"))
+    return log.select("candidate_id", "action", "reason")
+
+
+@query(f"""WITH RECURSIVE {_FIX} SELECT x.fixture, x.pos, m.cand IS NOT NULL AS matched,
+  EXISTS (SELECT 1 FROM (SELECT x.title AS a, y.title AS b FROM f y WHERE y.fixture = x.fixture AND y.size <= 25 AND y.pos < x.pos) WHERE {_OVER} >= 0.6) AS duplicate, x.pos % 2 = 0 AS atomic FROM f x LEFT JOIN m ON m.fixture = x.fixture AND m.cand = x.pos WHERE x.size <= 25""")
+def fixture_records(spark, d):
+    """Parts as fixtures' candidates, each with its scoring record."""
+    cand, gold = _fixtures(spark, d)
+    body = F.when(F.col("pos") % 2 == 0, "## One\n\ntext").otherwise("```\n## none\n```")
+    cand = cand.select("fixture", "pos", F.col("pos").cast("string").alias("id"), F.lit("fact").alias("type"), "title", body.alias("body"), F.lit(True).alias("valid"), F.lit("s").alias("session_id"), F.array(F.lit("a")).alias("artifacts"), F.lit("").alias("excerpt_sha256"), *(F.lit(True).alias(c) for c in extract.CRITERIA), F.lit(None).cast("string").alias("judge_error"))
+    return evaluate.fixture_records(cand, gold).select("fixture", "pos", "matched", "duplicate", "atomic")
+
+
+def _event_trace(spark, d) -> trace.Trace:
+    """Each user's events as a trace: errors and purchases are tool results, some without output; the rest are changes."""
+    turns = views.event_turns(spark, d)
+    sessions = normalize.bounds(turns.withColumnRenamed("session_id", "session"), F.current_timestamp()).select(F.col("session").alias("session_id"), F.lit("h").alias("harness"), "started_at", "ended_at", F.lit("c0").alias("commit"))
+    output = F.when(F.col("k") % 2 == 0, F.concat(F.lit("bad click.py "), F.col("test").cast("string")))
+    results = turns.filter("event_type in ('error', 'purchase')").select("session_id", "idx", F.lit(0).alias("pos"), F.col("event_type").alias("name"), "is_error", output.alias("output"))
+    return trace.Trace(sessions, turns.select("session_id", "idx", "role", "content"), results, turns.select("session_id", F.lit(0).cast("long").alias("ord"), F.lit("").alias("error")).limit(0), _diffs(spark, d).withColumn("patch", F.lit("")))
+
+
+@query(f"""WITH {_B}, e AS (SELECT session_id, CASE WHEN k % 2 = 0 THEN 'bad click.py ' || k % 10 ELSE 'error failed' END AS error, min(idx) AS ord FROM b WHERE is_error GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ord) AS n FROM e), c AS (SELECT DISTINCT session_id FROM b WHERE event_type = 'click'), m AS (SELECT session_id, max(ts) AS ended FROM b GROUP BY session_id)
+SELECT n.session_id, 'gotcha-' || substr(sha256(n.session_id || ':' || error), 1, 6) AS id, error AS title, CASE WHEN c.session_id IS NOT NULL AND contains(error, 'click.py') THEN 'click.py' ELSE '' END AS artifacts, strftime(ended, '%Y-%m-%dT%H:%M:%S.%fZ') AS captured_at, 'c0' AS "commit"
+FROM n JOIN m USING (session_id) LEFT JOIN c ON c.session_id = n.session_id WHERE n <= 3""")
+def rule_entries(spark, d):
+    """The rule extractor over whole traces, with the evidence of its entries."""
+    t = _event_trace(spark, d)
+    rows = extract.rule_entries(trace.replace(t, diffs=extract.touched_files(t.diffs)))
+    return rows.select("session_id", "id", "title", F.array_join("evidence.artifacts", ",").alias("artifacts"), "evidence.captured_at", "evidence.commit")
+
+
+@query(f"""SELECT page_id, {_PATH} AS file, '+ [REDACTED:assignment]' AS patch FROM pages WHERE NOT regexp_matches({_PATH}, '^en/.*$')""")
+def trace_redaction(spark, d):
+    """Pages as changed files with a secret in each patch: denied ones go, the others are redacted."""
+    pages = views.table(spark, d, "pages").select(F.col("page_id").alias("session_id"), F.lit(0).alias("idx"), F.regexp_replace("url", "^[a-z]+://[^/]*/?", "").alias("file"), F.concat(F.lit("+ password="), F.substring(F.sha2("url", 256), 1, 20)).alias("patch"))
+    none = pages.select("session_id", "idx", F.lit("").alias("role"), F.lit("").alias("content")).limit(0)
+    results = none.select("session_id", "idx", F.lit(0).alias("pos"), F.lit("").alias("name"), F.lit(False).alias("is_error"), F.lit("").alias("output"))
+    t = trace.Trace(pages.select("session_id"), none, results, none.select("session_id", F.lit(0).alias("ord"), F.lit("").alias("error")), pages.select("session_id", F.col("idx").alias("ord"), "file", "patch"))
+    return trace.redacted(t, ["en/**"]).diffs.select(F.col("session_id").alias("page_id"), "file", "patch")
+
+
+@query(f"""WITH {_B} SELECT session_id, idx, '[' || idx || '] tool: ' || event_type || CASE WHEN event_type IN ('error', 'purchase') THEN chr(10) || '    tool_result(' || event_type || CASE WHEN is_error THEN ', error): ' ELSE ', ok): ' END || CASE WHEN k % 2 = 0 THEN 'bad click.py ' || k % 10 ELSE 'None' END ELSE '' END AS line FROM b""")
+def rendered_turns(spark, d):
+    """Turns as an excerpt shows them, with their tool results."""
+    return _event_trace(spark, d).turn_rows().select("session_id", "idx", salience.render_turn("results").alias("line"))
