@@ -474,7 +474,7 @@ def decisions_applied(spark, d):
     return rows.select("id", "action", "target")
 
 
-@query(f"""WITH {_REV}, notes AS (SELECT target AS id, string_agg(chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Amendment (2024-02-03, approved by me)' || chr(10) || chr(10) || body || chr(10), '' ORDER BY id) AS notes FROM r WHERE target IS NOT NULL GROUP BY target)
+@query(f"""WITH {_REV}, notes AS (SELECT target AS id, string_agg(chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Amendment (2024-02-03, approved by me)' || chr(10) || chr(10) || body, '' ORDER BY id) || chr(10) AS notes FROM r WHERE target IS NOT NULL GROUP BY target)
 SELECT id, title, sha256(body) AS body_sha256 FROM (SELECT 'old-' || p_partkey AS id, p_name AS title, p_type || coalesce(notes, '') AS body FROM part LEFT JOIN notes ON notes.id = 'old-' || p_partkey
 UNION ALL SELECT id, title, body FROM r WHERE action = 'approve' AND target IS NULL)""")
 def amendments(spark, d):
