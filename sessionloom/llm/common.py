@@ -66,15 +66,24 @@ def written(df: DataFrame, name: str, block_bytes: int = 32 << 20) -> DataFrame:
 HOT_SHARE = 1000
 
 
-def hot_cold_join(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+def hot_cold_join(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str, how: str = "inner", spread: list[str] = ()) -> DataFrame:
     """rows joined with lookup on keys (inner or left), where lookup has each key once, and how many of the rows have it.
 
     Fewer than HOT_SHARE keys have more than one row in HOT_SHARE, whatever the data: these are broadcast, so that no
-    task gets a hot key's rows; the others are joined as usual. Both tables are read twice: pin what is costly.
+    task gets a hot key's rows; the others are joined as usual. Both tables are read twice: pin what is costly. With
+    `spread`, columns that tell rows apart, rows are read once: those with a hot key go through the other join, too, but
+    by a hash of these columns, and keep what the broadcast gave them.
     """
     total = lookup.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
     is_hot = F.col(weight) * HOT_SHARE > F.lit(total)
     hot, cold = F.broadcast(lookup.filter(is_hot).drop(weight)), lookup.filter(~is_hot).drop(weight)
+    if spread:
+        values, last = [c for c in cold.columns if c not in keys], keys[-1]
+        near = rows.join(F.broadcast(hot.withColumnsRenamed({v: f"_hot_{v}" for v in values}).withColumn("_hit", F.lit(True))), keys, "left")
+        near = near.withColumn("_key", F.when(F.col("_hit"), F.xxhash64(*spread).cast(rows.schema[last].dataType)).otherwise(F.col(last)))
+        both = near.join(cold.withColumnRenamed(last, "_key").withColumn("_found", F.lit(True)), [*keys[:-1], "_key"], "left")
+        both = both if how == "left" else both.filter("_hit or _found")
+        return both.select(*rows.columns, *(F.when(F.col("_hit"), F.col(f"_hot_{v}")).otherwise(F.col(v)).alias(v) for v in values))
     return rows.join(hot, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how))
 
 

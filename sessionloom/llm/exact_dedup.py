@@ -50,7 +50,7 @@ def block_identity(df: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES)
     both = f"transform({cut}, b -> named_struct('f1', xxhash64({seed}, 1, b), 'f2', xxhash64({seed}, 2, b)))"
     light = pinned(rows.select(*[c for c in df.columns if c != text_col], F.monotonically_increasing_id().alias("row_id"), F.sha2("norm", 256).alias("text_sha256"), "n_blocks", F.expr(both).alias("prints")))
     level = light.select("row_id", "n_blocks", F.posexplode("prints").alias("pos", "p")).select("row_id", "n_blocks", "pos", "p.f1", "p.f2")
-    level = pinned(hot_cold_join(level, names, ["f1", "f2"], "k").select("row_id", "n_blocks", "pos", "name"))
+    level = pinned(hot_cold_join(level, names, ["f1", "f2"], "k", spread=["row_id", "pos"]).select("row_id", "n_blocks", "pos", "name"))
     most, width, done = level.agg(F.max("n_blocks")).first()[0] or 1, 1, []
     while width < most:
         done.append(level.filter(F.col("n_blocks") <= width))
@@ -58,7 +58,7 @@ def block_identity(df: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES)
         # the second of a lone last name is 0, which no name is
         halves = [F.sum(F.when(F.col("pos") % 2 == k, F.col("name")).otherwise(0)).alias(c) for k, c in ((0, "a"), (1, "b"))]
         pairs = pinned(pair.agg(*halves))
-        level = pinned(hot_cold_join(pairs, pinned(_named(pairs, ["a", "b"])), ["a", "b"], "k").select("row_id", "n_blocks", "pos", "name"))
+        level = pinned(hot_cold_join(pairs, pinned(_named(pairs, ["a", "b"])), ["a", "b"], "k", spread=["row_id", "pos"]).select("row_id", "n_blocks", "pos", "name"))
         width *= 2
     final = level.filter(F.col("n_blocks") <= width)
     for x in done:
@@ -73,9 +73,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     Null texts count as empty, so they equal each other and empty texts. An empty table gives an empty result.
     """
     named = block_identity(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", block_bytes)
-    named = pinned(named)
     groups = pinned(named.groupBy("n_blocks", "name").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).withColumn("k", F.col("group_size")))
-    joined = hot_cold_join(named, groups, ["n_blocks", "name"], "k")
+    joined = hot_cold_join(named, groups, ["n_blocks", "name"], "k", spread=["row_id"])
     return joined.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
