@@ -18,6 +18,17 @@ from sessionloom.llm.jaccard_join import jaccard_components
 from sessionloom.llm.langid import identify, learned
 
 
+#: Rows of the batches that Spark hands to Python workers: whole documents, of which the default holds 10,000.
+BATCH_ROWS = 2000
+
+
+def _batches(spark: SparkSession) -> None:
+    """Keeps what a task and its worker hold of a batch small, for this session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs less the dropped ids. They are written first, so that the join is planned by their true size."""
     return docs.join(written(dropped.select("doc_id").distinct(), "dropped"), "doc_id", "left_anti").select(*docs.columns)
@@ -25,6 +36,7 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what has a language: documents without a letter go."""
+    _batches(spark)
     others = [c for c in docs.columns if c != "doc_id"]
     return identify(docs, learned(docs), keep=others).filter("lang_pred != 'und'").select(*docs.columns)
 
@@ -36,6 +48,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies."""
+    _batches(spark)
     return _without(docs, jaccard_components(docs).filter("doc_id != component_id"))
 
 
@@ -45,11 +58,13 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, and whether they decode to the text."""
+    """Token ids of what is left, and whether they decode to the text. The ids are written in between, so that no task
+    holds two Python workers."""
     import public_tokenizers
 
+    _batches(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    done = decode(encode(docs, path, public_tokenizers.PATTERN), path)
+    done = decode(written(encode(docs, path, public_tokenizers.PATTERN), "ids"), path)
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
