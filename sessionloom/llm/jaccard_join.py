@@ -282,3 +282,18 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+word AS (SELECT r, len(words) AS n, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS word FROM d),
+s AS (SELECT DISTINCT r, x FROM (SELECT r, n, i, string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS x FROM word) WHERE i <= greatest(n - 4, 1)),
+sets AS (SELECT r, list(x ORDER BY x) AS shingles FROM s GROUP BY r),
+c AS (SELECT min(r) AS k, len(shingles) AS n, min(doc_id) AS least, list(r) AS members FROM sets JOIN d USING (r) GROUP BY shingles),
+e AS (SELECT k, n, x FROM c JOIN s ON s.r = c.k),
+link AS (SELECT a.k AS a, b.k AS b FROM e a JOIN e b ON a.x = b.x AND a.k <> b.k AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n GROUP BY a.k, b.k HAVING 180 * count(*) >= 80 * (any_value(a.n) + any_value(b.n))),
+reach AS (SELECT k, k AS at FROM c UNION SELECT reach.k, link.b FROM reach JOIN link ON link.a = reach.at),
+comp AS (SELECT reach.k, min(o.least) AS component_id FROM reach JOIN c o ON o.k = reach.at GROUP BY reach.k),
+per AS (SELECT r, n, component_id FROM (SELECT k, n, unnest(members) AS r FROM c) JOIN comp USING (k))
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM d LEFT JOIN per USING (r)
+"""

@@ -18,6 +18,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_substring_dedup": substring_dedup.OP1_SQL,
+    "op2_warc": warc.OP2_SQL,
+    "op3_jaccard_join": jaccard_join.OP3_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }

@@ -94,3 +94,15 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     done = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("spans").cast("long").alias("n_spans"))
+
+
+OP1_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+word AS (SELECT r, len(words) AS n, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS word FROM d),
+win AS (SELECT r, i, w FROM (SELECT r, n, i, string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS w FROM word) WHERE i <= n - 34),
+again AS (SELECT r, i FROM win JOIN (SELECT w FROM win GROUP BY w HAVING count(*) > 1) USING (w)),
+hit AS (SELECT r, i, word, max(CASE WHEN again.r IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM word LEFT JOIN again USING (r, i)),
+edge AS (SELECT *, gone > coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), 0) AS opens FROM hit),
+per AS (SELECT r, sum(gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM edge GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_spans, 0) AS n_spans FROM d LEFT JOIN per USING (r)
+"""
