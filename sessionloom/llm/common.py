@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Raw text bytes of one chunk: what one task holds of the documents at a time.
 CHUNK_BYTES = 2 << 20
@@ -331,3 +332,27 @@ def key_levels(bucket: np.ndarray, key: np.ndarray, levels: pd.DataFrame) -> np.
         return np.zeros(0, np.uint8)
     by = dict(zip(levels["bucket"], levels["levels"], strict=True))
     return np.concatenate([np.frombuffer(by[int(x)], np.uint8) for x in np.unique(bucket[order][first])])[number]
+
+
+# --- places of rows in a global order ---------------------------------------------------------------------------
+
+
+def numbered(df: DataFrame, group: list[str], order: list, name: str) -> DataFrame:
+    """df with g, a number for the row's group that grows with the groups' order, pos, its place in the group from 0 by
+    `order` (names, or columns for another direction), and m, the group's rows. A null is a group and comes first.
+
+    Rows are sorted by ranges of (group, order), written, and numbered within their task, so a group that holds a third
+    of them is the work of many tasks; only what a task holds of each group is counted and joined back.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(tasks, *group, *order).sortWithinPartitions(*group, *order)
+    rows = written(dealt.withColumn("_at", F.monotonically_increasing_id()), name).withColumn("_task", F.shiftright("_at", 33))
+    whole = Window.partitionBy(*(group or [F.lit(0)]))  # without groups, a row for each task
+    before = whole.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    runs = rows.groupBy("_task", *group).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    runs = runs.select("_task", *group, F.min("_first").over(whole).alias("g"), F.sum("_n").over(whole).alias("m"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    runs = written(runs.withColumnsRenamed({c: f"_{c}_of" for c in group}).withColumnRenamed("_task", "_task_of"), f"{name}-runs")
+    same = F.col("_task") == F.col("_task_of")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}_of"))
+    return rows.join(runs, same).select(*df.columns, "g", (F.col("_at") + F.col("_shift")).alias("pos"), "m")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sessionloom.llm import bpe, decontaminate, exact_dedup, jaccard_join, langid, secrets, substring_dedup, token_store, toxicity, warc
+from sessionloom.llm import bpe, decontaminate, exact_dedup, hard_negatives, jaccard_join, langid, licenses, merkle, secrets, substring_dedup, token_store, toxicity, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_language_id": langid.op9_language_id,
     "op10_token_files": token_store.op10_token_files,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_license_scan": licenses.op13_license_scan,
 }
 
 ORACLE_SQL = {
@@ -23,4 +26,7 @@ ORACLE_SQL = {
     "op3_jaccard_join": jaccard_join.OP3_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
+    "op11_hard_negatives": hard_negatives.OP11_SQL,
+    "op12_merkle_manifest": merkle.OP12_SQL,
+    "op13_license_scan": licenses.OP13_SQL,
 }

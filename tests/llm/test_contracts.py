@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
-from cases import brute_components, brute_substrings, lower, multiset, rows
+from cases import brute_components, brute_licenses, brute_merkle, brute_negatives, brute_substrings, lower, multiset, rows, vectors
 
 from sessionloom.llm import bpe, common, queries
 
@@ -24,11 +24,14 @@ TYPES = {
     "op8_exact_dedup": {"doc_id": "bigint", "keep_id": "bigint", "group_size": "bigint", "kept": "boolean", "text_sha256": "string"},
     "op9_language_id": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
     "op10_token_files": {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"},
+    "op11_hard_negatives": {"anchor_id": "bigint", "positive_id": "bigint", "rank": "int", "negative_id": "bigint", "positive_score": "bigint", "negative_score": "bigint"},
+    "op12_merkle_manifest": {"doc_id": "bigint", "leaf": "string", "subroot": "string", "root": "string", "proof_sha256": "string", "folded_root": "string", "verified": "boolean"},
+    "op13_license_scan": {"doc_id": "bigint", "n_words": "bigint", "n_base": "bigint", "first_word": "bigint", "last_word": "bigint", "base_labels": "string", "labels": "string", "score": "double"},
 }
 SECRET = "password: hunter2hunter"
 TEXTS = [
     "see token=abc123xyz and API_KEY = 'q-1/2+3' AKIA" + "Z9" * 10, "x " + "0123456789abcdef" * 2 + "g", f"b64 {base64.b64encode(SECRET.encode()).decode()} end",
-    "passwd=" + "a" * 200 + " passwd = short secret:longer_one", "the thing with which ought to be", "und über nicht schön straße", "password\n=hunter22 password= \"hunter22",
+    "Released under the MIT License. Or: mit-license, the Apache\nLicense; GNU General, Public License", "Licensed under CC BY-NC 4.0.", "passwd=" + "a" * 200 + " passwd = short secret:longer_one", "the thing with which ought to be", "und über nicht schön straße", "password\n=hunter22 password= \"hunter22",
 ]
 
 
@@ -49,6 +52,7 @@ def sf(spark, data, tmp_path_factory):
     spark.createDataFrame([(i, t, "de" if t and "ü" in t else "en", "s", len(t or "")) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long").coalesce(2).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(0, "u", "<b>1</b>"), (1, None, None), (2, "v", "<b>1</b>"), (3, "w", "ü" * 3000), (4, "w", "")], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
     spark.createDataFrame([(7, "the thing with which ought to be"), (8, "none of this is there at all")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame(vectors(3), "vec_id long, embedding array<float>, label int").coalesce(2).write.parquet(f"{d}/embeddings.parquet")
     spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i, _ in data], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     return d
 
@@ -58,7 +62,7 @@ def test_columns_and_rows(spark, sf, data, name):
     df = queries.QUERIES[name](spark, sf)
     have = dict(df.dtypes)
     assert {k: have.get(k) for k in TYPES[name]} == TYPES[name]
-    if name not in ("op2_warc", "op7_decontaminate"):
+    if name not in ("op2_warc", "op7_decontaminate", "op11_hard_negatives"):
         assert sorted(r.doc_id for r in df.select("doc_id").collect()) == sorted(i for i, _ in data)
 
 
@@ -132,7 +136,7 @@ def test_op6(spark, sf, data):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         con.sql(f"create view {t} as from '{sf}/{t}.parquet/*.parquet'")
     want = con.sql(queries.ORACLE_SQL[name])
     at = [want.columns.index(c) for c in TYPES[name] if c in want.columns]
@@ -166,6 +170,22 @@ def test_op10(spark, sf, data):
     assert sorted(taken(spark, sf, "op10_token_files")) == want
 
 
+def test_op11(spark, sf):
+    want = brute_negatives([(i, v, (k + 1) % 10 if i % 7 == 0 and k is not None else k) for i, v, k in vectors(3)])
+    assert len(want) > 100
+    multiset(taken(spark, sf, "op11_hard_negatives"), want)
+
+
+def test_op12(spark, sf, data):
+    multiset(taken(spark, sf, "op12_merkle_manifest"), brute_merkle([(i, "s", "de" if t and "ü" in t else "en", len(t or ""), t) for i, t in data]))
+
+
+def test_op13(spark, sf, data):
+    got = taken(spark, sf, "op13_license_scan")
+    multiset([r[:6] for r in got], brute_licenses(data))
+    assert {r[0]: r[6] for r in got if r[6]} == {1003: "apache,gpl,mit", 1004: "cc-by-nc"} and {r[7] for r in got} == {0.0, 1.0}
+
+
 def test_what_was_written_can_be_cleared(spark, sf, tmp_path):
     df = common.written(spark.range(5), "some")
     path = df.inputFiles()[0]
