@@ -111,7 +111,7 @@ def model_entries(trace, known: DataFrame, client: Callable[[str], str], most: i
 
     The trace is redacted before anything else; sessions that are not worth it ask nothing; the excerpt of the salient
     spans, the known entries and the changed files make the request; the answers are completed. The known entries'
-    lines stand in every request, so they come to the driver.
+    lines stand in every request: they are put in order by one row, which joins the requests by a broadcast.
     """
     from sessionloom.operators import salience
     from sessionloom.operators.trace import redacted
@@ -125,9 +125,10 @@ def model_entries(trace, known: DataFrame, client: Callable[[str], str], most: i
     excerpts = salience.excerpts(salience.salient_spans(turns), turns, salience.render_turn("results"), errors)
     if most <= 0:
         return as_entries(rule_candidates(trace.error_signals(), trace.diffs, None, 1).withColumn("tags", F.array().cast("array<string>")).limit(0), trace.sessions)
-    lines = [f"{r.id} [{r.type}] {r.title}" for r in known.select("id", "type", "title").orderBy("id").collect()]
+    line = F.struct("id", F.concat("id", F.lit(" ["), "type", F.lit("] "), "title").alias("line"))
+    lines = known.agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]).alias("known"))
     touched = touched_files(safe.diffs).groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "file"))), lambda x: x["file"]).alias("touched"))
-    rows = excerpts.join(touched, "session_id", "left").withColumn("touched", F.coalesce("touched", F.array().cast("array<string>"))).withColumn("known", F.array(*map(F.lit, lines)).cast("array<string>"))
+    rows = excerpts.join(touched, "session_id", "left").withColumn("touched", F.coalesce("touched", F.array().cast("array<string>"))).join(F.broadcast(lines))
     answers = response_raw(model_responses(rows.withColumn("prompt", prompt()), client), "response").select("session_id", F.posexplode("raw").alias("ord", "raw"))
     return completed(answers, safe, excerpts, most)
 
@@ -176,12 +177,12 @@ def judged(candidates: DataFrame, judge: Callable[[str], dict]) -> DataFrame:
     return rows.select("id", "prompt").mapInPandas(ask, "id string, " + ", ".join(f"{n} boolean" for n in names) + ", " + ", ".join(f"{n} string" for n in reasons) + ", judge_error string")
 
 
-#: What a judge decides, and the test of each (fixed values).
+#: What a judge decides (the names are fixed values), and how we ask for it.
 CRITERIA = {
-    "actionable": "A reader can do something differently because of it.",
-    "project_specific": "It would not be true of a random repository in the same language.",
-    "stable": "It will still be true next month, not a fact about one branch.",
-    "future_useful": "A different agent, on a different day, would benefit from reading it.",
+    "actionable": "Does it change what someone does at their next step?",
+    "project_specific": "Is it about this project, rather than what holds for most code of its kind?",
+    "stable": "Will it outlast the branch and the week in which it was learned?",
+    "future_useful": "Would whoever works here next, on some other task, gain by having read it?",
 }
 
 

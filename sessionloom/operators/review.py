@@ -25,9 +25,10 @@ def decided(staged: DataFrame, decisions: DataFrame, approved: DataFrame) -> Dat
 
     An approved entry that is meant as an amendment has a target if that is approved now; without one it becomes an
     entry of its own. A merge needs an approved entry of the same type, a rejection a reason: without, they are an
-    error. `approve_with_edit` takes the fields of the decision's `edited` struct. Undecided entries are skipped.
+    error. `approve_with_edit` takes the fields of the decision's `edited` struct. Undecided entries, as after a review that
+    was left early, have no action: they stay staged like skipped ones, but are neither counted nor logged as such.
     """
-    rows = staged.join(decisions, "id", "left").withColumn("action", F.coalesce("action", F.lit("skip")))
+    rows = staged.join(decisions, "id", "left")
     rows = rows.withColumn("reason", F.when((F.col("action") == "reject") & (strip(F.coalesce("reason", F.lit(""))) == ""), F.raise_error(F.lit("a rejection has no reason"))).otherwise(F.col("reason")))
     rows = _edited(rows, staged) if "edited" in decisions.columns else rows.withColumn("edited_fields", F.array().cast("array<string>"))
     wanted = F.when(F.col("action") == "merge", F.col("merge_into")).when(F.col("action").isin(*APPROVALS), F.col("proposed_amendment_of"))
@@ -71,23 +72,24 @@ def next_trusted(rows: DataFrame, approved: DataFrame, by: str, at: Column) -> D
 
 
 def next_staged(rows: DataFrame) -> DataFrame:
-    """What is still staged: skipped entries, unchanged."""
-    return rows.filter("action = 'skip'").drop(*DECISION)
+    """What is still staged: skipped and undecided entries, unchanged."""
+    return rows.filter("action is null or action = 'skip'").drop(*DECISION)
 
 
 def next_tombstones(rows: DataFrame) -> DataFrame:
     own = F.col("excerpt_sha256") if "excerpt_sha256" in rows.columns else F.col("evidence.excerpt_sha256")
-    return rows.filter("action = 'reject'").select("id", "title", F.trim("reason").alias("reason"), own.alias("excerpt_sha256"))
+    return rows.filter("action = 'reject'").select("id", "title", strip(F.col("reason")).alias("reason"), own.alias("excerpt_sha256"))
 
 
 def log_rows(rows: DataFrame, at: Column) -> DataFrame:
-    """The log's rows; a merge says into what, an edit which fields it changed."""
+    """The log's rows, one for each decision; a merge says into what, an edit which fields it changed."""
+    rows = rows.filter("action is not null")
     reason = F.when(F.col("action") == "merge", F.concat(F.lit("merged into "), "target")).otherwise(F.col("reason"))
     of = lambda c: F.col(f"evidence.{c}") if "evidence" in rows.columns else F.col(c) if c in rows.columns else F.lit(None).cast("string")
     return rows.select(at.alias("ts"), F.col("id").alias("candidate_id"), "type", "title", "action", reason.alias("reason"), of("session_id").alias("session_id"), of("harness").alias("harness"), F.lit(None).cast("string").alias("model"), "edited_fields")
 
 
 def summary(rows: DataFrame) -> DataFrame:
-    """One row: how many were approved in any way, rejected, skipped by a decision, and still wait."""
+    """One row: how many were approved in any way, rejected, skipped by a decision, and still wait, skipped or undecided."""
     n = lambda *a: F.count_if(F.col("action").isin(*a))
-    return rows.agg(n(*APPROVALS).alias("approved"), n("reject").alias("rejected"), n("skip").alias("skipped"), n("skip").alias("remaining"))
+    return rows.agg(n(*APPROVALS).alias("approved"), n("reject").alias("rejected"), n("skip").alias("skipped"), F.count_if(F.coalesce("action", F.lit("skip")) == "skip").alias("remaining"))

@@ -459,7 +459,7 @@ def _review(spark, d):
     docs = views.table(spark, d, "documents").join(views.table(spark, d, "labels"), "doc_id", "left")
     rows = docs.select(F.concat(F.lit("fact-"), F.col("doc_id").cast("string")).alias("id"), F.lit("fact").alias("type"), F.col("lang").alias("title"), F.col("source").alias("body"), F.concat(F.lit("old-"), F.col("n_chars").cast("string")).alias("proposed_amendment_of"), F.sha2("text", 256).alias("excerpt_sha256"), "quality", "toxic")
     action = F.when(F.col("toxic") == 1, "reject").when(F.col("quality") == 1, "approve").when(F.col("quality") == 0, "skip")
-    decisions = rows.filter("quality is not null").select("id", action.alias("action"), F.when(F.col("toxic") == 1, "toxic").alias("reason"), F.lit(None).cast("string").alias("merge_into"))
+    decisions = rows.select("id", F.coalesce(action, F.lit("skip")).alias("action"), F.when(F.col("toxic") == 1, "toxic").alias("reason"), F.lit(None).cast("string").alias("merge_into"))
     approved = views.table(spark, d, "part").select(F.concat(F.lit("old-"), F.col("p_partkey").cast("string")).alias("id"), F.lit("fact").alias("type"), F.col("p_name").alias("title"), F.col("p_type").alias("body"), F.lit("a").alias("approved_by"), F.lit("2024-01-01").cast("timestamp").alias("updated"))
     return review.decided(rows.drop("quality", "toxic"), decisions, approved), approved
 
@@ -666,3 +666,47 @@ def trace_redaction(spark, d):
 def rendered_turns(spark, d):
     """Turns as an excerpt shows them, with their tool results."""
     return _event_trace(spark, d).turn_rows().select("session_id", "idx", salience.render_turn("results").alias("line"))
+
+
+def _decisions(spark, d):
+    """Staged documents, of which those without a label are left undecided, as by a review that ended early."""
+    docs = views.table(spark, d, "documents").join(views.table(spark, d, "labels"), "doc_id", "left")
+    rows = docs.select(F.concat(F.lit("fact-"), F.col("doc_id").cast("string")).alias("id"), F.lit("fact").alias("type"), F.col("lang").alias("title"), F.col("source").alias("body"), F.concat(F.lit("old-"), F.col("n_chars").cast("string")).alias("proposed_amendment_of"), F.sha2("text", 256).alias("excerpt_sha256"), "quality", "toxic")
+    action = F.when(F.col("toxic") == 1, "reject").when(F.col("quality") == 1, "approve").when(F.col("quality") == 0, "skip")
+    decisions = rows.filter("quality is not null").select("id", action.alias("action"), F.when(F.col("toxic") == 1, "\ttoxic ").alias("reason"), F.lit(None).cast("string").alias("merge_into"))
+    approved = views.table(spark, d, "part").select(F.concat(F.lit("old-"), F.col("p_partkey").cast("string")).alias("id"), F.lit("fact").alias("type"), F.col("p_name").alias("title"), F.col("p_type").alias("body"), F.lit("a").alias("approved_by"), F.lit("2024-01-01").cast("timestamp").alias("updated"))
+    return rows.drop("quality", "toxic"), decisions, approved
+
+
+_LEFT = """r AS (SELECT 'fact-' || doc_id AS id, lang AS title, source AS body, sha256(text) AS hash, CASE WHEN toxic = 1 THEN 'reject' WHEN quality = 1 THEN 'approve' WHEN quality = 0 THEN 'skip' END AS action,
+  CASE WHEN toxic = 0 AND quality = 1 AND n_chars IN (SELECT p_partkey FROM part) THEN 'old-' || n_chars END AS target FROM documents LEFT JOIN labels USING (doc_id))"""
+
+
+@query(f"""WITH {_LEFT} SELECT count(*) FILTER (action = 'approve') AS approved, count(*) FILTER (action = 'reject') AS rejected, count(*) FILTER (action = 'skip') AS skipped, count(*) FILTER (action = 'skip' OR action IS NULL) AS remaining,
+  count(action) AS logged FROM r""")
+def review_left_early(spark, d):
+    """A review that ended before all entries were decided: what it counts, and how many rows it logs."""
+    rows = review.decided(*_decisions(spark, d))
+    logged = review.log_rows(rows, F.lit("2024-02-03").cast("timestamp")).agg(F.count(F.lit(1)).alias("logged"))
+    return review.summary(rows).join(logged)
+
+
+@query(f"""WITH {_LEFT} SELECT id, title, 'toxic' AS reason, hash AS excerpt_sha256 FROM r WHERE action = 'reject'""")
+def tombstones_of_review(spark, d):
+    return review.next_tombstones(review.decided(*_decisions(spark, d)))
+
+
+@query(f"""WITH {_LEFT}, all_rows AS (
+SELECT 1 AS version, 'approved' AS place, 'old-' || p_partkey AS id FROM part UNION ALL SELECT 1, 'staged', id FROM r
+UNION ALL SELECT 2, 'approved', 'old-' || p_partkey FROM part UNION ALL SELECT 2, 'approved', id FROM r WHERE action = 'approve' AND target IS NULL
+UNION ALL SELECT 2, 'staged', id FROM r WHERE action = 'skip' OR action IS NULL UNION ALL SELECT 2, 'tombstones', id FROM r WHERE action = 'reject')
+SELECT * FROM all_rows""")
+def store_versions(spark, d):
+    """A store before and after one review: both versions stay readable."""
+    from sessionloom.sources import shared, versions
+
+    staged, decisions, approved = _decisions(spark, d)
+    root = shared.shared_folder(spark, "store")
+    versions.start(spark, root, {"approved": approved, "staged": staged})
+    versions.decide(spark, root, decisions, "me", F.lit("2024-02-03").cast("timestamp"))
+    return versions.history(spark, root)

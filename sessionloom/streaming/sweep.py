@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.sources.readers import JOB
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder, or in a private one where none is set and the master is local."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="shared-")
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from sessionloom.sources.shared import shared_folder
 
 
 def sweep(spark: SparkSession, queue: str, state: str, handle: Callable[[DataFrame, int], None], dead: str, glob: str = "*.json", whole: bool = True) -> int:
