@@ -5,6 +5,9 @@ from __future__ import annotations
 import datetime
 from typing import Any
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: Domains of the enumerated fields (fixed values; the order of types is the scan order).
 TYPES, STATUSES, CONFIDENCES = ("strategy", "gotcha", "fact"), ("staged", "approved", "rejected", "superseded", "archived"), ("low", "medium", "high")
 ACTIONS = ("approve", "approve_with_edit", "merge", "reject", "skip", "staged", "gate_drop")
@@ -36,7 +39,7 @@ def _time(x: Any) -> bool:
         return False
 
 
-_KINDS = {"str": lambda x: isinstance(x, str), "int": lambda x: isinstance(x, int) and not isinstance(x, bool), "bool": lambda x: isinstance(x, bool), "time": _time, "object": lambda x: isinstance(x, dict), "any": lambda x: True}
+_KINDS = {"str": lambda x: isinstance(x, str), "int": lambda x: isinstance(x, int) and not isinstance(x, bool) or isinstance(x, float) and x.is_integer(), "bool": lambda x: isinstance(x, bool), "time": _time, "object": lambda x: isinstance(x, dict), "any": lambda x: True}
 
 
 def problems(value: Any, kind: Any, at: str = "") -> list[str]:
@@ -61,6 +64,47 @@ def problems(value: Any, kind: Any, at: str = "") -> list[str]:
     return [] if _KINDS[kind](value) else [f"{here}: not of kind {kind}"]
 
 
+#: How a time may be written, so that both checks agree on it.
+_ISO = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:Z|[+-]\d{2}:\d{2})?)?$"
+
+
+def problem_list(raw: Column, kind: dict) -> Column:
+    """`problems` of JSON texts, as an array, without Python workers: a record kind becomes an expression over VARIANT.
+
+    A text that is no JSON, or has an object with a key twice, is not JSON. Unknown fields of the outer record come in
+    their order, those of inner ones by name.
+    """
+    whole = F.try_parse_json(raw)
+    none = F.array().cast("array<string>")
+    say = lambda when, *text: F.when(when, F.array(F.concat(*text))).otherwise(none)
+    typed = lambda v: F.coalesce(F.schema_of_variant(v), F.lit(""))
+    part = lambda v, path, as_type: F.try_variant_get(v, path, as_type)
+
+    def wrong(v: Column, kind: Any, at: Column, keys: Column) -> Column:
+        if isinstance(kind, dict):
+            prefix = F.when(at == "", F.lit("")).otherwise(F.concat(at, F.lit(".")))
+            fields = {k.rstrip("!?"): (k[-1:], inner) for k, inner in kind.items()}
+            strange = F.array_except(F.coalesce(keys, none), F.array(*map(F.lit, fields)))
+            out = [F.transform(strange, lambda k: F.concat(prefix, k, F.lit(": unknown field")))]
+            for name, (mark, inner) in fields.items():
+                x = part(v, f"$.{name}", "variant")
+                own = wrong(x, inner, F.concat(prefix, F.lit(name)), F.json_object_keys(F.to_json(x)))
+                own = F.when(F.is_variant_null(x), none).otherwise(own) if mark == "?" else own
+                out.append(F.when(x.isNull(), say(F.lit(mark == "!"), prefix, F.lit(f"{name}: missing"))).otherwise(own))
+            here = F.when(at == "", F.lit("<root>")).otherwise(at)
+            return F.when(typed(v).startswith("OBJECT"), F.concat(*out)).otherwise(F.array(F.concat(here, F.lit(": not an object"))))
+        if isinstance(kind, list):
+            items = F.transform(part(v, "$", "array<variant>"), lambda x, i: wrong(x, kind[0], F.concat(at, F.lit("."), i.cast("string")), F.json_object_keys(F.to_json(x))))
+            return F.when(typed(v).startswith("ARRAY"), F.flatten(items)).otherwise(F.array(F.concat(at, F.lit(": not a list"))))
+        text = F.when(typed(v) == "STRING", part(v, "$", "string"))
+        if isinstance(kind, tuple):
+            return say(~F.coalesce(text.isin(*kind), F.lit(False)), at, F.lit(f": not one of {', '.join(kind)}"))
+        ok = {"str": text.isNotNull(), "int": typed(v).rlike(r"^(?:BIGINT|DECIMAL\(\d+,0\))$"), "bool": typed(v) == "BOOLEAN", "time": text.rlike(_ISO) & F.try_to_timestamp(text).isNotNull(), "object": typed(v).startswith("OBJECT"), "any": F.lit(True)}[kind]
+        return say(~F.coalesce(ok, F.lit(False)), at, F.lit(f": not of kind {kind}"))
+
+    return F.when(whole.isNull(), F.array(F.lit("<root>: not JSON"))).otherwise(wrong(whole, kind, F.lit(""), F.array_distinct(F.json_object_keys(raw))))
+
+
 def warnings(entry: dict) -> list[str]:
     """What is odd about a valid entry."""
     return [] if entry.get("scope") else ["scope: empty, so no path is ever in it"]

@@ -6,26 +6,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sessionloom.functions.schema import ENTRY, problem_list
 from sessionloom.functions.similarity import title_pairs
 from sessionloom.functions.text import claim_headings, strip
 from sessionloom.operators.extract import CRITERIA
 from sessionloom.operators.stats import rate
+from sessionloom.sources.shared import written
 
 #: Overlap from which a candidate matches a gold title or repeats a known one (fixed value).
 OVERLAP = 0.6
 
 
-def gold_matches(candidates: DataFrame, gold: DataFrame, least: float = OVERLAP) -> DataFrame:
+#: Pairs of a fixture that are matched by one fold; a fixture with more goes through rounds.
+FOLD_PAIRS = 1024
+
+
+def gold_matches(candidates: DataFrame, gold: DataFrame, least: float = OVERLAP, fold_pairs: int = FOLD_PAIRS) -> DataFrame:
     """(fixture, cand, gold, score): the greedy one-to-one assignment of each fixture, by score, then both positions.
 
-    Pairs are (fixture, pos, title) on both sides. The fold over a fixture's sorted pairs carries what is taken; a
-    fixture is one session, so its pairs are few.
+    Pairs are (fixture, pos, title) on both sides. A fixture of a suite is one session with few pairs: those with up to
+    fold_pairs are sorted and folded; larger ones are matched by rounds over all their pairs, with the same result.
     """
-    left = candidates.filter(strip(F.col("title")) != "").select("fixture", F.col("pos").alias("cand"), F.col("title").alias("a"))
-    right = gold.filter(strip(F.col("title")) != "").select("fixture", F.col("pos").alias("gold"), F.col("title").alias("b"))
+    left = candidates.filter(strip(F.col("title")) != "").select("fixture", F.col("pos").cast("long").alias("cand"), F.col("title").alias("a"))
+    right = gold.filter(strip(F.col("title")) != "").select("fixture", F.col("pos").cast("long").alias("gold"), F.col("title").alias("b"))
     titles = title_pairs(candidates, gold, least, ["fixture"])
-    pairs = left.join(titles, ["fixture", "a"]).join(right, ["fixture", "b"]).withColumn("score", F.col("score").cast("double"))
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), F.col("cand").cast("long").alias("cand"), F.col("gold").cast("long").alias("gold"))))
+    pairs = left.join(titles, ["fixture", "a"]).join(right, ["fixture", "b"]).select("fixture", "cand", "gold", F.col("score").cast("double").alias("score"))
+    pairs = written(pairs, "gold-pairs")
+    large = pairs.groupBy("fixture").count().filter(F.col("count") > fold_pairs).select("fixture")
+    if large.isEmpty():
+        return _folded(pairs)
+    large = written(large, "large-fixtures")
+    return _folded(pairs.join(large, "fixture", "left_anti")).unionByName(best_pairs(pairs.join(large, "fixture", "left_semi")))
+
+
+def _folded(pairs: DataFrame) -> DataFrame:
+    """The greedy assignment by a fold over a fixture's sorted pairs, which carries what is taken."""
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "cand", "gold")))
     kind = "array<struct<cand:bigint,gold:bigint,score:double>>"
 
     def take(acc, p):
@@ -36,6 +52,25 @@ def gold_matches(candidates: DataFrame, gold: DataFrame, least: float = OVERLAP)
     return folded.select("fixture", "m.cand", "m.gold", "m.score")
 
 
+def best_pairs(pairs: DataFrame) -> DataFrame:
+    """The greedy assignment of (fixture, cand, gold, score) by rounds: each takes every pair that is the first of all that
+    are left of its candidate and of its gold entry, and drops what shares a side with a taken one.
+
+    No fixture is an array or a task: windows are over one candidate or one gold entry. There are as many rounds as the
+    longest chain of pairs of which each waits for the one before; every round is written, so lineage stays short.
+    """
+    order, done = F.struct((-F.col("score")).alias("down"), F.col("cand").alias("c"), F.col("gold").alias("g")), None
+    by_cand, by_gold = Window.partitionBy("fixture", "cand"), Window.partitionBy("fixture", "gold")
+    while not pairs.isEmpty():
+        rows = pairs.withColumn("order", order).withColumn("first_gold", F.min("order").over(by_gold)).withColumn("first_cand", F.min("order").over(by_cand))
+        rows = rows.withColumn("taken", (F.col("order") == F.col("first_gold")) & (F.col("order") == F.col("first_cand")))
+        rows = rows.withColumn("gone", F.max("taken").over(by_cand)).withColumn("gone", F.col("gone") | F.max("taken").over(by_gold))
+        rows = written(rows.filter("taken or not gone").select("fixture", "cand", "gold", "score", "taken"), "matching")
+        new, pairs = rows.filter("taken").drop("taken"), rows.filter("not taken").drop("taken")
+        done = new if done is None else done.unionByName(new)
+    return pairs.select("fixture", "cand", "gold", "score") if done is None else done
+
+
 def evidence_backed(session: Column, artifacts: Column, excerpt_hash: Column) -> Column:
     return (F.coalesce(session, F.lit("")) != "") & (F.exists(artifacts, lambda a: strip(a) != "") | (F.coalesce(excerpt_hash, F.lit("")) != ""))
 
@@ -61,10 +96,12 @@ def fixture_records(candidates: DataFrame, gold: DataFrame, known: DataFrame | N
     """A scoring record for each candidate of each fixture: seven criteria, the gold title it matched, and what counts.
 
     Candidates are (fixture, pos, id, type, title, body, valid, session_id, artifacts, excerpt_sha256, the judge's
-    criteria as booleans, judge_error); gold is (fixture, pos, title), known (title). Two criteria are checked by
-    rule, one by title overlap with known and earlier candidates, four by the judge. A candidate whose judge failed
+    criteria as booleans, judge_error); gold is (fixture, pos, title), known (title). With `raw`, the entry's JSON, instead
+    of valid, the entry is validated here. Two criteria are checked by rule, one by title overlap with known and earlier candidates, four by the judge. A candidate whose judge failed
     passes none of its four and not all, and keeps the other checks.
     """
+    if "raw" in candidates.columns:
+        candidates = candidates.withColumn("valid", F.size(problem_list(F.col("raw"), ENTRY)) == 0)
     matched = gold_matches(candidates, gold, least).join(gold.select("fixture", F.col("pos").alias("gold"), F.col("title").alias("matched_gold_title")), ["fixture", "gold"]).select("fixture", F.col("cand").alias("pos"), "matched_gold_title")
     twice = repeats_earlier(candidates, least)
     if known is not None:
@@ -99,24 +136,40 @@ def summary(records: DataFrame, gold: DataFrame) -> DataFrame:
     return rows.select("candidates", "gold", "judge_errors", rate(F.col("valid"), F.col("candidates")).alias("schema_validity"), rate(F.col("good"), F.col("candidates")).alias("precision"), rate(F.col("matched"), F.col("gold")).alias("recall"), rate(F.col("duplicates"), F.col("candidates")).alias("duplicate_rate"), rate(F.col("passed"), F.col("candidates")).alias("pass_rate"))
 
 
-def sequential_titles(candidates: DataFrame, least: float = OVERLAP) -> DataFrame:
-    """(suite, fixture_pos, title): what fixtures emit one after the other when each knows what was emitted before.
+def emitted(candidates: DataFrame, most: int | None = None, least: float = OVERLAP) -> DataFrame:
+    """The candidates (suite, fixture, ord, title, any more) that a suite's fixtures emit, one fixture after the other, when
+    each leaves out titles that overlap one emitted by an earlier fixture, and stops after `most`.
 
-    A suppressed title never suppresses another, so the result is a fold in order; it runs in Spark, over a suite's
-    titles, which a suite holds in a list anyway.
+    A title that is left out leaves out no other, so this is the lexicographically first independent set of the overlap
+    graph, with the limit. It comes by rounds over all suites: a row is out once an earlier fixture has emitted an
+    overlapping title; it is clear once no undecided row of an earlier fixture has one; a clear row is emitted if fewer
+    than `most` rows before it in its fixture are emitted or undecided. Overlaps are between distinct titles, and a title
+    is known by the first fixture that emits it, so repeated titles make no pairs of rows. The first undecided row of
+    every suite is decided in each round; mostly a few rounds do.
     """
-    from sessionloom.functions.similarity import overlap
-    from sessionloom.functions.text import title_words
+    rows = written(candidates.withColumn("_row", F.monotonically_increasing_id()).withColumn("_state", F.lit(None).cast("boolean")), "suite-rows")
+    near = written(title_pairs(rows, rows, least, ["suite"]).select("suite", F.col("a").alias("title"), F.col("b").alias("other")), "suite-titles")
+    before = Window.partitionBy("suite", "fixture").orderBy("ord", "_row").rowsBetween(Window.unboundedPreceding, -1)
+    count = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)).over(before), F.lit(0))
+    while not rows.filter("_state is null").isEmpty():
+        known = rows.groupBy("suite", F.col("title").alias("other")).agg(F.min(F.when(F.col("_state"), F.col("fixture"))).alias("_said"), F.min(F.when(F.col("_state").isNull(), F.col("fixture"))).alias("_open"))
+        known = near.join(known, ["suite", "other"]).groupBy("suite", "title").agg(F.min("_said").alias("_said"), F.min("_open").alias("_open"))
+        now = rows.join(known, ["suite", "title"], "left")
+        out = F.col("_state").isNull() & F.coalesce(F.col("_said") < F.col("fixture"), F.lit(False))
+        now = now.withColumn("_state", F.when(out, False).otherwise(F.col("_state"))).withColumn("_clear", F.col("_state").isNull() & ~F.coalesce(F.col("_open") < F.col("fixture"), F.lit(False)))
+        if most is not None:
+            now = now.withColumn("_taken", count(F.col("_state"))).withColumn("_maybe", count(F.coalesce("_state", F.lit(True))))
+            full = F.col("_state").isNull() & (F.col("_taken") >= most)
+            now = now.withColumn("_state", F.when(full, False).when(F.col("_clear") & (F.col("_maybe") < most), True).otherwise(F.col("_state")))
+        else:
+            now = now.withColumn("_state", F.when(F.col("_clear"), True).otherwise(F.col("_state")))
+        rows = written(now.select(*rows.columns), "suite-rows")
+    return rows.filter("_state").drop("_row", "_state")
 
-    kind = "array<struct<pos:bigint,title:string>>"
-    rows = candidates.groupBy("suite").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), "title"))).alias("all"))
 
-    def close(a: Column, b: Column) -> Column:
-        la, lb = F.lower(a), F.lower(b)
-        return F.when(la.contains(lb) | lb.contains(la), 1.0).otherwise(overlap(title_words(a), title_words(b))) >= least
-
-    fold = F.aggregate("all", F.array().cast(kind), lambda acc, x: F.when(F.exists(acc, lambda y: close(x["title"], y["title"])), acc).otherwise(F.concat(acc, F.array(F.struct(x["pos"].alias("pos"), x["title"].alias("title"))))))
-    return rows.select("suite", F.explode(fold).alias("e")).select("suite", "e.pos", "e.title")
+def sequential_titles(candidates: DataFrame, least: float = OVERLAP) -> DataFrame:
+    """(suite, pos, title): what fixtures of one title each emit one after the other when each knows what was emitted before."""
+    return emitted(candidates.select("suite", F.col("pos").cast("long").alias("fixture"), F.lit(0).alias("ord"), "title"), None, least).select("suite", F.col("fixture").alias("pos"), "title")
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[str], most: int | None = None) -> DataFrame:

@@ -44,18 +44,18 @@ def unknown_titles(candidates: DataFrame, known: DataFrame) -> DataFrame:
     return candidates.join(hits, "title", "left_anti")
 
 
-def rule_candidates(errors: DataFrame, diffs: DataFrame, known: DataFrame | None = None, most: int = 3) -> DataFrame:
-    """The rule extractor: a `gotcha` for each distinct error of a session, at most `most`, known titles left out."""
+def rule_candidates(errors: DataFrame, diffs: DataFrame, known: DataFrame | None = None, most: int | None = 3) -> DataFrame:
+    """The rule extractor: a `gotcha` for each distinct error of a session, at most `most` (None: all), known titles left out."""
     rows = first_errors(errors).withColumn("title", title_from_error(F.col("error")))
     if known is not None:
         rows = unknown_titles(rows, known)
-    top = F.row_number().over(Window.partitionBy("session_id").orderBy("ord"))
-    rows = rows.withColumn("n", top).filter(F.col("n") <= most)
+    if most is not None:
+        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("session_id").orderBy("ord"))).filter(F.col("n") <= most)
     rows = rows.join(related_files(rows.select("session_id", "error"), diffs), ["session_id", "error"], "left").withColumn("files", F.coalesce("files", F.array().cast("array<string>")))
     advice = F.when(F.size("files") > 0, F.concat(F.lit(WITH_FILES + "\n\n- "), F.array_join("files", "\n- "))).otherwise(WITHOUT_FILES)
     body = F.concat(F.lit("## What happens\n\n"), F.col("error"), F.lit("\n\n## What to do\n\n"), advice, F.lit("\n"))
     ident = entry_id(F.lit("gotcha"), F.concat("session_id", F.lit(":"), "error"))
-    return rows.select("session_id", "ord", ident.alias("id"), F.lit("gotcha").alias("type"), "title", F.lit("medium").alias("confidence"), F.col("files").alias("scope"), F.col("files").alias("artifacts"), body.alias("body"))
+    return rows.select("session_id", "ord", ident.alias("id"), F.lit("gotcha").alias("type"), "title", F.lit("medium").alias("confidence"), F.col("files").alias("scope"), F.col("files").alias("artifacts"), body.alias("body"), *(["error"] if most is None else []))
 
 
 def gated(candidates: DataFrame, touched: str = "touched", most: int = 3) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from sessionloom.functions.text import diff_of_edit, text_of_blocks
 
 BLOCKS = "array<struct<type:string,text:string,id:string,name:string,tool_use_id:string,is_error:boolean,content:variant,input:variant>>"
-RECORD = "session string, ord bigint, ts timestamp, role string, content string, blocks " + BLOCKS
+RECORD = "session string, ord struct<block: bigint, at: bigint>, ts timestamp, role string, content string, blocks " + BLOCKS
 
 
 def _string(v: Column, path: str) -> Column:

@@ -53,7 +53,7 @@ def of_jsonl(records: DataFrame, harness: str, now: Column | None = None) -> Tra
     at = F.row_number().over(normalize.Window.partitionBy("session_id", "idx").orderBy("ord", "pos")) - 1
     turns = assigned.filter("not joins").select(F.col("session").alias("session_id"), "idx", "role", "content")
     results = results.withColumnRenamed("session", "session_id").withColumn("at", at).select("session_id", "idx", F.col("at").alias("pos"), "name", "is_error", "output")
-    diffs = normalize.diffs(records).select(F.col("session").alias("session_id"), F.struct(F.col("ord").cast("long").alias("a"), F.col("pos").cast("long").alias("b")).alias("ord"), "file", "patch")
+    diffs = normalize.diffs(records).select(F.col("session").alias("session_id"), F.struct(F.col("ord").alias("a"), F.col("pos").cast("long").alias("b")).alias("ord"), "file", "patch")
     none = turns.select("session_id", F.lit(0).cast("long").alias("ord"), F.lit("").alias("error")).limit(0)
     return Trace(_sessions(normalize.bounds(records, now), harness), turns, results, none, diffs)
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sessionloom.functions import redaction, similarity, text
 from sessionloom.functions.globs import denied
@@ -710,3 +711,66 @@ def store_versions(spark, d):
     versions.start(spark, root, {"approved": approved, "staged": staged})
     versions.decide(spark, root, decisions, "me", F.lit("2024-02-03").cast("timestamp"))
     return versions.history(spark, root)
+
+
+@query(f"WITH RECURSIVE {_FIX} SELECT * FROM m")
+def gold_matches_by_rounds(spark, d):
+    """The assignment of every fixture, however large, by rounds of mutually best pairs."""
+    cand, gold = _fixtures(spark, d)
+    return evaluate.gold_matches(cand, gold, fold_pairs=0).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH RECURSIVE v AS (SELECT p_brand AS suite, p_size AS fixture, p_partkey AS ord, p_name AS title, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS rn FROM part),
+near AS (SELECT suite, rn, list(other) AS before FROM (SELECT x.suite, x.rn, y.rn AS other, x.title AS a, y.title AS b FROM v x JOIN v y ON x.suite = y.suite AND y.fixture < x.fixture) WHERE {_OVER} >= 0.6 GROUP BY ALL),
+mates AS (SELECT x.suite, x.rn, list(y.rn) AS mates FROM v x JOIN v y ON x.suite = y.suite AND y.fixture = x.fixture AND y.rn < x.rn GROUP BY ALL),
+w AS (SELECT v.*, coalesce(before, []) AS before, coalesce(mates, []) AS mates FROM v LEFT JOIN near USING (suite, rn) LEFT JOIN mates USING (suite, rn)),
+walk AS (SELECT suite, 0::BIGINT AS rn, []::BIGINT[] AS done, false AS took FROM (SELECT DISTINCT suite FROM v)
+  UNION ALL SELECT w.suite, w.rn, CASE WHEN ok THEN list_append(done, w.rn) ELSE done END, ok FROM (SELECT w.*, done, len(list_intersect(before, done)) = 0 AND len(list_intersect(mates, done)) < 3 AS ok FROM walk JOIN w ON w.suite = walk.suite AND w.rn = walk.rn + 1) w)
+SELECT v.suite, v.fixture, v.ord, v.title FROM walk JOIN v USING (suite, rn) WHERE took""")
+def suite_emission(spark, d):
+    """Parts as a suite's candidates: what each fixture emits when it knows what those before it emitted, three at most."""
+    rows = views.table(spark, d, "part").select(F.col("p_brand").alias("suite"), F.col("p_size").alias("fixture"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("title"))
+    return evaluate.emitted(rows, 3)
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS line FROM events WHERE event_type <> 'click' AND event_id % 7 <> 0")
+def log_lines(spark, d):
+    """Events as logs of one type each, with blank and broken lines between, read back in order by as many tasks as there are splits."""
+    from sessionloom.sources import readers, shared
+
+    rows = views.table(spark, d, "events").filter("event_type != 'click'")
+    line = F.when(F.col("event_id") % 7 == 0, F.when(F.col("event_id") % 2 == 0, "").otherwise("{broken")).otherwise(F.to_json(F.struct(F.col("event_id").cast("string").alias("session_id"), F.col("event_type").alias("reason"))))
+    root = shared.shared_folder(spark, "logs")
+    rows.select("event_type", "event_id", line.alias("value")).repartition("event_type").sortWithinPartitions("event_type", "event_id").drop("event_id").write.partitionBy("event_type").text(root)
+    log = readers.json_lines(spark, root, readers.CAPTURE_LOG, strict=True)
+    return log.select(F.col("session_id").cast("long").alias("event_id"), F.row_number().over(Window.partitionBy("file").orderBy("ord")).cast("long").alias("line"))
+
+
+def _jobs(rows: DataFrame) -> DataFrame:
+    path = F.concat(F.lit("/t/"), F.col("event_id").cast("string"))
+    return rows.select(F.col("user_id").cast("string").alias("session_id"), path.alias("transcript_path"), F.lit("jsonl").alias("harness"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("enqueued_at"))
+
+
+@query("""WITH e AS (SELECT *, event_id % 3 AS part FROM events WHERE value > 40), best AS (SELECT user_id, part, max(ts) AS ts, arg_max(event_id, ts) AS event_id FROM e GROUP BY ALL),
+up AS (SELECT *, max(ts) OVER (PARTITION BY user_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM best)
+SELECT CAST(part AS INTEGER) AS sweep, CAST(user_id AS VARCHAR) AS session_id, '/t/' || event_id AS transcript_path FROM up WHERE known IS NULL OR ts >= known""")
+def sweep_latest_jobs(spark, d):
+    """Events as jobs of their users, in three sweeps: a job that is older than one that was handled is left out."""
+    from sessionloom.streaming.sweep import drained_sessions
+
+    rows = views.table(spark, d, "events").filter("value > 40")
+    return drained_sessions(spark, [_jobs(rows.filter(F.col("event_id") % 3 == k)) for k in range(3)])
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, role, sha256(text) AS content_sha256 FROM conversations WHERE role <> 'system'")
+def job_transcripts(spark, d):
+    """Conversations as transcript files, which jobs name by path and the executors read."""
+    from sessionloom.sources import readers, shared
+
+    rows = views.table(spark, d, "conversations")
+    message = F.struct(F.col("role").alias("type"), F.col("conv_id").cast("string").alias("sessionId"), F.struct("role", F.col("text").alias("content")).alias("message"))
+    root = shared.shared_folder(spark, "transcripts")
+    rows.select(F.col("conv_id").alias("conv"), "turn", F.to_json(message).alias("value")).repartition("conv").sortWithinPartitions("conv", "turn").drop("turn").write.partitionBy("conv").text(root)
+    jobs = spark.read.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("transcript_path")).withColumn("session_id", F.lit("job"))
+    t = trace.of_jsonl(normalize.jsonl_records(readers.job_texts(jobs).filter("why is null")), "jsonl")
+    return t.turns.select("session_id", F.col("idx").cast("long").alias("idx"), "role", F.sha2("content", 256).alias("content_sha256"))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from sessionloom.functions.schema import TYPES
 from sessionloom.functions.text import strip
 from sessionloom.operators import normalize
+from sessionloom.sources import shared
 
 TRACE = "session_id string, harness string, started_at string, ended_at string, outcome string, commit string, turns array<struct<role:string,content:string,tool_calls:array<struct<name:string,input:variant>>,tool_results:array<struct<name:string,output:variant,is_error:boolean>>>>, errors array<string>, diffs array<struct<file:string,patch:string>>"
 REVIEW_LOG = "ts string, candidate_id string, type string, title string, action string, reason string, session_id string, harness string, model string, edited_fields array<string>"
@@ -36,16 +37,22 @@ def whole_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
 
 
+def text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, ord, line): the lines of files of any size, which Spark splits among tasks. ord, by which lines of a file are
+    sorted, is the start of the split that a line begins in, and a number that grows within it."""
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    return spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("ord"), F.col("value").alias("line"))
+
+
 def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
-    """Rows of a JSONL log in file and line order (file, ord); blank and malformed lines go, and with strict those with unknown keys."""
-    lines = whole_files(spark, path).select("file", F.posexplode(F.split("value", "\n")).alias("ord", "line")).filter(F.trim("line") != "")
+    """Rows of a JSONL log with their order in the file (file, ord); blank and malformed lines go, and with strict those with unknown keys."""
+    lines = text_lines(spark, path).filter(strip(F.col("line")) != "")
     fits = closed(F.col("line"), schema) if strict else F.json_object_keys("line").isNotNull()
     return lines.filter(fits).select("file", "ord", F.from_json("line", schema).alias("r")).filter("r is not null").select("file", "ord", "r.*")
 
 
 def jsonl_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    lines = whole_files(spark, path).select("file", F.posexplode(F.split("value", "\n")).alias("ord", "line"))
-    return normalize.jsonl_records(lines)
+    return normalize.jsonl_records(text_lines(spark, path))
 
 
 def array_transcripts(spark: SparkSession, path: str) -> DataFrame:
@@ -56,18 +63,61 @@ def array_transcripts(spark: SparkSession, path: str) -> DataFrame:
 TRANSCRIPTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"jsonl": jsonl_transcripts, "array": array_transcripts}
 
 
+#: Bytes of a batch of lines that a task hands on while it reads a transcript.
+READ_BYTES = 4 << 20
+#: What job_texts yields: a line, a whole file, or why there is neither.
+JOB_TEXT = "session_id string, file string, ord struct<block: bigint, at: bigint>, line string, why string"
+
+
+def job_texts(jobs: DataFrame, whole: bool = False) -> DataFrame:
+    """JOB_TEXT rows of jobs (session_id, transcript_path): each transcript's lines, or with `whole` its text as one row.
+
+    Paths stay in the table: the executors open them, by a URI's file system or else the local one, and a transcript that
+    cannot be read is a row that says why.
+    """
+
+    def read(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        def batch(rows):
+            cols = list(zip(*rows, strict=True))
+            at = pa.StructArray.from_arrays([pa.array([0] * len(rows), pa.int64()), pa.array(cols[2], pa.int64())], names=["block", "at"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), at, pa.array(cols[3], pa.string()), pa.array(cols[4], pa.string())], names=["session_id", "file", "ord", "line", "why"])
+
+        for given in batches:
+            for sid, path in zip(*(c.to_pylist() for c in given.columns), strict=True):
+                try:
+                    store, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+                    with store.open_input_stream(at) as f:
+                        if whole:
+                            yield batch([(sid, path, 0, f.read().decode("utf-8", "replace"), None)])
+                            continue
+                        n, rest = 0, b""
+                        while block := f.read(READ_BYTES):
+                            *lines, rest = (rest + block).split(b"\n")
+                            if lines:
+                                yield batch([(sid, path, n + i, x.decode("utf-8", "replace"), None) for i, x in enumerate(lines)])
+                            n += len(lines)
+                        yield batch([(sid, path, n, rest.decode("utf-8", "replace"), None)])
+                except FileNotFoundError:
+                    yield batch([(sid, path, 0, None, "no such transcript")])
+                except (OSError, ValueError) as e:
+                    yield batch([(sid, path, 0, None, f"the transcript cannot be read: {type(e).__name__}")])
+
+    return jobs.select("session_id", "transcript_path").mapInArrow(read, JOB_TEXT)
+
+
 def transcripts(spark: SparkSession, path: str | list[str], kind: str) -> DataFrame:
     if kind not in TRANSCRIPTS:
         raise ValueError(f"unknown kind of transcript: {kind}")
     return TRANSCRIPTS[kind](spark, path)
 
 
-def traces(spark: SparkSession, path: str) -> DataFrame:
-    """Canonical session traces. A file that lacks a required field, or has an unknown or mistyped one at any depth, is an error."""
+def traces(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Canonical session traces, with their file. A file that lacks a required field, or has an unknown or mistyped one at any depth, is an error."""
     import json
 
-    import pandas as pd
-
     from sessionloom.functions import schema
 
     def check(batches):
@@ -79,17 +129,18 @@ def traces(spark: SparkSession, path: str) -> DataFrame:
                     wrong = [str(e)]
                 if wrong:
                     raise ValueError(f"not a session trace: {file}: {'; '.join(wrong)}")
-            yield pd.DataFrame({"value": pdf["value"]})
+            yield pdf[["file", "value"]]
 
-    return whole_files(spark, path).mapInPandas(check, "value string").select(F.from_json("value", TRACE).alias("t")).select("t.*")
+    return whole_files(spark, path).mapInPandas(check, "file string, value string").select("file", F.from_json("value", TRACE).alias("t")).select("file", "t.*")
 
 
 def entries(spark: SparkSession, path: str, tolerant: bool = False, status: str | None = None) -> DataFrame:
     """Markdown entries with a YAML head, one per file, all their fields and the body; invalid ones are an error, or go if
-    tolerant. With `status` only entries of it. file_name, type_ord and the evidence's main fields stand beside."""
+    tolerant. A folder that is missing has none. With `status` only entries of it. file_name, type_ord and the evidence's main fields stand beside."""
     from sessionloom.sources import store
 
-    rows = store.validated(whole_files(spark, path))
+    found = any(shared.listed(spark, p) for p in ([path] if isinstance(path, str) else path))
+    rows = store.validated(whole_files(spark, path) if found else spark.createDataFrame([], "file string, value string"))
     if not tolerant:
         wrong = F.raise_error(F.concat(F.lit("invalid entry "), "file", F.lit(": "), F.array_join("errors", "; ")))
         rows = rows.withColumn("entry", F.when(F.size("errors") == 0, F.col("entry")).otherwise(wrong))
@@ -117,7 +168,7 @@ def tombstones(spark: SparkSession, path: str) -> DataFrame:
     return whole_files(spark, path).filter(F.json_object_keys("value").isNotNull()).select("file", F.from_json("value", TOMBSTONE).alias("r")).select("file", "r.*").orderBy("file")
 
 
-def gold(spark: SparkSession, path: str) -> DataFrame:
+def gold(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Gold entries: files with a list of objects, each with a title; any other file is an error."""
     v = F.try_parse_json("value")
     is_list = F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
