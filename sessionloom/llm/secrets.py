@@ -10,7 +10,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
-from typing import Any, NamedTuple
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ _MAGIC = re.compile(rb"(?=(\x1f\x8b\x08|BZh[1-9][1\x17])|[\x08\x18(8HXhx][\x00-\
 _UNCLEAN = re.compile("[\x00-\x08\x0e-\x1f\x7f�]")
 #: Characters of unfolded data that are scanned together; more only where nothing in them ends every secret and run.
 PIECE = 4 << 20
+#: Bytes of an unfolded layer that are held at least; bytes that bzip2 unfolds in a call; characters of the shortest secret.
+SPOOL, BZIP_STEP, LEAST = 16 << 20, 32, 12
 _RUN_AFTER, _RUN_BEFORE = re.compile(r"[ \t]*[A-Za-z0-9+/_-]{16}"), re.compile(r"[A-Za-z0-9+/_-]{16}={0,2}\Z")
 _OTHER = r"""[^A-Za-z0-9+/_.=:%\\"'\s-]"""
 #: What ends every secret and run in a text with \x escapes, with other escapes, with none.
@@ -56,50 +58,151 @@ def _order(x: tuple[int, int, str]) -> tuple[int, int, int]:
     return x[0], KINDS.index(x[2]), x[1]
 
 
-def _codec(head: bytes) -> Callable[[], Any] | None:
+def _codec(head: bytes) -> str:
     """What unfolds data that begins so: gzip, bzip2, zlib, or nothing."""
     if head[:2] == b"\x1f\x8b":
-        return lambda: zlib.decompressobj(wbits=31)
+        return "gzip"
     if head[:3] == b"BZh":
-        return bz2.BZ2Decompressor
-    return zlib.decompressobj if len(head) > 2 and head[0] & 15 == 8 and (head[0] * 256 + head[1]) % 31 == 0 else None
+        return "bzip2"
+    return "zlib" if len(head) > 2 and head[0] & 15 == 8 and (head[0] * 256 + head[1]) % 31 == 0 else ""
+
+
+class _Input:
+    """Blocks of bytes, of which a reader asks for more."""
+
+    def __init__(self, blocks: Iterator[bytes]):
+        self.blocks, self.data = blocks, b""
+
+    def more(self) -> bool:
+        if (block := next(self.blocks, None)) is None:
+            return False
+        self.data += block
+        return True
+
+    def has(self, n: int) -> bool:
+        while len(self.data) < n and self.more():
+            pass
+        return len(self.data) >= n
+
+    def taken(self) -> bytes:
+        data, self.data = self.data, b""
+        return data
+
+
+def _head_size(given: _Input, kind: str) -> int:
+    """Bytes of a gzip or zlib head; 0 if the data ends in it, -1 if it is none."""
+    if kind == "zlib":
+        return -1 if given.data[1] & 32 else 2
+    if not given.has(10):
+        return 0
+    flags, at = given.data[3], 10
+    if given.data[2] != 8 or flags & 0xE0:
+        return -1
+    if flags & 4:
+        if not given.has(at + 2):
+            return 0
+        at += 2 + int.from_bytes(given.data[at : at + 2], "little")
+    for bit in (8, 16):
+        if flags & bit:
+            while (end := given.data.find(b"\0", at)) < 0:
+                if not given.more():
+                    return 0
+            at = end + 1
+    at += 2 * bool(flags & 2)
+    return at if given.has(at) else 0
+
+
+def _before_damage(inflate, data: bytes) -> bytes:
+    """What data unfolds to before the place at which it is damaged."""
+    out, step = [], 4096
+    while step:
+        probe = inflate.copy()
+        try:
+            got = probe.decompress(data, step)
+        except zlib.error:
+            step //= 2
+            continue
+        if not got and not probe.unconsumed_tail:
+            break
+        out.append(got)
+        inflate, data = probe, probe.unconsumed_tail
+    return b"".join(out)
+
+
+def _deflated(given: _Input, kind: str, state: dict) -> Iterator[bytes]:
+    """One gzip or zlib member. The checksum is tested apart, at the end, so that it takes nothing back."""
+    if (size := _head_size(given, kind)) <= 0:
+        state["bad"] = "broken" if size else "short"
+        return
+    given.data = given.data[size:]
+    inflate, update = zlib.decompressobj(-zlib.MAX_WBITS), zlib.crc32 if kind == "gzip" else zlib.adler32
+    check, out = update(b""), b""
+    while not inflate.eof:
+        if not given.data and len(out) < PIECE and not given.more():
+            state["bad"] = "short"
+            return
+        data, before = given.taken(), inflate.copy()
+        try:
+            out = inflate.decompress(data, PIECE)
+        except zlib.error:
+            if out := _before_damage(before, data):
+                yield out
+            state["bad"] = "broken"
+            return
+        given.data = inflate.unused_data if inflate.eof else inflate.unconsumed_tail
+        if out:
+            check = update(out, check)
+            yield out
+    end, order = (8, "little") if kind == "gzip" else (4, "big")
+    if not given.has(end):
+        state["bad"] = "short"
+    elif int.from_bytes(given.data[:4], order) != check:
+        state["bad"] = "broken"
+    given.data = given.data[end:]
+
+
+def _bzipped(given: _Input, state: dict) -> Iterator[bytes]:
+    """One bzip2 stream. The library keeps what it unfolds in a call that meets damage, so a call unfolds little."""
+    d, held, size = bz2.BZ2Decompressor(), [], 0
+    try:
+        while not d.eof:
+            if d.needs_input and not given.has(1):
+                state["bad"] = "short"
+                break
+            held.append(d.decompress(given.taken() if d.needs_input else b"", BZIP_STEP))
+            size += len(held[-1])
+            if size >= 1 << 16:
+                yield b"".join(held)
+                held, size = [], 0
+    except (OSError, ValueError, EOFError):
+        state["bad"] = "broken"
+    if size:
+        yield b"".join(held)
+    given.data = d.unused_data if d.eof else given.data
 
 
 def _members(blocks: Iterator[bytes], state: dict) -> Iterator[bytes]:
     """What compressed data unfolds to: all members one after another, then the bytes after the last as they are.
 
-    state["bad"] tells whether the data ended early or was broken; what came before that is given. state["rest"] is
-    how many bytes were at hand after the last member.
+    state["bad"] tells whether the data ended early or was broken; what came before that is given (of a broken bzip2
+    block, all but its last BZIP_STEP bytes at most). state["rest"] is how many bytes were at hand after the last member.
     """
-    state["bad"], state["rest"], members, d, data = "", 0, 0, None, b""
+    state["bad"], state["rest"], members, given = "", 0, 0, _Input(blocks)
     while True:
-        if d is None:
-            data = data.lstrip(b"\0") if members else data
-            while len(data) < 4 and (block := next(blocks, None)) is not None:
-                data = (data + block).lstrip(b"\0") if members else data + block
-            if not data:
-                return
-            if (new := _codec(data)) is None:
-                state["rest"] = len(data)
-                yield b"\n" + data
-                yield from blocks
-                return
-            d, members = new(), members + 1
-        try:
-            out = d.decompress(data, PIECE)
-        except (zlib.error, OSError, ValueError, EOFError):
-            state["bad"] = "broken"
+        while given.has(1) and members and not given.data[0]:  # padding between members
+            given.data = given.data.lstrip(b"\0")
+        if not given.has(1):
+            return
+        given.has(4)
+        if not (kind := _codec(given.data)):
+            state["rest"] = len(given.data)
+            yield b"\n" + given.taken()
+            yield from given.blocks
+            return
+        members += 1
+        yield from _bzipped(given, state) if kind == "bzip2" else _deflated(given, kind, state)
+        if state["bad"]:
             return
-        if out:
-            yield out
-        if d.eof:
-            d, data = None, d.unused_data
-            continue
-        data = getattr(d, "unconsumed_tail", b"")
-        if not data and (d.needs_input if hasattr(d, "needs_input") else len(out) < PIECE):
-            if (data := next(blocks, None)) is None:
-                state["bad"] = "short"
-                return
 
 
 def _cut(text: str, at: int) -> int:
@@ -130,25 +233,52 @@ def _pieces(blocks: Iterator[bytes]) -> Iterator[str]:
         yield text
 
 
-def _texts(source: Callable[[], Iterator[bytes]], above: tuple[tuple[bytes, dict], ...] = ()) -> Iterator[tuple[str, bool, bool]]:
+def _blocks(data: bytes) -> Iterator[bytes]:
+    return (data[i : i + (1 << 16)] for i in range(0, len(data), 1 << 16))
+
+
+def _texts(data: bytes) -> Iterator[tuple[str, bool, bool]]:
     """(piece of text, whether it begins a layer, whether it is sure to be one) of data, unfolded as often as it is compressed.
 
-    Data that only looks compressed, or is broken, is also read as it is. Data that unfolds to itself ends the unfolding.
+    Data that only looks compressed, or is broken, is also read as it is. Data that was seen on the way ends the
+    unfolding, by a digest of the whole. A layer of up to SPOOL bytes, or twice the data, is held; a larger one is
+    unfolded again when it is read, each such layer over the one before.
     """
-    head = b""
-    for block in source():
-        head += block
-        if len(head) >= 4096:
+    source, least = lambda: _blocks(data), max(SPOOL, 2 * len(data))
+    seen, states, larger = {hashlib.blake2b(data).digest()}, [], []
+
+    def pieces(blocks: Iterator[bytes], sure: Callable[[], bool]) -> Iterator[tuple[str, bool, bool]]:
+        for i, text in enumerate(_pieces(blocks)):
+            yield text, not i, sure() or not _UNCLEAN.search(text)
+
+    while True:
+        head = _Input(source())
+        head.has(4)
+        if not _codec(head.data):
             break
-    head = head[:4096]
-    if _codec(head) is not None and all(head != x for x, _ in above):
-        state: dict = {}
-        yield from _texts(lambda: _members(source(), state), (*above, (head, state)))
-        if not state["bad"]:
-            return
-        above = ()
-    for i, text in enumerate(_pieces(source())):
-        yield text, not i, (bool(above) and not any(x["bad"] for _, x in above)) or not _UNCLEAN.search(text)
+        state, held, size, digest = {}, [], 0, hashlib.blake2b()
+        for out in _members(source(), state):
+            digest.update(out)
+            size += len(out)
+            if size <= least:
+                held.append(out)
+            else:
+                held.clear()
+        states.append(state)
+        if size <= least:
+            if state["bad"]:
+                yield from pieces(source(), lambda: False)
+            source = lambda new=b"".join(held): _blocks(new)
+        else:
+            larger.append((source, state))
+            source = lambda below=source, state=state: _members(below(), state)
+        if digest.digest() in seen:
+            break
+        seen.add(digest.digest())
+    yield from pieces(source(), lambda: bool(states) and not any(x["bad"] for x in states))
+    for below, state in larger:
+        if state["bad"]:
+            yield from pieces(below(), lambda: False)
 
 
 class _Layer(NamedTuple):
@@ -292,14 +422,14 @@ def _compressed(text: str) -> Iterator[tuple[int, int, bytes]]:
             done, at = 0, None
             for x in _MAGIC.finditer(data):
                 i = x.start()
-                if i < done or _codec(data[i : i + 4]) is None:
+                if i < done or not _codec(data[i : i + 4]):
                     continue
                 state, size = {}, 0
                 for out in _members(iter([data[i:]]), state):
                     if state["rest"]:
                         break
                     size += len(out)
-                if not size or (state["bad"] == "broken" and not x[1] and size < 32):
+                if not size or (state["bad"] == "broken" and not x[1] and size < LEAST):
                     continue  # two bytes that only look like the head of zlib data
                 end = len(data) - state["rest"]
                 done = 0 if state["bad"] else end
@@ -319,8 +449,7 @@ def _opened(layer: _Layer, seen: set) -> Iterator[_Layer]:
         if (key := _key(start, end, data)) in seen:
             continue
         seen.add(key)
-        blocks = lambda data=data: (data[i : i + (1 << 16)] for i in range(0, len(data), 1 << 16))
-        for text, begins, sure in _texts(blocks):
+        for text, begins, sure in _texts(data):
             yield _Layer(text, start, end, begins, sure)
 
 

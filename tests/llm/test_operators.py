@@ -558,3 +558,75 @@ def test_elias_fano(n):
             assert e.select_range(a, b).tolist() == v[a:b].tolist()
     if n == 5000:
         assert len(token_store.EliasFano.of(v).dump()) < n * 3.5  # 64-bit offsets take 8
+
+
+def test_compressed_layers_of_any_depth():
+    import time
+
+    from sessionloom.llm.secrets import scan
+
+    took = []
+    for n in (1250, 5000):
+        data = b"password=hunter22"
+        for _ in range(n):
+            data = gzip.compress(data, 1)
+        text, began = base64.b64encode(data).decode(), time.process_time()
+        assert scan(text)[1] == [(0, len(text), "assign")]
+        took.append(len(data) / (time.process_time() - began))
+    assert took[1] > took[0] / 12  # each layer is a little longer than the one in it
+
+
+@pytest.mark.parametrize("size", [0, 100, 400_000])
+@pytest.mark.parametrize("kind", ["gzip", "zlib", "bzip2"])
+def test_damaged_layers_give_what_comes_before(kind, size):
+    from sessionloom.llm.secrets import scan
+
+    pack = {"gzip": gzip.compress, "zlib": zlib.compress, "bzip2": bz2.compress}[kind]
+    body = b"token=abcdef1\n" + random.Random(size).randbytes(size) + b"\n tail of plain words, long enough to be cut off\n"
+    whole = pack(body)
+    wrong_check = bytearray(whole)
+    wrong_check[-6 if kind == "bzip2" else -2] ^= 1
+    hurt = bytearray(whole)
+    hurt[len(whole) // 2] ^= 0xFF
+    cases = [whole, bytes(wrong_check), whole[:-1], whole[:-3], whole + b"\0\0" + whole, whole + b" more"]
+    if size > 100 and kind != "bzip2":
+        cases += [bytes(hurt), whole[: len(whole) // 2]]
+    for data in cases:
+        text = base64.b64encode(data).decode()
+        assert [x[2] for x in scan(text)[1]] == ["assign"], (kind, size, len(data))
+        assert scan("".join(f"%{c:02x}" for c in data))[1] if size < 1000 else True
+
+
+def test_layers_that_begin_alike_are_told_apart():
+    """Two compressed layers, one in the other, whose first bytes are equal."""
+    from sessionloom.llm.secrets import scan
+
+    inner = gzip.compress(b"x" * 100 + b" token=abcdef1", 0, mtime=0)
+    stored = gzip.compress(inner, 0, mtime=0)
+    assert stored[:10] == inner[:10]
+    assert [x[2] for x in scan(base64.b64encode(stored).decode())[1]] == ["assign"]
+
+
+def test_layers_against_a_brute_force_version(spark):
+    """Random nestings of encodings, each undone by hand; the table's spans are the whole encoded run."""
+    from urllib.parse import quote
+
+    from sessionloom.llm.secrets import scan_secrets
+
+    r = random.Random(8)
+    wrap = {"gzip": lambda b: gzip.compress(b, mtime=0), "zlib": zlib.compress, "bzip2": bz2.compress, "b64": base64.b64encode, "hex": lambda b: b.hex().encode(), "url": lambda b: quote(b, safe="").encode()}
+    rows = []
+    for i in range(150):
+        secret = r.choice(["password=hunter22x", "AKIA" + "Q7" * 9, "api_key: zz-yy-xx-ww", "nothing here at all"]).encode()
+        data, names = secret, []
+        for _ in range(r.randrange(1, 9)):
+            names.append(r.choice([k for k in wrap if k != "url" or not names or names[-1] in ("b64", "hex")]))
+            data = wrap[names[-1]](data)
+        if names[-1] not in ("b64", "hex"):
+            data = base64.b64encode(data)
+        rows.append((i, "see <" + data.decode() + "> end", b"nothing" not in secret, len(data)))
+    got = {x.doc_id: x.spans for x in scan_secrets(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")).collect()}
+    for i, text, there, n in rows:
+        spans = [x for x in got[i].split(",") if x.startswith(("assign", "access"))]
+        assert bool(spans) == there, text
+        assert all(5 <= int(x.split(":")[1]) and int(x.split(":")[2]) <= 5 + n for x in spans), (spans, n)
