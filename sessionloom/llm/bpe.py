@@ -181,6 +181,35 @@ def encode(df: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col: str =
     return rows.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInPandas(assemble, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
+def _table(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of numbers: their sizes (-1 for a number that has none), where they start, and the bytes."""
+    size = np.full(max((i for i, _ in rows), default=-1) + 1, -1)
+    size[[i for i, _ in rows]] = [len(b) for _, b in rows]
+    return size, np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0), np.frombuffer(b"".join(b for _, b in sorted(rows)), np.uint8)
+
+
+def _joined(col: pa.Array, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """What the numbers of each row stand for in the table, one after another, and where each row begins."""
+    size, start, flat = table
+    own = np.asarray(col.flatten())
+    if len(own) and (own.min() < 0 or own.max() >= len(size) or size[own].min() < 0):
+        raise ValueError("an id is not in the table")
+    ends = np.cumsum(np.array(pc.fill_null(pc.list_value_length(col), 0), np.int64))
+    return gathered(own, size, start, flat), np.concatenate(([0], np.cumsum(size[own])))[np.concatenate(([0], ends))]
+
+
+def _slices(batches, ids_col: str):
+    """Runs of neighbouring rows with a bounded number of ids, unless one row has more."""
+    for batch in batches:
+        for i, j in parts(pc.fill_null(pc.list_value_length(batch.column(ids_col)), 0).to_pylist(), 1 << 17):
+            yield batch.slice(i, j - i)
+    release()
+
+
+def _small(ranks: dict[bytes, int], table_bytes: int) -> bool:
+    return sum(len(b) + 8 for b in ranks) <= table_bytes
+
+
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """df with `decoded`, the bytes of its ids, by a join with the token-byte table.
 
@@ -188,35 +217,50 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", table_bytes: in
     a larger one is joined with the exploded positions by a shuffle, hot tokens apart, and the bytes are put together
     by position. Null ids give null; an id that the table lacks is an error.
     """
-    spark = df.sparkSession
-    table = sorted((i, b) for b, i in read_ranks(ranks_path).items())
-    if sum(len(b) + 8 for _, b in table) > table_bytes:
+    spark, ranks = df.sparkSession, read_ranks(ranks_path)
+    table = [(i, b) for b, i in ranks.items()]
+    if not _small(ranks, table_bytes):
         return _decode_shuffled(df, spark.createDataFrame(table, "token int, bytes binary"), ids_col)
-    size = np.full((table[-1][0] if table else 0) + 1, -1)
-    size[[i for i, _ in table]] = [len(b) for _, b in table]
-    shared = spark.sparkContext.broadcast((size, np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0), np.frombuffer(b"".join(b for _, b in table), np.uint8)))
+    shared = spark.sparkContext.broadcast(_table(table))
 
     def run(batches):
-        size, start, flat = shared.value
-        for batch in batches:
-            col = batch.column(batch.schema.get_field_index(ids_col))
-            n = np.array(pc.fill_null(pc.list_value_length(col), 0), np.int64)
-            ends, values, out = np.cumsum(n), np.asarray(col.flatten()), []
-            for i, j in parts(n.tolist(), 1 << 17):
-                own = values[ends[i] - n[i] : ends[j - 1]]
-                if len(own) and (own.min() < 0 or own.max() >= len(size) or size[own].min() < 0):
-                    raise ValueError("an id is not in the table")
-                data = gathered(own, size, start, flat).tobytes()
-                edges = np.concatenate(([0], np.cumsum(size[own])))[np.concatenate(([0], np.cumsum(n[i:j])))].tolist()
-                out += [data[x:y] for x, y in zip(edges[:-1], edges[1:], strict=True)]
-            done = pa.array(out, pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pc.if_else(col.is_null(), pa.scalar(None, pa.binary()), done)], names=[*batch.schema.names, "decoded"])
-        release()
+        for rows in _slices(batches, ids_col):
+            data, edges = _joined(rows.column(ids_col), shared.value)
+            done = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(edges), pa.py_buffer(data)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*rows.columns, pc.if_else(rows.column(ids_col).is_null(), pa.scalar(None, pa.binary()), done)], names=[*rows.schema.names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInArrow(run, f"{fields}, decoded binary")
 
 
+def token_digests(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids", table_bytes: int = TABLE_BYTES) -> DataFrame:
+    """(id, n_tokens, ids_sha256 of the decimal ids joined by commas, decoded_sha256 of the decoded bytes); null for null ids.
+
+    As decode, but neither ids nor bytes leave a task: a slice of rows is decoded, digested and let go.
+    """
+    spark, ranks = df.sparkSession, read_ranks(ranks_path)
+    rows = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+    names = ("id", "n_tokens", "ids_sha256", "decoded_sha256")
+    if not _small(ranks, table_bytes):
+        done = decode(rows, ranks_path, "ids", table_bytes)
+        ids = F.sha2(F.array_join("ids", ",").cast("binary"), 256)
+        return done.select("id", F.when(F.col("ids").isNotNull(), F.size("ids")).cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")).withColumnRenamed("id", id_col)
+    shared = spark.sparkContext.broadcast((_table([(i, b) for b, i in ranks.items()]), _table([(i, b"%d," % i) for i in ranks.values()])))
+
+    def digests(data: np.ndarray, edges: np.ndarray, less: int) -> list[str]:
+        at = memoryview(data)
+        return [hashlib.sha256(at[a : max(a, b - less)]).hexdigest() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+    def run(batches):
+        for rows in _slices(batches, "ids"):
+            col = rows.column("ids")
+            cols = [pa.array(digests(*_joined(col, table), less), pa.string()) for table, less in zip(shared.value, (0, 1), strict=True)]
+            n = pc.cast(pc.list_value_length(col), pa.int64())
+            yield pa.RecordBatch.from_arrays([rows.column("id"), n, *(pc.if_else(col.is_null(), pa.scalar(None, pa.string()), c) for c in reversed(cols))], names=names)
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+
+
 def _decode_shuffled(df: DataFrame, table: DataFrame, ids_col: str) -> DataFrame:
     rows = pinned(df.withColumn("_row", F.monotonically_increasing_id()))
     at = rows.select("_row", F.posexplode(ids_col).alias("pos", "token"))
@@ -232,5 +276,4 @@ def op6_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    done = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.PATTERN), path)
-    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return token_digests(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.PATTERN), path)

@@ -20,6 +20,8 @@ from pyspark.sql.window import Window
 
 #: Raw text bytes of one chunk: what one task holds of the documents at a time.
 CHUNK_BYTES = 2 << 20
+#: Items that are gathered at a time.
+GATHERED = 1 << 17
 #: Keys that one bucket of a packed count receives on average.
 BUCKET_KEYS = 1 << 20
 
@@ -251,10 +253,15 @@ def release() -> None:
 
 
 def gathered(at: np.ndarray, sizes: np.ndarray, starts: np.ndarray, flat: np.ndarray) -> np.ndarray:
-    """The items `at`, one after another, of a table of items of several sizes."""
-    n = sizes[at]
-    to = np.cumsum(n)
-    return flat[np.repeat(starts[at] - to + n, n) + np.arange(to[-1] if len(to) else 0)]
+    """The items `at`, one after another, of a table of items of several sizes; GATHERED of the result at a time."""
+    to = np.cumsum(sizes[at], dtype=np.int64)
+    out = np.empty(to[-1] if len(to) else 0, flat.dtype)
+    cuts = np.unique(np.searchsorted(to, np.arange(0, len(out) + GATHERED, GATHERED), side="right"))
+    for a, b in zip([0, *cuts], [*cuts, len(at)], strict=True):
+        n = sizes[at[a:b]]
+        begin, end = to[a] - n[0] if b > a else 0, to[b - 1] if b > a else 0
+        out[begin:end] = flat[np.repeat(starts[at[a:b]] - to[a:b] + n, n) + np.arange(begin, end)]
+    return out
 
 
 def parts(sizes: list[int], most: int = 1 << 20):
