@@ -63,26 +63,40 @@ def ratio_buckets(length: Column, least: float) -> Column:
     return F.floor(F.log(length + 1.0) / F.log(F.lit((200 - least) / least))).cast("int")
 
 
+def title_keys(titles: DataFrame, least: float, on: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Of distinct titles (*on, t): (*on, t, key) for each as the one that is looked for, and as the one that is found.
+
+    A title is found under its words and all its pieces of up to three characters. It is looked for under the rarest of
+    its own pieces of three (all of it, if shorter), which a title that contains it has, and under the rarest
+    n - ceil(least * n) + 1 of its n words, one of which any title has that shares `least` of them. How rare a key is
+    comes from a count over all titles, so common words and beginnings are no keys unless a title has no others.
+    """
+    low, words = F.lower("t"), title_words(F.col("t"))
+    pieces = lambda n: F.when(F.char_length(low) >= n, F.transform(F.sequence(F.lit(1), F.char_length(low) - (n - 1)), lambda i: F.concat(F.lit(f"{n}:"), F.substring(low, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    named = F.transform(words, lambda w: F.concat(F.lit("w:"), w))
+    hay = titles.select(*on, "t", F.explode(F.array_distinct(F.concat(named, pieces(1), pieces(2), pieces(3)))).alias("key"))
+    own = F.when(F.char_length(low) >= 3, pieces(3)).when(F.char_length(low) == 2, pieces(2)).otherwise(pieces(1))
+    asked = titles.select(*on, "t", F.size(words).alias("n"), F.explode(F.array_distinct(F.concat(named, own))).alias("key"))
+    rare = asked.join(hay.groupBy(*on, "key").agg(F.count(F.lit(1)).alias("k")), [*on, "key"])
+    by = rare.groupBy(*on, "t", "n").agg(F.array_sort(F.collect_list(F.struct("k", "key"))).alias("keys"))
+    is_word = lambda x: x["key"].startswith("w:")
+    head = F.slice(F.filter("keys", is_word), F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)
+    picked = F.concat(F.slice(F.filter("keys", lambda x: ~is_word(x)), 1, 1), F.when(F.col("n") > 0, head).otherwise(F.slice("keys", 1, 0)))
+    return by.select(*on, "t", F.explode(F.transform(picked, lambda x: x["key"])).alias("key")), hay
+
+
 def title_pairs(left: DataFrame, right: DataFrame, least: float, on: list[str] = ()) -> DataFrame:
     """(*on, a, b, score): distinct titles of both sides, with equal `on` columns, whose overlap is `least` or more, by
-    equal keys rather than all pairs.
+    equal keys (title_keys) rather than all pairs.
 
-    A title that another contains starts with a trigram (or, if shorter, a character) that the other has. Otherwise the
-    smaller word set has one of its first n - ceil(least * n) + 1 words, longest first, among the other's words.
     Blank titles are left out: callers do not compare them.
     """
-    low = F.lower("t")
-    words = title_words(F.col("t"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(low) - 2, F.lit(1))), lambda i: F.concat(F.lit("3:"), F.substring(low, i, F.lit(3))))
-    singles = F.transform(F.split(low, ""), lambda c: F.concat(F.lit("1:"), c))
-    named = lambda w: F.concat(F.lit("w:"), w)
-    rare = F.transform(F.array_sort(F.transform(words, lambda w: F.struct((-F.char_length(w)).alias("k"), w.alias("w")))), lambda x: named(x["w"]))
-    head = F.slice(rare, F.lit(1), F.size(words) - F.ceil(F.size(words) * least - 1e-9).cast("int") + 1)
-    start = F.when(F.char_length(low) >= 3, F.concat(F.lit("3:"), F.substring(low, 1, 3))).otherwise(F.concat(F.lit("1:"), F.substring(low, 1, 1)))
-    needle = F.array_distinct(F.concat(F.array(start), F.when(F.size(words) > 0, head).otherwise(F.array().cast("array<string>"))))
-    hay = F.array_distinct(F.concat(F.when(F.char_length(low) >= 3, grams).otherwise(F.array().cast("array<string>")), singles, F.transform(words, named)))
     sides = [df.select(*on, F.col("title").alias("t")).filter(strip(F.col("t")) != "").distinct() for df in (left, right)]
-    as_needle = [s.select(*on, F.col("t").alias(n), F.explode(needle).alias("key")) for s, n in zip(sides, "ab", strict=True)]
-    as_hay = [s.select(*on, F.col("t").alias(n), F.explode(hay).alias("key")) for s, n in zip(sides, "ab", strict=True)]
-    pairs = as_needle[0].join(as_hay[1], [*on, "key"]).select(*on, "a", "b").unionByName(as_hay[0].join(as_needle[1], [*on, "key"]).select(*on, "a", "b")).distinct()
+    every = sides[0].withColumn("_a", F.lit(True)).withColumn("_b", F.lit(False)).unionByName(sides[1].withColumn("_a", F.lit(False)).withColumn("_b", F.lit(True)))
+    every = every.groupBy(*on, "t").agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    needles, hay = title_keys(every, least, on)
+    met = needles.join(hay.withColumnRenamed("t", "other"), [*on, "key"]).select(*on, "t", "other").distinct()
+    which = lambda side, name: every.filter(side).select(*on, F.col("t").alias(name))
+    pairs = met.select(*on, F.col("t").alias("a"), F.col("other").alias("b")).unionByName(met.select(*on, F.col("other").alias("a"), F.col("t").alias("b"))).distinct()
+    pairs = pairs.join(which("_a", "a"), [*on, "a"], "left_semi").join(which("_b", "b"), [*on, "b"], "left_semi")
     return pairs.withColumn("score", title_overlap(F.col("a"), F.col("b"))).filter(F.col("score") >= least)

@@ -31,9 +31,43 @@ def touched_files(diffs: DataFrame) -> DataFrame:
     return diffs.groupBy("session_id", "file").agg(F.min("ord").alias("ord"))
 
 
+#: What parts the words of a path; characters of a word's end or start, or of a name without parts, that are a key.
+_CUT, _ENDS, _GRAM = r"[^\p{L}\p{N}_]+", 4, 3
+
+
+def _anchor(file):
+    """The one key of a lower-case path by which an error that contains it is found: its longest word between separators,
+    else the end of its first word, else the start of its last, else, where nothing parts it, its first characters."""
+    parts = F.split(file, _CUT)
+    inner = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.get(F.array_sort(F.transform(inner, lambda w: F.struct((-F.char_length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
+    first, last = F.get(parts, F.lit(0)), F.element_at(parts, -1)
+    whole = F.when(first == "", "*").otherwise(F.concat(F.lit("g:"), F.left(first, F.lit(_GRAM))))
+    return F.when(longest.isNotNull(), F.concat(F.lit("t:"), longest)).when(F.size(parts) == 1, whole).when(first != "", F.concat(F.lit("s:"), F.right(first, F.lit(_ENDS)))).when(last != "", F.concat(F.lit("p:"), F.left(last, F.lit(_ENDS)))).otherwise("*")
+
+
+def _keys(error, kinds):
+    """The keys of the given kinds under which a lower-case error is found."""
+    words = F.array_distinct(F.filter(F.split(error, _CUT), lambda w: w != ""))
+    ends = lambda w: F.sequence(F.lit(1), F.least(F.char_length(w), F.lit(_ENDS)))
+    grams = lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.char_length(w)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(_GRAM)), lambda n: F.concat(F.lit("g:"), F.substring(w, i, n)))))
+    made = {
+        "t": F.transform(words, lambda w: F.concat(F.lit("t:"), w)), "s": F.flatten(F.transform(words, lambda w: F.transform(ends(w), lambda i: F.concat(F.lit("s:"), F.right(w, i))))),
+        "p": F.flatten(F.transform(words, lambda w: F.transform(ends(w), lambda i: F.concat(F.lit("p:"), F.left(w, i))))), "g": F.flatten(F.transform(words, grams)), "*": F.array(F.lit("*")),
+    }
+    return F.array_distinct(F.concat(*(F.when(F.array_contains(kinds, k), x).otherwise(F.array().cast("array<string>")) for k, x in made.items())))
+
+
 def related_files(errors: DataFrame, diffs: DataFrame) -> DataFrame:
-    """(session_id, error, files): files of the session whose path the error names, in order."""
-    pairs = errors.join(diffs.select("session_id", "file", F.col("ord").alias("at")), "session_id").filter(F.contains(F.lower("error"), F.lower("file")))
+    """(session_id, error, files): files of the session whose path the error names, in order.
+
+    A path and an error meet by the path's anchor, so a session's errors are not compared with all of its files; then the
+    error must contain the path. An error makes keys only of the kinds that its session's anchors have.
+    """
+    files = diffs.select("session_id", "file", F.col("ord").alias("at"), _anchor(F.lower("file")).alias("key"))
+    kinds = files.groupBy("session_id").agg(F.collect_set(F.left("key", F.lit(1))).alias("kinds"))
+    keyed = errors.join(kinds, "session_id").select("session_id", "error", F.explode(_keys(F.lower("error"), F.col("kinds"))).alias("key"))
+    pairs = keyed.join(files, ["session_id", "key"]).filter(F.contains(F.lower("error"), F.lower("file")))
     files = F.transform(F.array_sort(F.collect_list(F.struct("at", "file"))), lambda x: x["file"])
     return pairs.groupBy("session_id", "error").agg(files.alias("files"))
 
