@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sessionloom.functions import redaction, similarity, text
+from sessionloom.functions import redaction, schema, similarity, text
 from sessionloom.functions.globs import denied
 from sessionloom.operators import context, curate, evaluate, extract, normalize, review, salience, stats, trace
 from sessionloom.plans import views
@@ -790,3 +791,94 @@ def redact_all_patterns(spark, d):
     """Every document with the matches of all named patterns redacted, without the entropy check."""
     clean = redaction.redactor(least_entropy=float("inf"))
     return views.table(spark, d, "documents").select("doc_id", F.sha2(clean(F.col("text")), 256).alias("redacted_sha256"))
+
+
+def _record_lines(spark, d) -> DataFrame:
+    """Events as the lines of their users' transcripts: clicks use a tool, purchases and errors are its results, some with
+    text; views are users' words, signups no message; a line in eleven is broken."""
+    e = views.event_turns(spark, d)
+    block = lambda **c: F.array(F.struct(*(x.alias(n) for n, x in c.items())))
+    ident = F.col("test").cast("string")
+    use = F.to_json(F.struct(F.lit("assistant").alias("type"), F.struct(block(type=F.lit("tool_use"), id=ident, name=F.concat(F.lit("tool "), F.col("event_id").cast("string"))).alias("content")).alias("message")))
+    result = F.to_json(F.struct(F.lit("user").alias("type"), F.struct(block(type=F.lit("tool_result"), tool_use_id=ident, is_error=F.col("is_error"), content=F.concat(F.lit("out "), ident)).alias("content")).alias("message")))
+    said = F.to_json(F.struct(F.lit("user").alias("type"), F.struct(F.lit("hello").alias("content")).alias("message")))
+    line = F.when(F.col("event_id") % 11 == 0, "{").when(F.col("event_type") == "click", use).when(F.col("event_type").isin("purchase", "error"), result).when(F.col("event_type") == "view", said).otherwise('{"type": "summary"}')
+    return e.select(F.concat(F.lit("/t/u"), F.col("session_id").cast("string"), F.lit(".jsonl")).alias("file"), F.col("idx").alias("ord"), line.alias("line"))
+
+
+_TURNS = f"""{_B}, kinds AS (SELECT session_id, idx, k % 10 AS test, event_id, is_error, CASE event_type WHEN 'click' THEN 'A' WHEN 'view' THEN 'U' ELSE 'R' END AS kind FROM b WHERE event_type <> 'signup' AND event_id % 11 <> 0),
+prior AS (SELECT *, last_value(CASE WHEN kind <> 'R' THEN kind END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM kinds),
+joined AS (SELECT *, kind = 'R' AND coalesce(prior = 'A', false) AS joins FROM prior),
+t AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY idx) - 1 AS turn FROM joined)"""
+
+
+@query(f"WITH {_TURNS} SELECT 'u' || session_id AS session, CAST(turn AS BIGINT) AS idx, CASE WHEN kind = 'A' THEN 'assistant' ELSE 'user' END AS role, CASE WHEN kind = 'U' THEN 'hello' ELSE '' END AS content FROM t WHERE NOT joins")
+def turn_assignment(spark, d):
+    """Transcript lines as turns: results join the assistant's turn before them, or start a user's."""
+    rows = normalize.assigned_turns(normalize.jsonl_records(_record_lines(spark, d)))
+    return rows.filter("not joins").select("session", F.col("idx").cast("long").alias("idx"), "role", "content")
+
+
+@query(f"""WITH {_TURNS}, used AS (SELECT r.session_id, r.idx, max(u.idx) AS at FROM t r LEFT JOIN t u ON u.session_id = r.session_id AND u.kind = 'A' AND u.test = r.test AND u.idx < r.idx WHERE r.joins GROUP BY ALL)
+SELECT 'u' || t.session_id AS session, CAST(turn AS BIGINT) AS idx, t.idx AS ord, coalesce('tool ' || n.event_id, 'tool') AS name, t.is_error, 'out ' || t.test AS output
+FROM t JOIN used USING (session_id, idx) LEFT JOIN b n ON n.session_id = t.session_id AND n.idx = used.at""")
+def attached_results(spark, d):
+    """Tool results with the turn that they join and the name of the latest call of their id."""
+    rows = normalize.tool_results(normalize.assigned_turns(normalize.jsonl_records(_record_lines(spark, d))))
+    return rows.select("session", F.col("idx").cast("long").alias("idx"), "ord", "name", "is_error", "output")
+
+
+@query(f"""WITH {_B}, e AS (SELECT session_id, CASE WHEN k % 2 = 0 THEN 'bad click.py ' || k % 10 ELSE 'error failed' END AS error, min(idx) AS ord FROM b WHERE is_error GROUP BY ALL),
+known AS (SELECT * FROM (VALUES ('bad click.py 3'), ('quite another lesson')) AS t(b)), n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ord) AS n FROM (SELECT e.*, error AS a FROM e) e WHERE NOT EXISTS (SELECT 1 FROM known WHERE {_OVER} >= 0.6))
+SELECT session_id, error AS title FROM n WHERE n <= 3""")
+def unknown_lessons(spark, d):
+    """The rule extractor leaves out what overlaps a known title."""
+    t = _event_trace(spark, d)
+    known = spark.createDataFrame([("bad click.py 3",), ("quite another lesson",)], "title string")
+    return extract.rule_entries(trace.replace(t, diffs=extract.touched_files(t.diffs)), known).select("session_id", "title")
+
+
+def _fixed_answer(prompt: str) -> str:
+    """What the fixed client says: four lessons, of which one has an unknown field, one cites a file that was not changed, and
+    one repeats a title; nothing for prompts without an excerpt line of an error."""
+    lesson = {"id": "x", "type": "fact", "title": "First lesson", "confidence": "low", "body": "b"}
+    made = [lesson, lesson | {"odd": 1}, lesson | {"title": "Second lesson", "artifacts": ["none.py"]}, lesson | {"title": "Third lesson", "artifacts": ["click.py"], "scope": ["click.py", "other"]}, lesson]
+    return "```json\n" + json.dumps({"candidates": made}) + "\n```" if "error): " in prompt else "no"
+
+
+@query(f"""WITH {_B}, s AS (SELECT session_id FROM b GROUP BY session_id HAVING count(*) >= 4 AND bool_or(is_error)),
+touched AS (SELECT session_id, string_agg(file, ',' ORDER BY p0) AS files, list(file) AS every FROM (SELECT session_id, event_type || '.py' AS file, min(idx) AS p0 FROM b WHERE NOT is_error GROUP BY ALL) GROUP BY session_id),
+c AS (SELECT s.session_id, 'First lesson' AS title, coalesce(files, '') AS artifacts, coalesce(array_to_string(list_sort(every), ','), '') AS scope FROM s LEFT JOIN touched USING (session_id) UNION ALL SELECT session_id, 'Third lesson', 'click.py', 'click.py' FROM s JOIN touched USING (session_id) WHERE list_contains(every, 'click.py'))
+SELECT session_id, 'fact-' || substr(sha256(session_id || ':' || title), 1, 6) AS id, title, artifacts, scope FROM c""")
+def model_entries(spark, d):
+    """The model extractor over whole traces, with a client that gives fixed answers."""
+    t = _event_trace(spark, d)
+    known = spark.createDataFrame([("fact-1", "fact", "Known")], "id string, type string, title string")
+    rows = extract.model_entries(trace.replace(t, diffs=extract.touched_files(t.diffs).withColumn("patch", F.lit(""))), known, _fixed_answer)
+    return rows.select("session_id", "id", "title", F.array_join("evidence.artifacts", ",").alias("artifacts"), F.array_join("scope", ",").alias("scope"))
+
+
+@query("""SELECT count(*) AS checked, count(*) FILTER (doc_id % 5 = 0 OR lang = 'fr' OR n_chars < 100) AS failed, count(*) FILTER (NOT (doc_id % 5 = 0 OR lang = 'fr' OR n_chars < 100) AND doc_id % 2 = 0) AS warned FROM documents""")
+def validated_entries(spark, d):
+    """Documents as entries, a fifth of them with an unknown field, the French ones of no type, the short ones without a time."""
+    docs = views.table(spark, d, "documents")
+    at = F.lit("2024-01-02T03:04:05Z")
+    entry = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.when(F.col("lang") == "fr", "lore").otherwise("fact").alias("type"), F.col("source").alias("title"), F.lit("staged").alias("status"), F.lit("1").alias("spec_version"), F.when(F.col("doc_id") % 2 == 1, F.array("lang")).otherwise(F.array()).alias("scope"), F.lit("low").alias("confidence"), F.struct(F.lit("h").alias("harness"), at.alias("captured_at")).alias("evidence"), at.alias("created"), F.when(F.col("n_chars") >= 100, at).otherwise("soon").alias("updated"), F.when(F.col("doc_id") % 5 == 0, 1).alias("odd")))
+    rows = docs.select(F.size(schema.problem_list(entry, schema.ENTRY)).alias("n"), (F.col("doc_id") % 2 == 0).alias("no_scope"))
+    return stats.validation_counts(rows, F.col("n") == 0, F.col("no_scope"))
+
+
+@query("""SELECT place, id, CAST(row_number() OVER (PARTITION BY place ORDER BY type_ord, file_name) AS BIGINT) AS at FROM (
+SELECT CASE WHEN p_size <= 10 THEN 'staged' WHEN p_size <= 20 THEN 'rejected' WHEN p_size <= 40 THEN 'approved' ELSE 'archived' END AS place, printf('part-%06d', p_partkey) AS id, CASE WHEN p_size <= 20 THEN 0 ELSE length(p_type) END AS type_ord, p_name || p_partkey AS file_name FROM part) WHERE place <> 'archived'""")
+def routed_listing(spark, d):
+    """Parts as entries of four places; those of a status come from their place, in the order in which a store lists them."""
+    from sessionloom.sources.readers import routed_entries
+
+    parts = views.part_entries(spark, d).withColumn("file_name", F.concat("title", F.col("seq").cast("string"))).withColumn("type_ord", F.length("type"))
+    typed = parts.filter("size > 20").withColumn("status", F.when(F.col("size") <= 40, "approved").otherwise("archived"))
+    out = None
+    for status in ("staged", "rejected", "approved"):
+        rows = routed_entries(parts.filter("size <= 10"), typed, parts.filter("size between 11 and 20"), status).withColumn("n", F.monotonically_increasing_id())
+        rows = rows.select(F.lit(status).alias("place"), "id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("n")).cast("long").alias("at"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
