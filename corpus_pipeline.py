@@ -7,10 +7,11 @@ empty. A stage sees what its predecessor kept, read again from Parquet; other co
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from sessionloom.llm.bpe import decode, encode
+from sessionloom.llm.bpe import encode, token_digests
 from sessionloom.llm.common import written
 from sessionloom.llm.decontaminate import contained_items
 from sessionloom.llm.exact_dedup import exact_dedup
@@ -18,15 +19,20 @@ from sessionloom.llm.jaccard_join import jaccard_components
 from sessionloom.llm.langid import identify, learned
 
 
-#: Rows of the batches that Spark hands to Python workers: whole documents, of which the default holds 10,000.
-BATCH_ROWS = 2000
+#: Bytes of the batches that Spark hands to Python workers; its default holds 10,000 whole documents.
+BATCH_BYTES = 4 << 20
 
 
-def _batches(spark: SparkSession) -> None:
-    """Keeps what a task and its worker hold of a batch small, for this session."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession):
+    """While this lasts, what a task and its worker hold of a batch is bounded by bytes; then the session is as before."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -36,9 +42,9 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what has a language: documents without a letter go."""
-    _batches(spark)
     others = [c for c in docs.columns if c != "doc_id"]
-    return identify(docs, learned(docs), keep=others).filter("lang_pred != 'und'").select(*docs.columns)
+    with _small_batches(spark):
+        return written(identify(docs, learned(docs), keep=others).filter("lang_pred != 'und'").select(*docs.columns), "spoken")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +54,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies."""
-    _batches(spark)
-    return _without(docs, jaccard_components(docs).filter("doc_id != component_id"))
+    with _small_batches(spark):
+        return _without(docs, jaccard_components(docs).filter("doc_id != component_id"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,10 +68,9 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     holds two Python workers."""
     import public_tokenizers
 
-    _batches(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    done = decode(written(encode(docs, path, public_tokenizers.PATTERN), "ids"), path)
-    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    with _small_batches(spark):
+        return written(token_digests(written(encode(docs, path, public_tokenizers.PATTERN), "ids", 8 << 20), path), "digests")
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("jaccard_join", near), ("decontamination", clean), ("byte_bpe", tokens)]
