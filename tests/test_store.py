@@ -135,6 +135,8 @@ def test_capture_edge(tmp_path):
     assert store.enqueue(event | {"session_id": "../x"}, root, "jsonl", "3") is None and store.enqueue({}, root, "jsonl", "4") is None
     log = [json.loads(x) for x in Path(root, "capture-log.jsonl").read_text().splitlines()]
     assert [(x["ts"], x["enqueued"], x.get("error")) for x in log] == [("1", True, None), ("2", True, None), ("3", False, "unsafe session_id")]
+    assert not store.trace_hook(root, event, "5", False) and not Path(root, "hook-trace.jsonl").exists()
+    assert store.trace_hook(root, event, "5", True) and json.loads(Path(root, "hook-trace.jsonl").read_text())["event"] == event
     assert store.hook_event("") == store.hook_event("[") == store.hook_event("[1]") == {} and store.hook_event('{"a":1}') == {"a": 1}
 
 
