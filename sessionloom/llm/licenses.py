@@ -48,6 +48,12 @@ def _grams(k: int, of: str = "w") -> Column:
     return F.expr(f"if(size({of}) >= {k}, transform(sequence(0, size({of}) - {k}), i -> xxhash64({k}, {words})), array())")
 
 
+def _rolled(k: int) -> Column:
+    """The hash of the k-gram that starts at the word before place p; null at place 0 and where the text ends before."""
+    words = ", ".join(f"get(w, p - 1 + {j})" for j in range(k))
+    return F.expr(f"if(p > 0 and p - 1 + {k} <= n_words, xxhash64({k}, {words}), cast(null as long))")
+
+
 def _gram(k: Column, at: Column, of: str = "w") -> Column:
     return F.array_join(F.slice(of, at + 1, k), " ")
 
@@ -78,16 +84,17 @@ def license_spans(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
     index = written(cut.select("template", "label", "exact", F.size("w").alias("size"), "k", "w", F.posexplode("hs").alias("j", "h")).withColumn("gram", _gram(F.col("k"), F.col("j"))).drop("w"), "templates")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
     rows = rows.select("row", "id", F.explode(F.array(words_of(F.col("text")))).alias("w"))
-    # place 0 stands for the document itself and meets no template
-    hashes = F.concat(F.array(F.lit(None).cast("long")), _grams(SHORT_WORDS), _grams(WORDS))
-    rows = rows.select("row", "id", "w", F.size("w").alias("n_words"), F.posexplode(hashes).alias("p", "h"))
-    n_short = F.greatest(F.col("n_words") - (SHORT_WORDS - 1), F.lit(0))
-    k, i = F.when(F.col("p") <= n_short, SHORT_WORDS).otherwise(WORDS), F.when(F.col("p") <= n_short, F.col("p") - 1).otherwise(F.col("p") - 1 - n_short)
+    # place 0 stands for the document itself and meets no template; grams are made a word at a time, after the generator,
+    # where Catalyst compiles them
+    rows = rows.select("row", "id", "w", F.size("w").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), "w")).alias("p", "word"))
+    grams = F.array(*(F.struct(F.lit(k).alias("width"), _rolled(k).alias("h")) for k in (SHORT_WORDS, WORDS)))
+    rows = rows.select("row", "id", "w", "n_words", "p", F.inline(grams)).filter(F.col("h").isNotNull() | ((F.col("p") == 0) & (F.col("width") == WORDS)))
+    i = F.col("p") - 1
     keep = ["template", "label", "exact", "size", "k", "j"]
     if index.agg(F.coalesce(F.sum(F.octet_length("gram") + 64), F.lit(0))).first()[0] <= broadcast_bytes:
         met = rows.join(F.broadcast(index), "h", "left").filter((F.col("p") == 0) | (F.col("gram") == _gram(F.col("k"), i)))
     else:
-        met = rows.select("row", "id", "n_words", "p", "h", F.when(F.col("p") > 0, _gram(k, i)).alias("gram")).join(index, ["h", "gram"], "left").filter("p = 0 or template is not null")
+        met = rows.select("row", "id", "n_words", "p", "h", F.when(F.col("p") > 0, _gram(F.col("width"), i)).alias("gram")).join(index, ["h", "gram"], "left").filter("p = 0 or template is not null")
     met = written(met.select("row", "id", "n_words", "p", F.when(F.col("p") > 0, i).alias("i"), *keep), "grams")
     of = ["row", "template", "label", "exact", "size", "k"]
     diagonals = met.filter("p > 0").groupBy(*of, (F.col("i") - F.col("j")).alias("diagonal")).agg(F.min("i").alias("first"), F.max("i").alias("last"), F.collect_set("j").alias("js"))
