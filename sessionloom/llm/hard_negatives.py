@@ -171,7 +171,7 @@ WITH v AS (
   SELECT row_number() OVER () AS no, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
   FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT a.no, a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  SELECT a.no, a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, CASE WHEN least(len(a.v), len(b.v)) = 0 THEN 0 ELSE CAST(list_inner_product(a.v[1:least(len(a.v), len(b.v))], b.v[1:least(len(a.v), len(b.v))]) AS BIGINT) END AS score
   FROM v a JOIN v b ON a.no <> b.no WHERE a.vec_id % 100 = 0),
 p AS (SELECT no, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY no ORDER BY score DESC, id) AS slot FROM s WHERE same QUALIFY slot <= 5)
 SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY no, slot ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
