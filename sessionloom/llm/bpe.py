@@ -120,7 +120,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col: str =
                 texts = _pack(count, _planes(rank[every]))
                 of = [zlib.crc32(w) % buckets for w in words]
                 order = sorted(range(len(words)), key=lambda k: (of[k], words[k]))
-                name = hashlib.blake2b(digest_size=8)
+                ids = batch.column(0).slice(i, j - i)
+                name = hashlib.blake2b(repr(ids.to_pylist()).encode(), digest_size=8)
                 rows, at = [], 0
                 for b, group in groupby(order, key=of.__getitem__):
                     own = [words[k] for k in group]
@@ -128,7 +129,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str = PATTERN, id_col: str =
                     name.update(rows[-1][4])
                 place = np.empty(len(words), np.int64)  # where each number's word is in the order in which they are sent
                 place[rank[order]] = np.arange(len(words))
-                rows.append((batch.column(0).slice(i, j - i).to_pylist(), -1, place.astype("<u4" if len(words) > 1 << 16 else "<u2").tobytes(), texts, None))
+                rows.append((ids.to_pylist(), -1, place.astype("<u4" if len(words) > 1 << 16 else "<u2").tobytes(), texts, None))
                 cols = list(zip(*rows, strict=True))
                 chunk = int.from_bytes(name.digest(), "little", signed=True)
                 yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(rows), pa.int64()), pa.array(cols[0], pa.list_(batch.schema.field(0).type)), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["chunk", "ids", "bucket", "place", "texts", "words"])
