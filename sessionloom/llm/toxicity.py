@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm.common import release, written
 
-#: Labelled rows that the chain is fitted on, about, at most; words that a model takes for a category, at most.
-FIT_ROWS, FEATURES = 20_000, 200
+#: Labelled rows that the chain is fitted on, about, at most.
+FIT_ROWS = 20_000
 #: A word is a feature if so many rows have it and their rate of the category is off by so many standard deviations, and so much.
 LEAST_ROWS, LEAST_Z, LEAST_GAP = 10, 5.0, 0.4
 FOLDS, RIDGE = 5, 0.1
@@ -42,16 +42,55 @@ def tokens(text: str) -> set[str]:
     return out
 
 
-def _solve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last weight is the intercept."""
-    x = np.column_stack((x, np.ones(len(x))))
-    w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], RIDGE)
+class _Rows:
+    """A matrix of rows with a 1 for each of their words, kept as places, and some dense columns, the last of ones."""
+
+    def __init__(self, at: np.ndarray, word: np.ndarray, n: int, words: int, dense: np.ndarray):
+        self.at, self.word, self.n, self.words = at, word, n, words
+        self.dense = np.column_stack((dense, np.ones(n)))
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, weights=w[self.word], minlength=self.n) + self.dense @ w[self.words :]
+
+    def back(self, v: np.ndarray) -> np.ndarray:
+        return np.concatenate((np.bincount(self.word, weights=v[self.at], minlength=self.words), self.dense.T @ v))
+
+    def squares(self, v: np.ndarray) -> np.ndarray:
+        return np.concatenate((np.bincount(self.word, weights=v[self.at], minlength=self.words), (self.dense**2).T @ v))
+
+
+def _placed(hits: list, words: np.ndarray, size: int, dense: np.ndarray) -> _Rows:
+    """The rows' hits among the chosen words, which are numbered in order."""
+    number = np.full(size, -1)
+    number[words] = np.arange(len(words))
+    at = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
+    word = number[np.concatenate([np.zeros(0, int), *(np.asarray(h, int) for h in hits)])]
+    return _Rows(at[word >= 0], word[word >= 0], len(hits), len(words), dense)
+
+
+def _solve(x: _Rows, y: np.ndarray) -> np.ndarray:
+    """Ridge logistic regression by Newton steps, each by conjugate gradients; the last weight is the intercept."""
+    size = x.words + x.dense.shape[1]
+    w, ridge = np.zeros(size), np.full(size, RIDGE)
     ridge[-1] = 1e-3
-    for _ in range(12):
-        p = _sigmoid(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
+    for _ in range(25):
+        p = _sigmoid(x.times(w))
+        d = p * (1 - p)
+        near = x.squares(d) + ridge
+        left = x.back(y - p) - ridge * w
+        least, step = 1e-9 * np.sqrt(left @ left) + 1e-12, np.zeros(size)
+        z = left / near
+        way, rz = z, left @ z
+        for _ in range(2 * size + 50):
+            if np.sqrt(left @ left) <= least:
+                break
+            bent = x.back(d * x.times(way)) + ridge * way
+            far = rz / (way @ bent)
+            step, left = step + far * way, left - far * bent
+            z = left / near
+            way, rz = z + (left @ z) / rz * way, left @ z
         w += step
-        if np.abs(step).max() < 1e-4:
+        if np.abs(step).max() < 1e-7:
             break
     return w
 
@@ -70,20 +109,16 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _weights(x: _Rows, y: np.ndarray) -> np.ndarray:
     """The linear model; a constant if a class has no row."""
     if len(y) and 0 < y.mean() < 1:
         return _solve(x, y)
-    w = np.zeros(x.shape[1] + 1)
+    w = np.zeros(x.words + x.dense.shape[1])
     w[-1] = 30.0 if len(y) and y[0] else -30.0
     return w
 
 
-def _predict(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return _sigmoid(np.column_stack((x, np.ones(len(x)))) @ w)
-
-
-def _chosen(counts: np.ndarray, hits: np.ndarray, rows: float, positives: np.ndarray, most: int) -> np.ndarray:
+def _chosen(counts: np.ndarray, hits: np.ndarray, rows: float, positives: np.ndarray) -> np.ndarray:
     """Which words tell a category apart: of counts rows with each word, hits[category] are positive."""
     out = np.zeros(len(counts), bool)
     for h, pos in zip(hits, positives, strict=True):
@@ -91,19 +126,17 @@ def _chosen(counts: np.ndarray, hits: np.ndarray, rows: float, positives: np.nda
             continue
         rate, n = pos / rows, np.maximum(counts, 1)
         z = (h - n * rate) / np.sqrt(n * rate * (1 - rate))
-        good = np.flatnonzero((counts >= LEAST_ROWS) & (z >= LEAST_Z) & (np.abs(h / n - rate) >= LEAST_GAP))
-        out[good[np.argsort(-z[good], kind="stable")[:most]]] = True
+        out |= (counts >= LEAST_ROWS) & (z >= LEAST_Z) & (np.abs(h / n - rate) >= LEAST_GAP)
     return out
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, features: int = FEATURES) -> dict:
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> dict:
     """The chain for the categories in order; each value is SQL for a 0/1 label over `labels`.
 
     Fitted on at most about fit_rows labelled documents, chosen by a hash of their id. Equal texts count once, with
     the larger label of each category, so neither repeated label rows nor their order matter. Spark counts words by
-    category and fold; the driver gets the words that tell a category apart, and the sample's hits of them. A model
-    takes at most `features` words for each category, the most telling first; ties go by word.
-    Each model sees the words and the earlier categories' probabilities. In training these come from models that
+    category and fold; the driver gets the words that tell a category apart, and the sample's hits of them: both are
+    bounded by the sample. A model takes all such words. Each model sees the words and the earlier categories' probabilities. In training these come from models that
     did not see the row (FOLDS folds by text hash): their words, too, are chosen without the fold. In prediction they
     come from the model fitted on all rows. A category without both classes gets a constant. `limits` has the
     probability from which each category is called, by the best F1 of the unseen-row probabilities.
@@ -139,8 +172,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id
     got = by.filter(functools.reduce(lambda a, b: a | b, near)).orderBy("word").toPandas() if size.sum() else pd.DataFrame({"word": []})
     count = np.array([got.get(f"n_{k}", []) for k in range(FOLDS)], float).reshape(FOLDS, len(got))
     hit = np.array([[got.get(f"{y}_{k}", []) for k in range(FOLDS)] for y in names], float).reshape(len(names), FOLDS, len(got))
-    picks = [_chosen(count.sum(0) - count[k], hit.sum(1) - hit[:, k], size.sum() - size[k], positives.sum(1) - positives[:, k], features) for k in range(FOLDS)]
-    picks.append(_chosen(count.sum(0), hit.sum(1), size.sum(), positives.sum(1), features))
+    picks = [_chosen(count.sum(0) - count[k], hit.sum(1) - hit[:, k], size.sum() - size[k], positives.sum(1) - positives[:, k]) for k in range(FOLDS)]
+    picks.append(_chosen(count.sum(0), hit.sum(1), size.sum(), positives.sum(1)))
     used = np.flatnonzero(np.any(picks, axis=0))
     words = [str(w) for w in got["word"].to_numpy()[used]]
     columns = [np.flatnonzero(p[used]) for p in picks]
@@ -152,17 +185,15 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), *batch.columns[1:]], names=["hits", "row", "fold", *names])
 
     data = sample.mapInArrow(hits, f"hits array<int>, row string, fold int, {doubles}").orderBy("row").toPandas()
-    x = np.zeros((len(data), len(words)))
-    for i, h in enumerate(data["hits"]):
-        x[i, list(h)] = 1
+    found = data["hits"].tolist()
     fold, weights, limits, earlier = data["fold"].to_numpy(int), [], [], np.zeros((len(data), 0))
     for y in names:
         t, out = data[y].to_numpy(float), np.zeros(len(data))
         for k in range(FOLDS):
-            seen = np.column_stack((x[:, columns[k]], earlier))
             mine = fold == k
-            out[mine] = _predict(seen[mine], _weights(seen[~mine], t[~mine]))
-        weights.append(_weights(np.column_stack((x[:, columns[-1]], earlier)), t))
+            part = lambda rows, k=k: _placed([found[i] for i in np.flatnonzero(rows)], columns[k], len(words), earlier[rows])
+            out[mine] = _sigmoid(part(mine).times(_weights(part(~mine), t[~mine])))
+        weights.append(_weights(_placed(found, columns[-1], len(words), earlier), t))
         limits.append(_threshold(out, t) if len(t) and 0 < t.mean() < 1 else 0.5)
         earlier = np.column_stack((earlier, out))
     return {"words": [words[i] for i in columns[-1]], "weights": weights, "categories": list(categories), "limits": limits}
@@ -175,12 +206,11 @@ def predict_chain(docs: DataFrame, chain: dict, id_col: str = "doc_id", text_col
 
     def run(batches):
         for batch in batches:
-            x = np.zeros((batch.num_rows, len(number)))
-            for i, t in enumerate(batch.column(1)):
-                x[i, [number[w] for w in tokens(t.as_py() or "") if w in number]] = 1
+            at = [[number[w] for w in tokens(t or "") if w in number] for t in batch.column(1).to_pylist()]
+            said = np.zeros((batch.num_rows, 0))
             for w in weights:
-                x = np.column_stack((x, _sigmoid(np.column_stack((x, np.ones(len(x)))) @ w)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, len(number) + i]) for i in range(len(weights)))], names=["id", *cols])
+                said = np.column_stack((said, _sigmoid(_placed(at, np.arange(len(number)), len(number), said).times(w))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(said[:, i]) for i in range(len(weights)))], names=["id", *cols])
         release()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

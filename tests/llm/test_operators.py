@@ -218,9 +218,8 @@ def test_chain_does_not_depend_on_the_order_of_rows(spark):
 
 def test_words_of_a_fold_are_chosen_without_it():
     counts, hits = np.array([12.0, 12.0, 400.0]), np.array([[12.0, 8.0, 40.0]])
-    assert toxicity._chosen(counts, hits, 1000.0, np.array([100.0]), 5).tolist() == [True, True, False]
-    assert toxicity._chosen(counts, hits, 1000.0, np.array([100.0]), 1).tolist() == [True, False, False]
-    assert not toxicity._chosen(counts, hits, 1000.0, np.array([0.0]), 5).any()
+    assert toxicity._chosen(counts, hits, 1000.0, np.array([100.0])).tolist() == [True, True, False]
+    assert not toxicity._chosen(counts, hits, 1000.0, np.array([0.0])).any()
 
 
 def test_chain_without_labels_or_rows(spark):
@@ -630,3 +629,78 @@ def test_layers_against_a_brute_force_version(spark):
         spans = [x for x in got[i].split(",") if x.startswith(("assign", "access"))]
         assert bool(spans) == there, text
         assert all(5 <= int(x.split(":")[1]) and int(x.split(":")[2]) <= 5 + n for x in spans), (spans, n)
+
+
+@pytest.mark.parametrize("text", [None, "a few equal words"])
+def test_equal_texts_are_spread(spark, text):
+    """Many rows with one text, or with none, come out of all partitions, not out of one."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = spark.range(100_000).repartition(16).select(F.col("id").alias("doc_id"), F.lit(text).cast("string").alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions would be read as one
+    try:
+        out = bpe.encode(docs, ranks).withColumn("at", F.spark_partition_id()).groupBy("at").agg(F.count("*").alias("n"), F.max(F.size("ids")).alias("most"), F.min(F.size("ids")).alias("least")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r.n for r in out) == 100_000 and len(out) == 4 and max(r.n for r in out) < 60_000
+    assert {r.most for r in out} == {r.least for r in out} and (out[0].most == 0) == (text is None)
+
+
+def dense_chain(rows, categories):
+    """The chain by plain means: dense matrices, direct solves, words counted in loops. rows: distinct text, fold, labels."""
+    words = [toxicity.tokens(t) for t, _, _ in rows]
+    labels, fold = np.array([y for _, _, y in rows], float), np.array([f for _, f, _ in rows])
+
+    def telling(train):
+        out = set()
+        for c in range(categories):
+            rate = labels[train, c].mean()
+            if 0 < rate < 1:
+                for w in sorted(set().union(*(words[i] for i in train))):
+                    own = [i for i in train if w in words[i]]
+                    h, n = labels[own, c].sum(), len(own)
+                    if n >= toxicity.LEAST_ROWS and (h - n * rate) / np.sqrt(n * rate * (1 - rate)) >= toxicity.LEAST_Z and abs(h / n - rate) >= toxicity.LEAST_GAP:
+                        out.add(w)
+        return sorted(out)
+
+    def model(x, y):
+        if not 0 < y.mean() < 1:
+            return np.append(np.zeros(x.shape[1]), 30.0 if y[0] else -30.0)
+        x, w = np.column_stack((x, np.ones(len(x)))), np.zeros(x.shape[1] + 1)
+        ridge = np.append(np.full(len(w) - 1, toxicity.RIDGE), 1e-3)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-(x @ w)))
+            w = w + np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
+        return w
+
+    say = lambda x, w: 1 / (1 + np.exp(-np.clip(np.column_stack((x, np.ones(len(x)))) @ w, -30, 30)))
+    matrix = lambda chosen: np.array([[float(w in own) for w in chosen] for own in words]).reshape(len(rows), len(chosen))
+    every, earlier, out = np.arange(len(rows)), np.zeros((len(rows), 0)), np.zeros((len(rows), 0))
+    folds = [matrix(telling(every[fold != k])) for k in range(toxicity.FOLDS)]
+    whole = matrix(telling(every))
+    for c in range(categories):
+        unseen = np.zeros(len(rows))
+        for k in range(toxicity.FOLDS):
+            x = np.column_stack((folds[k], earlier))
+            unseen[fold == k] = say(x[fold == k], model(x[fold != k], labels[fold != k, c]))
+        w = model(np.column_stack((whole, earlier)), labels[:, c])
+        out = np.column_stack((out, say(np.column_stack((whole, out)), w)))
+        earlier = np.column_stack((earlier, unseen))
+    return out, whole.shape[1]
+
+
+def test_the_chain_is_that_of_a_plain_version(spark):
+    """More telling words than rows in a fold: all of them count."""
+    r = random.Random(6)
+    plain, foul, dull = ([f"{x}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(n)] for x, n in (("pl", 60), ("fo", 330), ("du", 30)))
+    rows = []
+    for i in range(500):
+        bad, low = i % 4 == 0, i % 5 == 0
+        rows.append((i, " ".join(r.choices(plain, k=12) + (r.sample(foul, 40) if bad or r.random() < 0.02 else []) + (r.sample(dull, 6) if low else [])), int(not low), int(bad)))
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(x[0], x[2], x[3]) for x in rows], "doc_id long, quality int, toxic int")
+    chain = toxicity.fit_chain(docs, labels, toxicity.CATEGORIES)
+    folds = {x.doc_id: x.f for x in docs.select("doc_id", F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(toxicity.FOLDS)).alias("f")).collect()}
+    want, n = dense_chain([(t, folds[i], (1 - q, x)) for i, t, q, x in rows], 2)
+    assert len(chain["words"]) == n > 250
+    got = {x.doc_id: (x.p_low_quality, x.p_toxic) for x in toxicity.predict_chain(docs, chain).collect()}
+    assert np.abs(np.array([got[i] for i, *_ in rows]) - want).max() < 1e-5
